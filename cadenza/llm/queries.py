@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from .common import table
 from .decontaminate import contaminated
 from .license_scan import scan_licenses
+from .minhash_dedup import near_duplicates
 from .secret_scan import scan_secrets
 from .sharding import shard
 
@@ -32,6 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +49,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op6_decontaminate, op7_sharding, op8_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
