@@ -47,7 +47,7 @@ K = 64
 SHINGLE = 5
 LONG = 64
 SLACK = 0.30  # of the estimate: over five standard deviations at k = 64
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,12 +91,16 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            sets = [shingle_set(t, hashes) for t in b.column(1).to_pylist()]
-            low = [s[:k] for s in sets]
+            n, keys, low = [], [], []
+            for t in b.column(1):  # one set at a time in memory
+                s = shingle_set(t.as_py(), hashes)
+                n.append(len(s))
+                keys.append(_key(s) if len(s) else None)
+                low.append(s[:k].copy())
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *low])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, flat)],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
                 names=["doc_id", "text_hash", "n", "key", "sketch"],
             )
 
@@ -143,9 +147,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            found = [shingle_set(t, hashes, size) for t in b.column(2).to_pylist()]
-            same = [_key(s) == key for s, key in zip(found, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, x in zip(b.column(0).to_pylist(), same, strict=True) if x], pa.int64()), pa.array([s.tobytes() for s, x in zip(found, same, strict=True) if x], pa.binary())], names=["cid", "hashes"])
+            cids, found = [], []
+            for c, key, t in zip(*b.columns, strict=True):
+                s = shingle_set(t.as_py(), hashes, size)
+                if _key(s) == key.as_py():
+                    cids.append(c.as_py())
+                    found.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(found, pa.binary())], names=["cid", "hashes"])
 
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").select("cid", "key", "text")
     # Copies of a text give one set: the same class may be met once for each copy.
