@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS = 500  # rows that are Python objects at a time
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
     session. It is set here only where it is unset, as in local tests."""
@@ -51,7 +54,8 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list], li
         kinds, f = [x.type for x in to_arrow_schema(out)], None
         for b in batches:
             f = f or start()
-            cols = f([c.to_pylist() for c in b.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for i in range(0, b.num_rows, ROWS):
+                cols = f([c.to_pylist() for c in b.slice(i, ROWS).columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return df.mapInArrow(run, out)

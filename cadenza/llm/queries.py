@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import contaminated
+from .hmm_lm import score_documents
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
 from .secret_scan import scan_secrets
@@ -29,6 +30,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
