@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .hmm_lm import score_documents
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
+from .quality import classify
 from .secret_scan import scan_secrets
 from .sharding import shard
 
@@ -38,6 +39,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
