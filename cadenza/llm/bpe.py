@@ -184,13 +184,23 @@ class _Words(dict):
         return out
 
 
+#: A Python worker serves many tasks; it keeps its encoder and the words it has seen.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str, shared) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(shared.value)
+    return _ENCODERS[path]
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", full: bool = False) -> DataFrame:
     """A row for each row of docs: key, the number of tokens and digests of the ids
     and of the text decoded from them; full adds ids and the decoded text itself."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def start():
-        encoder = Encoder(shared.value)
+        encoder = _encoder(path, shared)
 
         def batch(cols):
             rows = []
