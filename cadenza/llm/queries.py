@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import contaminated
+from .embedding_dedup import near_duplicate_vectors
 from .hmm_lm import score_documents
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
@@ -59,5 +60,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe, op9_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
