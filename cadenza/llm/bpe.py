@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
             for k, t in zip(*cols, strict=True):
                 ids, words = encoder.encode(t)
                 row = (k, ids.count(" ") + 1 if ids else 0, _sha(ids), _sha(words))
-                rows.append((*row, [int(x) for x in ids.split()], words) if full else row)
+                rows.append((*row, list(map(int, ids.split())), words) if full else row)
             encoder.forget()
             return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * (6 if full else 4)
 

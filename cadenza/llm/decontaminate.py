@@ -96,30 +96,47 @@ class Matcher:
         return out
 
 
+def _item_sets(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in sets that are fit to broadcast."""
+    items: list[tuple[int, str]] = []
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).toLocalIterator():
+        if text := normalised(row.text):
+            items.append((row.item_id, text))
+        if len(items) == size:
+            yield items
+            items = []
+    if items:
+        yield items
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, items_per_scan: int = ITEMS_PER_SCAN) -> DataFrame:
     """(item_id, doc_id, distance) of each row of docs that holds a benchmark item
     within its edit budget, and of that item."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = spark.createDataFrame([], "item_id long, doc_id long, distance long")
-    items: list[tuple[int, str]] = []
-
-    def scan() -> DataFrame:
-        shared = spark.sparkContext.broadcast(list(items))
+    for items in _item_sets(benchmark, items_per_scan):
+        shared = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = None
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, error_rate)
             for b in batches:
-                matcher = matcher or Matcher(shared.value, error_rate)
-                rows = [(matcher.items[k][0], d, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, e in matcher.matches(t)]
+                rows = [(matcher.items[k][0], d.as_py(), e) for d, t in zip(*b.columns, strict=True) for k, e in matcher.matches(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["item_id", "doc_id", "distance"])
 
-        return texts.mapInArrow(run, found.schema)
+        found = found.unionByName(texts.mapInArrow(run, found.schema))
+    return found
 
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).toLocalIterator():
-        if text := normalised(row.text):
-            items.append((row.item_id, text))
-        if len(items) == items_per_scan:
-            found = found.unionByName(scan())
-            items.clear()
-    return found.unionByName(scan()) if items else found
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, items_per_scan: int = ITEMS_PER_SCAN) -> DataFrame:
+    """The rows of docs, as they are, that hold no benchmark item."""
+    for items in _item_sets(benchmark, items_per_scan):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, error_rate)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.matches(t.as_py()) for t in b.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -219,3 +219,12 @@ def near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, without those that a near-duplicate with a
+    lesser doc_id stands for; equal texts with one doc_id stay once. Rows without a
+    doc_id stay."""
+    ids = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))

@@ -84,6 +84,17 @@ class Features:
         return np.concatenate([found, shape]), votes, len(words)
 
 
+#: A Python worker serves many tasks and keeps its features.
+_KEPT: dict[frozenset[int], Features] = {}
+
+
+def _features(lexicon: frozenset[int]) -> Features:
+    if lexicon not in _KEPT:
+        _KEPT.clear()
+        _KEPT[lexicon] = Features(lexicon)
+    return _KEPT[lexicon]
+
+
 def leaning(rows: list[np.ndarray], inside: np.ndarray) -> np.ndarray:
     """For each slot by how many standard deviations its documents in a class are
     more than its share of all documents would give."""
@@ -157,9 +168,10 @@ def _decode(code: int) -> list[int]:
     return [code >> 2 * i & 3 for i in range(len(LABELLERS) - 1)]
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, the scorer's probability of each class,
-    and kept: it is clean by the scorer and has words."""
+    and kept: it is clean by the scorer and has words. only_kept: instead the rows
+    of docs that are kept, as they are."""
     spark = docs.sparkSession
     context = spark.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -168,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     some = marks.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features()
+        f = _features(frozenset())
         for b in batches:
             found = [f.of(t.as_py())[:2] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([_code(v) for _, v in found], pa.int32()), b.column(2)], names=["doc_id", "slots", "code", "mark"])
@@ -180,7 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     shared = context.broadcast(known)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features(shared.value)
+        f = _features(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_code(f.of(t.as_py())[1]) for t in b.column(1)], pa.int32())], names=["doc_id", "code"])
 
@@ -192,21 +204,30 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     weights = fit_scorer([s for s, _ in found], posterior(own, prior, accuracy))
     model = context.broadcast((weights, known, prior, accuracy, bool(found)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         w, lex, prior, accuracy, trained = model.value
-        f = Features(lex)
+        f, p, kept = _features(lex), [], []
+        for t in texts:
+            slots, votes, n = f.of(t.as_py())
+            if trained:
+                x = w[slots].sum(0) + w[WIDTH]
+                x = np.exp(x - x.max())
+                x /= x.sum()
+            else:
+                x = posterior(np.array([[ABSTAIN, *votes]]), prior, accuracy)[0]
+            p.append(x)
+            kept.append(bool(n and x.argmax() == CLEAN))
+        return p, kept
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, kept = [], []
-            for t in b.column(1):
-                slots, votes, n = f.of(t.as_py())
-                if trained:
-                    x = w[slots].sum(0) + w[WIDTH]
-                    x = np.exp(x - x.max())
-                    x /= x.sum()
-                else:
-                    x = posterior(np.array([[ABSTAIN, *votes]]), prior, accuracy)[0]
-                p.append(x)
-                kept.append(bool(n and x.argmax() == CLEAN))
+            p, kept = scored(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([float(x[k]) for x in p], pa.float64()) for k in range(3)), pa.array(kept, pa.bool_())], names=["doc_id", "p_clean", "p_low", "p_toxic", "kept"])
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scored(b.column("text"))[1], pa.bool_()))
+
+    if only_kept:
+        return docs.mapInArrow(keep, docs.schema)
     return rows.mapInArrow(score, "doc_id long, p_clean double, p_low double, p_toxic double, kept boolean")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .chat_format import format_chats
 from .common import table
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
@@ -64,5 +65,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe, op9_embedding_dedup)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe, op9_embedding_dedup, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
