@@ -12,15 +12,18 @@ each class's first k - least + 1 values; later, more frequent ones need no list.
 what a third of all documents have in common makes no candidates unless it is most
 of those documents. Values that one class alone retains have no list at all.
 
-Long lists. Classes in a list of over LONG members are mostly versions of one text.
-They are compared with the list's most central member (whose values are the most
-frequent); once the links found are joined into components, members outside the
-central member's component are compared with all members of other components. So
-no list is cut short, and pairs within a known component aren't made.
-
-The union sketch of a candidate pair estimates its similarity; far too low ones go.
-The rest are verified on full sets, first each class's most similar candidate, then
-those candidates that still lie in different components.
+Long lists. Classes that stand in a list of over LONG members by their sketches are
+taken by themselves: there the same filter is applied to full sets, counted among
+themselves, where a pair must share 3/4 of the larger set and so one of the rarest
+quarter of either. Short lists of these make pairs. What still has long lists is
+mostly versions of one text; they are compared with the list's most central member
+(whose values are the most frequent), and those whose component is not the central
+member's with all members, block against block inside tasks, which give out the
+components of a block and no pairs. So no list is cut short.
+
+Candidate pairs whose union sketch makes the threshold most unlikely go. The rest are
+verified on full sets, first each class's most similar candidate, then those
+candidates that still lie in different components.
 
 Results for special inputs: null, empty and blank texts have an empty set and are
 linked with nothing (component_id is their own doc_id); texts under five words are
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,7 @@ from .components import components
 K = 64
 SHINGLE = 5
 LONG = 64
+BLOCK = 1000
 SLACK = 0.30  # of the estimate: over five standard deviations at k = 64
 WORD_CACHE = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -112,22 +117,29 @@ def _similar_size(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= 75 * greatest({a}, {b})"
 
 
-def lists(classes: DataFrame, k: int = K) -> DataFrame:
-    """The inverted lists (v, cid, n, central): for each class the values that a
-    similar class must share one of, where more classes than one retain them."""
-    values = classes.select("cid", F.explode("sketch").alias("v"))
+def lists(values: DataFrame, classes: DataFrame, kept: str, need: str) -> DataFrame:
+    """The inverted lists (v, cid, n, central) of values (cid, v): for each class those
+    that a similar class must share one of, where more classes than one hold them.
+    kept: how many values the class has; need: how many a similar one has of them."""
     often = stored(values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "often")
     shared = values.join(often, "v").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("m"))
-    need = f"CASE WHEN n <= {3 * k // 4} THEN (3 * n + 3) div 4 ELSE {least_overlap(k)} END"
-    first = f"size(sketch) - ({need}) + 1 - (size(sketch) - size(m))"
-    kept = (
-        shared.join(classes.select("cid", "n", "sketch"), "cid")
-        .withColumn("central", F.expr("aggregate(m, 0D, (x, y) -> x + ln(y.f)) / size(sketch)"))
-        .withColumn("first", F.expr(first).cast("int"))
-        .where("first > 0")
-        .select("cid", "n", "central", F.explode(F.slice("m", F.lit(1), F.col("first"))).alias("x"))
-    )
-    return kept.select(F.col("x.v").alias("v"), "cid", "n", "central")
+    found = shared.join(classes.select("cid", "n"), "cid").withColumn("kept", F.expr(kept)).withColumn("first", F.expr(f"cast(size(m) - ({need}) + 1 AS int)"))
+    central = F.expr("aggregate(m, 0D, (x, y) -> x + ln(y.f)) / kept")
+    found = found.withColumn("central", central).where("first > 0").select("cid", "n", "central", F.explode(F.slice("m", F.lit(1), F.col("first"))).alias("x"))
+    return found.select(F.col("x.v").alias("v"), "cid", "n", "central")
+
+
+def _sized(found: DataFrame) -> DataFrame:
+    """Lists of two or more with their size and most central member."""
+    at = F.struct("central", "cid")
+    sizes = found.groupBy("v").agg(F.count("*").alias("f"), F.max_by("cid", at).alias("hub"), F.max_by("n", at).alias("hub_n")).where("f > 1")
+    return stored(found.join(sizes, "v"), "sized")
+
+
+def _all_pairs(short: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of short lists that are of like size."""
+    side = short.select("v", "cid", "n")
+    return side.toDF("v", "a", "na").join(side.toDF("v", "b", "nb"), "v").where(f"a < b AND {_similar_size('na', 'nb')}").select("a", "b")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -139,17 +151,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", est.alias("est")).where(F.col("est") >= 0.75 - SLACK)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose full sets have a similarity of 3/4 or more. The sets
-    are made anew from the texts of those classes alone."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key", "text_hash"), "cid")
+def _full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, hashes) of some classes, made anew from the texts of those alone."""
+    wanted = cids.join(classes.select("cid", "key", "text_hash"), "cid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             cids, found = [], []
             for c, key, t in zip(*b.columns, strict=True):
-                s = shingle_set(t.as_py(), hashes, size)
+                s = shingle_set(t.as_py(), hashes)
                 if _key(s) == key.as_py():
                     cids.append(c.as_py())
                     found.append(s.tobytes())
@@ -157,7 +168,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
 
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").select("cid", "key", "text")
     # Copies of a text give one set: the same class may be met once for each copy.
-    full = stored(texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary"), "sets")
+    return stored(texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary"), "sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets have a similarity of 3/4 or more."""
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,16 +188,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
     return joined.mapInArrow(check, "a long, b long")
 
 
-def _linked(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links that join all components which pairs (a, b, est) join."""
-    rest, links = pairs, known
-    if known is None:
-        ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("x"))
-        best = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        links = stored(_verified(best, classes, docs), "links")
-        rest = pairs.join(best, ["a", "b"], "left_anti")
+    ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("x"))
+    best = stored(ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "best")
+    links = stored(_verified(best, classes, docs), "links")
     comp = stored(components(links), "components")
-    more = stored(_verified(_across(rest, comp), classes, docs), "links")
+    more = stored(_verified(_across(pairs.join(best, ["a", "b"], "left_anti"), comp), classes, docs), "links")
     return links.unionByName(more)
 
 
@@ -190,29 +203,86 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return p.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
 
 
+def _values(sets: DataFrame) -> DataFrame:
+    """(cid, v) of full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, h in zip(*b.columns, strict=True):
+                v = np.frombuffer(h.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c.as_py()), pa.int64()), pa.array(v)], names=["cid", "v"])
+
+    return sets.mapInArrow(run, "cid long, v long")
+
+
+def _block_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets [left, right] have a similarity of 3/4 or more."""
+    size, every = [np.array([len(x) for x in side]) for side in (left, right)], np.concatenate([*left, *right])
+    values, at, n = np.unique(every, return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(left) + len(right)), np.concatenate(size))
+    place = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]  # values of one set alone don't matter
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((n > 1).sum()), 4096):
+        some = (place >= first) & (place < first + 4096)
+        m = np.zeros((len(left) + len(right), 4096), np.float32)
+        m[of[some], place[some] - first] = 1
+        both += m[: len(left)] @ m[len(left) :].T
+    return 100 * both >= 75 * (size[0][:, None] + size[1][None, :] - both)
+
+
+def _across_blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join what links between members (g, cid, outside) of a group
+    join, at least one of the two outside."""
+    m = members.join(sets, "cid")
+    parts = members.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("q_of"), F.ceil(F.count_if("outside") / block).cast("int").alias("p_of")).where("p_of > 0")
+    m = m.join(parts, "g")
+    all_ = m.select("g", F.explode(F.sequence(F.lit(0), F.col("p_of") - 1)).alias("p"), F.pmod(F.xxhash64("cid"), F.col("q_of")).cast("int").alias("q"), F.lit(False).alias("left"), "cid", "hashes")
+    out = m.where("outside").select("g", F.pmod(F.xxhash64("cid"), F.col("p_of")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q_of") - 1)).alias("q"), F.lit(True).alias("left"), "cid", "hashes")
+
+    def compare(t: pa.Table) -> pa.Table:
+        left, right = t.filter(t["left"]), t.filter(pa.compute.invert(t["left"]))
+        a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
+        links = []
+        if len(a) and len(b):
+            near = _block_links(*([np.frombuffer(h, np.int64) for h in x["hashes"].to_pylist()] for x in (left, right)))
+            x, y, high = a.copy(), b.copy(), np.iinfo(np.int64).max
+            while True:  # the least cid that links reach within the block
+                x2 = np.minimum(x, np.where(near, y[None, :], high).min(axis=1))
+                y2 = np.minimum(y, np.where(near, x2[:, None], high).min(axis=0))
+                if (x2 == x).all() and (y2 == y).all():
+                    break
+                x, y = x2, y2
+            links = [(c, r) for c, r in zip([*a, *b], [*x, *y], strict=True) if c != r]
+        return pa.table({"a": pa.array([int(r) for _, r in links], pa.int64()), "b": pa.array([int(c) for c, _ in links], pa.int64())})
+
+    return all_.unionByName(out).groupBy("g", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the least
     doc_id reachable over links of similarity 3/4 or more) and kept."""
     rows = stored(sketches(docs, k), "sketches")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("text_hash", "n", "sketch")).alias("x"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least_id", "x.*"), "classes")
-    found = stored(lists(classes, k), "lists")
-    sizes = found.groupBy("v").agg(F.count("*").alias("f"), F.max_by("cid", F.struct("central", "cid")).alias("hub"), F.max_by("n", F.struct("central", "cid")).alias("hub_n")).where("f > 1")
-    sized = stored(found.join(sizes, "v"), "sized")
-    short, hot = sized.where(f"f <= {long}").select("v", "cid", "n"), sized.where(f"f > {long}")
-    pairs = short.toDF("v", "a", "na").join(short.toDF("v", "b", "nb"), "v").where(f"a < b AND {_similar_size('na', 'nb')}").select("a", "b")
-    hubs = hot.where(f"cid <> hub AND {_similar_size('n', 'hub_n')}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-    pairs = stored(_estimated(pairs.unionByName(hubs).distinct(), classes, k), "pairs")
-    links = _linked(pairs, None, classes, docs)
+    need = f"CASE WHEN n <= {3 * k // 4} THEN (3 * n + 3) div 4 ELSE {least_overlap(k)} END"
+    sized = _sized(lists(classes.select("cid", F.explode("sketch").alias("v")), classes, f"least(n, {k})", need))
+    pairs, many = _all_pairs(sized.where(f"f <= {long}")), sized.where(f"f > {long}").select("cid").distinct()
+    hot = None
+    if not many.isEmpty():
+        sets = _full_sets(many, classes, docs)
+        again = _sized(lists(_values(sets), classes, "n", "(3 * n + 3) div 4"))
+        hot = again.where(f"f > {long}")
+        hubs = hot.where(f"cid <> hub AND {_similar_size('n', 'hub_n')}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+        pairs = pairs.unionByName(_all_pairs(again.where(f"f <= {long}"))).unionByName(hubs)
+    links = _linked(stored(_estimated(pairs.distinct(), classes, k), "pairs"), classes, docs)
     comp = stored(components(links), "components")
-    in_lists = hot.select("v", "cid", "n", "hub").join(comp.toDF("cid", "c"), "cid", "left").join(comp.toDF("hub", "hc"), "hub", "left")
-    in_lists = stored(in_lists.select("v", "cid", "n", F.coalesce("c", "cid").alias("c"), F.coalesce("hc", "hub").alias("hc")), "members")
-    outside = in_lists.where("c <> hc").select("v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    others = in_lists.select("v", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    crossing = outside.join(others, "v").where(f"ca <> cb AND {_similar_size('na', 'nb')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = stored(_estimated(crossing.join(pairs, ["a", "b"], "left_anti"), classes, k), "pairs")
-    if not crossing.isEmpty():
-        comp = stored(components(_linked(crossing, links, classes, docs)), "components")
+    if hot is not None:
+        met = hot.select("cid", "hub").join(comp.toDF("cid", "c"), "cid", "left").join(comp.toDF("hub", "g"), "hub", "left")
+        met = met.select(F.coalesce("g", "hub").alias("g"), "cid", F.coalesce("c", "cid").alias("c")).distinct()
+        members = stored(met.select("g", "cid", (F.col("c") != F.col("g")).alias("outside")), "members")
+        if not members.where("outside").isEmpty():
+            more = stored(_across_blocks(members, sets), "links")
+            comp = stored(components(links.unionByName(more)), "components")
     of_class = classes.select("cid", "key", "least_id").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     labels = stored(of_class.join(least, "comp").select("key", "component_id"), "labels")
