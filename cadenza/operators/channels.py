@@ -35,7 +35,7 @@ def item_cf(seeds: DataFrame, sims: DataFrame, n: int = 10, per_seed: int = 20,
 def with_cold_start(warm: DataFrame, fallback: DataFrame, n: int = 10, weight: float = 0.5) -> DataFrame:
     """Warm results first; what is short of n comes from a fallback at half its score."""
     more = fallback.join(warm.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti")
-    both = warm.select("user_id", "song_id", "score", F.lit(0).alias("part")).unionByName(more.select("user_id", "song_id", r6(F.col("score") * weight).alias("score"), F.lit(1).alias("part")))
+    both = warm.select("user_id", "song_id", "score", F.lit(0).alias("part")).unionByName(more.select("user_id", "song_id", F.round(F.col("score") * weight, 7).alias("score"), F.lit(1).alias("part")))
     place = F.row_number().over(W.partitionBy("user_id").orderBy("part", F.desc("score"), "song_id")).cast("long")
     return both.withColumn("rank", place).where(F.col("rank") <= n).drop("part")
 

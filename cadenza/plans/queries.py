@@ -276,7 +276,7 @@ def quality_json_paths(t: Tables) -> DataFrame:
 def answers(t: Tables) -> DataFrame:
     """Events as answers of a model: JSON in prose, broken JSON with spoken scores, or
     nothing of use."""
-    v = F.format_string("%.2f", F.col("value") / 10)
+    v = F.concat(F.lit("0."), F.lpad((F.floor("value") % 100).cast("string"), 2, "0"))
     good = F.concat(F.lit('Sure: {"content_usefulness": '), v, F.lit(', "production_quality": 0.8, "content_enjoyment": 1.7} ok'))
     spoken = F.concat(F.lit("Content usefulness: "), v, F.lit(' {"x": Production_Quality = 0.25'))
     text = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, spoken).otherwise(F.lit("no idea"))
