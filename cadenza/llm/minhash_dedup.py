@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 
 K = 64
@@ -52,7 +52,7 @@ SHINGLE = 5
 LONG = 64
 BLOCK = 1000
 SLACK = 0.30  # of the estimate: over five standard deviations at k = 64
-WORD_CACHE = 150_000
+WORD_CACHE = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -261,6 +261,11 @@ def _across_blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> D
 def near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the least
     doc_id reachable over links of similarity 3/4 or more) and kept."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, long)
+
+
+def _near_duplicates(docs: DataFrame, k: int, long: int) -> DataFrame:
     rows = stored(sketches(docs, k), "sketches")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("text_hash", "n", "sketch")).alias("x"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least_id", "x.*"), "classes")
