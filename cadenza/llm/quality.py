@@ -146,7 +146,7 @@ def fit_scorer(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 20, rat
     rows = [np.append(r[use[r]], WIDTH) for r in rows]
     w, g2 = np.zeros((WIDTH + 1, 3)), np.full((WIDTH + 1, 3), 1e-2)
     rng = np.random.default_rng(5)
-    for _ in range(rounds):
+    for _ in range(rounds if rows else 0):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
             at = np.concatenate([rows[i] for i in part])
             of = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
