@@ -15,6 +15,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .hmm_lm import score_documents
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
+from .oracles import ORACLES
 from .quality import classify
 from .secret_scan import scan_secrets
 from .sharding import shard
@@ -70,4 +71,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe, op9_embedding_dedup, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = ORACLES
