@@ -27,7 +27,7 @@ from .common import as_long, map_rows
 # How the vocabulary's pre-tokeniser cuts a normalised text. White
 # space separates and is dropped.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 LAST = 0x10000  # added to the code point of a word's last symbol
 
 
@@ -79,7 +79,8 @@ class Encoder:
         automaton.make_automaton()
         self.automaton = automaton
         self.fits: dict[tuple[int, int], bool] = {}
-        self.ids_of, self.text_of = _Words(self._ids), _Words(self._text)
+        self.text_of: dict[str, str] = {}
+        self.ids_of = _Words(self._seen)
 
     def _key(self, token: str) -> str:
         """The symbols of a token, its last one marked if it ends a word."""
@@ -94,7 +95,7 @@ class Encoder:
         possible before the one undone last, it would have come first."""
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             found = self.fits[left, right] = self._fit(left, right)
         return found
@@ -135,11 +136,11 @@ class Encoder:
             end -= length[last[end]]
         return out[::-1]
 
-    def _ids(self, word: str) -> str:
-        return " ".join(map(str, self.encode_word(word)))
-
-    def _text(self, word: str) -> str:
-        return " ".join(self.tokens[i] for i in self.encode_word(word))
+    def _seen(self, word: str) -> str:
+        """The ids of a new word; its tokens' text is kept beside them."""
+        ids = self.encode_word(word)
+        self.text_of[word] = " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(map(str, ids))
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
         """The words of the text between special tokens, and those tokens."""
@@ -170,9 +171,9 @@ class Encoder:
 
     def forget(self) -> None:
         """Keep the words seen within a bound; called between batches."""
-        for seen in (self.ids_of, self.text_of):
-            if len(seen) > WORD_CACHE:
-                seen.clear()
+        if len(self.ids_of) > WORD_CACHE:
+            self.ids_of.clear()
+            self.text_of.clear()
 
 
 class _Words(dict):
