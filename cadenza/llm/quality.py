@@ -38,7 +38,7 @@ HASHED = 1 << 18
 SHAPES = 5
 STEPS = 12
 WIDTH = HASHED + SHAPES * STEPS
-CACHE = 300_000
+CACHE = 100_000
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _SYMBOLS = [s * 3 for s in (b"#", b"$", b"%", b"&", b"*", b"!", b"@", b"~", b"=", b"_", b"?")]
 
