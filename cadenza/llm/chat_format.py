@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, temporary_tables
 
 MARKS = r"^((?:[ \t]*>)+)"
 ANNOUNCED = r"(?i)^(on\b.*wrote:|.* (wrote|writes|said):|-+ ?original message ?-+)$"
@@ -102,10 +102,15 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    rows = stored(rows.withColumn("conv", F.coalesce(F.concat(F.lit("="), "conv_id"), F.lit("null"))).withColumn("c", F.coalesce("conv_id", F.lit(-(2**63)))).withColumn("mid", F.monotonically_increasing_id()), "messages")
+    with temporary_tables(conversations.sparkSession):
+        return _format(rows)
+
+
+def _format(rows: DataFrame) -> DataFrame:
+    rows = stored(rows.withColumn("conv", F.coalesce(F.concat(F.lit("="), "conv_id"), F.lit("null"))).withColumn("c", F.coalesce("conv_id", F.lit(-(2**63)))).withColumn("mid", F.monotonically_increasing_id()), "messages", keep=True)
     messages = parsed(rows)
-    replies = stored(links(messages), "replies")
-    paths = _paths(rows, replies)
+    replies = stored(links(messages), "replies", keep=True)
+    paths = stored(_paths(rows, replies), "paths", keep=True)
     at = messages.select("mid", "conv_id", "conv", "turn", "role", "content").join(replies, "mid", "left").join(paths, "mid", "left")
     at = at.withColumn("path", F.coalesce("path", F.array(F.struct("turn", "mid"))))
     answered = rows.join(replies.select(F.col("parent").alias("mid")).distinct(), "mid", "left_semi")

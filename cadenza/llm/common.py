@@ -24,15 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Tables that the innermost temporary_tables() is to remove.
+_TEMPORARY: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back. This cuts the lineage: a
-    lost executor costs no more than the tasks that were running on it."""
+    lost executor costs no more than the tasks that were running on it. keep: the
+    table outlives temporary_tables(), as a result is still to be read from it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex[:12]}"
+    if _TEMPORARY and not keep:
+        _TEMPORARY[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside, but for those kept, are removed at the end."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in map(hadoop.Path, _TEMPORARY.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs that run inside hand texts to Python in batches of so many rows at most,

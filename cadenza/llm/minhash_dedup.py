@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import small_batches, stored, temporary_tables
 from .components import components
 
 K = 64
@@ -261,12 +261,12 @@ def _across_blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> D
 def near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the least
     doc_id reachable over links of similarity 3/4 or more) and kept."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), temporary_tables(docs.sparkSession):
         return _near_duplicates(docs, k, long)
 
 
 def _near_duplicates(docs: DataFrame, k: int, long: int) -> DataFrame:
-    rows = stored(sketches(docs, k), "sketches")
+    rows = stored(sketches(docs, k), "sketches", keep=True)
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("text_hash", "n", "sketch")).alias("x"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least_id", "x.*"), "classes")
     need = f"CASE WHEN n <= {3 * k // 4} THEN (3 * n + 3) div 4 ELSE {least_overlap(k)} END"
@@ -290,7 +290,7 @@ def _near_duplicates(docs: DataFrame, k: int, long: int) -> DataFrame:
             comp = stored(components(links.unionByName(more)), "components")
     of_class = classes.select("cid", "key", "least_id").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    labels = stored(of_class.join(least, "comp").select("key", "component_id"), "labels")
+    labels = stored(of_class.join(least, "comp").select("key", "component_id"), "labels", keep=True)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
