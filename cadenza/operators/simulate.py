@@ -107,14 +107,21 @@ def uniform_negatives(positives: DataFrame, catalog: DataFrame, k: int = 50, see
     return free.withColumn("n", place).where(F.col("n") <= k).select("user_id", "song_id", F.lit(0).alias("label"))
 
 
-def numbered(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """df with i, the place of key in order from 0, counted by ranges of the key."""
-    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    df = df.join(F.broadcast(ends)).withColumn("b", F.floor((F.col(key) - F.col("lo")) * buckets / (F.col("hi") - F.col("lo") + 1)).cast("int"))
-    n = df.groupBy("b").agg(F.count("*").alias("c"))
-    n = n.select("b", F.coalesce(F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    out = df.join(n, "b").withColumn("i", (F.col("before") + F.row_number().over(W.partitionBy("b").orderBy(key)) - 1).cast("long"))
-    return out.drop("lo", "hi", "b", "before")
+def running(df: DataFrame, key: str, value: Column, out: str, buckets: int = 1024) -> DataFrame:
+    """df with out, the sum of value over all rows up to the row in order of key. Ranges
+    of the key are summed first and rows inside them, so no sort lands in one task."""
+    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    df = df.withColumn("_v", value).join(F.broadcast(ends))
+    df = df.withColumn("_b", F.floor((F.col(key) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int"))
+    n = df.groupBy("_b").agg(F.sum("_v").alias("_s"))
+    n = n.select("_b", F.coalesce(F.sum("_s").over(W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    return df.join(n, "_b").withColumn(out, F.col("_before") + F.sum("_v").over(inside)).drop("_v", "_lo", "_hi", "_b", "_before")
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with i, the place of key in order from 0."""
+    return running(df, key, F.lit(1), "i").withColumn("i", (F.col("i") - 1).cast("long"))
 
 
 def impressions(weights: DataFrame, users: DataFrame, m: int = 50, seed: str = "42") -> DataFrame:
@@ -122,8 +129,7 @@ def impressions(weights: DataFrame, users: DataFrame, m: int = 50, seed: str = "
     once. Draws and songs meet in equal slices of the running sum of weights."""
     slices = 1024
     p = weights.select("song_id", F.greatest(F.col("p"), F.lit(0.0)).alias("p"))
-    run = W.partitionBy(F.lit(0)).orderBy("song_id")
-    cum = p.withColumn("hi", F.sum("p").over(run)).withColumn("lo", F.col("hi") - F.col("p"))
+    cum = running(p, "song_id", F.col("p"), "hi").withColumn("lo", F.col("hi") - F.col("p"))
     cum = cum.select("song_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * slices).cast("int"), F.floor(F.col("hi") * slices).cast("int"))).alias("slice"))
     draws = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(m))).alias("d")).withColumn("u", uniform(f"{seed}/imp", "user_id", "d"))
     draws = draws.withColumn("slice", F.floor(F.col("u") * slices).cast("int"))
