@@ -7,6 +7,10 @@ shorter prefix, where two tokens fit if encoding their joined symbols would give
 just those two. The encoder stores one token per prefix and follows the back
 pointers, so a word costs time in proportion to its length however long it is.
 
+Words are cut by the letters and numbers of Unicode 16, as the vocabulary's own library
+does; lower case follows Python's tables, so some fifty capitals that are newer than
+those keep their case.
+
 Results for special inputs: a null or empty text has no tokens and decodes to an
 empty text; nulls in other columns are carried; equal rows give equal rows; an
 empty table gives no rows.
@@ -16,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from functools import cache
 
 import ahocorasick
 import regex
@@ -24,9 +30,44 @@ from pyspark.sql import DataFrame
 
 from .common import as_long, map_rows
 
-# How the vocabulary's pre-tokeniser cuts a normalised text. White
-# space separates and is dropped.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+# How the vocabulary's pre-tokeniser cuts a normalised text; white space,
+# which separates words and is dropped; and the letters and numbers of Unicode 16, which
+# it follows, beyond those of Python's own tables.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NEW = {
+    "L": "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0",
+    "N": "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa",
+}
+#: Up to here all characters are assigned, so property classes of any version agree.
+PLAIN = regex.compile(WORDS.format(letters=r"\p{L}", numbers=r"\p{N}", space=SPACE))
+BEYOND_PLAIN = re.compile("[^\x00-\u0377]")
+
+
+def _characters(kind: str) -> str:
+    """The ranges of a character class that hold a general category."""
+    new = [r.split("-") for r in NEW[kind].split()]
+    added = {c for a, b in new for c in range(int(a, 16), int(b, 16) + 1)}
+    out, first = [], None
+    for c in range(0x110001):
+        inside = c < 0x110000 and (unicodedata.category(chr(c))[0] == kind or c in added)
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+@cache
+def any_words() -> re.Pattern:
+    return re.compile(WORDS.format(letters=_characters("L"), numbers=_characters("N"), space=SPACE))
+
+
+def words_of(text: str) -> list[str]:
+    return (any_words() if BEYOND_PLAIN.search(text) else PLAIN).findall(text)
+
+
 WORD_CACHE = 200_000
 LAST = 0x10000  # added to the code point of a word's last symbol
 
@@ -57,8 +98,7 @@ class Encoder:
         vocab = vocabulary["vocab"]
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
         self.symbols = {b: c for b, c in byte_symbols().items()}
-        self.special_text = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(WORDS)
+        self.special_text = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         # Ranks of merges; a token made by a merge comes apart into its two parts.
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -151,7 +191,7 @@ class Encoder:
                 out.append((True, [part]))
             elif part:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out.append((False, self.words.findall(part)))
+                out.append((False, words_of(part)))
         return out
 
     def encode(self, text: str | None) -> tuple[str, str]:
