@@ -54,3 +54,17 @@ def append(history: DataFrame, rows: DataFrame, n: int = 50) -> DataFrame:
 
 def users(history: DataFrame) -> DataFrame:
     return history.groupBy("user_id").agg(F.count("*").alias("rows"))
+
+
+def latest_items(ui: DataFrame, history: DataFrame, created: DataFrame, n: int = 50) -> DataFrame:
+    """(user_id, song_id, place, source): each user's latest songs, from the history of
+    those who have one, else by the songs' created_at where any of the user's has one,
+    else in order of the songs. created: (song_id, created_at)."""
+    user = W.partitionBy("user_id")
+    told = last_n(history, n).select("user_id", "song_id", F.row_number().over(user.orderBy(F.desc("seq"))).alias("place"), F.lit("history").alias("source"))
+    rest = ui.select("user_id", "song_id").distinct().join(told.select("user_id"), "user_id", "left_anti").join(created.select("song_id", "created_at"), "song_id", "left")
+    dated = F.count("created_at").over(user) > 0
+    rest = rest.withColumn("source", F.when(dated, "created").otherwise("order"))
+    place = F.row_number().over(user.orderBy(F.desc_nulls_last("created_at"), "song_id"))
+    rest = rest.withColumn("place", place).where(F.col("place") <= n).select("user_id", "song_id", "place", "source")
+    return told.unionByName(rest)

@@ -134,3 +134,20 @@ def test_blend_and_click_rates(spark):
 def test_dense_sample(spark):
     ui = spark.createDataFrame([(1, 5, 2.0), (2, 6, 1.0)], UI)
     assert sorted(tuple(r) for r in diagnostics.sample_matrix(ui).collect()) == [(1, 2.0, 0.0), (2, 0.0, 1.0)]
+
+
+def test_latest_items_by_source(spark):
+    ui = spark.createDataFrame([(u, s, 1.0) for u in (1, 2, 3) for s in (u * 10, u * 10 + 1)], UI)
+    told = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "user_id long, song_id long, seq long")
+    created = spark.createDataFrame([(20, datetime(2024, 1, 1)), (21, datetime(2024, 1, 2))], "song_id long, created_at timestamp_ntz")
+    got = sorted((r.user_id, r.place, r.song_id, r.source) for r in history.latest_items(ui, told, created).collect())
+    assert got == [(1, 1, 6, "history"), (1, 2, 5, "history"), (2, 1, 21, "created"), (2, 2, 20, "created"), (3, 1, 30, "order"), (3, 2, 31, "order")]
+
+
+def test_explanations(spark):
+    a = spark.createDataFrame([(1, 1, 1.0, 7), (1, 2, 0.4, 8)], "user_id long, song_id long, score double, primary_seed long")
+    b = spark.createDataFrame([(1, 2, 1.0, [3, 4])], "user_id long, song_id long, score double, seeds array<long>")
+    got = {(r.channel, r.song_id): r.because for r in hybrid.explained({"item_cf": a, "prompt_based": b}, 1).collect()}
+    assert got == {("item-based CF", 1): "7", ("prompt-based", 2): "3,4"}
+    named = hybrid.labelled(hybrid.blend({"item_cf": a, "prompt_based": b}), ranked_by_clicks=True).collect()
+    assert {(r.song_id, r.stage, r.channel) for r in named} == {(1, "fine rank", "item-based CF"), (2, "fine rank", "prompt-based")}
