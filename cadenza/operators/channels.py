@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import r6, unit
 
 from .features import normal_prompt
-from .similarity import top
+from .similarity import products, top
 
 
 def without(df: DataFrame, seeds: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
@@ -89,11 +89,9 @@ def mean_vectors(history: DataFrame, vectors: DataFrame, last: int = 8) -> DataF
 def towers(user_vectors: DataFrame, items: DataFrame, seeds: DataFrame, n: int = 10, user_tower=unit, item_tower=unit) -> DataFrame:
     """Dot products of encoded users and encoded items, without the seeds. A tower is a
     function from a column of vectors to encoded ones; unit is the identity tower."""
-    from cadenza.functions import dot
-
-    u = user_vectors.select("user_id", user_tower(F.col("vec")).alias("uv"))
-    i = items.select("song_id", item_tower(F.col("vec")).alias("iv"))
-    scored = u.join(i).select("user_id", "song_id", r6(dot("uv", "iv")).alias("score"))
+    out = seeds.groupBy("user_id").agg(F.countDistinct("song_id").alias("out"))
+    u = user_vectors.join(out, "user_id", "left").select(F.col("user_id").alias("q"), (F.coalesce("out", F.lit(0)) + n).alias("need"), user_tower(F.col("vec")).alias("vec"))
+    scored = products(u, items.select("song_id", item_tower(F.col("vec")).alias("vec"))).select(F.col("q").alias("user_id"), "song_id", F.col("sim").alias("score"))
     return top(without(scored, seeds), n, ["user_id"], "score", "song_id")
 
 
