@@ -68,7 +68,7 @@ def words_of(text: str) -> list[str]:
     return (any_words() if BEYOND_PLAIN.search(text) else PLAIN).findall(text)
 
 
-WORD_CACHE = 200_000
+WORD_CACHE = 150_000
 LAST = 0x10000  # added to the code point of a word's last symbol
 
 
@@ -212,8 +212,12 @@ class Encoder:
     def forget(self) -> None:
         """Keep the words seen within a bound; called between batches."""
         if len(self.ids_of) > WORD_CACHE:
-            self.ids_of.clear()
-            self.text_of.clear()
+            self.forget_all()
+
+    def forget_all(self) -> None:
+        """Called at the end of a task."""
+        for seen in (self.ids_of, self.text_of, self.fits):
+            seen.clear()
 
 
 class _Words(dict):
@@ -225,7 +229,7 @@ class _Words(dict):
         return out
 
 
-#: A Python worker serves many tasks; it keeps its encoder and the words it has seen.
+#: A Python worker serves many tasks; it keeps its encoder, without the words seen.
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -252,6 +256,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
             encoder.forget()
             return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * (6 if full else 4)
 
+        batch.close = encoder.forget_all
         return batch
 
     more = ", ids array<int>, decoded string" if full else ""

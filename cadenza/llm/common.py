@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -74,10 +75,19 @@ def as_long(df: DataFrame, *names: str) -> DataFrame:
     return df.select(F.col(f"`{names[0]}`").cast("long").alias(names[0]), *(F.col(f"`{n}`") for n in names[1:]))
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers live
+    on for later tasks, and what they hold is missing to the executor beside them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
     """One output row for every input row, in Python, batch by batch. start() runs
     once in each task and gives a function from an input batch (a list of column
-    lists) to an output batch (a list of column lists)."""
+    lists) to an output batch (a list of column lists); its attribute close, if any, is
+    called at the end of the task."""
     out = df.sparkSession.createDataFrame([], schema).schema
     names = out.fieldNames()
 
@@ -90,5 +100,8 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list], li
             for i in range(0, b.num_rows, ROWS):
                 cols = f([c.to_pylist() for c in b.slice(i, ROWS).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        if close := getattr(f, "close", None):
+            close()
+        release()
 
     return df.mapInArrow(run, out)

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, temporary_tables
+from .common import release, small_batches, stored, temporary_tables
 from .components import components
 
 K = 64
@@ -108,6 +108,8 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
                 [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
                 names=["doc_id", "text_hash", "n", "key", "sketch"],
             )
+        hashes.clear()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, key binary, sketch array<long>")
@@ -165,6 +167,8 @@ def _full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                     cids.append(c.as_py())
                     found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(found, pa.binary())], names=["cid", "hashes"])
+        hashes.clear()
+        release()
 
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").select("cid", "key", "text")
     # Copies of a text give one set: the same class may be met once for each copy.
@@ -183,6 +187,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(p) + len(q) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        release()
 
     joined = pairs.select("a", "b").join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(check, "a long, b long")

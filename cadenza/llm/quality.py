@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .license_scan import words_of
 
 CLEAN, LOW, TOXIC = range(3)
@@ -84,7 +85,7 @@ class Features:
         return np.concatenate([found, shape]), votes, len(words)
 
 
-#: A Python worker serves many tasks and keeps its features.
+#: What the batches of a task share.
 _KEPT: dict[frozenset[int], Features] = {}
 
 
@@ -95,6 +96,12 @@ def _features(lexicon: frozenset[int]) -> Features:
     return _KEPT[lexicon]
 
 
+def _done() -> None:
+    """At the end of a task."""
+    _KEPT.clear()
+    release()
+
+
 def leaning(rows: list[np.ndarray], inside: np.ndarray) -> np.ndarray:
     """For each slot by how many standard deviations its documents in a class are
     more than its share of all documents would give."""
@@ -184,6 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
         for b in batches:
             found = [f.of(t.as_py())[:2] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([_code(v) for _, v in found], pa.int32()), b.column(2)], names=["doc_id", "slots", "code", "mark"])
+        _done()
 
     fitted = rows.join(F.broadcast(some), "doc_id").mapInArrow(features, "doc_id long, slots binary, code int, mark int")
     fitted = fitted.orderBy("doc_id", "slots").limit(sample).collect()
@@ -195,6 +203,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
         f = _features(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_code(f.of(t.as_py())[1]) for t in b.column(1)], pa.int32())], names=["doc_id", "code"])
+        _done()
 
     coded = rows.mapInArrow(vote, "doc_id long, code int").join(marks, "doc_id", "left")
     patterns = coded.groupBy("code", F.coalesce("mark", F.lit(ABSTAIN)).alias("mark")).agg(F.count("*").alias("n")).collect()
@@ -223,10 +232,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
         for b in batches:
             p, kept = scored(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([float(x[k]) for x in p], pa.float64()) for k in range(3)), pa.array(kept, pa.bool_())], names=["doc_id", "p_clean", "p_low", "p_toxic", "kept"])
+        _done()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(scored(b.column("text"))[1], pa.bool_()))
+        _done()
 
     if only_kept:
         return docs.mapInArrow(keep, docs.schema)
