@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import filled
-from cadenza.operators import features, quality
+from cadenza.operators import features, quality, simulate
 
 META = "struct<tags:string,prompt:string,duration:double,is_remix:boolean>"
 SONG = f"""id string, title string, user_id string, handle string, display_name string, created_at string, audio_url string,
@@ -35,8 +34,8 @@ def aggregated(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """The typed catalog of aggregated records: those with an id, defaults for all
     that is missing, unnamed creators numbered by the records accepted before."""
     rows = raw.where(F.col("pos") < limit) if limit else raw
-    rows = rows.where(filled("id").isNotNull())
-    k = (F.row_number().over(W.orderBy("pos")) - 1).cast("string")
+    rows = simulate.numbered(rows.where(filled("id").isNotNull()), "pos")
+    k = F.col("i").cast("string")
     tags = features.parsed_tags("metadata.tags")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = rows.select(
