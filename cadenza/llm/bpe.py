@@ -28,7 +28,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_long, map_rows
+from .common import as_long, map_rows, release
 
 # How the vocabulary's pre-tokeniser cuts a normalised text; white space,
 # which separates words and is dropped; and the letters and numbers of Unicode 16, which
@@ -243,6 +243,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     """A row for each row of docs: key, the number of tokens and digests of the ids
     and of the text decoded from them; full adds ids and the decoded text itself."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    release()
 
     def start():
         encoder = _encoder(path, shared)

@@ -195,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
 
     fitted = rows.join(F.broadcast(some), "doc_id").mapInArrow(features, "doc_id long, slots binary, code int, mark int")
     fitted = fitted.orderBy("doc_id", "slots").limit(sample).collect()
-    found, codes = [(np.frombuffer(r.slots, np.int32).astype(np.int64), r.mark) for r in fitted], [r.code for r in fitted]
+    found, codes = [(np.frombuffer(r.slots, np.int32), r.mark) for r in fitted], [r.code for r in fitted]
     known = lexicon([s for s, _ in found], np.array([y for _, y in found]))
     shared = context.broadcast(known)
 
@@ -212,6 +212,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
     own = np.array([[y, TOXIC if not known.isdisjoint(s.tolist()) else ABSTAIN, *_decode(code)[1:]] for (s, y), code in zip(found, codes, strict=True)], dtype=np.int64).reshape(-1, len(LABELLERS))
     weights = fit_scorer([s for s, _ in found], posterior(own, prior, accuracy))
     model = context.broadcast((weights, known, prior, accuracy, bool(found)))
+    del fitted, found, codes, own, patterns, votes
+    release()
 
     def scored(texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         w, lex, prior, accuracy, trained = model.value

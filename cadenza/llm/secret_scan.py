@@ -26,7 +26,7 @@ from re import _parser
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import as_long, map_rows
+from .common import as_long, map_rows, release
 
 # The base rules and those added, in the order of their listing:
 # kind, pattern over bytes, least length of the match, least length of its value
@@ -174,7 +174,9 @@ def determinise(nfa: Nfa, start: int, ends: dict[int, int], anywhere: bool) -> D
 
 @cache
 def _compiled(rules: tuple):
-    return compile_rules(rules)
+    out = compile_rules(rules)
+    release()
+    return out
 
 
 def compile_rules(rules) -> tuple[Dfa, list[tuple[Dfa, Dfa]]]:
