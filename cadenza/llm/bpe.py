@@ -23,6 +23,7 @@ import json
 import re
 import unicodedata
 from functools import cache
+from itertools import islice
 
 import ahocorasick
 import regex
@@ -69,6 +70,7 @@ def words_of(text: str) -> list[str]:
 
 
 WORD_CACHE = 150_000
+WORDS_KEPT = 30_000
 LAST = 0x10000  # added to the code point of a word's last symbol
 
 
@@ -215,9 +217,11 @@ class Encoder:
             self.forget_all()
 
     def forget_all(self) -> None:
-        """Called at the end of a task."""
-        for seen in (self.ids_of, self.text_of, self.fits):
+        """Called at the end of a task: the words seen first, the common ones, stay."""
+        for seen in (self.ids_of, self.text_of):
+            first = list(islice(seen.items(), WORDS_KEPT))
             seen.clear()
+            seen.update(first)
 
 
 class _Words(dict):
@@ -229,7 +233,7 @@ class _Words(dict):
         return out
 
 
-#: A Python worker serves many tasks; it keeps its encoder, without the words seen.
+#: A Python worker serves many tasks; it keeps its encoder and the common words.
 _ENCODERS: dict[str, Encoder] = {}
 
 
