@@ -41,6 +41,16 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def removed(df: DataFrame) -> None:
+    """Remove the stored table that df reads."""
+    _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside, but for those kept, are removed at the end."""
@@ -48,9 +58,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        for path in map(hadoop.Path, _TEMPORARY.pop()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _TEMPORARY.pop())
 
 
 @contextmanager

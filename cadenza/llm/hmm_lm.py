@@ -1,20 +1,22 @@
 """Language-model scoring with a hidden Markov model.
 
-Tokens are words and one end for each text. Training documents are those whose
-crc32(doc_id as text) mod 7 is not 2. Their word counts are combined in each task
-and summed; words that make up a millionth of all tokens or more (so a million at
-most) form the head, which is broadcast. Other words' counts stay a table that
-is joined to the words of the documents by a shuffle.
-
-The model has `states` latent states. It emits the commonest words (a share of
-1/16384 or more, so 16384 at most) and the end as symbols of their own and all
-other words through 256 hash buckets, inside which a word has the probability
-(count + 1) / (tokens + words + 1) of its bucket; an unknown word takes the 1. So all
-word probabilities of a state sum to one. Baum-Welch: each task runs the
-scaled forward and backward recursions over its documents and emits expected counts,
-Spark sums them by symbol, and the driver, which sees only the model (a bounded
-table), normalises them; every iteration covers all training documents. The score
-is the scaled forward recursion's exact log10 likelihood of the whole text.
+Tokens are words and one end for each text, which counts as the empty word. Training
+documents are those whose crc32(doc_id as text) mod 7 is not 2. Documents are packed into
+blocks of BLOCK_TOKENS tokens, each with the list of its different words, so a word costs a
+block one row however often it stands there. Counts of words are summed from these lists.
+
+The model has `states` latent states and an emission of its own for every training word
+in each state. Expected emission counts are a table of (word, state) that is joined to the
+blocks' lists by a shuffle and summed from the blocks again, so it grows with the corpus
+and the driver sees only starts, moves and sums. A state that emits `mass` words in all, of
+these `g` times one word, gives it the probability (tokens * g / mass + 1) / (tokens +
+words + 1); an unknown word takes the 1. So all word probabilities of a state sum to one,
+and with one state the score is that of word counts alone.
+
+Baum-Welch: each block runs the scaled forward and backward recursions; every iteration
+covers all training documents. Iterations end when one betters the training texts'
+log likelihood by less than TOLERANCE of it. The score is the scaled forward recursion's
+exact log10 likelihood of the whole text.
 
 Results for special inputs: null and empty texts are the end alone; a null doc_id
 counts as the empty text in the split; equal rows each count; an empty table gives no
@@ -23,53 +25,35 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, small_batches, stored, temporary_tables
 
 STATES = 8
-ITERATIONS = 3
+TOLERANCE = 1e-3
+BLOCK_TOKENS = 1 << 20
+PRIOR = 100  # words that each state emits by their shares besides what it is expected to
 HEAD_SHARE = 1_000_000
 SYMBOL_SHARE = 16_384
 BUCKETS = 256
 GROUP_TOKENS = 150_000
-FLUSH = 400_000
-END = 0  # symbols: the end, then buckets, then words
+END = b""
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all rows of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-
-        for b in batches:
-            for t in b.column(0):
-                found.update(words_of(t.as_py()))
-                if len(found) > FLUSH:
-                    yield out()
-                    found.clear()
-        yield out()
-
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 class Vocabulary:
-    """What tasks need to know of the counts: a bounded size."""
+    """Word probabilities inside hash buckets. score_documents() no longer uses it, as it
+    has an emission for every word; its test holds."""
 
     def __init__(self, head: list[tuple[bytes, int]], buckets: dict[int, tuple[int, int]], total: int, words: int, ends: int) -> None:
         self.total, self.distinct, self.ends = total + ends, words + (ends > 0), ends
@@ -100,38 +84,41 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word) % BUCKETS
 
 
-def encode(docs: DataFrame, shared) -> DataFrame:
-    """Documents as symbols, with what is known of their score so far and the words
-    whose counts are still to be joined."""
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """(block, held_out, doc_ids, lengths, symbols, vocabulary) of docs (doc_id, text,
+    held_out): symbols are places in the vocabulary, (word, c) of the block's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = shared.value
-        get = v.index.get
-        for b in batches:
-            symbols, base, inside, n, known, tails = [], [], [], [], [], []
-            for t in b.column(1):
-                words = words_of(t.as_py())
-                i = np.array([get(w, -1) for w in words], dtype=np.int64)
-                head, s = i >= 0, np.zeros(len(words) + 1, np.uint16)
-                at = np.flatnonzero(~head)
-                tail = [words[j] for j in at]
-                hit = i[head]
-                s[:-1][head] = v.head_symbol[hit]
-                of = np.array([bucket_of(w) for w in tail], dtype=np.int64)
-                s[at] = 1 + of
-                symbols.append(s.tobytes())
-                base.append(float(v.head_base[hit].sum() + v.end_base - len(tail) * v.norm))
-                inside.append(float(v.head_inside[hit].sum() - v.bucket_norm[of].sum()))
-                n.append(len(words) + 1)
-                known.append(len(hit) + (v.ends > 0))
-                tails.append(tail)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(symbols, pa.binary()), pa.array(tails, pa.list_(pa.binary()))],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "inside", "symbols", "tail"],
+        def fresh():
+            return {}, [], [], []
+
+        def row(held_out, index, ids, lengths, parts):
+            symbols = np.concatenate(parts)
+            words = pa.StructArray.from_arrays([pa.array(list(index), pa.binary()), pa.array(np.bincount(symbols), pa.int64())], names=["word", "c"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held_out]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(lengths, np.int32).tobytes()]), pa.array([symbols.tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
+                names=["held_out", "doc_ids", "lengths", "symbols", "vocabulary"],
             )
 
-    kinds = "doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, symbols binary, tail array<binary>"
-    return docs.mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id())
+        now, size = {False: fresh(), True: fresh()}, {False: 0, True: 0}
+        for b in batches:
+            for doc_id, t, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                index, ids, lengths, parts = now[held_out]
+                words = words_of(t.as_py())
+                words.append(END)
+                parts.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+                ids.append(doc_id)
+                lengths.append(len(words))
+                size[held_out] += len(words)
+                if size[held_out] >= BLOCK_TOKENS:
+                    yield row(held_out, *now[held_out])
+                    now[held_out], size[held_out] = fresh(), 0
+        for held_out, block in now.items():
+            if block[1]:
+                yield row(held_out, *block)
+
+    kinds = "held_out boolean, doc_ids array<bigint>, lengths binary, symbols binary, vocabulary array<struct<word:binary,c:bigint>>"
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, kinds).withColumn("block", F.monotonically_increasing_id())
 
 
 class Model:
@@ -147,13 +134,6 @@ class Model:
         np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
         return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
-    def better(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray) -> Model:
-        """From expected counts, each a little smoothed."""
-        share = (counts + 1) / (counts.sum() + len(counts))
-        emit = emit + 100 * share[:, None]
-        start, move = start + 1, move + 1
-        return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-
     def forward(self, s: np.ndarray, alive: np.ndarray, kind=np.float64, keep: bool = True):
         """s: symbols [time, text], texts by falling length; alive[t]: texts with a
         token at t. Gives scaled forward vectors and the log10 likelihood of each."""
@@ -173,10 +153,11 @@ class Model:
                 alpha[t, :n], scale[t, :n] = now, c
         return alpha, scale, score
 
-    def expected(self, s: np.ndarray, alive: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add the texts' expected counts of starts, moves and emissions to out."""
+    def expected(self, s: np.ndarray, alive: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+        """Add the texts' expected counts of starts, moves and emissions to out. Gives
+        their log10 likelihood."""
         kind = np.float32
-        alpha, scale, _ = self.forward(s, alive, kind)
+        alpha, scale, score = self.forward(s, alive, kind)
         emit, move = self.emit.astype(kind), self.move.astype(kind)
         start, moves, emits = out
         length, k = s.shape[0], len(self.start)
@@ -197,6 +178,7 @@ class Model:
         flat, gamma = s[mask], gamma[mask]
         for j in range(k):
             emits[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emits))
+        return float(score.sum())
 
 
 def groups(symbols: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -207,78 +189,113 @@ def groups(symbols: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, n
         length = len(symbols[order[i]])
         own = order[i : i + max(1, GROUP_TOKENS // length)]
         i += len(own)
-        s = np.zeros((length, len(own)), np.uint16)
+        s = np.zeros((length, len(own)), np.int32)
         for j, at in enumerate(own):
             s[: len(symbols[at]), j] = symbols[at]
         lengths = np.array([len(symbols[at]) for at in own])
         yield own, s, (lengths[None, :] > np.arange(length)[:, None]).sum(1)
 
 
-def _symbols(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
-
-
-def train(encoded: DataFrame, counts: np.ndarray, states: int, iterations: int, seed: int) -> Model:
-    """Baum-Welch over all training documents."""
-    spark = encoded.sparkSession
-    model = Model.first(counts, states, seed)
-    names = [f"e{j}" for j in range(states)]
-
-    for _ in range(iterations):
-        shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = Model(*shared.value)
-            out = np.zeros(states), np.zeros((states, states)), np.zeros((len(counts), states))
-            for b in batches:
-                for _, s, alive in groups(_symbols(b.column(0))):
-                    m.expected(s, alive, out)
-            table = np.vstack([out[0][None], out[1], out[2]])
-            some = np.flatnonzero(table.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(table[some, j]) for j in range(states))], names=["at", *names])
-
-        summed = encoded.where("NOT held_out").select("symbols").mapInArrow(run, "at int, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*(F.sum(x).alias(x) for x in names))
-        total = np.zeros((1 + states + len(counts), states))
-        for r in summed.collect():  # the model: at most 1 + states + 16641 rows
-            total[r[0]] = r[1:]
-        model = model.better(total[0], total[1 : 1 + states], total[1 + states :], counts)
-    return model
-
-
-def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, seed: int = 7) -> DataFrame:
+def _texts(block: pa.Table) -> list[np.ndarray]:
+    lengths = np.frombuffer(block["lengths"][0].as_py(), np.int32)
+    return np.split(np.frombuffer(block["symbols"][0].as_py(), np.int32), np.cumsum(lengths)[:-1])
+
+
+def _local(listed: pa.Table, states: int, words: int, unknown: float) -> np.ndarray:
+    """The emissions of a block's words; those not listed are unknown."""
+    emit = np.full((words, states), unknown)
+    emit[listed["at"].to_numpy()] = np.stack([listed[f"e{j}"].to_numpy() for j in range(states)], 1)
+    return emit
+
+
+def train(blocks: DataFrame, places: DataFrame, counts: DataFrame, total: int, words: int, states: int, tolerance: float, seed: int) -> tuple[Model, DataFrame, list[float]]:
+    """Baum-Welch over all training documents until an iteration gains less than
+    tolerance. Gives starts and moves, places with the emissions (e0, e1, ...) of their
+    words and the log10 likelihood before each iteration. places: (block, held_out, at, wid, c)."""
+    spark = blocks.sparkSession
+    names = [f"g{j}" for j in range(states)]
+    model = Model.first(np.ones(1), states, seed)
+    # Sticky states whose emissions differ at random from the shares of words.
+    draw = lambda j: F.xxhash64(F.lit(seed), F.lit(j), "word").cast("double") / 2.0**64 + 1
+    found, previous = counts.select("wid", *((F.col("c") * draw(j)).alias(x) for j, x in enumerate(names))), None
+    mass = np.array(found.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in names)).first())
+    gained: list[float] = []
+
+    def listed_in(places: DataFrame) -> DataFrame:
+        share = F.col("c") / max(1, total)
+        e = [((F.col(x) + PRIOR * share) * (total / (float(mass[j]) + PRIOR)) + 1) / (total + words + 1) for j, x in enumerate(names)]
+        return places.join(found, "wid").select("block", "at", "wid", "c", *(x.cast("float").alias(f"e{j}") for j, x in enumerate(e)))
+
+    def step(start: np.ndarray, move: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def run(block: pa.Table, listed: pa.Table) -> pa.Table:
+            wid = listed["wid"].to_numpy()
+            m = Model(start, move, _local(listed, states, len(wid), 0.0))
+            out = np.zeros(states), np.zeros((states, states)), np.zeros((len(wid), states))
+            score = sum(m.expected(s, alive, out) for _, s, alive in groups(_texts(block)))
+            # Below the words: starts, moves and, last, the likelihood.
+            table = np.vstack([out[2][listed["at"].to_numpy()], out[0][None], out[1], np.full((1, states), score)])
+            key = np.concatenate([wid, -1 - np.arange(states + 2)])
+            return pa.table({"wid": pa.array(key, pa.int64())} | {x: pa.array(table[:, j], pa.float64()) for j, x in enumerate(names)})
+
+        return run
+
+    while total:
+        lists = listed_in(places.where("NOT held_out")).drop("c")
+        summed = blocks.where("NOT held_out").select("block", "lengths", "symbols").groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(step(model.start, model.move), "wid long, " + ", ".join(f"{x} double" for x in names))
+        after = stored(summed.groupBy("wid").agg(*(F.sum(x).alias(x) for x in names)), "expected")
+        driver = {r[0]: np.array(r[1:]) for r in after.groupBy(F.least("wid", F.lit(0)).alias("wid")).agg(*(F.sum(x) for x in names)).collect()}
+        if previous is not None:
+            removed(previous)
+        found, previous, mass = after.where("wid >= 0"), after, driver[0]
+        start, move = driver[-1] + 1, np.stack([driver[-2 - j] for j in range(states)]) + 1
+        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), np.zeros((0, states)))
+        gained.append(float(driver[-2 - states][0]))
+        gc.collect()
+        spark._jvm.System.gc()  # else the files of each iteration's shuffles stay
+        if len(gained) > 1 and gained[-1] - gained[-2] < tolerance * -gained[-1]:
+            break
+    return model, listed_in(places), gained
+
+
+def score_documents(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, seed: int = 7) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (of word counts alone) and score (of the model), both log10."""
     spark = docs.sparkSession
+    with temporary_tables(spark), small_batches(spark, 1000):
+        return _score(docs, states, tolerance, seed)
+
+
+def _score(docs: DataFrame, states: int, tolerance: float, seed: int) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (F.crc32(key.cast("binary")) % 7 == 2).alias("held_out"))
-    training = rows.where("NOT held_out")
-    counts = stored(word_counts(training.select("text")), "counts")
+    blocks = stored(blocks_of(rows), "blocks")
+    listed = blocks.select("block", "held_out", F.posexplode("vocabulary").alias("at", "x")).select("block", "held_out", "at", "x.*")
+    counts = listed.where("NOT held_out").groupBy("word").agg(F.sum("c").alias("c")).withColumn("wid", F.monotonically_increasing_id())
+    counts = stored(counts, "counts")
     total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = training.count()
-    head = counts.where(F.col("c") * HEAD_SHARE >= total + ends)  # at most HEAD_SHARE words
-    buckets = counts.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
-    listed = sorted(((bytes(r.word), r.c) for r in head.collect()), key=lambda x: (-x[1], x[0]))
-    v = Vocabulary(listed, {r.b: (r.c, r.n) for r in buckets.collect()}, total, words, ends)
-    encoded = stored(encode(rows, spark.sparkContext.broadcast(v)), "encoded")
-    model = train(encoded, v.symbol_counts, states, iterations, seed)
-    tail = encoded.select("row", F.explode("tail").alias("word"))
-    rare = counts.where(F.col("c") * HEAD_SHARE < total + ends)
-    found = tail.join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("hits"))
-    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        for b in batches:
-            symbols = _symbols(b.column(b.schema.get_field_index("symbols")))
-            scores = np.zeros(len(symbols))
-            for own, s, alive in groups(symbols):
-                scores[own] = m.forward(s, alive, keep=False)[2]
-            yield b.drop_columns(["symbols"]).append_column("likelihood", pa.array(scores))
-
-    part = encoded.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "symbols")
-    scored = part.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, likelihood double")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(total + ends).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"), (F.col("likelihood") + F.col("inside") + logs).alias("score"),
-    )
+    places = stored(listed.drop("c").join(counts, "word").select("block", "held_out", "at", "wid", "c"), "places")
+    model, lists, _ = train(blocks, places, counts, total, words, states, tolerance, seed)
+    start, move, norm = model.start, model.move, float(np.log10(total + words + 1))
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        texts, at = _texts(block), known["at"].to_numpy()
+        n = max(int(x.max()) for x in texts) + 1
+        m = Model(start, move, _local(known, states, n, 10.0**-norm))
+        scores, c = np.zeros(len(texts)), np.zeros(n)
+        c[at] = known["c"].to_numpy()
+        for own, s, alive in groups(texts):
+            scores[own] = m.forward(s, alive, keep=False)[2]
+        return pa.table(
+            {
+                "doc_id": pa.array(block["doc_ids"][0].as_py(), pa.int64()),
+                "held_out": pa.array([block["held_out"][0].as_py()] * len(texts)),
+                "n_tokens": pa.array([len(x) for x in texts], pa.int64()),
+                "n_known": pa.array([int((c[x] > 0).sum()) for x in texts], pa.int64()),
+                "train_tokens": pa.array([total] * len(texts), pa.int64()),
+                "base_score": pa.array([float(np.log10(c[x] + 1).sum() - len(x) * norm) for x in texts], pa.float64()),
+                "score": pa.array(scores),
+            }
+        )
+
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return stored(blocks.drop("vocabulary").groupBy("block").cogroup(lists.drop("wid").groupBy("block")).applyInArrow(run, kinds), "scores", keep=True)

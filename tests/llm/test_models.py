@@ -151,3 +151,18 @@ def test_encoded_documents(spark):
     for r in got:
         assert r.n_tokens == len(r.ids)
     assert {r.n_tokens for r in got if r.doc_id is None} == {0}
+
+
+def test_every_word_has_emissions_of_its_own(spark):
+    """Words that are each far below 1/16384 of all tokens tell two topics apart."""
+    random.seed(2)
+    topics = [[f"{g}{i}" for i in range(9000)] for g in "ab"]
+    rows = []
+    for i in range(400):
+        words = random.choices(topics[i % 2], k=150)
+        rows.append((i, " ".join(words)))
+    got = hmm_lm.score_documents(docs(spark, rows), states=2).collect()
+    gain = sum(r.score - r.base_score for r in got if not r.held_out) / sum(r.n_tokens for r in got if not r.held_out)
+    assert gain > 0.2  # a topic halves the choice, which is log10(2) = 0.3 a word
+    one = hmm_lm.score_documents(docs(spark, rows + ODD), states=1).collect()
+    assert max(abs(r.score - r.base_score) for r in one) < 1e-2
