@@ -4,7 +4,9 @@ A line that starts with n marks `>` is quoted at level n. Neighbouring lines of
 level form a quoted passage; its normalised text (lower case, letters and digits) and
 that of each of its lines are hashed and joined to the hashes of what messages
 themselves say: first to the nearest earlier message of the same conversation, else to
-the first message anywhere that says so. The message that most of a passage comes from
+the first message that says so anywhere, if its conversation has a lesser conv_id than the
+quote's (a quotation from a conversation with a greater conv_id is not linked, so that
+links form no ring). The message that most of a passage comes from
 is its original; a message replies to the original of its lowest quoted level. Path
 doubling over these links puts each message behind the one that it replies to; others
 keep their turn. Quotes and the lines that announce them are taken out.
@@ -71,13 +73,14 @@ def links(messages: DataFrame) -> DataFrame:
     place = F.struct("turn", "mid")
     both = quoted.select("c", "conv", "hash", "turn", "mid", "level", "run", "weight", F.lit(None).cast("struct<turn:bigint,mid:bigint>").alias("origin"))
     both = both.unionByName(said.select("c", "conv", "hash", "turn", "mid", F.lit(0).alias("level"), F.lit(None).cast("bigint").alias("run"), F.lit(0).alias("weight"), place.alias("origin")))
-    before = W.partitionBy("conv", "hash").orderBy("turn", "mid", "level").rowsBetween(W.unboundedPreceding, -1)
+    # Quotes come before what their own message says, so a message never finds itself.
+    before = W.partitionBy("conv", "hash").orderBy("turn", "mid", F.desc("level")).rowsBetween(W.unboundedPreceding, -1)
     near = both.withColumn("origin", F.when(F.col("level") > 0, F.last("origin", ignorenulls=True).over(before))).where("level > 0")
     first = said.groupBy("hash").agg(F.min(F.struct("c", "turn", "mid")).alias("first"))
     found = near.join(first, "hash", "left")
     # From elsewhere only what an earlier conversation says, so links form no ring.
     elsewhere = F.when(F.col("first.c") < F.col("c"), F.struct(F.col("first.turn").alias("turn"), F.col("first.mid").alias("mid")))
-    found = found.withColumn("origin", F.coalesce(F.when(F.col("origin.mid") != F.col("mid"), F.col("origin")), elsewhere)).where("origin IS NOT NULL")
+    found = found.withColumn("origin", F.coalesce("origin", elsewhere)).where("origin IS NOT NULL")
     scored = found.groupBy("mid", "level", "run", "origin").agg(F.sum("weight").alias("weight"))
     return scored.groupBy("mid").agg(F.max_by("origin", F.struct(-F.col("level"), "weight", "origin")).alias("origin")).select("mid", F.col("origin.mid").alias("parent"))
 

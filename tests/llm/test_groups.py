@@ -165,6 +165,14 @@ def test_long_conversation_with_equal_messages(spark):
     assert got[10].reply_to_turn == 9 and got[0].reply_to_turn is None
 
 
+def test_quotes_that_the_message_says_itself(spark):
+    rows = [(1, 0, "user", "Thanks"), (1, 1, "user", "other"), (1, 2, "user", "> Thanks\nThanks"), (1, 3, "user", "> Thanks\n+1"), (2, 0, "user", "> Thanks\nThanks")]
+    got = {(r.source_conv_id, r.turn): r for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 2].reply_to_turn, got[1, 2].reply_depth) == (0, 1)
+    assert (got[1, 3].reply_to_turn, got[1, 3].reply_depth) == (2, 2)  # the nearest that says so
+    assert (got[2, 0].reply_to_conv, got[2, 0].reply_to_turn) == (1, 0)
+
+
 def test_pipeline_stages(spark, tmp_path):
     random.seed(5)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(2, 5)))
