@@ -92,8 +92,9 @@ def uniform_negatives(positives: DataFrame, catalog: DataFrame, k: int = 50, see
     """Up to k songs of the catalog for each user that the user doesn't have.
 
     Songs are numbered; each user draws tries * k numbers, and the first k different
-    ones that aren't positives stay; users whose draws don't suffice have all other
-    songs put in hash order. So users and songs are never crossed as a whole."""
+    ones that aren't positives stay. Users of small catalogs have all other songs put in
+    hash order instead, and those whose draws leave them short have these after the
+    drawn ones. So only users who have much of the catalog are crossed with it."""
     songs = numbered(catalog.select("song_id").distinct(), "song_id")
     n = songs.agg(F.count("*").alias("songs"))
     users = positives.groupBy("user_id").agg(F.countDistinct("song_id").alias("own")).join(F.broadcast(n))
@@ -101,8 +102,15 @@ def uniform_negatives(positives: DataFrame, catalog: DataFrame, k: int = 50, see
     drawn = users.where(~few).select("user_id", "songs", F.explode(F.sequence(F.lit(0), F.lit(tries * k - 1))).alias("d"))
     drawn = drawn.select("user_id", F.col("d").cast("long").alias("d"), F.floor(uniform(seed, "user_id", "d") * F.col("songs")).cast("long").alias("i"))
     drawn = drawn.groupBy("user_id", "i").agg(F.min("d").alias("d")).join(songs, "i").select("user_id", "song_id", F.col("d").cast("double").alias("o"))
-    rest = users.where(few).select("user_id").join(songs.select("song_id")).select("user_id", "song_id", uniform(seed, "user_id", "song_id").alias("o"))
-    free = drawn.unionByName(rest).join(positives.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti")
+    own = positives.select("user_id", "song_id").distinct()
+    drawn = drawn.join(own, ["user_id", "song_id"], "left_anti")
+    found = drawn.groupBy("user_id").agg(F.count("*").alias("found"))
+    listed = own.join(songs.select("song_id"), "song_id").groupBy("user_id").agg(F.count("*").alias("listed"))
+    wanted = F.least(F.lit(k), F.col("songs") - F.coalesce("listed", F.lit(0)))
+    short = users.where(~few).join(found, "user_id", "left").join(listed, "user_id", "left").where(F.coalesce("found", F.lit(0)) < wanted)
+    after = short.select("user_id", F.lit(float(tries * k)).alias("from")).unionByName(users.where(few).select("user_id", F.lit(0.0).alias("from")))
+    rest = after.join(songs.select("song_id")).select("user_id", "song_id", (F.col("from") + uniform(seed, "user_id", "song_id")).alias("o"))
+    free = drawn.unionByName(rest.join(own, ["user_id", "song_id"], "left_anti")).groupBy("user_id", "song_id").agg(F.min("o").alias("o"))
     place = F.row_number().over(W.partitionBy("user_id").orderBy("o", "song_id"))
     return free.withColumn("n", place).where(F.col("n") <= k).select("user_id", "song_id", F.lit(0).alias("label"))
 

@@ -86,6 +86,14 @@ def test_simulated_sizes(spark):
     assert len(neg) == 36 and not any(s % 7 == 0 for _, s in neg)
 
 
+def test_negatives_of_users_who_have_most_songs(spark):
+    songs = spark.range(2000).select(F.col("id").alias("song_id"))
+    own = [(1, s) for s in range(1800)] + [(2, s) for s in range(1910)] + [(3, 5)] + [(4, s) for s in range(1000, 1900)] + [(4, s) for s in range(5000, 5950)]
+    got = [(r.user_id, r.song_id) for r in simulate.uniform_negatives(spark.createDataFrame(own, "user_id long, song_id long"), songs, 20).collect()]
+    assert len(got) == len(set(got)) and not set(got) & set(own)
+    assert [sum(u == i for u, _ in got) for i in (1, 2, 3, 4)] == [20] * 4
+
+
 def test_weighted_draws_follow_weights(spark):
     rows = spark.range(3000).crossJoin(spark.createDataFrame([(0, 1.0), (1, 4.0)], "song_id long, w double")).select(F.col("id").alias("user_id"), "song_id", "w")
     got = simulate.without_replacement(rows, 1).groupBy("song_id").count().collect()
