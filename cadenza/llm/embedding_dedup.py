@@ -12,8 +12,11 @@ as there may be more; it is enlarged to the whole component of threshold links,
 vectors are compared block by block, so no task holds more than two blocks and only
 counts leave it. The same gives exact link counts within every component.
 
-Recall is audited: the neighbours of a bounded sample of vectors are found by brute
-force, and more hyperplane tables are added while too many of them are missing.
+Recall is audited: the links of a uniform sample of vectors, enlarged until it has
+AUDIT_LINKS of them or is all vectors, are found by brute force, and more hyperplane
+tables are added while too many of them join different components. If that never ends,
+the vectors of each label are compared completely, block by block; a task gives out one
+link for each two components it finds joined.
 
 Results for special inputs: vectors that are null, zero, empty or hold null or
 non-finite components and rows without a label link with nothing (component_id is
@@ -44,6 +47,7 @@ ROUNDS = 4
 STEP = 3  # places along a bucket
 BLOCK = 1000
 AUDIT = 256
+AUDIT_LINKS = 400  # of which 2 % are 8
 
 
 def _unit(column, size: int) -> np.ndarray:
@@ -186,32 +190,69 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.groupBy("comp", "p", "q").applyInArrow(compare, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def audit(classes: DataFrame, comp: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
-    """(found, all) of the links of a bounded sample of vectors, by brute force: the
-    sample against all vectors. Links within a component count as found."""
-    held = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    asked = held.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("cid", "label", "vec", "comp").collect()
-    asked += held.where("comp <> cid").orderBy(F.xxhash64("cid"), "cid").limit(sample).select("cid", "label", "vec", "comp").collect()
-    shared = classes.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
+def _matrix(vecs: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple, list] = {}
-        for c, label, vec, k in shared.value:
-            by.setdefault((label, len(vec)), []).append((c, np.frombuffer(vec, np.float64) / np.linalg.norm(np.frombuffer(vec, np.float64)), k))
-        found = total = 0
-        for b in batches:
-            for c, label, vec, k in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if own := by.get((label, len(vec))):
-                    v = np.frombuffer(vec, np.float64)
-                    sim = np.stack([y for _, y, _ in own]) @ (v / np.linalg.norm(v))
-                    for j in np.flatnonzero(sim >= threshold):
-                        if own[j][0] != c:
-                            total += 1
-                            found += own[j][2] == k
-        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64()), pa.array([total], pa.int64())], names=["found", "total"])
 
-    r = held.select("cid", "label", "vec", "comp").mapInArrow(run, "found long, total long").agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    return r[0], r[1]
+def _held(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    return classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
+def audit(classes: DataFrame, comp: DataFrame, threshold: float, sample: int = AUDIT, links: int = AUDIT_LINKS) -> tuple[int, int]:
+    """(found, all) of the links of a uniform sample of vectors, by brute force: the
+    sample against all vectors. Links within a component count as found. The sample
+    grows in parts of at most 16 times `sample` until it has enough links."""
+    held = stored(_held(classes, comp).select("cid", "label", "vec", "comp", F.pmod(F.xxhash64(F.lit("audit"), "cid"), F.lit(2**40)).alias("h")), "held")
+    n, done, size = held.count(), 0.0, sample
+    found = total = 0
+    while done < 1 and total < links:
+        upto = 1.0 if n <= 2 * size else min(1.0, done + size / n)
+        asked = held.where((F.col("h") >= int(done * 2**40)) & (F.col("h") < int(upto * 2**40))).drop("h").collect()
+        shared = held.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            groups: dict[tuple, list] = {}
+            for c, label, vec, k in shared.value:
+                groups.setdefault((label, len(vec)), []).append((c, vec, k))
+            by = {g: (np.array([r[0] for r in own]), _matrix([r[1] for r in own]), np.array([r[2] for r in own])) for g, own in groups.items()}
+            hits = all_ = 0
+            for b in batches:
+                rows: dict[tuple, list] = {}
+                for c, label, vec, k in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if (label, len(vec)) in by:
+                        rows.setdefault((label, len(vec)), []).append((c, vec, k))
+                for g, own in rows.items():
+                    for i in range(0, len(own), BLOCK):
+                        part = own[i : i + BLOCK]
+                        near = by[g][1] @ _matrix([r[1] for r in part]).T >= threshold
+                        near &= by[g][0][:, None] != np.array([r[0] for r in part])
+                        all_ += int(near.sum())
+                        hits += int((near & (by[g][2][:, None] == np.array([r[2] for r in part]))).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([all_], pa.int64())], names=["found", "total"])
+
+        r = held.drop("h").mapInArrow(run, "found long, total long").agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+        found, total, done, size = found + r[0], total + r[1], upto, min(2 * size, 16 * sample)
+    return found, total
+
+
+def _links_by_blocks(classes: DataFrame, comp: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): a link for each two components that a pair of blocks of a label joins."""
+    held = _held(classes, comp).select("label", "size", "cid", "comp", "vec")
+    sizes = held.groupBy("label", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = held.join(sizes, ["label", "size"]).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "size", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cid", "comp", "vec")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        i, cid, c, x = t["i"].to_numpy(), t["cid"].to_numpy(), t["comp"].to_numpy(), _matrix(t["vec"].to_pylist())
+        left, right = np.flatnonzero(i == key[2].as_py()), np.flatnonzero(i == key[3].as_py())
+        u, v = np.nonzero((x[left] @ x[right].T >= threshold) & (c[left][:, None] != c[right]))
+        u, v = left[u], right[v]
+        _, first = np.unique(np.stack([np.minimum(c[u], c[v]), np.maximum(c[u], c[v])]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(cid[u[first]], pa.int64()), "b": pa.array(cid[v[first]], pa.int64())})
+
+    return dealt.groupBy("label", "size", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, tables: int = TABLES, rounds: int = ROUNDS, block: int = BLOCK, recall: float = 0.98) -> DataFrame:
@@ -235,6 +276,8 @@ def _near_duplicate_vectors(vectors: DataFrame, threshold: float, k: int, tables
         found, total = audit(classes, comp, threshold)
         if found >= recall * total:
             break
+    else:  # no number of tables did: all others exactly
+        comp = stored(components(links.unionByName(_links_by_blocks(classes, comp, threshold, block))), "components")
     members = classes.join(comp.withColumnRenamed("node", "cid"), "cid")
     counts = _counted(members.select("comp", "cid", "vec", "copies"), threshold, block)
     least = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from cadenza.llm import embedding_dedup
 from cadenza.llm.chat_format import format_chats
 from cadenza.llm.components import components
 from cadenza.llm.embedding_dedup import near_duplicate_vectors
@@ -104,6 +105,19 @@ def test_vectors_against_all_pairs(spark):
     assert all(found[i].n_links <= degree[i] for i in label)
 
 
+def test_lost_vectors_are_audited_and_found(spark, monkeypatch):
+    """Rare pairs that no bucket joins beside a group that is joined."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.eye(16)[0] + 0.01 * rng.standard_normal(16)).tolist(), 0) for i in range(60)]
+    for i in range(40):
+        v = rng.standard_normal(16)
+        rows += [(100 + 2 * i, v.tolist(), 1), (101 + 2 * i, (v + 0.02 * rng.standard_normal(16)).tolist(), 1)]
+    real = embedding_dedup._buckets
+    monkeypatch.setattr(embedding_dedup, "_buckets", lambda classes, tables, bits: real(classes.where("label = '0'"), tables, bits))
+    got = {r.vec_id: r for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=25).collect()}
+    assert all(got[100 + 2 * i].component_id == got[101 + 2 * i].component_id == 100 + 2 * i for i in range(40))
+
+
 def test_shards(spark):
     random.seed(9)
     rows = [(i % 300 if i else None, random.choice([None, "", "text é " * random.randint(1, 40)]), random.choice(["hot"] * 8 + ["a", "b", None]), 1, 2) for i in range(1000)]
