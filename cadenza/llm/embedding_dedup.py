@@ -2,7 +2,7 @@
 
 Equal vectors of a label form a class, which is compared once. A neighbour graph
 over the classes starts from random-hyperplane buckets (in each, vectors next to
-each other in order are compared, so a bucket of any size costs in proportion to
+each other in the order of a further projection, another for each table, are compared, so a bucket of any size costs in proportion to
 it) and is refined by joins of neighbours of neighbours: at each vector, the vectors
 of its list and of the lists it stands in are compared with one another, and a pair
 goes on if it betters the list of either. Rounds end when few lists change.
@@ -87,9 +87,10 @@ def _buckets(classes: DataFrame, tables: range, bits: int) -> DataFrame:
                 x = _unit(part.column(2), size)
                 for t in tables:
                     if (t, size) not in planes:
-                        planes[t, size] = np.random.default_rng([t, size]).standard_normal((size, bits))
-                    sig = ((x @ planes[t, size]) > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), part.column(1), part.column(3).cast(pa.int32()), pa.array(sig, pa.int64()), part.column(0), part.column(2)], names=["t", "label", "size", "sig", "cid", "vec"])
+                        planes[t, size] = np.random.default_rng([t, size]).standard_normal((size, bits + 1))
+                    far = x @ planes[t, size]
+                    sig = (far[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), part.column(1), part.column(3).cast(pa.int32()), pa.array(sig, pa.int64()), pa.array(far[:, bits]), part.column(0), part.column(2)], names=["t", "label", "size", "sig", "far", "cid", "vec"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: pa.Table | None = None
@@ -109,8 +110,8 @@ def _buckets(classes: DataFrame, tables: range, bits: int) -> DataFrame:
                     p, q = cid[at[i]], cid[at[i + d]]
                     yield _pairs(p, q, sim)
 
-    dealt = classes.select("cid", "label", "vec", "size").mapInArrow(signed, "t int, label string, size int, sig long, cid long, vec binary")
-    dealt = dealt.repartitionByRange("t", "label", "size", "sig", "cid").sortWithinPartitions("t", "label", "size", "sig", "cid")
+    dealt = classes.select("cid", "label", "vec", "size").mapInArrow(signed, "t int, label string, size int, sig long, far double, cid long, vec binary")
+    dealt = dealt.repartitionByRange("t", "label", "size", "sig", "far", "cid").sortWithinPartitions("t", "label", "size", "sig", "far", "cid")
     return dealt.mapInArrow(near, "a long, b long, sim double").groupBy("a", "b").agg(F.first("sim").alias("sim"))
 
 
