@@ -2,21 +2,25 @@
 
 Tokens are words and one end for each text, which counts as the empty word. Training
 documents are those whose crc32(doc_id as text) mod 7 is not 2. Documents are packed into
-blocks of BLOCK_TOKENS tokens, each with the list of its different words, so a word costs a
-block one row however often it stands there. Counts of words are summed from these lists.
+blocks of some BLOCK_TOKENS tokens, each with the list of its different words.
 
 The model has `states` latent states and an emission of its own for every training word
-in each state. Expected emission counts are a table of (word, state) that is joined to the
-blocks' lists by a shuffle and summed from the blocks again, so it grows with the corpus
-and the driver sees only starts, moves and sums. A state that emits `mass` words in all, of
-these `g` times one word, gives it the probability (tokens * g / mass + 1) / (tokens +
-words + 1); an unknown word takes the 1. So all word probabilities of a state sum to one,
-and with one state the score is that of word counts alone.
-
-Baum-Welch: each block runs the scaled forward and backward recursions; every iteration
-covers all training documents. Iterations end when one betters the training texts'
-log likelihood by less than TOLERANCE of it. The score is the scaled forward recursion's
-exact log10 likelihood of the whole text.
+in each state. Words are dealt to parts by a hash; a part holds for each of its words
+the count and which share of it each state is expected to emit, so this table grows with
+the corpus and lies apart in tasks. The driver sees only starts, moves and sums. A state
+that emits `mass` words in all, of these `g` times one word, gives it the probability
+(tokens * (g + PRIOR * share of the word) / (mass + PRIOR) + 1) / (tokens + words + 1);
+an unknown word takes the 1. So all word probabilities of a state sum to one, and with
+one state the score is that of word counts alone.
+
+Baum-Welch: in every iteration each part answers each block with the numbers of the
+block's words, the block runs the scaled forward and backward recursions and sends the
+parts what it expects. All words of a block and a part travel as one row of packed arrays.
+Iterations end when one betters the training texts' log likelihood by less than TOLERANCE
+of it. The score is the scaled forward recursion's exact log10 likelihood of the whole text.
+
+Memory: a task holds one block and the state vectors of WINDOW tokens. For a text that is
+longer, forward vectors are kept where windows begin and made again window by window.
 
 Results for special inputs: null and empty texts are the end alone; a null doc_id
 counts as the empty text in the split; equal rows each count; an empty table gives no
@@ -26,24 +30,24 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import gc
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, small_batches, stored, temporary_tables
+from .common import release, removed, small_batches, stored, temporary_tables
 
 STATES = 8
 TOLERANCE = 1e-3
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 22
+WINDOW = 1 << 19
+PARTS, PART_WORDS = 64, 1 << 22  # at least so many parts; words that blocks ask of one
 PRIOR = 100  # words that each state emits by their shares besides what it is expected to
-HEAD_SHARE = 1_000_000
-SYMBOL_SHARE = 16_384
-BUCKETS = 256
-GROUP_TOKENS = 150_000
+WHOLE = 65_535  # shares of a word's count are kept as 16-bit numbers
 END = b""
 
 
@@ -51,62 +55,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Vocabulary:
-    """Word probabilities inside hash buckets. score_documents() no longer uses it, as it
-    has an emission for every word; its test holds."""
-
-    def __init__(self, head: list[tuple[bytes, int]], buckets: dict[int, tuple[int, int]], total: int, words: int, ends: int) -> None:
-        self.total, self.distinct, self.ends = total + ends, words + (ends > 0), ends
-        base = np.log10(self.total + self.distinct + 1)
-        self.norm = float(base)
-        self.end_base = float(np.log10(ends + 1) - base)
-        c = np.array([n for _, n in head], dtype=np.float64)
-        self.index = {w: i for i, (w, _) in enumerate(head)}
-        self.head_base = np.log10(c + 1) - base
-        own = [i for i, (_, n) in enumerate(head) if n * SYMBOL_SHARE >= self.total]
-        symbol_of = {i: BUCKETS + 1 + k for k, i in enumerate(own)}
-        # The words with symbols of their own leave their buckets.
-        left = {b: list(buckets.get(b, (0, 0))) for b in range(BUCKETS)}
-        for i in own:
-            b = bucket_of(head[i][0])
-            left[b][0] -= head[i][1]
-            left[b][1] -= 1
-        self.bucket_norm = np.log10(np.array([left[b][0] + left[b][1] + 1.0 for b in range(BUCKETS)]))
-        self.head_symbol = np.array([symbol_of.get(i, 1 + bucket_of(w)) for i, (w, _) in enumerate(head)], dtype=np.uint16)
-        inside = np.array([i not in symbol_of for i in range(len(head))], dtype=bool)
-        bucket = self.head_symbol.astype(np.int64) - 1
-        self.head_inside = np.where(inside, np.log10(c + 1) - self.bucket_norm[np.where(inside, bucket, 0)], 0.0) if len(head) else np.zeros(0)
-        self.symbols = 1 + BUCKETS + len(own)
-        self.symbol_counts = np.array([ends, *(left[b][0] for b in range(BUCKETS)), *(head[i][1] for i in own)], dtype=np.float64)
-
-
-def bucket_of(word: bytes) -> int:
-    return zlib.crc32(word) % BUCKETS
+def packed(x: np.ndarray) -> bytes:
+    """The numbers of an array, all first bytes, then all second ones, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """(block, held_out, doc_ids, lengths, symbols, vocabulary) of docs (doc_id, text,
-    held_out): symbols are places in the vocabulary, (word, c) of the block's words."""
+    """(block, held_out, doc_ids, lengths, symbols, words, counts, size) of docs (doc_id,
+    text, held_out): symbols are places in the block's words, which are in the order of
+    their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh():
             return {}, [], [], []
 
-        def row(held_out, index, ids, lengths, parts):
-            symbols = np.concatenate(parts)
-            words = pa.StructArray.from_arrays([pa.array(list(index), pa.binary()), pa.array(np.bincount(symbols), pa.int64())], names=["word", "c"])
+        def row(held_out, index, ids, lengths, texts):
+            words = list(index)
+            order = np.argsort(_hashes(words), kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words), dtype=np.int32)
+            symbols = place[np.concatenate(texts)]
+            blobs = [packed(np.array(lengths, np.int32)), packed(symbols), b"\n".join([words[i] for i in order]), packed(np.bincount(symbols))]
             return pa.RecordBatch.from_arrays(
-                [pa.array([held_out]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(lengths, np.int32).tobytes()]), pa.array([symbols.tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)],
-                names=["held_out", "doc_ids", "lengths", "symbols", "vocabulary"],
+                [pa.array([held_out]), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(words)], pa.int32())],
+                names=["held_out", "doc_ids", "lengths", "symbols", "words", "counts", "size"],
             )
 
         now, size = {False: fresh(), True: fresh()}, {False: 0, True: 0}
         for b in batches:
             for doc_id, t, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                index, ids, lengths, parts = now[held_out]
+                index, ids, lengths, texts = now[held_out]
                 words = words_of(t.as_py())
                 words.append(END)
-                parts.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+                texts.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words)))
                 ids.append(doc_id)
                 lengths.append(len(words))
                 size[held_out] += len(words)
@@ -116,8 +106,10 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         for held_out, block in now.items():
             if block[1]:
                 yield row(held_out, *block)
+        del now
+        release()
 
-    kinds = "held_out boolean, doc_ids array<bigint>, lengths binary, symbols binary, vocabulary array<struct<word:binary,c:bigint>>"
+    kinds = "held_out boolean, doc_ids array<bigint>, lengths binary, symbols binary, words binary, counts binary, size int"
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, kinds).withColumn("block", F.monotonically_increasing_id())
 
 
@@ -126,59 +118,68 @@ class Model:
         self.start, self.move, self.emit = start, move, emit  # emit[symbol, state]
 
     @staticmethod
-    def first(counts: np.ndarray, states: int, seed: int) -> Model:
-        """Sticky states whose emissions differ at random from the shares of words."""
-        rng = np.random.default_rng(seed)
-        emit = ((counts + 1) / (counts.sum() + len(counts)))[:, None] * (0.5 + rng.random((len(counts), states)))
+    def first(states: int) -> Model:
+        """Sticky states; what tells them apart is what they emit at first."""
         move = np.full((states, states), 0.05 / max(1, states - 1))
         np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
-        return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
-
-    def forward(self, s: np.ndarray, alive: np.ndarray, kind=np.float64, keep: bool = True):
-        """s: symbols [time, text], texts by falling length; alive[t]: texts with a
-        token at t. Gives scaled forward vectors and the log10 likelihood of each."""
-        length, texts = s.shape
-        emit, move = self.emit.astype(kind), self.move.astype(kind)
-        alpha = np.empty((length if keep else 1, texts, len(self.start)), kind)
-        scale = np.ones((length if keep else 1, texts), kind)
-        score = np.zeros(texts)
-        now = None
-        for t in range(length):
-            n = alive[t]
-            now = (self.start.astype(kind) if t == 0 else now[:n] @ move) * emit[s[t, :n]]
+        return Model(np.full(states, 1 / states), move, np.zeros((0, states)))
+
+    def _forward(self, e: np.ndarray, alive: np.ndarray, now: np.ndarray | None, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Over a window of emissions [time, text, state], behind the vectors `now`:
+        (scale [time, text], last vectors). Vectors go to alpha."""
+        start, move = self.start.astype(e.dtype), self.move.astype(e.dtype)
+        scale = np.ones(e.shape[:2], e.dtype)
+        for t, n in enumerate(alive):
+            now = (start if now is None else now[:n] @ move) * e[t, :n]
             c = now.sum(1)
             now /= c[:, None]
-            score[:n] += np.log10(c)
-            if keep:
-                alpha[t, :n], scale[t, :n] = now, c
-        return alpha, scale, score
+            scale[t, :n] = c
+            if alpha is not None:
+                alpha[t, :n] = now
+        return scale, now
+
+    def _windows(self, s: np.ndarray) -> list[tuple[int, int]]:
+        step = max(1, WINDOW // s.shape[1])
+        return [(a, min(a + step, len(s))) for a in range(0, len(s), step)]
+
+    def score(self, s: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """s: symbols [time, text], texts by falling length; alive[t]: texts with a token
+        at t. Gives the log10 likelihood of each text."""
+        out, now = np.zeros(s.shape[1]), None
+        for a, b in self._windows(s):
+            scale, now = self._forward(self.emit[s[a:b]], alive[a:b], now, None)
+            out += np.log10(scale).sum(0, dtype=np.float64)
+        return out
 
     def expected(self, s: np.ndarray, alive: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Add the texts' expected counts of starts, moves and emissions to out. Gives
         their log10 likelihood."""
-        kind = np.float32
-        alpha, scale, score = self.forward(s, alive, kind)
-        emit, move = self.emit.astype(kind), self.move.astype(kind)
+        emit, back = self.emit.astype(np.float32), self.move.T.astype(np.float32)
         start, moves, emits = out
-        length, k = s.shape[0], len(self.start)
-        xi, gamma = np.zeros((k, k)), np.empty_like(alpha)
-        beta = np.ones((alive[-1], k), kind)
-        for t in range(length - 1, -1, -1):
-            n = alive[t]
-            if t < length - 1:
-                m = alive[t + 1]
-                back = emit[s[t + 1, :m]] * beta / scale[t + 1, :m, None]
-                xi += alpha[t, :m].T @ back
-                beta = np.ones((n, k), kind)
-                beta[:m] = back @ move.T
-            gamma[t, :n] = alpha[t, :n] * beta
-        moves += xi * move
-        start += gamma[0, : alive[0]].sum(0)
-        mask = np.arange(s.shape[1])[None, :] < alive[:, None]
-        flat, gamma = s[mask], gamma[mask]
-        for j in range(k):
-            emits[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emits))
-        return float(score.sum())
+        windows, heads = self._windows(s), [None]
+        for a, b in windows[:-1]:
+            heads.append(self._forward(emit[s[a:b]], alive[a:b], heads[-1], None)[1])
+        score, k, xi, ahead = 0.0, len(self.start), np.zeros((len(self.start),) * 2), None
+        for (a, b), head in zip(reversed(windows), reversed(heads), strict=True):
+            e = emit[s[a:b]]
+            alpha, beta, after = np.zeros_like(e), np.ones_like(e), np.zeros_like(e)
+            scale, _ = self._forward(e, alive[a:b], head, alpha)
+            score += float(np.log10(scale).sum(dtype=np.float64))
+            for t in range(b - a - 1, -1, -1):
+                n = alive[a + t]
+                if ahead is not None:
+                    after[t, : len(ahead)] = ahead
+                    beta[t, : len(ahead)] = ahead @ back
+                ahead = e[t, :n] * beta[t, :n] / scale[t, :n, None]
+            xi += alpha.reshape(-1, k).T @ after.reshape(-1, k)
+            beta *= alpha  # zero where a text has no token
+            if a == 0:
+                start += beta[0].sum(0)
+            flat, share = s[a:b].ravel(), beta.reshape(-1, k)
+            for j in range(k):
+                emits[:, j] += np.bincount(flat, weights=share[:, j], minlength=len(emits))
+        moves += xi * self.move
+        return score
 
 
 def groups(symbols: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -187,7 +188,7 @@ def groups(symbols: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, n
     i = 0
     while i < len(order):
         length = len(symbols[order[i]])
-        own = order[i : i + max(1, GROUP_TOKENS // length)]
+        own = order[i : i + max(1, WINDOW // length)]
         i += len(own)
         s = np.zeros((length, len(own)), np.int32)
         for j, at in enumerate(own):
@@ -196,106 +197,246 @@ def groups(symbols: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, n
         yield own, s, (lengths[None, :] > np.arange(length)[:, None]).sum(1)
 
 
-def _texts(block: pa.Table) -> list[np.ndarray]:
-    lengths = np.frombuffer(block["lengths"][0].as_py(), np.int32)
-    return np.split(np.frombuffer(block["symbols"][0].as_py(), np.int32), np.cumsum(lengths)[:-1])
+#: What travels between parts and blocks: a block's words of a part stand from `first` on in
+#: the block and in `slots` of the part, with counts and the states' shares of them. Rows of
+#: a part alone have no block, and sums of it.
+TABLE = "part long, block long, held_out boolean, first int, slots binary, counts binary, shares binary, sums array<double>"
+_NAMES = ("part", "block", "held_out", "first", "slots", "counts", "shares", "sums")
+_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+
+
+def _row(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], k) for n, k in zip(_NAMES, _KINDS, strict=True)], names=list(_NAMES))
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows in the order of a key as one run of rows for each value."""
+    rows = (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
+    now = next(rows, None)
+    while now is not None:
+        value = now[key]
+
+        def run(value=value) -> Iterator[dict]:
+            nonlocal now
+            while now is not None and now[key] == value:
+                yield now
+                now = next(rows, None)
+
+        own = run()
+        yield value, own
+        for _ in own:  # what was not asked for
+            pass
+
+
+def _sums(counts: np.ndarray, shares: np.ndarray) -> list[float]:
+    """What each state emits of a part's words, all tokens of them and their number."""
+    return [*(counts @ (shares / WHOLE)), float(counts.sum()), float(len(counts))]
+
+
+def asked_of(blocks: DataFrame, parts: int, states: int, seed: int) -> DataFrame:
+    """A row for each block and part with the slots of the words, and one for each part
+    with the counts of all its training words and their first shares."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, held_out, raw, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, counts = raw.split(b"\n"), unpacked(counts, np.int64)
+                part = ((_hashes(words) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                ends = np.flatnonzero(np.diff(part, append=np.uint64(parts))) + 1
+                for a, z in zip([0, *ends], ends, strict=False):
+                    yield _row(part=int(part[a]), block=block, held_out=held_out, first=int(a), slots=b"\n".join(words[a:z]), counts=packed(counts[a:z]))
+        release()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _groups_of(batches, "part"):
+            index: dict[bytes, int] = {}
+            total = np.zeros(0, np.int64)
+            for r in rows:
+                words = r["slots"].split(b"\n")
+                if r["held_out"]:
+                    slots = np.array([index.get(w, -1) for w in words], np.int32)
+                else:
+                    slots = np.array([index.setdefault(w, len(index)) for w in words], np.int32)
+                    total = np.concatenate([total, np.zeros(len(index) - len(total), np.int64)])
+                    total[slots] += unpacked(r["counts"], np.int64)
+                yield _row(part=part, block=r["block"], held_out=r["held_out"], first=r["first"], slots=packed(slots))
+            # States differ at random, by the words' hashes, in how much of a word is theirs.
+            h = _hashes(list(index))[:, None] ^ np.random.default_rng(seed).integers(0, 2**63, states, dtype=np.uint64)[None, :]
+            draws = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) / 2.0**24 + 0.5
+            shares = np.rint(draws / draws.sum(1, keepdims=True) * WHOLE).astype(np.uint16)
+            yield _row(part=part, held_out=False, counts=packed(total), shares=packed(shares), sums=_sums(total, shares))
+        release()
+
+    rows = blocks.select("block", "held_out", "words", "counts").mapInArrow(split, TABLE)
+    return rows.repartition("part").sortWithinPartitions("part", "held_out", "block").mapInArrow(assign, TABLE)
+
+
+def answers(asked: DataFrame, model: DataFrame, states: int) -> DataFrame:
+    """The rows asked with the counts and shares of their words; unknown ones have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _groups_of(batches, "part"):
+            counts, shares = np.zeros(1, np.int64), np.zeros((1, states), np.uint16)
+            for r in rows:
+                if r["block"] is None:  # a row of zeros behind the last stands for slot -1
+                    counts = np.append(unpacked(r["counts"], np.int64), 0)
+                    shares = np.vstack([unpacked(r["shares"], np.uint16).reshape(-1, states), shares[-1:]])
+                else:
+                    slots = unpacked(r["slots"], np.int32)
+                    yield _row(part=part, block=r["block"], held_out=r["held_out"], first=r["first"], slots=r["slots"], counts=packed(counts[slots]), shares=packed(shares[slots]))
+        release()
+
+    both = asked.unionByName(model.where("part >= 0"))
+    return both.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(run, TABLE)
+
+
+class Sizes:
+    """The sums that emissions depend on."""
+
+    def __init__(self, mass: np.ndarray, total: float, words: float) -> None:
+        self.mass, self.total, self.words = mass, total, words
+
+    def emissions(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        c = counts[:, None].astype(np.float64)
+        g = c * shares / WHOLE + PRIOR * c / max(1.0, self.total)
+        return (g * (self.total / (self.mass + PRIOR)) + 1) / (self.total + self.words + 1)
+
 
+def _at_blocks(blocks: DataFrame, answered: DataFrame, f: Callable[[dict, list[dict]], Iterator[pa.RecordBatch]], columns: list[str], kinds: str) -> DataFrame:
+    """f(block, answers) for each block."""
 
-def _local(listed: pa.Table, states: int, words: int, unknown: float) -> np.ndarray:
-    """The emissions of a block's words; those not listed are unknown."""
-    emit = np.full((words, states), unknown)
-    emit[listed["at"].to_numpy()] = np.stack([listed[f"e{j}"].to_numpy() for j in range(states)], 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups_of(batches, "block"):
+            block, *own = rows
+            yield from f(block, own)
+            del block, own
+        release()
+
+    both = blocks.select("block", *columns).unionByName(answered.drop("sums"), allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", F.col("part").asc_nulls_first()).mapInArrow(run, kinds)
+
+
+def _texts(block: dict) -> list[np.ndarray]:
+    return np.split(unpacked(block["symbols"], np.int32), np.cumsum(unpacked(block["lengths"], np.int32))[:-1])
+
+
+def _emissions(block: dict, own: list[dict], sizes: Sizes, states: int) -> np.ndarray:
+    emit = np.empty((block["size"], states))
+    for r in own:
+        counts = unpacked(r["counts"], np.int64)
+        emit[r["first"] : r["first"] + len(counts)] = sizes.emissions(counts, unpacked(r["shares"], np.uint16).reshape(-1, states))
     return emit
 
 
-def train(blocks: DataFrame, places: DataFrame, counts: DataFrame, total: int, words: int, states: int, tolerance: float, seed: int) -> tuple[Model, DataFrame, list[float]]:
+def expected_in(blocks: DataFrame, answered: DataFrame, model: Model, sizes: Sizes) -> DataFrame:
+    """The table of counts and shares that the forward and backward recursions expect,
+    with the sums of starts, moves and likelihood as parts below 0."""
+    states, start, move = len(model.start), model.start, model.move
+
+    def step(block: dict, own: list[dict]) -> Iterator[pa.RecordBatch]:
+        m = Model(start, move, _emissions(block, own, sizes, states))
+        out = np.zeros(states), np.zeros((states, states)), np.zeros((block["size"], states))
+        texts = _texts(block)
+        score = sum(m.expected(s, alive, out) for _, s, alive in groups(texts))
+        counts = np.bincount(np.concatenate(texts), minlength=block["size"])
+        shares = np.rint(out[2] / np.maximum(out[2].sum(1, keepdims=True), 1e-30) * WHOLE).astype(np.uint16)
+        for r in own:
+            at = slice(r["first"], r["first"] + len(unpacked(r["slots"], np.int32)))
+            yield _row(part=r["part"], slots=r["slots"], counts=packed(counts[at]), shares=packed(shares[at]))
+        yield _row(part=-1 - block["block"] % PARTS, sums=[*out[0], *out[1].ravel(), score])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _groups_of(batches, "part"):
+            if part < 0:
+                yield _row(part=part, sums=np.sum([r["sums"] for r in rows], axis=0).tolist())
+                continue
+            total, g = np.zeros(0, np.int64), np.zeros((0, states))
+            for r in rows:
+                slots, counts = unpacked(r["slots"], np.int32), unpacked(r["counts"], np.int64)
+                if (more := int(slots.max()) + 1 - len(total)) > 0:
+                    total, g = np.append(total, np.zeros(more, np.int64)), np.vstack([g, np.zeros((more, states))])
+                total[slots] += counts
+                g[slots] += counts[:, None] * (unpacked(r["shares"], np.uint16).reshape(-1, states) / WHOLE)
+            shares = np.rint(g / np.maximum(g.sum(1, keepdims=True), 1e-30) * WHOLE).astype(np.uint16)
+            yield _row(part=part, held_out=False, counts=packed(total), shares=packed(shares), sums=_sums(total, shares))
+        release()
+
+    found = _at_blocks(blocks, answered, step, ["held_out", "lengths", "symbols", "size"], TABLE)
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(gather, TABLE)
+
+
+def _summed(table: DataFrame) -> dict[bool, np.ndarray]:
+    """The sums of parts (True) and of what lies below them (False); a few dozen numbers."""
+    sums = table.where("sums IS NOT NULL").select((F.col("part") >= 0).alias("own"), F.posexplode("sums").alias("i", "x"))
+    out: dict[bool, dict[int, float]] = {}
+    for r in sums.groupBy("own", "i").agg(F.sum("x").alias("x")).collect():
+        out.setdefault(r.own, {})[r.i] = r.x
+    return {k: np.array([v[i] for i in range(len(v))]) for k, v in out.items()}
+
+
+def _sizes(sums: dict[bool, np.ndarray], states: int) -> Sizes:
+    own = sums.get(True, np.zeros(states + 2))
+    return Sizes(own[:states], own[states], own[states + 1])
+
+
+def train(blocks: DataFrame, asked: DataFrame, states: int, tolerance: float) -> tuple[Model, DataFrame, Sizes, list[float]]:
     """Baum-Welch over all training documents until an iteration gains less than
-    tolerance. Gives starts and moves, places with the emissions (e0, e1, ...) of their
-    words and the log10 likelihood before each iteration. places: (block, held_out, at, wid, c)."""
+    tolerance. Gives starts and moves, the parts' table and its sums, and the log10
+    likelihood before each iteration."""
     spark = blocks.sparkSession
-    names = [f"g{j}" for j in range(states)]
-    model = Model.first(np.ones(1), states, seed)
-    # Sticky states whose emissions differ at random from the shares of words.
-    draw = lambda j: F.xxhash64(F.lit(seed), F.lit(j), "word").cast("double") / 2.0**64 + 1
-    found, previous = counts.select("wid", *((F.col("c") * draw(j)).alias(x) for j, x in enumerate(names))), None
-    mass = np.array(found.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in names)).first())
-    gained: list[float] = []
-
-    def listed_in(places: DataFrame) -> DataFrame:
-        share = F.col("c") / max(1, total)
-        e = [((F.col(x) + PRIOR * share) * (total / (float(mass[j]) + PRIOR)) + 1) / (total + words + 1) for j, x in enumerate(names)]
-        return places.join(found, "wid").select("block", "at", "wid", "c", *(x.cast("float").alias(f"e{j}") for j, x in enumerate(e)))
-
-    def step(start: np.ndarray, move: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        def run(block: pa.Table, listed: pa.Table) -> pa.Table:
-            wid = listed["wid"].to_numpy()
-            m = Model(start, move, _local(listed, states, len(wid), 0.0))
-            out = np.zeros(states), np.zeros((states, states)), np.zeros((len(wid), states))
-            score = sum(m.expected(s, alive, out) for _, s, alive in groups(_texts(block)))
-            # Below the words: starts, moves and, last, the likelihood.
-            table = np.vstack([out[2][listed["at"].to_numpy()], out[0][None], out[1], np.full((1, states), score)])
-            key = np.concatenate([wid, -1 - np.arange(states + 2)])
-            return pa.table({"wid": pa.array(key, pa.int64())} | {x: pa.array(table[:, j], pa.float64()) for j, x in enumerate(names)})
-
-        return run
-
-    while total:
-        lists = listed_in(places.where("NOT held_out")).drop("c")
-        summed = blocks.where("NOT held_out").select("block", "lengths", "symbols").groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(step(model.start, model.move), "wid long, " + ", ".join(f"{x} double" for x in names))
-        after = stored(summed.groupBy("wid").agg(*(F.sum(x).alias(x) for x in names)), "expected")
-        driver = {r[0]: np.array(r[1:]) for r in after.groupBy(F.least("wid", F.lit(0)).alias("wid")).agg(*(F.sum(x) for x in names)).collect()}
+    model, table, previous = Model.first(states), asked.where("block IS NULL"), None
+    sizes = _sizes(_summed(table), states)
+    asks, gained = asked.where("block IS NOT NULL AND NOT held_out"), []
+    while sizes.total:
+        after = stored(expected_in(blocks.where("NOT held_out"), answers(asks, table, states), model, sizes), "expected")
+        sums = _summed(after)
         if previous is not None:
             removed(previous)
-        found, previous, mass = after.where("wid >= 0"), after, driver[0]
-        start, move = driver[-1] + 1, np.stack([driver[-2 - j] for j in range(states)]) + 1
+        table, previous, sizes = after.where("part >= 0"), after, _sizes(sums, states)
+        start, move = sums[False][:states] + 1, sums[False][states:-1].reshape(states, states) + 1
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), np.zeros((0, states)))
-        gained.append(float(driver[-2 - states][0]))
+        gained.append(float(sums[False][-1]))
         gc.collect()
         spark._jvm.System.gc()  # else the files of each iteration's shuffles stay
         if len(gained) > 1 and gained[-1] - gained[-2] < tolerance * -gained[-1]:
             break
-    return model, listed_in(places), gained
+    return model, table, sizes, gained
 
 
 def score_documents(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, seed: int = 7) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (of word counts alone) and score (of the model), both log10."""
-    spark = docs.sparkSession
-    with temporary_tables(spark), small_batches(spark, 1000):
+    with temporary_tables(docs.sparkSession):
         return _score(docs, states, tolerance, seed)
 
 
 def _score(docs: DataFrame, states: int, tolerance: float, seed: int) -> DataFrame:
+    spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (F.crc32(key.cast("binary")) % 7 == 2).alias("held_out"))
-    blocks = stored(blocks_of(rows), "blocks")
-    listed = blocks.select("block", "held_out", F.posexplode("vocabulary").alias("at", "x")).select("block", "held_out", "at", "x.*")
-    counts = listed.where("NOT held_out").groupBy("word").agg(F.sum("c").alias("c")).withColumn("wid", F.monotonically_increasing_id())
-    counts = stored(counts, "counts")
-    total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    places = stored(listed.drop("c").join(counts, "word").select("block", "held_out", "at", "wid", "c"), "places")
-    model, lists, _ = train(blocks, places, counts, total, words, states, tolerance, seed)
-    start, move, norm = model.start, model.move, float(np.log10(total + words + 1))
-
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        texts, at = _texts(block), known["at"].to_numpy()
-        n = max(int(x.max()) for x in texts) + 1
-        m = Model(start, move, _local(known, states, n, 10.0**-norm))
-        scores, c = np.zeros(len(texts)), np.zeros(n)
-        c[at] = known["c"].to_numpy()
-        for own, s, alive in groups(texts):
-            scores[own] = m.forward(s, alive, keep=False)[2]
-        return pa.table(
-            {
-                "doc_id": pa.array(block["doc_ids"][0].as_py(), pa.int64()),
-                "held_out": pa.array([block["held_out"][0].as_py()] * len(texts)),
-                "n_tokens": pa.array([len(x) for x in texts], pa.int64()),
-                "n_known": pa.array([int((c[x] > 0).sum()) for x in texts], pa.int64()),
-                "train_tokens": pa.array([total] * len(texts), pa.int64()),
-                "base_score": pa.array([float(np.log10(c[x] + 1).sum() - len(x) * norm) for x in texts], pa.float64()),
-                "score": pa.array(scores),
-            }
-        )
-
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return stored(blocks.drop("vocabulary").groupBy("block").cogroup(lists.drop("wid").groupBy("block")).applyInArrow(run, kinds), "scores", keep=True)
+    with small_batches(spark, 500):
+        blocks = stored(blocks_of(rows), "blocks")
+    with small_batches(spark, 8):  # rows are large from here on
+        wanted = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        asked = stored(asked_of(blocks, max(PARTS, wanted // PART_WORDS), states, seed), "asked")
+        model, table, sizes, _ = train(blocks, asked, states, tolerance)
+        start, move, norm = model.start, model.move, float(np.log10(sizes.total + sizes.words + 1))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+        def score(block: dict, own: list[dict]) -> Iterator[pa.RecordBatch]:
+            m, texts, c = Model(start, move, _emissions(block, own, sizes, states)), _texts(block), np.zeros(block["size"])
+            for r in own:
+                counts = unpacked(r["counts"], np.int64)
+                c[r["first"] : r["first"] + len(counts)] = counts
+            scores, known, base = np.zeros(len(texts)), c > 0, np.log10(c + 1) - norm
+            for at, s, alive in groups(texts):
+                scores[at] = m.score(s, alive)
+            columns = [
+                pa.array(block["doc_ids"], pa.int64()), pa.array([block["held_out"]] * len(texts)), pa.array([len(x) for x in texts], pa.int64()),
+                pa.array([int(known[x].sum()) for x in texts], pa.int64()), pa.array([int(sizes.total)] * len(texts), pa.int64()), pa.array([float(base[x].sum()) for x in texts]), pa.array(scores),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        answered = answers(asked.where("block IS NOT NULL"), table, states)
+        return stored(_at_blocks(blocks, answered, score, ["held_out", "doc_ids", "lengths", "symbols", "size"], kinds), "scores", keep=True)

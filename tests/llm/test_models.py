@@ -20,15 +20,19 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, 1.0, 0) for i, t in rows], "doc_id long, text string, score double, n_tokens int")
 
 
-def test_expected_counts_against_all_paths():
+@pytest.mark.parametrize("window", [1 << 19, 6])
+def test_expected_counts_against_all_paths(monkeypatch, window):
+    monkeypatch.setattr(hmm_lm, "WINDOW", window)  # 6: texts go through in several windows
     rng = np.random.default_rng(0)
-    m = hmm_lm.Model.first(rng.integers(1, 50, 7).astype(float), 3, 1)
-    texts = [rng.integers(0, 7, n).astype(np.uint16) for n in (1, 2, 3, 5, 6, 4)]
+    move, emit = rng.random((3, 3)) + 0.1, rng.random((7, 3)) + 0.1
+    m = hmm_lm.Model(np.full(3, 1 / 3), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    texts = [rng.integers(0, 7, n).astype(np.int32) for n in (1, 2, 3, 5, 8, 4)]
     out = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
-    scores = np.zeros(len(texts))
+    scores, total = np.zeros(len(texts)), 0.0
     for own, s, alive in hmm_lm.groups(texts):
-        m.expected(s, alive, out)
-        scores[own] = m.forward(s, alive, keep=False)[2]
+        total += m.expected(s, alive, out)
+        scores[own] = m.score(s, alive)
+    assert total == pytest.approx(scores.sum(), abs=1e-4)
     want = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
     for d, x in zip(texts, scores, strict=True):
         total, part = 0.0, [np.zeros_like(z) for z in want]
@@ -50,7 +54,8 @@ def test_expected_counts_against_all_paths():
 
 
 def test_scores(spark, monkeypatch):
-    monkeypatch.setattr(hmm_lm, "HEAD_SHARE", 150)  # so that rare words are joined
+    monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 700)  # so that words stand in several blocks
+    monkeypatch.setattr(hmm_lm, "PARTS", 3)
     random.seed(1)
     groups = [[f"{g}{i}" for i in range(40)] for g in "ab"]
     rows = [(i, " ".join(random.choice(groups[i % 2][: random.randint(1, 40)]) for _ in range(random.randint(0, 60)))) for i in range(150)] + ODD
@@ -69,20 +74,16 @@ def test_scores(spark, monkeypatch):
 
 
 def test_word_probabilities_sum_to_one():
-    words = [(f"w{i}".encode(), 5 + i) for i in range(50)]
-    total = sum(n for _, n in words)
-    buckets = {}
-    for w, n in words:
-        b = buckets.setdefault(hmm_lm.bucket_of(w), [0, 0])
-        b[0] += n
-        b[1] += 1
-    v = hmm_lm.Vocabulary(words, {b: tuple(x) for b, x in buckets.items()}, total, len(words), 9)
-    inside = {}
-    for (w, _), s, p in zip(words, v.head_symbol, v.head_inside, strict=True):
-        inside[int(s)] = inside.get(int(s), 0.0) + 10**p
-    for s, p in inside.items():
-        unknown = 10 ** -v.bucket_norm[s - 1] if s <= hmm_lm.BUCKETS else 0.0
-        assert p + unknown == pytest.approx(1.0)
+    rng = np.random.default_rng(1)
+    counts, shares = rng.integers(1, 90, 50), rng.integers(0, 2**15, (50, 3)).astype(np.uint16)
+    *mass, total, words = hmm_lm._sums(counts, shares)
+    e = hmm_lm.Sizes(np.array(mass), total, words).emissions(np.append(counts, 0), np.vstack([shares, shares[:1]]))
+    assert e[:50].sum(0) + e[50] == pytest.approx(np.ones(3))  # the last is an unknown word
+
+
+def test_packed_numbers():
+    for x in (np.arange(1000, dtype=np.int32), np.array([2**40, -1, 0]), np.zeros(0, np.uint16), np.arange(24, dtype=np.uint16).reshape(3, 8)):
+        assert (hmm_lm.unpacked(hmm_lm.packed(x), x.dtype) == x.ravel()).all()
 
 
 def test_estimated_accuracies():
