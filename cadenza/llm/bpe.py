@@ -8,8 +8,7 @@ just those two. The encoder stores one token per prefix and follows the back
 pointers, so a word costs time in proportion to its length however long it is.
 
 Words are cut by the letters and numbers of Unicode 16, as the vocabulary's own library
-does; lower case follows Python's tables, so some fifty capitals that are newer than
-those keep their case.
+does, and its lower case is that of Unicode 17: what Python's tables lack is added.
 
 Results for special inputs: a null or empty text has no tokens and decodes to an
 empty text; nulls in other columns are carried; equal rows give equal rows; an
@@ -40,15 +39,25 @@ NEW = {
     "L": "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0",
     "N": "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa",
 }
+# Capitals that are newer than Python's tables, and their lower case.
+NEW_CAPITALS = "1c89 a7cb a7cc a7ce a7d2 a7d4 a7da a7dc 10d50-10d65 16ea0-16eb8"
+NEW_LOWER = "1c8a 0264 a7cd a7cf a7d3 a7d5 a7db 019b 10d70-10d85 16ebb-16ed3"
 #: Up to here all characters are assigned, so property classes of any version agree.
 PLAIN = regex.compile(WORDS.format(letters=r"\p{L}", numbers=r"\p{N}", space=SPACE))
 BEYOND_PLAIN = re.compile("[^\x00-\u0377]")
 
 
+def _listed(ranges: str) -> list[int]:
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return [c for r in ends for c in range(r[0], r[-1] + 1)]
+
+
+LOWER = dict(zip(_listed(NEW_CAPITALS), _listed(NEW_LOWER), strict=True))
+
+
 def _characters(kind: str) -> str:
     """The ranges of a character class that hold a general category."""
-    new = [r.split("-") for r in NEW[kind].split()]
-    added = {c for a, b in new for c in range(int(a, 16), int(b, 16) + 1)}
+    added = set(_listed(NEW[kind]))
     out, first = [], None
     for c in range(0x110001):
         inside = c < 0x110000 and (unicodedata.category(chr(c))[0] == kind or c in added)
@@ -193,7 +202,7 @@ class Encoder:
                 out.append((True, [part]))
             elif part:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out.append((False, words_of(part)))
+                out.append((False, words_of(part.translate(LOWER) if BEYOND_PLAIN.search(part) else part)))
         return out
 
     def encode(self, text: str | None) -> tuple[str, str]:

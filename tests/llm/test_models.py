@@ -145,6 +145,26 @@ def test_encoder_against_the_library():
         assert decoded == library.decode(e.ids, skip_special_tokens=False) == own.decode(e.ids)
 
 
+def test_all_code_points_against_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary_path()
+    library, own = tokenizers.Tokenizer.from_file(path), Encoder(load_vocabulary(path))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b1{c}{c} " for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        if own.encode(text)[0] != " ".join(map(str, e.ids)):
+            wrong = [hex(ord(c)) for c in set(text) if own.encode(f"a{c}b1{c}{c}")[0] != " ".join(map(str, library.encode(f"a{c}b1{c}{c}", add_special_tokens=False).ids))]
+            raise AssertionError(wrong)
+
+
+def test_long_words_against_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    library, own = tokenizers.Tokenizer.from_file(vocabulary_path()), Encoder(load_vocabulary(vocabulary_path()))
+    random.seed(12)
+    for text in ("".join(random.choice("aehinorst") for _ in range(30_000)), " ".join("".join(random.choice("abcé ") for _ in range(40)) for _ in range(20_000))):
+        assert own.encode(text)[0] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
 def test_encoded_documents(spark):
     rows = list(enumerate(odd_texts()[:50])) + ODD
     got = encode_documents(docs(spark, rows), vocabulary_path(), full=True).collect()
