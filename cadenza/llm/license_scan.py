@@ -8,7 +8,8 @@ documents, rarest first; a block that meets the threshold must hold one of the
 first size - needed + 1 words of a template (prefix filter), must have as many
 words as are needed (length filter), and where its first hit is the i-th word in
 that order, only size - i are left to be found (positional filter). What passes is
-counted word by word.
+counted word by word, and the words that name the licence must be among it, as the rest of
+a short notice stands in other texts too.
 
 Phrase templates have threshold 1 and are then checked for words that stand
 consecutively; they give the base places. Templates of notices add labels.
@@ -36,17 +37,23 @@ from .common import as_long, map_rows
 
 # The phrases whose places count, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Notices of well-known licences, by the label that they add.
+# Notices of well-known licences: the label that a notice adds, its text and
+# the words of it that name the licence, which a block must hold whatever else it lacks.
 NOTICES = [
-    ("apache", "licensed under the apache license version 2.0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4.0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v. 2.0"),
+    ("apache", "licensed under the apache license version 2.0", "apache"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0", "apache"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution"),
+    ("cc-by-nc", "licensed under cc by nc 4.0", "cc by nc"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived copyright"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission fee"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission charge"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v. 2.0", "mozilla public"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "warranty liable"),
 ]
 BLOCK = 64
 THRESHOLD = 0.8
@@ -64,12 +71,13 @@ class Template:
     phrase: list[bytes]
     consecutive: bool
     threshold: float
+    named: frozenset[bytes] = frozenset()
     order: list[bytes] = field(default_factory=list)
     needed: int = 0
 
 
 def templates(threshold: float) -> list[Template]:
-    return [Template(v, words_of(k), True, 1.0) for k, v in PHRASES.items()] + [Template(k, words_of(v), False, threshold) for k, v in NOTICES]
+    return [Template(v, words_of(k), True, 1.0) for k, v in PHRASES.items()] + [Template(k, words_of(v), False, threshold, frozenset(words_of(n))) for k, v, n in NOTICES]
 
 
 def word_counts(docs: DataFrame, text: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -99,8 +107,8 @@ class Index:
             for i, w in enumerate(t.order[: len(t.order) - t.needed + 1]):
                 self.prefix.setdefault(w, []).append((k, i))
 
-    def blocks_with(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(template, first word, end word) of the blocks that meet a threshold."""
+    def blocks_with(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """(template, first word, end word, containment) of the blocks that meet a threshold."""
         prefix = self.prefix
         hits = [i for i, w in enumerate(words) if w in prefix] if not prefix.keys().isdisjoint(words) else []
         step, tested = BLOCK // 2, set()
@@ -114,14 +122,16 @@ class Index:
                     tested.add((k, first))
                     have = set(words[first:end])
                     at = next(j for j, w in enumerate(t.order) if w in have)
-                    if len(t.order) - at >= t.needed and sum(w in have for w in t.order) >= t.needed:  # positional filter, then all
-                        yield k, first, end
+                    if len(t.order) - at >= t.needed and t.named <= have:  # positional filter
+                        held = sum(w in have for w in t.order)
+                        if held >= t.needed:
+                            yield k, first, end, held / len(t.order)
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
         places: set[tuple[int, int]] = set()
         base, more, best = set(), set(), 0.0
-        for k, first, end in self.blocks_with(words):
+        for k, first, end, held in self.blocks_with(words):
             t = self.temps[k]
             if t.consecutive:
                 n = len(t.phrase)
@@ -137,7 +147,7 @@ class Index:
                     at += 1
             else:
                 more.add(t.label)
-                best = max(best, sum(w in set(words[first:end]) for w in t.order) / len(t.order))
+                best = max(best, held)
         starts = [at for at, _ in places]
         return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best)
 

@@ -48,15 +48,36 @@ def test_license_notices_against_all_blocks(spark):
     got = {r.doc_id: r for r in scan_licenses(frame(spark, rows)).collect()}
     for i, t in rows:
         w, want = words_of(t), set()
-        for label, text in NOTICES:
-            need = set(words_of(text))
+        for label, text, named in NOTICES:
+            need, named = set(words_of(text)), set(words_of(named))
             for first in range(0, max(1, len(w)), BLOCK // 2):
-                if len(need & set(w[first : first + BLOCK])) >= -int(-0.8 * len(need) // 1):
+                if named <= set(w[first : first + BLOCK]) and len(need & set(w[first : first + BLOCK])) >= -int(-0.8 * len(need) // 1):
                     want.add(label)
         assert want <= set(got[i].labels.split(",")) | {""}
         assert set(got[i].labels.split(",")) - {""} == want | (set(got[i].base_labels.split(",")) - {""})
 
 
+def test_no_notice_fires_on_another_licence(spark):
+    others = [
+        ("released under the Apache License", {"apache"}),
+        ("code released under the GNU General Public License", {"gpl"}),
+        ("not released under a license by the owner", set()),
+        ("the press released a statement; under the counter a driver license was found", set()),
+        ("licensed under the Mozilla license version 2.0", set()),
+        ("the author of this work and the public at large have rights to all of it under law", set()),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(others)] + [(100 + i, text) for i, (_, text, _) in enumerate(NOTICES)]
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in scan_licenses(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(others))] == [want for _, want in others]
+    assert [got[100 + i] for i in range(len(NOTICES))] == [{label} for label, *_ in NOTICES]
+
+
+def test_licences_in_a_very_long_text(spark):
+    text = "word other " * 400_000 + "MIT License " + "filler " * 300_000 + NOTICES[2][1]
+    r = scan_licenses(frame(spark, [(1, text)])).first()
+    assert (r.n_words, r.n_base, r.first_word, r.labels) == (1_100_002 + len(words_of(NOTICES[2][1])), 1, 800_000, "bsd,mit")
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
