@@ -18,10 +18,9 @@ columns are carried; equal rows give equal rows; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import re._constants as K
+import re
 from dataclasses import dataclass
 from functools import cache
-from re import _parser
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,6 +45,76 @@ MORE_RULES = [
 VALUE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
 
+class Pattern:
+    """Reads a rule: bytes, escapes, classes, groups, |, ?, *, + and {n,m}. Nodes are
+    (bytes, set), (sequence, nodes), (choice, nodes) and (repeat, node, least, most)."""
+
+    COUNT = re.compile(rb"\?|\*|\+|\{(\d+)(,?)(\d*)\}")
+
+    def __init__(self, text: bytes) -> None:
+        self.text, self.i = text, 0
+
+    def next_is(self, stops: bytes) -> bool:
+        return self.text[self.i : self.i + 1] in [stops[k : k + 1] for k in range(len(stops))]
+
+    def byte(self) -> int:
+        c = self.text[self.i]
+        self.i += 1
+        if c != 0x5C:
+            return c
+        c = self.text[self.i]
+        self.i += 1
+        if c == 0x78:
+            self.i += 2
+            return int(self.text[self.i - 2 : self.i], 16)
+        if chr(c).isalnum():
+            raise ValueError(f"rule patterns have no escape {chr(c)}")
+        return c
+
+    def choice(self) -> tuple:
+        options = [self.sequence()]
+        while self.next_is(b"|"):
+            self.i += 1
+            options.append(self.sequence())
+        return ("choice", options)
+
+    def sequence(self) -> tuple:
+        items = []
+        while self.i < len(self.text) and not self.next_is(b"|)"):
+            items.append(self.repeated(self.one()))
+        return ("sequence", items)
+
+    def repeated(self, node: tuple) -> tuple:
+        m = self.COUNT.match(self.text, self.i)
+        if not m:
+            return node
+        self.i = m.end()
+        if m[0] in (b"?", b"*", b"+"):
+            return ("repeat", node, int(m[0] == b"+"), 1 if m[0] == b"?" else None)
+        return ("repeat", node, int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1]))
+
+    def one(self) -> tuple:
+        if self.next_is(b"("):
+            self.i += 1
+            node = self.choice()
+            self.i += 1
+            return node
+        if self.next_is(b".^$*+?{"):
+            raise ValueError(f"rule patterns have no {chr(self.text[self.i])} here")
+        if not self.next_is(b"["):
+            return ("bytes", frozenset([self.byte()]))
+        self.i += 1
+        found: set[int] = set()
+        while not self.next_is(b"]"):
+            first = last = self.byte()
+            if self.next_is(b"-") and self.text[self.i + 1 : self.i + 2] != b"]":
+                self.i += 1
+                last = self.byte()
+            found.update(range(first, last + 1))
+        self.i += 1
+        return ("bytes", frozenset(found))
+
+
 class Nfa:
     """States with empty moves and moves on sets of bytes."""
 
@@ -58,51 +127,34 @@ class Nfa:
         self.moves.append([])
         return len(self.empty) - 1
 
-    def add(self, items, at: int) -> int:
-        """Append a parsed pattern at a state; gives the state behind it."""
-        for op, arg in items:
-            if op in (K.LITERAL, K.IN):
-                to = self.state()
-                self.moves[at].append((self._bytes(op, arg), to))
-                at = to
-            elif op is K.SUBPATTERN:
-                at = self.add(arg[3], at)
-            elif op is K.BRANCH:
-                to = self.state()
-                for option in arg[1]:
-                    self.empty[self.add(option, at)].append(to)
-                at = to
-            elif op is K.MAX_REPEAT:
-                least, most, inner = arg
-                for _ in range(least):
-                    at = self.add(inner, at)
-                if most is K.MAXREPEAT:
-                    loop, end = self.state(), self.state()
-                    self.empty[at].append(loop)
-                    self.empty[self.add(inner, loop)].append(loop)
-                    self.empty[loop].append(end)
-                    at = end
-                else:
-                    end = self.state()
-                    for _ in range(most - least):
-                        self.empty[at].append(end)
-                        at = self.add(inner, at)
-                    self.empty[at].append(end)
-                    at = end
+    def add(self, node: tuple, at: int) -> int:
+        """Append a pattern at a state; gives the state behind it."""
+        kind, inner, *counts = node
+        if kind == "sequence":
+            for x in inner:
+                at = self.add(x, at)
+            return at
+        end = self.state()
+        if kind == "bytes":
+            self.moves[at].append((inner, end))
+        elif kind == "choice":
+            for x in inner:
+                self.empty[self.add(x, at)].append(end)
+        else:
+            least, most = counts
+            for _ in range(least):
+                at = self.add(inner, at)
+            if most is None:
+                loop = self.state()
+                self.empty[at].append(loop)
+                self.empty[self.add(inner, loop)].append(loop)
+                at = loop
             else:
-                raise ValueError(f"rule patterns have no {op}")
-        return at
-
-    @staticmethod
-    def _bytes(op, arg) -> frozenset[int]:
-        if op is K.LITERAL:
-            return frozenset([arg])
-        found: set[int] = set()
-        for kind, x in arg:
-            if kind not in (K.LITERAL, K.RANGE):
-                raise ValueError(f"byte classes have no {kind}")
-            found |= {x} if kind is K.LITERAL else set(range(x[0], x[1] + 1))
-        return frozenset(found)
+                for _ in range(most - least):
+                    self.empty[at].append(end)
+                    at = self.add(inner, at)
+            self.empty[at].append(end)
+        return end
 
     def reverse(self, start: int, end: int) -> tuple[Nfa, int, int]:
         out = Nfa()
@@ -186,10 +238,10 @@ def compile_rules(rules) -> tuple[Dfa, list[tuple[Dfa, Dfa]]]:
     for r, (_, pattern, *_) in enumerate(rules):
         begin = whole.state()
         whole.empty[start].append(begin)
-        ends[whole.add(_parser.parse(pattern), begin)] = r
+        ends[whole.add(Pattern(pattern).choice(), begin)] = r
         one = Nfa()
         s = one.state()
-        e = one.add(_parser.parse(pattern), s)
+        e = one.add(Pattern(pattern).choice(), s)
         back, s2, e2 = one.reverse(s, e)
         own.append((determinise(one, s, {e: 0}, True), determinise(back, s2, {e2: 0}, False)))
     return determinise(whole, start, ends, True), own
@@ -270,7 +322,9 @@ class Scanner:
                     if end - start >= least and value >= least_value:
                         out.append((r, start, end))
         if out and not data.isascii():
-            out = [(r, len(data[:s].decode("utf-8", "surrogatepass")), len(data[:e].decode("utf-8", "surrogatepass"))) for r, s, e in out]
+            # Code points before each byte: those that begin before it.
+            points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            out = [(r, int(points[s] - 1), int(points[e - 1])) for r, s, e in out]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 

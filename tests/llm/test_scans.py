@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -100,6 +101,32 @@ def test_secret_automaton_against_regexes():
         assert [x for x in scanner.spans(t) if x[0] < 3] == base_spans(t), t
 
 
+def test_rule_patterns_against_regexes():
+    random.seed(14)
+    patterns = [rb"a(b|cd)*e?f{2,3}", rb"[a-c-]+x{2}", rb"\x61\.[x.]b", rb"(ab?|b+)c{1,}", rb"a{0,2}b"]
+    for p in patterns:
+        _, own = compile_rules([("x", p, 0, 0)])
+        forward = own[0][0]
+        for _ in range(2000):
+            t = bytes(random.choice(b"abcdefx-.") for _ in range(random.randint(1, 8)))
+            s, ends = 0, set()
+            for i, c in enumerate(t):
+                s = forward.next_state[s, c]
+                if s >= forward.first_accepting:
+                    ends.add(i + 1)
+            want = {j for i in range(len(t)) for j in range(i + 1, len(t) + 1) if re.fullmatch(p, t[i:j])}
+            assert ends == want, (p, t)
+
+
+def test_many_spans_in_a_long_text_of_any_script():
+    scanner = Scanner(BASE_RULES, compile_rules(BASE_RULES))
+    text = "é token=abcdef12 " * 40_000  # quadratic work would take minutes
+    start = time.time()
+    found = scanner.spans(text)
+    assert found == [(0, 17 * i + 2, 17 * i + 16) for i in range(40_000)]
+    assert time.time() - start < 30
+
+
 def test_secret_query_and_redaction(spark):
     rows = list(enumerate(secret_texts(200))) + ODD + [(900, "x" * 100_000 + " token: abcdef123 ghp_" + "a1B2" * 10)]
     got = {(r.doc_id, r.base_sha256): r for r in scan_secrets(frame(spark, rows)).collect()}
