@@ -1,22 +1,32 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors of a label form a class, which is compared once. A neighbour graph
-over the classes starts from random-hyperplane buckets (in each, vectors next to
-each other in the order of a further projection, another for each table, are compared, so a bucket of any size costs in proportion to
-it) and is refined by joins of neighbours of neighbours: at each vector, the vectors
-of its list and of the lists it stands in are compared with one another, and a pair
-goes on if it betters the list of either. Rounds end when few lists change.
-
-Lists hold K neighbours. One whose neighbours all meet the threshold is saturated,
-as there may be more; it is enlarged to the whole component of threshold links, whose
-vectors are compared block by block, so no task holds more than two blocks and only
-counts leave it. The same gives exact link counts within every component.
-
-Recall is audited: the links of a uniform sample of vectors, enlarged until it has
-AUDIT_LINKS of them or is all vectors, are found by brute force, and more hyperplane
-tables are added while too many of them join different components. If that never ends,
-the vectors of each label are compared completely, block by block; a task gives out one
-link for each two components it finds joined.
+over the classes starts from random-hyperplane orders: in each table vectors are sorted
+by the signs of their projections and then by one more projection, and neighbours in
+that order are compared, so a bucket of any size is split as far as it takes and
+costs in proportion to it. The graph is refined by joins of neighbours of neighbours: at
+each vector, the vectors of its list and of the lists it stands in are compared with one
+another, and a pair goes on if it betters the list of either. Rounds end when few lists
+change. Of pairs that meet the threshold none is lost: a join gives out what its vectors
+are joined to by them, whether a list has room or not.
+
+Lists hold K neighbours. One whose neighbours all meet the threshold is saturated, as
+there may be more. Its neighbours are then in its component; the list is enlarged by the K
+nearest outside of the component, and descent goes on with both. Two components with any
+compared pair within MARGIN of the threshold are compared whole, block by block. All this
+is repeated until no components are joined any more. Links of each vector are counted
+within its component, block by block, so no task holds more than two blocks and only
+counts leave it.
+
+Recall is audited: the links of a uniform sample of vectors, enlarged until AUDIT_LINKS
+of them have links or it is all vectors, are found by brute force; what counts is how
+many of those vectors have all their links inside their component. More hyperplane tables
+are added while too few have. If that never ends, the vectors of each label are compared
+completely, block by block; a task gives out one link for each two components it finds
+joined.
+
+No task gets all members of a large component or all copies of a vector: what is said of
+those is copied to SALT places that their rows are dealt to.
 
 Results for special inputs: vectors that are null, zero, empty or hold null or
 non-finite components and rows without a label link with nothing (component_id is
@@ -28,8 +38,8 @@ not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +51,14 @@ from .common import stored, temporary_tables
 from .components import components
 
 THRESHOLD = 0.93
+MARGIN = 0.1
 NEIGHBOURS = 6
 TABLES = 16
-ROUNDS = 4
-STEP = 3  # places along a bucket
+BITS = 40
+ROUNDS = 6
+STEP = 3  # places along an order
 BLOCK = 1000
+SALT = 64
 AUDIT = 256
 AUDIT_LINKS = 400  # of which 2 % are 8
 
@@ -70,13 +83,13 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    rows = stored(source.mapInArrow(run, "vec_id long, label string, vec binary"), "vectors", keep=True)
+    rows = stored(source.mapInArrow(run, "vec_id long, label string, vec binary"), "vectors")
     found = rows.where("vec IS NOT NULL").groupBy("label", "vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     return rows, stored(found.select(F.monotonically_increasing_id().alias("cid"), "label", "vec", F.octet_length("vec").alias("size"), "least_id", "copies"), "classes")
 
 
-def _buckets(classes: DataFrame, tables: range, bits: int) -> DataFrame:
-    """Compared pairs (a, b, sim) of vectors that stand near each other in a bucket."""
+def _buckets(classes: DataFrame, tables: range, bits: int = BITS) -> DataFrame:
+    """Compared pairs (a, b, sim) of vectors that stand near each other in an order."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -98,7 +111,7 @@ def _buckets(classes: DataFrame, tables: range, bits: int) -> DataFrame:
             now = pa.Table.from_batches([b])
             whole = pa.concat_tables([before.slice(max(0, len(before) - STEP)), now]) if before else now
             fresh, before = len(whole) - len(now), whole
-            key = whole.select(["t", "label", "size", "sig"]).to_pandas()
+            key = whole.select(["t", "label", "size"]).to_pandas()
             group = (key != key.shift()).any(axis=1).cumsum().to_numpy()
             cid, raw = whole["cid"].to_numpy(), whole["vec"]
             for size in np.unique(key["size"]):
@@ -119,59 +132,143 @@ def _pairs(p: np.ndarray, q: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest (u, v, sim) of each vector among compared pairs."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "sim"))
-    return both.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(f"r <= {k}").drop("r")
+def _merged(*pairs: DataFrame) -> DataFrame:
+    every = reduce(DataFrame.unionByName, [p.select("a", "b", "sim") for p in pairs])
+    return every.groupBy("a", "b").agg(F.first("sim").alias("sim"))
 
 
-def _join_neighbours(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b, sim) of neighbours of a vector that better a list of theirs."""
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-    around = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).groupBy("u", "v").agg(F.first("sim").alias("sim"))
-    around = around.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(f"r <= {2 * k}")
-    known = classes.select(F.col("cid").alias("v"), "vec").join(worst.withColumnRenamed("u", "v"), "v")
-    lists = around.select("u", "v").join(known, "v").groupBy("u").agg(F.collect_list(F.struct("v", "worst", "vec")).alias("m"))
+def _ends(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """pairs (a, b, sim) with the components of both."""
+    return pairs.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
+
+
+def _lists(pairs: DataFrame, comp: DataFrame, k: int) -> DataFrame:
+    """The lists (u, v, sim, own) of vectors: among compared pairs the k nearest in
+    their component and as many outside. comp: (cid, comp)."""
+    p = _ends(pairs, comp).withColumn("own", F.col("ca") == F.col("cb"))
+    both = p.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim", "own").unionByName(p.select(F.col("b").alias("u"), F.col("a").alias("v"), "sim", "own"))
+    return _nearest(both, k)
+
+
+def _nearest(both: DataFrame, k: int) -> DataFrame:
+    return both.withColumn("r", F.row_number().over(W.partitionBy("u", "own").orderBy(F.desc("sim"), "v"))).where(f"r <= {k}").drop("r")
+
+
+def _join_neighbours(graph: DataFrame, classes: DataFrame, comp: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b, sim) of neighbours of a vector that better a list of theirs, and
+    without sim what threshold links among them join."""
+    least = lambda own: F.when(F.count_if(own) >= k, F.min(F.when(own, F.col("sim")))).otherwise(-2.0)
+    worst = graph.groupBy(F.col("u").alias("v")).agg(least(F.col("own")).alias("inside"), least(~F.col("own")).alias("outside"))
+    around = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "own")).groupBy("u", "v", "own").agg(F.first("sim").alias("sim"))
+    known = classes.select(F.col("cid").alias("v"), "vec").join(comp.toDF("v", "comp"), "v").join(worst, "v")
+    lists = _nearest(around, 2 * k).select("u", "v").join(known, "v").groupBy("u").agg(F.collect_list(F.struct("v", "comp", "inside", "outside", "vec")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 column = b.column(0).slice(i, 512)
                 m, lengths = column.flatten(), np.array(column.value_lengths())
-                cid, worst, vec = m.field(0).to_numpy(), m.field(1).to_numpy(), m.field(2).to_pylist()
+                cid, c, inside, outside = (m.field(j).to_numpy() for j in range(4))
+                vec = m.field(4).to_pylist()
                 starts = np.cumsum(lengths) - lengths
                 size = np.array([len(vec[s]) for s in starts])
                 for n, w in {(int(n), int(w)) for n, w in zip(lengths, size, strict=True) if n > 1}:
                     at = starts[(lengths == n) & (size == w)][:, None] + np.arange(n)
-                    x = np.frombuffer(b"".join(vec[j] for j in at.ravel()), np.float64).reshape(len(at), n, -1)
-                    x = x / np.linalg.norm(x, axis=2, keepdims=True)
+                    x = _matrix([vec[j] for j in at.ravel()]).reshape(len(at), n, -1)
                     sim = x @ x.transpose(0, 2, 1)
-                    g, p, q = np.nonzero(np.triu(sim > np.minimum(worst[at][:, :, None], worst[at][:, None, :]), 1))
+                    same = c[at][:, :, None] == c[at][:, None, :]
+                    bar = np.where(same, inside[at][:, :, None], outside[at][:, :, None])
+                    g, p, q = np.nonzero(np.triu(sim > np.minimum(bar, bar.transpose(0, 2, 1)), 1))
                     yield _pairs(cid[at[g, p]], cid[at[g, q]], sim[g, p, q])
+                    near = (sim >= threshold) & ~same
+                    first, before = np.tile(np.arange(n), (len(at), 1)), None
+                    while before is None or (first != before).any():  # the first that links reach
+                        before = first
+                        first = np.minimum(first, np.where(near, first[:, None, :], n).min(axis=2))
+                    g, p = np.nonzero(first < np.arange(n))
+                    yield _pairs(cid[at[g, p]], cid[at[g, first[g, p]]], np.full(len(g), np.nan))
 
     return lists.select("m").mapInArrow(run, "a long, b long, sim double")
 
 
-def _descend(pairs: DataFrame, classes: DataFrame, k: int, rounds: int) -> DataFrame:
-    graph = stored(_best(pairs, k), "graph")
+def _descend(pairs: DataFrame, classes: DataFrame, comp: DataFrame, k: int, rounds: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(lists, links) when few lists change any more."""
+    graph = stored(_lists(pairs, comp, k), "graph")
+    links = pairs.where(F.col("sim") >= threshold).select("a", "b")
     for _ in range(rounds):
-        n = graph.count()
-        found = _join_neighbours(graph, classes, k)
+        found = stored(_join_neighbours(graph, classes, comp, k, threshold), "found")
+        links = links.unionByName(found.where("isnan(sim)").select("a", "b"))
         old = graph.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "sim")
-        merged = old.unionByName(found).groupBy("a", "b").agg(F.first("sim").alias("sim"))
-        better = stored(_best(merged, k), "graph")
-        changed = better.join(graph, ["u", "v"], "left_anti").count()
-        graph = better
+        before = graph.select("u", "v", F.lit(True).alias("known"))
+        graph = stored(_lists(_merged(old, found.where("NOT isnan(sim)")), comp, k).join(before, ["u", "v"], "left"), "graph")
+        n, changed = graph.agg(F.count("*"), F.count_if(F.col("known").isNull())).first()
+        graph = graph.drop("known")
         if changed <= 0.02 * n:
             break
-    return graph
+    edges = graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return graph, links.unionByName(edges)
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """comp (cid, comp) after links (a, b) between vectors, and how many it joined."""
+    between = links.distinct().join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb")
+    to = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("comp", "to")
+    out = stored(comp.join(to, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp"), F.col("to").isNotNull().alias("new")), "components")
+    return out.drop("new"), out.where("new").count()
+
+
+def _members(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The classes of components of two and more, with the component's size if that is
+    over BLOCK."""
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
+    large = sizes.where(f"n > {BLOCK}").select("comp", "n", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    held = comp.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT))).join(large, ["comp", "salt"], "left")
+    return stored(classes.join(held, "cid"), "members")
+
+
+def _with(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """members joined with what is said of their components (comp, ...); for large
+    ones at SALT places, so that no task gets all members of one."""
+    copied = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    large = members.where("n IS NOT NULL")
+    hot = large.join(copied.join(large.select("comp").distinct(), "comp", "left_semi"), ["comp", "salt"])
+    return hot.unionByName(members.where("n IS NULL").join(facts, "comp"), allowMissingColumns=True)
+
+
+def _near_components(pairs: DataFrame, graph: DataFrame, comp: DataFrame, members: DataFrame, least: float, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) between components with a compared pair of a similarity of `least`
+    or more: the larger one's members are compared with those of all others near it."""
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
+    compared = _merged(pairs, graph.where("NOT own").select(F.col("u").alias("a"), F.col("v").alias("b"), "sim")).where(F.col("sim") >= least)
+    met = _ends(compared, comp).where("ca <> cb").select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+    met = met.join(sizes.toDF("ca", "na"), "ca").join(sizes.toDF("cb", "nb"), "cb").where("na > 1 OR nb > 1")
+    near = stored(met.select(F.when(F.col("na") >= F.col("nb"), F.col("ca")).otherwise(F.col("cb")).alias("g"), F.when(F.col("na") >= F.col("nb"), F.col("cb")).otherwise(F.col("ca")).alias("comp"), F.greatest("na", "nb").alias("left"), F.least("na", "nb").alias("right")), "near")
+    parts = near.groupBy("g").agg(F.ceil(F.first("left") / block).cast("int").alias("p_of"), F.ceil(F.sum("right") / block).cast("int").alias("q_of"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    left = _with(members, parts.withColumnRenamed("g", "comp")).select(F.col("comp").alias("g"), one("p_of").alias("p"), every("q_of").alias("q"), F.lit(True).alias("left"), "comp", "vec")
+    right = _with(members, near.join(parts, "g").select("comp", "g", "p_of", "q_of")).select("g", every("p_of").alias("p"), one("q_of").alias("q"), F.lit(False).alias("left"), "comp", "vec")
+
+    def compare(t: pa.Table) -> pa.Table:
+        near, comps = np.array(t["left"]), t["comp"].to_numpy()
+        left, right = np.flatnonzero(near), np.flatnonzero(~near)
+        hit: set[int] = set()
+        vecs = t["vec"].to_pylist()
+        for size in {len(v) for v in vecs}:
+            x, y = ([i for i in side if len(vecs[i]) == size] for side in (left, right))
+            if x and y:
+                hit |= set(comps[y][(_matrix([vecs[i] for i in y]) @ _matrix([vecs[i] for i in x]).T >= threshold).any(1)].tolist())
+        own = int(comps[left[0]]) if len(left) else 0
+        return pa.table({"a": pa.array([own] * len(hit), pa.int64()), "b": pa.array(sorted(hit), pa.int64())})
+
+    return left.unionByName(right).groupBy("g", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(cid, links): vectors linked directly to each class of a component, other
-    than its own copies. members: (comp, cid, vec, copies), compared in blocks."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "comp").withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    than its own copies, compared in blocks."""
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
+    dealt = _with(members, sizes).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # Block i meets every block j once, as the pair (least, greatest).
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("comp", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cid", "vec", "copies")
@@ -196,52 +293,49 @@ def _matrix(vecs: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _held(classes: DataFrame, comp: DataFrame) -> DataFrame:
-    return classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-
-
 def audit(classes: DataFrame, comp: DataFrame, threshold: float, sample: int = AUDIT, links: int = AUDIT_LINKS) -> tuple[int, int]:
-    """(found, all) of the links of a uniform sample of vectors, by brute force: the
-    sample against all vectors. Links within a component count as found. The sample
-    grows in parts of at most 16 times `sample` until it has enough links."""
-    held = stored(_held(classes, comp).select("cid", "label", "vec", "comp", F.pmod(F.xxhash64(F.lit("audit"), "cid"), F.lit(2**40)).alias("h")), "held")
+    """(whole, linked): of a uniform sample of vectors, compared with all by brute force,
+    how many have links and how many of these all of them inside their component. The
+    sample grows in parts of at most 16 times `sample` until enough have links."""
+    held = stored(classes.join(comp, "cid").select("cid", "label", "vec", "comp", F.pmod(F.xxhash64(F.lit("audit"), "cid"), F.lit(2**40)).alias("h")), "held")
     n, done, size = held.count(), 0.0, sample
-    found = total = 0
-    while done < 1 and total < links:
+    whole = linked = 0
+    while done < 1 and linked < links:
         upto = 1.0 if n <= 2 * size else min(1.0, done + size / n)
         asked = held.where((F.col("h") >= int(done * 2**40)) & (F.col("h") < int(upto * 2**40))).drop("h").collect()
         shared = held.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             groups: dict[tuple, list] = {}
-            for c, label, vec, k in shared.value:
-                groups.setdefault((label, len(vec)), []).append((c, vec, k))
-            by = {g: (np.array([r[0] for r in own]), _matrix([r[1] for r in own]), np.array([r[2] for r in own])) for g, own in groups.items()}
-            hits = all_ = 0
+            for i, (c, label, vec, k) in enumerate(shared.value):
+                groups.setdefault((label, len(vec)), []).append((i, c, vec, k))
+            by = {g: (np.array([r[0] for r in own]), np.array([r[1] for r in own]), _matrix([r[2] for r in own]), np.array([r[3] for r in own])) for g, own in groups.items()}
+            some, lost = np.zeros(len(shared.value), bool), np.zeros(len(shared.value), bool)
             for b in batches:
                 rows: dict[tuple, list] = {}
                 for c, label, vec, k in zip(*(x.to_pylist() for x in b.columns), strict=True):
                     if (label, len(vec)) in by:
                         rows.setdefault((label, len(vec)), []).append((c, vec, k))
                 for g, own in rows.items():
+                    at, cid, x, k = by[g]
                     for i in range(0, len(own), BLOCK):
                         part = own[i : i + BLOCK]
-                        near = by[g][1] @ _matrix([r[1] for r in part]).T >= threshold
-                        near &= by[g][0][:, None] != np.array([r[0] for r in part])
-                        all_ += int(near.sum())
-                        hits += int((near & (by[g][2][:, None] == np.array([r[2] for r in part]))).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([all_], pa.int64())], names=["found", "total"])
+                        near = (x @ _matrix([r[1] for r in part]).T >= threshold) & (cid[:, None] != np.array([r[0] for r in part]))
+                        some[at] |= near.any(1)
+                        lost[at] |= (near & (k[:, None] != np.array([r[2] for r in part]))).any(1)
+            i = np.flatnonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(lost[i])], names=["i", "lost"])
 
-        r = held.drop("h").mapInArrow(run, "found long, total long").agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-        found, total, done, size = found + r[0], total + r[1], upto, min(2 * size, 16 * sample)
-    return found, total
+        found = held.drop("h").mapInArrow(run, "i long, lost boolean").groupBy("i").agg(F.max("lost").alias("lost")).agg(F.count("*"), F.count_if(~F.col("lost"))).first()
+        linked, whole, done, size = linked + found[0], whole + found[1], upto, min(2 * size, 16 * sample)
+    return whole, linked
 
 
 def _links_by_blocks(classes: DataFrame, comp: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): a link for each two components that a pair of blocks of a label joins."""
-    held = _held(classes, comp).select("label", "size", "cid", "comp", "vec")
-    sizes = held.groupBy("label", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = held.join(sizes, ["label", "size"]).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    held = classes.join(comp, "cid").select("label", "size", "cid", "comp", "vec", F.pmod(F.xxhash64("cid"), F.lit(SALT)).alias("salt"))
+    sizes = held.groupBy("label", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = held.join(sizes, ["label", "size", "salt"]).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "size", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cid", "comp", "vec")
 
@@ -265,25 +359,42 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k:
 
 def _near_duplicate_vectors(vectors: DataFrame, threshold: float, k: int, tables: int, rounds: int, block: int, recall: float) -> DataFrame:
     rows, classes = _classes(vectors)
-    n, labels = classes.agg(F.count("*"), F.countDistinct("label")).first()
-    bits = max(6, min(30, math.ceil(math.log2(max(2, n / max(1, labels))))))
-    pairs, comp = None, None
+    comp, pairs = classes.select("cid", F.col("cid").alias("comp")), None
     for attempt in range(4):  # more tables while the audit finds too many links missing
-        more = _buckets(classes, range(attempt * tables, (attempt + 1) * tables), bits)
-        pairs = stored(more if pairs is None else pairs.unionByName(more).groupBy("a", "b").agg(F.first("sim").alias("sim")), "pairs")
-        graph = _descend(pairs, classes, k, rounds)
-        links = graph.select(F.col("u").alias("a"), F.col("v").alias("b"), "sim").unionByName(pairs).where(F.col("sim") >= threshold).select("a", "b")
-        comp = stored(components(links), "components")
-        found, total = audit(classes, comp, threshold)
-        if found >= recall * total:
+        more = _buckets(classes, range(attempt * tables, (attempt + 1) * tables))
+        pairs = stored(more if pairs is None else _merged(pairs, more), "pairs")
+        graph, joined = None, 1
+        while joined:  # lists of saturated vectors are enlarged outside their components
+            known = pairs if graph is None else _merged(pairs, graph.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"), "sim"))
+            graph, links = _descend(known, classes, comp, k, rounds, threshold)
+            comp, joined = _joined(comp, links)
+            graph = _regrouped(graph, comp)
+            near = _near_components(pairs, graph, comp, _members(classes, comp), threshold - MARGIN, threshold, block)
+            comp, more = _joined(comp, near)
+            joined += more
+        whole, linked = audit(classes, comp, threshold)
+        if whole >= recall * linked:
             break
     else:  # no number of tables did: all others exactly
-        comp = stored(components(links.unionByName(_links_by_blocks(classes, comp, threshold, block))), "components")
-    members = classes.join(comp.withColumnRenamed("node", "cid"), "cid")
-    counts = _counted(members.select("comp", "cid", "vec", "copies"), threshold, block)
+        comp, _ = _joined(comp, _links_by_blocks(classes, comp, threshold, block))
+    members = _members(classes, comp)
+    counts = _counted(members, threshold, block)
     least = members.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    linked = members.select("cid", "comp").join(least, "comp").join(counts, "cid").select("cid", "component_id", "links")
-    of_class = classes.join(linked, "cid", "left").select("label", "vec", "copies", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.join(stored(of_class, "labels", keep=True), ["label", "vec"], "left")
+    of_class = _with(members, least).join(counts, "cid", "left").select("label", "vec", "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    out = _labelled(rows, stored(of_class, "labels"))
     component = F.when(F.col("copies").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def _regrouped(graph: DataFrame, comp: DataFrame) -> DataFrame:
+    ends = graph.drop("own").join(comp.toDF("u", "cu"), "u").join(comp.toDF("v", "cv"), "v")
+    return ends.select("u", "v", "sim", (F.col("cu") == F.col("cv")).alias("own"))
+
+
+def _labelled(rows: DataFrame, of_class: DataFrame) -> DataFrame:
+    """rows with what is said of their class; rows of a vector with many copies meet
+    it at SALT places."""
+    many = of_class.where(f"copies > {BLOCK}").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = stored(rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALT))).join(many, ["label", "vec", "salt"], "left"), "met").drop("salt")
+    few = met.where("copies IS NULL").select("vec_id", "label", "vec").join(of_class.where(f"copies <= {BLOCK}"), ["label", "vec"], "left")
+    return stored(met.where("copies IS NOT NULL").unionByName(few).drop("vec", "label"), "labelled", keep=True)

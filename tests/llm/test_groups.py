@@ -101,8 +101,31 @@ def test_vectors_against_all_pairs(spark):
     got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=25).collect()
     found = {r.vec_id: r for r in got}
     assert len(got) == len(rows)
-    assert sum(found[i].n_links == degree[i] and found[i].component_id == want[i] for i in label) >= 0.98 * len(rows)
-    assert all(found[i].n_links <= degree[i] for i in label)
+    assert {i: (r.n_links, r.component_id) for i, r in found.items()} == {i: (degree[i], want[i]) for i in label}
+    assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_single_links_between_large_groups(spark):
+    """Tight groups of 200 vectors, two and two joined by one link of cosine 0.94."""
+    rng = np.random.default_rng(11)
+    rows, n = [], 0
+    for label in range(4):
+        q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+        centre, other, away = q[0], np.cos(0.49) * q[0] + np.sin(0.49) * q[1], np.arccos(0.94)
+        left = [centre + 0.006 * rng.standard_normal(64) for _ in range(200)]
+        right = [other + 0.006 * rng.standard_normal(64) for _ in range(200)]
+        bridge = [np.cos(a) * q[0] + np.sin(a) * q[1] for a in ((0.49 - away) / 2, (0.49 + away) / 2)]
+        for v in (*left, *right, *bridge):
+            rows.append((n, v.tolist(), label))
+            n += 1
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([k for *_, k in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    want = joined(range(n), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near, 1))])
+    got = {r.vec_id: r for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=150).collect()}
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert {i: r.n_links for i, r in got.items()} == {i: int(near[i].sum()) - 1 for i in range(n)}
 
 
 def test_lost_vectors_are_audited_and_found(spark, monkeypatch):
@@ -113,7 +136,7 @@ def test_lost_vectors_are_audited_and_found(spark, monkeypatch):
         v = rng.standard_normal(16)
         rows += [(100 + 2 * i, v.tolist(), 1), (101 + 2 * i, (v + 0.02 * rng.standard_normal(16)).tolist(), 1)]
     real = embedding_dedup._buckets
-    monkeypatch.setattr(embedding_dedup, "_buckets", lambda classes, tables, bits: real(classes.where("label = '0'"), tables, bits))
+    monkeypatch.setattr(embedding_dedup, "_buckets", lambda classes, tables: real(classes.where("label = '0'"), tables))
     got = {r.vec_id: r for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=25).collect()}
     assert all(got[100 + 2 * i].component_id == got[101 + 2 * i].component_id == 100 + 2 * i for i in range(40))
 
