@@ -74,6 +74,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+HOT_KEYS = 1 << 16
+
+
+def join_counted(df: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """df joined with facts, which have one row for each key and in `count` how many of
+    df's `total` rows (or more) hold it. Keys with more than total / HOT_KEYS rows, fewer than
+    HOT_KEYS of them, are broadcast and their rows stay where they are, so no task
+    gets all rows of a frequent key."""
+    least = total // HOT_KEYS
+    hot, cold = facts.where(F.col(count) > least), facts.where(F.col(count) <= least)
+    frequent = df.join(F.broadcast(hot), key)
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return frequent.unionByName(rest.join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

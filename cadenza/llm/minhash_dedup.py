@@ -44,15 +44,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stored, temporary_tables
+from .common import join_counted, release, small_batches, stored, temporary_tables
 from .components import components
 
 K = 64
 SHINGLE = 5
 LONG = 64
 BLOCK = 1000
+BLOCK_VALUES = 1 << 20  # hashes that the sets of a block hold together
 SLACK = 0.30  # of the estimate: over five standard deviations at k = 64
 WORD_CACHE = 50_000
+NOT_EMPTY = r"text rlike '[^\\x20\\x09-\\x0D]'"  # it has a word
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,7 +126,8 @@ def lists(values: DataFrame, classes: DataFrame, kept: str, need: str) -> DataFr
     that a similar class must share one of, where more classes than one hold them.
     kept: how many values the class has; need: how many a similar one has of them."""
     often = stored(values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "often")
-    shared = values.join(often, "v").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("m"))
+    total = often.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    shared = join_counted(values, often, "v", "f", total).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("m"))
     found = shared.join(classes.select("cid", "n"), "cid").withColumn("kept", F.expr(kept)).withColumn("first", F.expr(f"cast(size(m) - ({need}) + 1 AS int)"))
     central = F.expr("aggregate(m, 0D, (x, y) -> x + ln(y.f)) / kept")
     found = found.withColumn("central", central).where("first > 0").select("cid", "n", "central", F.explode(F.slice("m", F.lit(1), F.col("first"))).alias("x"))
@@ -134,8 +137,9 @@ def lists(values: DataFrame, classes: DataFrame, kept: str, need: str) -> DataFr
 def _sized(found: DataFrame) -> DataFrame:
     """Lists of two or more with their size and most central member."""
     at = F.struct("central", "cid")
-    sizes = found.groupBy("v").agg(F.count("*").alias("f"), F.max_by("cid", at).alias("hub"), F.max_by("n", at).alias("hub_n")).where("f > 1")
-    return stored(found.join(sizes, "v"), "sized")
+    found = stored(found, "lists")
+    sizes = stored(found.groupBy("v").agg(F.count("*").alias("f"), F.max_by("cid", at).alias("hub"), F.max_by("n", at).alias("hub_n")).where("f > 1"), "sizes")
+    return stored(join_counted(found, sizes, "v", "f", sizes.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]), "sized")
 
 
 def _all_pairs(short: DataFrame) -> DataFrame:
@@ -155,7 +159,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 def _full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, hashes) of some classes, made anew from the texts of those alone."""
-    wanted = cids.join(classes.select("cid", "key", "text_hash"), "cid")
+    wanted = stored(cids.join(classes.select("cid", "key", "text_hash", "copies"), "cid"), "wanted")
+    total = wanted.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -170,9 +175,10 @@ def _full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         hashes.clear()
         release()
 
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").select("cid", "key", "text")
-    # Copies of a text give one set: the same class may be met once for each copy.
-    return stored(texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary"), "sets")
+    texts = join_counted(docs.select("text", F.xxhash64("text").alias("text_hash")), wanted, "text_hash", "copies", total)
+    # One of the copies of a text; another text of that hash is told apart by its set.
+    once = texts.select("cid", "key", "text", F.md5("text").alias("md5")).dropDuplicates(["cid", "md5"]).drop("md5")
+    return stored(once.mapInArrow(sets, "cid long, hashes binary"), "sets")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -238,9 +244,11 @@ def _block_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _across_blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join what links between members (g, cid, outside) of a group
     join, at least one of the two outside."""
-    m = members.join(sets, "cid")
-    parts = members.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("q_of"), F.ceil(F.count_if("outside") / block).cast("int").alias("p_of")).where("p_of > 0")
-    m = m.join(parts, "g")
+    m = stored(members.join(sets, "cid").withColumn("n", F.octet_length("hashes") / 8), "sets")
+    parts = lambda rows, values: F.ceil(F.greatest(rows / block, values / BLOCK_VALUES)).cast("int")
+    own = F.when(F.col("outside"), F.col("n"))
+    parts = m.groupBy("g").agg(F.count("*").alias("f"), parts(F.count("*"), F.sum("n")).alias("q_of"), parts(F.count(own), F.sum(own)).alias("p_of")).where("p_of > 0")
+    m = join_counted(m, parts, "g", "f", m.count())
     all_ = m.select("g", F.explode(F.sequence(F.lit(0), F.col("p_of") - 1)).alias("p"), F.pmod(F.xxhash64("cid"), F.col("q_of")).cast("int").alias("q"), F.lit(False).alias("left"), "cid", "hashes")
     out = m.where("outside").select("g", F.pmod(F.xxhash64("cid"), F.col("p_of")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q_of") - 1)).alias("q"), F.lit(True).alias("left"), "cid", "hashes")
 
@@ -267,13 +275,16 @@ def near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the least
     doc_id reachable over links of similarity 3/4 or more) and kept."""
     with small_batches(docs.sparkSession), temporary_tables(docs.sparkSession):
-        return _near_duplicates(docs, k, long)
+        out = _labelled(docs, k, long).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _near_duplicates(docs: DataFrame, k: int, long: int) -> DataFrame:
-    rows = stored(sketches(docs, k), "sketches", keep=True)
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first(F.struct("text_hash", "n", "sketch")).alias("x"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least_id", "x.*"), "classes")
+def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
+    """(doc_id, text_hash, n, comp, component_id) of each row; comp, the component, is
+    null for an empty set."""
+    rows = stored(sketches(docs, k), "sketches")
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first(F.struct("text_hash", "n", "sketch")).alias("x"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least_id", "copies", "x.*"), "classes")
     need = f"CASE WHEN n <= {3 * k // 4} THEN (3 * n + 3) div 4 ELSE {least_overlap(k)} END"
     sized = _sized(lists(classes.select("cid", F.explode("sketch").alias("v")), classes, f"least(n, {k})", need))
     pairs, many = _all_pairs(sized.where(f"f <= {long}")), sized.where(f"f > {long}").select("cid").distinct()
@@ -293,18 +304,29 @@ def _near_duplicates(docs: DataFrame, k: int, long: int) -> DataFrame:
         if not members.where("outside").isEmpty():
             more = stored(_across_blocks(members, sets), "links")
             comp = stored(components(links.unionByName(more)), "components")
-    of_class = classes.select("cid", "key", "least_id").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    labels = stored(of_class.join(least, "comp").select("key", "component_id"), "labels", keep=True)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(labels, "key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, without those that a near-duplicate with a
-    lesser doc_id stands for; equal texts with one doc_id stay once. Rows without a
-    doc_id stay."""
-    ids = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    of_class = classes.select("cid", "key", "least_id", "copies").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("f"))
+    labels = stored(join_counted(stored(of_class, "classes"), least, "comp", "f", classes.count()).select("key", "comp", "component_id", "copies"), "labels")
+    linked = join_counted(rows.where("n > 0").drop("sketch"), labels, "key", "copies", rows.count()).select("doc_id", "text_hash", "n", "comp", "component_id")
+    alone = rows.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("bigint").alias("comp"), F.col("doc_id").alias("component_id"))
+    return stored(linked.unionByName(alone), "labelled", keep=True)
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
+    """The rows of docs, as they are, but one for each group of near-duplicates: that
+    with the least doc_id (one that is not null before any that is), of these that with
+    the least hash of its text; of rows equal in both, any one. Rows with an empty set stay."""
+    with small_batches(docs.sparkSession), temporary_tables(docs.sparkSession):
+        rows = _labelled(docs.select("doc_id", "text"), k, long).where("comp IS NOT NULL")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        chosen = rows.groupBy("comp").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_hash")
+        rows = rows.withColumns({"own": F.lit(1), "kept": F.lit(0)}).unionByName(chosen.withColumns({"own": F.lit(0), "kept": F.lit(1)}), allowMissingColumns=True)
+        wanted = stored(rows.groupBy("doc_id", "text_hash").agg(F.sum("own").alias("rows"), F.max("kept").alias("kept")).where("kept = 1"), "kept", keep=True)
+    taken = set(docs.columns)
+    name = lambda n: next(x for x in (n + "_" * i for i in range(len(taken) + 1)) if x not in taken)
+    same = (F.col("`doc_id`").cast("long").eqNullSafe(F.col(name("kept_id")))) & (F.xxhash64("text") == F.col(name("kept_hash")))
+    keys = lambda df: df.select(F.col("doc_id").alias(name("kept_id")), F.col("text_hash").alias(name("kept_hash")))
+    full = docs.where(NOT_EMPTY)
+    once = full.join(keys(wanted.where("rows = 1")), same, "left_semi")
+    repeated = full.join(keys(wanted.where("rows > 1")), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).unionByName(docs.where(f"NOT coalesce({NOT_EMPTY}, false)"))

@@ -81,6 +81,12 @@ def test_dropping_near_duplicates(spark):
     rows = [(1, "one two three four five six"), (2, "one two three four five six"), (1, "one two three four five six"), (3, "else"), (None, "x"), (4, None)]
     left = drop_near_duplicates(spark.createDataFrame([(i, t, "s", 1, 2) for i, t in rows], DOCS)).collect()
     assert Counter(r.doc_id for r in left) == Counter([1, 3, None, 4])
+    long = [" ".join(f"w{i}" for i in range(a, a + 40)) for a in (0, 1)]
+    rows = [(None, long[0]), (None, long[0]), (7, long[0]), (7, long[1]), (7, "other"), (7, "other"), (None, "y"), (None, "y"), (5, " "), (5, " "), (None, None), (None, None)]
+    frame = spark.createDataFrame([(i, t, i, t) for i, t in rows], "doc_id int, text string, kept_id int, kept_hash string")
+    left = drop_near_duplicates(frame).collect()
+    assert Counter(r.doc_id for r in left) == Counter([7, 7, None, 5, 5, None, None]) and frame.columns == ["doc_id", "text", "kept_id", "kept_hash"]
+    assert sum(r.text in long for r in left) == 1 and all(r.doc_id == r.kept_id for r in left)
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
