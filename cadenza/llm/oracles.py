@@ -46,4 +46,16 @@ NEAR_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id AS n, embedding::DOUBLE[]
   {_components('v', 'links')}
   SELECT v.n AS vec_id, coalesce(k, 0) AS n_links, comp AS component_id, v.n = comp AS kept FROM v JOIN comp ON node = v.n LEFT JOIN degree USING (n)"""
 
-ORACLES = {"op1_license_scan": _licenses(), "op5_near_dedup": NEAR_DUPLICATES, "op9_embedding_dedup": NEAR_VECTORS}
+# The crc32 of a text: DuckDB has none, so its table and bytes are lists.
+CRC32 = r"""bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+  bytes AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+  keyed AS (SELECT doc_id, coalesce('=' || source, 'null') AS s, size, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS crc FROM bytes, bits)"""
+FRACTION = "(('0x' || substr({}, 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0"
+SHARDS = f"""WITH {CRC32},
+  copies AS (SELECT *, row_number() OVER (PARTITION BY s, doc_id, size, crc) - 1 AS i FROM keyed),
+  hashed AS (SELECT *, md5('42|' || s || '|' || coalesce(doc_id::VARCHAR, '') || '|' || size || '|' || crc || '|' || i) AS h FROM copies),
+  ranked AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h) - 1 + {FRACTION.format("md5('42|' || s)")}) / count(*) OVER (PARTITION BY s) AS f FROM hashed),
+  placed AS (SELECT *, row_number() OVER (ORDER BY f, h) - 1 AS p, count(*) OVER () AS n FROM ranked)
+  SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (p * 40 // n)::INT AS shard, p - ((p * 40 // n) * n + 39) // 40 AS slot, NULL::INT AS grown_shard FROM placed"""
+
+ORACLES = {"op7_sharding": SHARDS, "op1_license_scan": _licenses(), "op5_near_dedup": NEAR_DUPLICATES, "op9_embedding_dedup": NEAR_VECTORS}

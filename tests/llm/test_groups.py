@@ -1,5 +1,6 @@
 """Near-duplicates, shards, conversations and the pipeline against plain loops."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -161,6 +162,27 @@ def test_shards(spark):
     assert shard(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shards_against_a_loop(spark):
+    random.seed(15)
+    rows = [(None if i % 9 == 0 else i // 3, random.choice(["x", None, "é" * (i % 4)]), f"s{i}" if i % 5 == 0 else "hot", 1, 2) for i in range(400)]
+    data = lambda t: (t or "").encode()
+    md5 = lambda *x: hashlib.md5("|".join(["42", *x]).encode()).hexdigest()
+    part = lambda h: (int(h[:8], 16) + 0.5) / 2**32
+    seen, by = Counter(), {}
+    for i, t, s, *_ in rows:
+        key = (f"={s}", "" if i is None else str(i), str(len(data(t)) + 16), str(zlib.crc32(data(t))))
+        by.setdefault(key[0], []).append((md5(*key, str(seen[key])), i, len(data(t)) + 16, zlib.crc32(data(t))))
+        seen[key] += 1
+    order = sorted(((k + part(md5(s))) / len(own), *r) for s, own in by.items() for k, r in enumerate(sorted(own)))
+    want, slots = Counter(), Counter()
+    for p, (_, _, i, size, crc) in enumerate(order):
+        shard_of = p * 7 // len(order)
+        want[i, size, crc, shard_of, slots[shard_of]] += 1
+        slots[shard_of] += 1
+    got = shard(spark.createDataFrame(rows, DOCS), shards=7, buckets=16).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
 def test_shards_match_the_mixture(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 5}", 1, 2) for i in range(3000)]
     got = {r.doc_id: r.shard for r in shard(spark.createDataFrame(rows, DOCS), shards=10).collect()}
