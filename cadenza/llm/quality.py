@@ -3,14 +3,17 @@
 Overlapping heuristic labellers each vote clean, low or toxic for a document, or
 abstain: the annotations where a document has one, a lexicon of words that go with
 toxic annotations, and tests of a text's shape (repeated symbols, capitals, table
-bars, repeated words, ordinary sentences). Expectation-maximisation estimates how
-accurate each labeller is for each class without trusting any of them. Its input is
-the count of every pattern of votes over all documents, which Spark sums; a pattern
-table has a fixed largest size, so the driver can hold it.
-
-The posterior labels of at most `sample` annotated documents (the bound on what is
-fitted; the first by a hash of doc_id) train a hashed linear scorer over words and
-shape features, which then scores every document.
+bars, repeated words, ordinary sentences). The lexicon is made in two folds: documents of
+one are voted on with what the annotations of the other show, so it never repeats the
+annotation that it stands beside. Expectation-maximisation starts from annotations that
+are mostly right and estimates how accurate each labeller is for each class, until the
+likelihood gains nothing more. Its input is the count of every pattern of votes over all
+documents, which Spark sums; a pattern table has a fixed largest size, so the driver can
+hold it.
+
+The posterior labels of at most `sample` annotated documents with at most `sample_bytes`
+of features (the bounds on what is fitted; the first by a hash of doc_id) train a hashed
+linear scorer over words and shape features, which then scores every document.
 
 Results for special inputs: texts without words are rejected as low; a null doc_id
 has no annotation; several annotations of a document count as the worst of them;
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release
@@ -35,6 +38,7 @@ CLEAN, LOW, TOXIC = range(3)
 ABSTAIN = 3
 LABELLERS = ("annotation", "lexicon", "symbols", "capitals", "bars", "repeats", "sentences")
 SAMPLE = 20_000
+SAMPLE_BYTES = 1 << 28
 HASHED = 1 << 18
 SHAPES = 5
 STEPS = 12
@@ -50,12 +54,16 @@ class _Slots(dict):
         return i
 
 
+Lexicons = tuple[frozenset[int], frozenset[int]]
+
+
 class Features:
-    def __init__(self, lexicon: frozenset[int] = frozenset()) -> None:
-        self.slots, self.lexicon = _Slots(), np.array(sorted(lexicon), dtype=np.int64)
+    def __init__(self, lexicons: Lexicons = (frozenset(), frozenset())) -> None:
+        self.slots, self.lexicons = _Slots(), [np.array(sorted(x), dtype=np.int64) for x in lexicons]
 
-    def of(self, text: str | None) -> tuple[np.ndarray, list[int], int]:
-        """(slots, votes of all labellers but the annotation, words) of a text."""
+    def of(self, text: str | None, fold: int = 0) -> tuple[np.ndarray, list[int], int]:
+        """(slots, votes of all labellers but the annotation, words) of a text; its fold
+        says which lexicon votes."""
         if len(self.slots) > CACHE:
             self.slots.clear()
         data = (text or "").encode("utf-8", "surrogatepass")
@@ -73,7 +81,8 @@ class Features:
         shape = [HASHED + i * STEPS + min(STEPS - 1, int(r * 2 * STEPS)) for i, r in enumerate(ratios)]
         symbols, capitals, bars, repeats, sentences = ratios
         low = lambda x: LOW if x else ABSTAIN
-        toxic = len(self.lexicon) and np.isin(found, self.lexicon, assume_unique=True).any()
+        lexicon = self.lexicons[fold]
+        toxic = len(lexicon) and np.isin(found, lexicon, assume_unique=True).any()
         votes = [
             TOXIC if toxic else ABSTAIN,
             low(symbols > 0.1),
@@ -86,14 +95,14 @@ class Features:
 
 
 #: What the batches of a task share.
-_KEPT: dict[frozenset[int], Features] = {}
+_KEPT: dict[Lexicons, Features] = {}
 
 
-def _features(lexicon: frozenset[int]) -> Features:
-    if lexicon not in _KEPT:
+def _features(lexicons: Lexicons) -> Features:
+    if lexicons not in _KEPT:
         _KEPT.clear()
-        _KEPT[lexicon] = Features(lexicon)
-    return _KEPT[lexicon]
+        _KEPT[lexicons] = Features(lexicons)
+    return _KEPT[lexicons]
 
 
 def _done() -> None:
@@ -118,7 +127,7 @@ def lexicon(rows: list[np.ndarray], marks: np.ndarray, least: float = 6.0) -> fr
     return frozenset(np.flatnonzero(leaning(rows, (marks == TOXIC).astype(float))[:HASHED] >= least).tolist())
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray, gain: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """Dawid-Skene by expectation-maximisation over patterns of votes [pattern,
     labeller] and their counts: (log prior [class], log P(vote | class) [labeller,
     class, vote])."""
@@ -129,7 +138,10 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[n
     accuracy[0] = [[0.4, 0.01, 0.01, 0.58], [0.01, 0.4, 0.01, 0.58], [0.01, 0.01, 0.4, 0.58]]
     prior = np.array([0.8, 0.1, 0.1])
     hot = np.eye(4)[votes]  # [pattern, labeller, vote]
-    for _ in range(rounds):
+    before, now = -np.inf, -1e300
+    while now - before > gain * abs(now):  # of the log likelihood, which never falls but for the smoothing
+        joint = np.log(prior) + _evidence(votes, np.log(accuracy))
+        before, now = now, float(counts @ np.logaddexp.reduce(joint, axis=1))
         p = posterior(votes, np.log(prior), np.log(accuracy)) * counts[:, None]
         prior = (p.sum(0) + 1) / (p.sum() + 3)
         n = np.einsum("pk,plv->lkv", p, hot) + 0.01
@@ -137,8 +149,13 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[n
     return np.log(prior), np.log(accuracy)
 
 
+def _evidence(votes: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
+    """log P(votes | class) [pattern, class]."""
+    return accuracy[np.arange(votes.shape[1])[None, :, None], np.arange(3)[None, None, :], votes[:, :, None]].sum(1)
+
+
 def posterior(votes: np.ndarray, prior: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
-    x = prior + accuracy[np.arange(votes.shape[1])[None, :, None], np.arange(3)[None, None, :], votes[:, :, None]].sum(1)
+    x = prior + _evidence(votes, accuracy)
     x = np.exp(x - x.max(1, keepdims=True))
     return x / x.sum(1, keepdims=True)
 
@@ -175,51 +192,62 @@ def _decode(code: int) -> list[int]:
     return [code >> 2 * i & 3 for i in range(len(LABELLERS) - 1)]
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept: bool = False) -> DataFrame:
+def _fold(column: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(2)).cast("int").alias("fold")
+
+
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept: bool = False, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """A row for each row of docs: doc_id, the scorer's probability of each class,
     and kept: it is clean by the scorer and has words. only_kept: instead the rows
     of docs that are kept, as they are."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("fold", _fold())
     worst = F.when(F.max(F.col("toxic").cast("int")) > 0, TOXIC).when(F.min(F.col("quality").cast("int")) < 1, LOW).otherwise(CLEAN)
     marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(worst.alias("mark"))
     some = marks.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _features(frozenset())
+        f = _features((frozenset(), frozenset()))
         for b in batches:
             found = [f.of(t.as_py())[:2] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([_code(v) for _, v in found], pa.int32()), b.column(2)], names=["doc_id", "slots", "code", "mark"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([_code(v) for _, v in found], pa.int32()), b.column(3), b.column(2)], names=["doc_id", "slots", "code", "mark", "fold"])
         _done()
 
-    fitted = rows.join(F.broadcast(some), "doc_id").mapInArrow(features, "doc_id long, slots binary, code int, mark int")
-    fitted = fitted.orderBy("doc_id", "slots").limit(sample).collect()
-    found, codes = [(np.frombuffer(r.slots, np.int32), r.mark) for r in fitted], [r.code for r in fitted]
-    known = lexicon([s for s, _ in found], np.array([y for _, y in found]))
+    fitted = rows.join(F.broadcast(some), "doc_id").mapInArrow(features, "doc_id long, slots binary, code int, mark int, fold int")
+    found, codes, folds, room = [], [], [], sample_bytes
+    for r in fitted.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(sample).toLocalIterator():
+        room -= len(r.slots)
+        if room < 0:
+            break
+        found.append((np.frombuffer(r.slots, np.int32), r.mark))
+        codes.append(r.code)
+        folds.append(r.fold)
+    # Each fold is voted on by the lexicon of the other.
+    known = tuple(lexicon([s for (s, _), x in zip(found, folds, strict=True) if x != fold], np.array([y for (_, y), x in zip(found, folds, strict=True) if x != fold])) for fold in range(2))
     shared = context.broadcast(known)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _features(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_code(f.of(t.as_py())[1]) for t in b.column(1)], pa.int32())], names=["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_code(f.of(t.as_py(), x)[1]) for t, x in zip(b.column(1), b.column(2).to_pylist(), strict=True)], pa.int32())], names=["doc_id", "code"])
         _done()
 
     coded = rows.mapInArrow(vote, "doc_id long, code int").join(marks, "doc_id", "left")
     patterns = coded.groupBy("code", F.coalesce("mark", F.lit(ABSTAIN)).alias("mark")).agg(F.count("*").alias("n")).collect()
     votes = np.array([[r.mark, *_decode(r.code)] for r in patterns], dtype=np.int64).reshape(-1, len(LABELLERS))
     prior, accuracy = estimate(votes, np.array([float(r.n) for r in patterns]))
-    own = np.array([[y, TOXIC if not known.isdisjoint(s.tolist()) else ABSTAIN, *_decode(code)[1:]] for (s, y), code in zip(found, codes, strict=True)], dtype=np.int64).reshape(-1, len(LABELLERS))
+    own = np.array([[y, TOXIC if not known[x].isdisjoint(s.tolist()) else ABSTAIN, *_decode(code)[1:]] for (s, y), code, x in zip(found, codes, folds, strict=True)], dtype=np.int64).reshape(-1, len(LABELLERS))
     weights = fit_scorer([s for s, _ in found], posterior(own, prior, accuracy))
     model = context.broadcast((weights, known, prior, accuracy, bool(found)))
-    del fitted, found, codes, own, patterns, votes
+    del found, codes, own, patterns, votes
     release()
 
     def scored(texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         w, lex, prior, accuracy, trained = model.value
         f, p, kept = _features(lex), [], []
         for t in texts:
-            slots, votes, n = f.of(t.as_py())
+            slots, votes, n = f.of(t.as_py())  # votes count only where nothing trained a lexicon
             if trained:
                 x = w[slots].sum(0) + w[WIDTH]
                 x = np.exp(x - x.max())

@@ -101,6 +101,51 @@ def test_estimated_accuracies():
     assert own == sorted(own, reverse=True)
 
 
+def test_estimates_against_loops():
+    rng = np.random.default_rng(9)
+    votes, counts = rng.integers(0, 4, (30, 7)), rng.integers(1, 200, 30).astype(float)
+    prior, accuracy = quality.estimate(votes, counts, gain=1e-12)
+    p = quality.posterior(votes, prior, accuracy)
+    share = [[math.exp(prior[k]) * math.prod(math.exp(accuracy[j, k, v]) for j, v in enumerate(row)) for k in range(3)] for row in votes.tolist()]
+    assert np.abs(p - [[x / sum(row) for x in row] for row in share]).max() < 1e-9
+    # A fixed point: the posteriors give back the priors and the tables of votes.
+    weight = [[c * x for x in row] for c, row in zip(counts, p.tolist(), strict=True)]
+    for k in range(3):
+        assert (sum(w[k] for w in weight) + 1) / (counts.sum() + 3) == pytest.approx(math.exp(prior[k]), abs=1e-3)
+        for j in range(7):
+            n = [sum(w[k] for w, row in zip(weight, votes, strict=True) if row[j] == v) + 0.01 for v in range(4)]
+            assert [x / sum(n) for x in n] == pytest.approx(np.exp(accuracy[j, k]).tolist(), abs=1e-3)
+
+
+def test_classes_against_a_loop(spark):
+    """Every probability is the scorer's, trained as the operator trains it."""
+    random.seed(21)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(2, 4)))
+    rows = [(i, " ".join([word() for _ in range(30)] + ["vile"] * (i % 4 == 0)) + (" ### $$$" * (i % 5 == 0))) for i in range(200)] + ODD
+    marks = {i: (int(i % 5 > 0), int(i % 4 == 0)) for i in range(0, 200, 2)}
+    labels = spark.createDataFrame([(i, *m) for i, m in marks.items()], "doc_id long, quality int, toxic int")
+    got = {(r.doc_id, round(r.p_clean, 9), round(r.p_low, 9), round(r.p_toxic, 9), r.kept) for r in quality.classify(docs(spark, rows), labels).collect()}
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    hashed = {r.doc_id: (r.h, r.fold) for r in ids.selectExpr("doc_id", "xxhash64(doc_id) AS h", "cast(pmod(xxhash64(doc_id), 2) AS int) AS fold").collect()}
+    mark = {i: quality.TOXIC if t else quality.LOW if not q else quality.CLEAN for i, (q, t) in marks.items()}
+    f, text = quality.Features(), dict(rows)
+    fitted = sorted(mark, key=lambda i: hashed[i][0])
+    slots = {i: f.of(text[i])[0] for i in fitted}
+    known = tuple(quality.lexicon([slots[i] for i in fitted if hashed[i][1] != x], np.array([mark[i] for i in fitted if hashed[i][1] != x])) for x in (0, 1))
+    f = quality.Features(known)
+    votes = Counter((mark.get(i, quality.ABSTAIN), *f.of(t, hashed[i][1])[1]) for i, t in rows)
+    prior, accuracy = quality.estimate(np.array(list(votes)), np.array(list(votes.values()), float))
+    own = np.array([[mark[i], *f.of(text[i], hashed[i][1])[1]] for i in fitted])
+    w = quality.fit_scorer([slots[i] for i in fitted], quality.posterior(own, prior, accuracy))
+    want = set()
+    for i, t in rows:
+        s, _, n = f.of(t)
+        x = [sum(w[k, c] for k in s) + w[quality.WIDTH, c] for c in range(3)]
+        e = [math.exp(v - max(x)) for v in x]
+        want.add((i, *(round(v / sum(e), 9) for v in e), bool(n and x.index(max(x)) == quality.CLEAN)))
+    assert len(got ^ want) <= 2 and {(i, k) for i, *_, k in got} == {(i, k) for i, *_, k in want}  # but for last digits
+
+
 def test_classifier_on_held_out_rows(spark):
     random.seed(7)
     bad = ["vile", "awful", "rotten"]
