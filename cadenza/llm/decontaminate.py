@@ -1,15 +1,16 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are normalised (lower case, runs of other than letters and digits as one
-space). An item of m characters may differ by a budget of e = error_rate * m
-edits; cut into e + 1 pieces, one of them stands unchanged in any match. All pieces
+space) and taken as UTF-8 bytes, of which one is an edit: another letter outside ASCII
+costs as many as it has bytes. An item of m bytes may differ by a budget of
+e = error_rate * m edits; cut into e + 1 pieces, one of them stands unchanged in any match. All pieces
 of all items are searched at once; around each hit the whole item is verified by
 Myers' bit-parallel edit distance against the text near the hit, so results are
 exact for the budget.
 
 The benchmark is small beside the corpus and its size is checked: its pieces are
-broadcast in sets of at most `items_per_scan` items, one pass over the texts for
-each set, so a larger benchmark takes more passes and not more memory.
+broadcast in sets of at most `items_per_scan` items and some SCAN_BYTES of text, one pass
+over the texts for each set, so a larger benchmark takes more passes and not more memory.
 
 Results for special inputs: null or empty texts and items match nothing; equal
 items and rows each give their own rows; empty tables give no rows.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 ERROR_RATE = 0.08
 ITEMS_PER_SCAN = 20_000
+SCAN_BYTES = 1 << 24
 _TEXT_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -99,12 +101,14 @@ class Matcher:
 def _item_sets(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in sets that are fit to broadcast."""
     items: list[tuple[int, str]] = []
+    held = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).toLocalIterator():
         if text := normalised(row.text):
             items.append((row.item_id, text))
-        if len(items) == size:
+            held += len(text)
+        if len(items) == size or held >= SCAN_BYTES:
             yield items
-            items = []
+            items, held = [], 0
     if items:
         yield items
 
