@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -217,6 +218,73 @@ def test_chats_in_reply_order(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def chat_loop(rows):
+    """(conv_id, turn) -> (root's conversation, position, what it replies to, depth)."""
+    normal = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    said, quotes = {}, {}
+    for conv, turn, _, text in rows:
+        lines = [(len(re.sub("[^>]", "", m[0])) if (m := re.match("[ \t]*(>[ \t]*)+", x)) else 0, re.sub("^([ \t]*>)+", "", x).strip(" ")) for x in text.split("\n")]
+        own = [x for n, x in lines if n == 0]
+        said[conv, turn] = {normal(x) for x in [*own, "\n".join(own).strip()]} - {""}
+        quotes[conv, turn] = []
+        for level in {n for n, _ in lines if n}:
+            i = 0
+            while i < len(lines):
+                j = i
+                while j < len(lines) and lines[j][0] == level:
+                    j += 1
+                body = [x for _, x in lines[i:j]]
+                quotes[conv, turn] += [(level, i - 0, normal(x), len(x)) for x in (["\n".join(body), *body] if body else []) if normal(x)]
+                i = max(j, i + 1)
+    parent = {}
+    for (conv, turn), found in quotes.items():
+        weight = Counter()
+        for level, run, text, n in found:
+            near = [k for k in said if k[0] == conv and k[1] < turn and text in said[k]]
+            far = min((k for k in said if text in said[k]), default=None)
+            if near or far and far[0] < conv:
+                weight[level, run, max(near) if near else far] += n
+        if weight:
+            # Of the lowest level, the original with most of a passage; ties: the later turn.
+            parent[conv, turn] = max((-level, n, (k[1], k)) for (level, _, k), n in weight.items())[2][1]
+    out, place = {}, Counter()
+
+    def walk(k, root, depth):
+        out[k] = (root[0], place[root[0]], parent.get(k), depth)
+        place[root[0]] += 1
+        for child in sorted((c for c, p in parent.items() if p == k), key=lambda c: (c[1], c[0])):
+            walk(child, root, depth + 1)
+
+    for k in sorted(said):
+        if k not in parent:
+            walk(k, k, 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chats_against_a_loop(spark, seed):
+    random.seed(seed)
+    rows, lines = [], [f"line {i} of talk" for i in range(40)]
+    turns = iter(random.sample(range(1000), 200))  # all different, so replies have one order
+    for conv in range(4):
+        for turn in sorted(next(turns) for _ in range(30)):
+            text = [random.choice(lines) for _ in range(random.randint(0, 2))]
+            for level in random.sample([1, 2], random.randint(0, 2)):
+                text = [">" * level + " " + random.choice(lines) for _ in range(random.randint(1, 2))] + text
+            rows.append((conv, turn, "user", "\n".join(text)))
+    want = chat_loop(rows)
+    got = {(r.source_conv_id, r.turn): (r.conv_id, r.position, None if r.reply_to_turn is None else (r.reply_to_conv, r.reply_to_turn), r.reply_depth) for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == want
+
+
+def test_deep_and_broad_replies(spark):
+    chain = [(1, i, "user", f"> word{i - 1}\nword{i}") for i in range(1200)]
+    broad = [(2, 0, "user", "all reply here")] + [(2, i, "user", "> all reply here\nyes " + str(i)) for i in range(1, 500)]
+    got = {(r.source_conv_id, r.turn): r for r in format_chats(spark.createDataFrame(chain + broad, "conv_id long, turn long, role string, text string")).collect()}
+    assert all((got[1, i].reply_depth, got[1, i].position) == (i, i) for i in range(1200))
+    assert all((got[2, i].reply_depth, got[2, i].reply_to_turn, got[2, i].position) == (1, 0, i) for i in range(1, 500))
+
+
 def test_chat_plan_has_no_python(spark):
     df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
     plan = format_chats(df)._jdf.queryExecution().toString()
