@@ -6,6 +6,7 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,19 @@ ROWS = 500  # rows that are Python objects at a time
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session. It is set here only where it is unset, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    It is set here only where it is unset and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file:///tmp/checkpoints/cadenza"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Tables that the innermost temporary_tables() is to remove.
-_TEMPORARY: list[list[str]] = []
+#: Tables that the innermost temporary_tables() of this thread is to remove.
+_TEMPORARY: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
 
 
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -35,8 +38,8 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     table outlives temporary_tables(), as a result is still to be read from it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex[:12]}"
-    if _TEMPORARY and not keep:
-        _TEMPORARY[-1].append(path)
+    if (own := _TEMPORARY.get()) is not None and not keep:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,11 +57,13 @@ def removed(df: DataFrame) -> None:
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside, but for those kept, are removed at the end."""
-    _TEMPORARY.append([])
+    own: list[str] = []
+    outer = _TEMPORARY.set(own)
     try:
         yield
     finally:
-        _delete(spark, _TEMPORARY.pop())
+        _TEMPORARY.reset(outer)
+        _delete(spark, own)
 
 
 @contextmanager
