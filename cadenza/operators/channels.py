@@ -3,14 +3,14 @@ with where the candidates come from."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import r6, unit
 
 from .features import normal_prompt
-from .similarity import products, top
+from .similarity import nearest, products, top
 
 
 def without(df: DataFrame, seeds: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
@@ -65,7 +65,8 @@ def virtual_users(seeds: DataFrame, ui: DataFrame, k: int = 20) -> DataFrame:
 
 def co_liked(ui: DataFrame, n: int = 10) -> DataFrame:
     """(a, b, score): songs of the users of song a, by their number over the highest."""
-    pairs = ui.select("user_id", F.col("song_id").alias("a")).join(ui.select("user_id", F.col("song_id").alias("b")), "user_id").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = ui.select("user_id", F.col("song_id").alias("a")).join(ui.select("user_id", F.col("song_id").alias("b")), "user_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = F.max("n").over(W.partitionBy("a"))
     return top(pairs.withColumn("score", r6(F.col("n") / best)), n, ["a"], "score", "b").select("a", "b", "score", "rank")
 
@@ -132,18 +133,58 @@ def diverse(candidates: DataFrame, n: int = 10) -> DataFrame:
     return out.select("user_id", F.col("x.song_id").alias("song_id"), (-F.col("x.minus")).alias("score"), (F.col("i") + 1).cast("long").alias("rank"))
 
 
-def content(seeds: DataFrame, catalog: DataFrame, n: int = 10) -> DataFrame:
-    """Genre, tag and popularity match with what a user's seeds have in common."""
+def _tastes(seeds: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a user's seeds have in common: (size, popularity, tags in all), genres, tags."""
     liked = seeds.select("user_id", "song_id").distinct().join(catalog, "song_id")
     size = liked.groupBy("user_id").agg(F.count("*").alias("size"), F.min("popularity_score").alias("lo"), F.max("popularity_score").alias("hi"), F.avg("popularity_score").alias("mean"))
     genres = liked.groupBy("user_id", "genre").agg(F.count("*").alias("g"))
     tags = liked.select("user_id", F.explode("tags").alias("tag")).groupBy("user_id", "tag").agg(F.count("*").alias("t"))
-    total = tags.groupBy("user_id").agg(F.sum("t").alias("tags_total"))
-    tagged = catalog.select("song_id", F.explode("tags").alias("tag")).join(tags, "tag").groupBy("user_id", "song_id").agg(F.sum("t").alias("t"))
-    by_genre = catalog.select("song_id", "genre").join(genres, "genre").select("user_id", "song_id", "g")
-    met = tagged.join(by_genre, ["user_id", "song_id"], "full").join(size, "user_id").join(total, "user_id", "left").join(catalog.select("song_id", "popularity_score"), "song_id")
+    return size.join(tags.groupBy("user_id").agg(F.sum("t").alias("tags_total")), "user_id", "left"), genres, tags
+
+
+def _match() -> Column:
+    """0.2 genre share + 0.15 tag share + 0.05 popularity of a song for a user's seeds."""
     p = F.col("popularity_score")
     far = F.least(F.abs(p - F.col("lo")), F.abs(p - F.col("hi")))
     pop = F.when(p.between(F.col("lo"), F.col("hi")), 1.0).otherwise(1 / (1 + far / (F.col("mean") + 1e-8)))
-    score = 0.2 * F.coalesce(F.col("g"), F.lit(0)) / F.col("size") + 0.15 * F.coalesce(F.col("t") / F.col("tags_total"), F.lit(0.0)) + 0.05 * pop
-    return top(without(met.withColumn("score", r6(score)), seeds), n, ["user_id"], "score", "song_id").select("user_id", "song_id", "score", "rank")
+    return r6(0.2 * F.coalesce(F.col("g"), F.lit(0)) / F.col("size") + 0.15 * F.coalesce(F.col("t") / F.col("tags_total"), F.lit(0.0)) + 0.05 * pop)
+
+
+def content(seeds: DataFrame, catalog: DataFrame, n: int = 10) -> DataFrame:
+    """Genre, tag and popularity match with what a user's seeds have in common."""
+    size, genres, tags = _tastes(seeds, catalog)
+    tagged = catalog.select("song_id", F.explode("tags").alias("tag")).join(tags, "tag").groupBy("user_id", "song_id").agg(F.sum("t").alias("t"))
+    by_genre = catalog.select("song_id", "genre").join(genres, "genre").select("user_id", "song_id", "g")
+    met = tagged.join(by_genre, ["user_id", "song_id"], "full").join(size, "user_id").join(catalog.select("song_id", "popularity_score"), "song_id")
+    return top(without(met.withColumn("score", _match()), seeds), n, ["user_id"], "score", "song_id").select("user_id", "song_id", "score", "rank")
+
+
+def content_based(seeds: DataFrame, vectors: DataFrame, catalog: DataFrame, n: int = 10, weight: float = 0.6, excludes: DataFrame | None = None) -> DataFrame:
+    """(user_id, song_id, score, similarity, match, rank): of the 3n songs nearest to the
+    mean of a user's seeds the first n that are new to the user, by 0.6 (1 - angular
+    distance) + 0.4 match. Candidates are cut before they are matched, so a user makes 3n rows."""
+    own = seeds.select("user_id", "song_id").distinct()
+    known = vectors.select("song_id", "vec").join(catalog.select("song_id"), "song_id", "left_semi")
+    means = mean_vectors(own.withColumn("seq", F.col("song_id")), known.withColumn("vec", unit("vec")), last=2**30)
+    near = nearest(means, known, 3 * n, query="user_id", keep_self=True).select(F.col("q").alias("user_id"), "song_id", r6(1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")))).alias("similarity"))
+    met = top(without(near, own, excludes), n, ["user_id"], "similarity", "song_id").drop("rank")
+    size, genres, tags = _tastes(own.join(known.select("song_id"), "song_id", "left_semi"), catalog)
+    songs = catalog.select("song_id", "genre", "popularity_score", F.col("tags").alias("song_tags"))
+    met = met.join(songs, "song_id")
+    shared = met.select("user_id", "song_id", F.explode("song_tags").alias("tag")).join(tags, ["user_id", "tag"]).groupBy("user_id", "song_id").agg(F.sum("t").alias("t"))
+    met = met.join(genres, ["user_id", "genre"], "left").join(shared, ["user_id", "song_id"], "left").join(size, "user_id").withColumn("match", _match())
+    scored = met.withColumn("score", r6(weight * F.col("similarity") + (1 - weight) * F.col("match")))
+    return top(scored, n, ["user_id"], "score", "song_id").select("user_id", "song_id", "score", "similarity", "match", "rank")
+
+
+def content_similar(vectors: DataFrame, n: int = 10) -> DataFrame:
+    """(a, b, score, rank): each song's nearest by 1 - angular distance."""
+    near = nearest(vectors, vectors, n, query="song_id")
+    return near.select(F.col("q").alias("a"), F.col("song_id").alias("b"), r6(1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")))).alias("score"), "rank")
+
+
+def with_cold_seeds(warm: DataFrame, seeds: DataFrame, cold: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Results of users with a seed that someone has; users whose seeds are all cold
+    get those of the fallback channel (content) instead."""
+    other = seeds.select("user_id").distinct().join(seeds.join(cold.select("song_id"), "song_id", "left_anti").select("user_id"), "user_id", "left_anti")
+    return warm.select("user_id", "song_id", "score").unionByName(fallback.join(other, "user_id", "left_semi").select("user_id", "song_id", "score"))

@@ -78,6 +78,13 @@ def viability(ui: DataFrame, catalog: DataFrame) -> DataFrame:
     return all_.withColumn("mean_overlap", r6(F.when(possible > 0, F.col("shared") / possible).otherwise(0.0)))
 
 
+def permutation(ui: DataFrame) -> DataFrame:
+    """(users, items, pairs, is_permutation): whether each user has one song and each
+    song one user, which no collaborative filter can learn from."""
+    n = ui.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("song_id").alias("items"), F.countDistinct("user_id", "song_id").alias("pairs"))
+    return n.withColumn("is_permutation", (F.col("pairs") > 0) & (F.col("users") == F.col("pairs")) & (F.col("items") == F.col("pairs")))
+
+
 def most(ui: DataFrame, k: int = 10) -> DataFrame:
     """The k users and songs with most interactions."""
     return counts(ui, "user_id").orderBy(F.desc("n"), "user_id").limit(k).select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "n").unionByName(

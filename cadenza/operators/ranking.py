@@ -43,22 +43,24 @@ class Din:
 
 
 def click_rates(candidates: DataFrame, history: DataFrame, vectors: DataFrame, model: Din, last: int = 50) -> DataFrame:
-    """(user_id, song_id, ctr); 0.5 without a history or vector. Histories are bounded
-    (last n), candidates are scored in Arrow batches."""
+    """(user_id, song_id, ctr); 0.5 without a history or vector. A user's candidates (a
+    recall stage's, in up to 16 lists) meet the history (last n) as one row and are
+    scored by one call."""
     known = last_n(history.join(vectors.select("song_id"), "song_id", "left_semi"), last).join(vectors.select("song_id", "vec"), "song_id")
     lists = known.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "vec"))), lambda x: x["vec"]).alias("hist"))
-    met = candidates.select("user_id", "song_id").join(vectors.select("song_id", "vec"), "song_id", "left").join(lists, "user_id", "left")
+    met = candidates.select("user_id", "song_id").join(vectors.select("song_id", "vec"), "song_id", "left")
+    met = met.groupBy("user_id", F.pmod(F.xxhash64("song_id"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("song_id", "vec")).alias("c")).join(lists, "user_id", "left")
     shared = candidates.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ctr = []
-            for v, h in zip(b.column(2), b.column(3), strict=True):
-                ok = v.is_valid and h.is_valid and len(h) > 0
-                ctr.append(float(shared.value.rate(np.array([v.as_py()]), np.array(h.as_py()))[0]) if ok else 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ctr, pa.float64())], names=["user_id", "song_id", "ctr"])
+            for user, c, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                ctr, known = np.full(len(c), 0.5), [i for i, x in enumerate(c) if x["vec"] is not None]
+                if known and h:
+                    ctr[known] = shared.value.rate(np.array([c[i]["vec"] for i in known]), np.array(h))
+                yield pa.RecordBatch.from_arrays([pa.array([user] * len(c), pa.int64()), pa.array([x["song_id"] for x in c], pa.int64()), pa.array(ctr)], names=["user_id", "song_id", "ctr"])
 
-    return met.select("user_id", "song_id", "vec", "hist").mapInArrow(run, "user_id long, song_id long, ctr double").withColumn("ctr", r6("ctr"))
+    return met.select(F.col("user_id").cast("long"), "c", "hist").mapInArrow(run, "user_id long, song_id long, ctr double").withColumn("ctr", r6("ctr"))
 
 
 def ranked(rates: DataFrame, excludes: DataFrame, n: int = 10) -> DataFrame:

@@ -18,10 +18,11 @@ def cosine(ui: DataFrame, of: str, over: str) -> DataFrame:
 
     A sparse matrix product: pairs a < b meet on the shared key, their products are
     summed with map-side partial sums, and each pair is mirrored once after that."""
-    side = lambda name, w: ui.select(F.col(over).alias("k"), F.col(of).alias(name), F.col("weight").alias(w))
-    pairs = side("a", "wa").join(side("b", "wb"), "k").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    norms = ui.groupBy(F.col(of).alias("n")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    sims = pairs.join(norms.toDF("a", "na"), "a").join(norms.toDF("b", "nb"), "b").select("a", "b", r6(F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
+    norms = ui.groupBy(of).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    known = ui.join(norms, of)  # norms travel with the few interactions, not with the many pairs
+    side = lambda x: known.select(F.col(over).alias("k"), F.col(of).alias(x), F.col("weight").alias(f"w{x}"), F.col("norm").alias(f"n{x}"))
+    pairs = side("a").join(side("b"), "k").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    sims = pairs.select("a", "b", r6(F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
     both = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return sims.select(both.alias("p"), "sim").select("p.a", "p.b", "sim")
 

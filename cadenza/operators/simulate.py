@@ -89,17 +89,15 @@ def assign_singles(classes: DataFrame, taken: DataFrame, users: DataFrame, seed:
 
 
 def uniform_negatives(positives: DataFrame, catalog: DataFrame, k: int = 50, seed: str = "42", tries: int = 4) -> DataFrame:
-    """Up to k songs of the catalog for each user that the user doesn't have.
+    """k songs of the catalog for each user that the user doesn't have, or all of them if
+    they are fewer. A user's songs are in the order of tries * k drawn numbers, then of
+    a hash; the first that aren't positives are taken.
 
-    Songs are numbered; each user draws tries * k numbers, and the first k different
-    ones that aren't positives stay. Users of small catalogs have all other songs put in
-    hash order instead, and those whose draws leave them short have these after the
-    drawn ones. So only users who have much of the catalog are crossed with it."""
+    Only users whose draws leave them short are joined with all songs: they have most of the
+    catalog (or it is small), so that this makes rows in proportion to the positives."""
     songs = numbered(catalog.select("song_id").distinct(), "song_id")
-    n = songs.agg(F.count("*").alias("songs"))
-    users = positives.groupBy("user_id").agg(F.countDistinct("song_id").alias("own")).join(F.broadcast(n))
-    few = F.col("own") + tries * k >= F.col("songs")
-    drawn = users.where(~few).select("user_id", "songs", F.explode(F.sequence(F.lit(0), F.lit(tries * k - 1))).alias("d"))
+    users = positives.select("user_id").distinct().join(F.broadcast(songs.agg(F.count("*").alias("songs"))))
+    drawn = users.select("user_id", "songs", F.explode(F.sequence(F.lit(0), F.lit(tries * k - 1))).alias("d"))
     drawn = drawn.select("user_id", F.col("d").cast("long").alias("d"), F.floor(uniform(seed, "user_id", "d") * F.col("songs")).cast("long").alias("i"))
     drawn = drawn.groupBy("user_id", "i").agg(F.min("d").alias("d")).join(songs, "i").select("user_id", "song_id", F.col("d").cast("double").alias("o"))
     own = positives.select("user_id", "song_id").distinct()
@@ -107,24 +105,24 @@ def uniform_negatives(positives: DataFrame, catalog: DataFrame, k: int = 50, see
     found = drawn.groupBy("user_id").agg(F.count("*").alias("found"))
     listed = own.join(songs.select("song_id"), "song_id").groupBy("user_id").agg(F.count("*").alias("listed"))
     wanted = F.least(F.lit(k), F.col("songs") - F.coalesce("listed", F.lit(0)))
-    short = users.where(~few).join(found, "user_id", "left").join(listed, "user_id", "left").where(F.coalesce("found", F.lit(0)) < wanted)
-    after = short.select("user_id", F.lit(float(tries * k)).alias("from")).unionByName(users.where(few).select("user_id", F.lit(0.0).alias("from")))
-    rest = after.join(songs.select("song_id")).select("user_id", "song_id", (F.col("from") + uniform(seed, "user_id", "song_id")).alias("o"))
+    short = users.join(found, "user_id", "left").join(listed, "user_id", "left").where(F.coalesce("found", F.lit(0)) < wanted)
+    rest = short.select("user_id").join(songs.select("song_id")).select("user_id", "song_id", (tries * k + uniform(seed, "user_id", "song_id")).alias("o"))
     free = drawn.unionByName(rest.join(own, ["user_id", "song_id"], "left_anti")).groupBy("user_id", "song_id").agg(F.min("o").alias("o"))
     place = F.row_number().over(W.partitionBy("user_id").orderBy("o", "song_id"))
     return free.withColumn("n", place).where(F.col("n") <= k).select("user_id", "song_id", F.lit(0).alias("label"))
 
 
-def running(df: DataFrame, key: str, value: Column, out: str, buckets: int = 1024) -> DataFrame:
+def running(df: DataFrame, key: str, value: Column, out: str, buckets: int = 256) -> DataFrame:
     """df with out, the sum of value over all rows up to the row in order of key. Ranges
-    of the key are summed first and rows inside them, so no sort lands in one task."""
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    df = df.withColumn("_v", value).join(F.broadcast(ends))
-    df = df.withColumn("_b", F.floor((F.col(key) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int"))
+    of the key between quantiles are summed first and rows inside them, so no sort lands in
+    one task however the keys lie."""
+    cuts = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    df = df.withColumn("_v", value).join(F.broadcast(df.agg(F.percentile_approx(key, cuts, F.lit(10 * buckets)).alias("_q"))))
+    df = df.withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(key))))
     n = df.groupBy("_b").agg(F.sum("_v").alias("_s"))
     n = n.select("_b", F.coalesce(F.sum("_s").over(W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    return df.join(n, "_b").withColumn(out, F.col("_before") + F.sum("_v").over(inside)).drop("_v", "_lo", "_hi", "_b", "_before")
+    return df.join(n, "_b").withColumn(out, F.col("_before") + F.sum("_v").over(inside)).drop("_v", "_q", "_b", "_before")
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
@@ -163,5 +161,12 @@ def hard_negatives(shown: DataFrame, user_vectors: DataFrame, vectors: DataFrame
 
 
 def split(df: DataFrame, keys: list[str], held_out: float = 0.2, seed: str = "42") -> DataFrame:
-    """df with part: valid for the rows whose hash falls below the share, else train."""
-    return df.withColumn("part", F.when(uniform(f"{seed}/split", *keys) < held_out, "valid").otherwise("train"))
+    """df with part: valid for the first floor(held_out * n) rows of a shuffle, else train.
+    The shuffle is cut as in item_classes: only counts of its buckets are put in order."""
+    df = df.withColumn("_u", uniform(f"{seed}/split", *keys)).withColumn("_b", F.floor(F.col("_u") * 4096).cast("int"))
+    n = df.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_total"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_u", *keys))
+    part = F.when(place <= F.floor(F.col("_total") * held_out), "valid").otherwise("train")
+    return df.join(F.broadcast(n), "_b").withColumn("part", part).drop("_u", "_b", "_before", "_total")

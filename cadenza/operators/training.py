@@ -1,8 +1,10 @@
 """Data-parallel training of the two-tower and click-rate networks.
 
-Each epoch broadcasts the weights (small arrays), every task adds up the gradients of
-its examples in Arrow batches, Spark sums them, and the driver takes one step of
-Adam. So the driver sees weights and gradients, never examples."""
+Each step broadcasts the weights (small arrays), every task adds up the gradients of
+its examples in Arrow batches, Spark sums them in a tree, and the driver takes one step of
+Adam. So the driver sees weights and gradients, never examples. An epoch has a step for
+each of its parts, which a hash deals; a validation set picks the best epoch's
+weights, and with a folder each epoch's state is stored, from which a run goes on."""
 
 from __future__ import annotations
 
@@ -12,7 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -106,34 +110,86 @@ def _shaped(flat: np.ndarray, like: list[Layers]) -> list[Layers]:
     return out
 
 
-def fit(examples: DataFrame, nets: list[Layers], gradient: Callable, epochs: int = 10, rate: float = 0.01, decay: float = 0.0) -> tuple[list[Layers], list[float]]:
-    """Trained nets and the mean loss of each epoch. gradient(nets, batch) gives (loss,
-    gradients, examples) of an Arrow batch; the learning rate falls as a cosine."""
+def save_weights(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
+    """Arrays as a table (name, shape, x)."""
+    rows = [(n, list(x.shape), np.asarray(x, float).ravel().tolist()) for n, x in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, x array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r.name: np.array(r.x).reshape(r.shape) for r in spark.read.parquet(path).collect()}  # as large as the model
+
+
+def named(nets: list[Layers]) -> dict[str, np.ndarray]:
+    """The arrays of nets by net, layer and w or b, as save_weights takes them."""
+    return {f"{i}/{j}/{'wb'[k]}": x for i, net in enumerate(nets) for j, layer in enumerate(net) for k, x in enumerate(layer)}
+
+
+def unnamed(arrays: dict[str, np.ndarray]) -> list[Layers]:
+    nets: dict[int, dict[int, dict[str, np.ndarray]]] = {}
+    for name, x in arrays.items():
+        i, j, k = name.split("/")
+        nets.setdefault(int(i), {}).setdefault(int(j), {})[k] = x
+    return [[(layer["w"], layer["b"]) for _, layer in sorted(net.items())] for _, net in sorted(nets.items())]
+
+
+def _gradients(examples: DataFrame, flat: np.ndarray, nets: list[Layers], gradient: Callable) -> np.ndarray:
+    """The sums of gradients, and last of losses and examples."""
+    shared = examples.sparkSession.sparkContext.broadcast(flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, loss, n = _shaped(shared.value, nets), np.zeros_like(shared.value), 0.0, 0
+        for b in batches:
+            part, g, k = gradient(now, b)
+            total, loss, n = total + _flat(g), loss + part, n + k
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([np.append(total, [loss, n]).tobytes()], pa.binary())], names=["slot", "x"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in t["x"])
+        return pa.table({"slot": t["slot"].slice(0, 1), "x": pa.array([total.tobytes()], pa.binary())})
+
+    found = examples.mapInArrow(run, "slot int, x binary").groupBy("slot").applyInArrow(add, "slot int, x binary").collect()  # 16 rows at most
+    return sum((np.frombuffer(r.x) for r in found), np.zeros(len(flat) + 2))
+
+
+def fit(examples: DataFrame, nets: list[Layers], gradient: Callable, epochs: int = 10, rate: float = 0.01, decay: float = 0.0, steps: int = 1, valid: DataFrame | None = None, folder: str | None = None) -> tuple[list[Layers], list[float]]:
+    """Trained nets and the mean loss of each epoch (of `valid`, if that is given; then the
+    nets are those of its best epoch). gradient(nets, batch) gives (loss, gradients,
+    examples) of an Arrow batch; the learning rate falls as a cosine. folder: where each
+    epoch's state is kept; a later call goes on behind the last one."""
     spark, flat = examples.sparkSession, _flat(nets)
-    m, v, losses = np.zeros_like(flat), np.zeros_like(flat), []
-    for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast(flat)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now, total, loss, n = _shaped(shared.value, nets), np.zeros_like(shared.value), 0.0, 0
-            for b in batches:
-                part, g, k = gradient(now, b)
-                total, loss, n = total + _flat(g), loss + part, n + k
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 2), pa.int32()), pa.array(np.append(total, [loss, n]))], names=["i", "x"])
-
-        summed = np.zeros(len(flat) + 2)
-        for r in examples.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # as many rows as weights
-            summed[r.i] = r.x
-        n = max(1.0, summed[-1])
-        losses.append(summed[-2] / n)
-        g = summed[:-2] / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * 0.5 * (1 + math.cos(math.pi * epoch / epochs))
-        flat = flat * (1 - step * decay) - step * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
-    return _shaped(flat, nets), losses
-
-
-def fit_towers(examples: DataFrame, size: int, epochs: int = 10, hidden: tuple[int, ...] = (512, 256, 256), seed: int = 42, rate: float = 0.01) -> tuple[list[Layers], list[float]]:
+    m, v, losses, best, first = np.zeros_like(flat), np.zeros_like(flat), [], flat, 0
+    if folder is not None:
+        for first in range(epochs, 0, -1):
+            try:
+                state = load_weights(spark, f"{folder}/epoch-{first}")
+            except AnalysisException:
+                continue
+            flat, m, v, best, losses = state["flat"], state["m"], state["v"], state["best"], state["losses"].tolist()
+            break
+        else:
+            first = 0
+    part = F.pmod(F.xxhash64(*examples.columns), F.lit(steps))
+    for epoch in range(first, epochs):
+        seen = np.zeros(2)
+        for s in range(steps):
+            summed = _gradients(examples.where(part == s) if steps > 1 else examples, flat, nets, gradient)
+            seen += summed[-2:]
+            g, at = summed[:-2] / max(1.0, summed[-1]), epoch * steps + s + 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            step = rate * 0.5 * (1 + math.cos(math.pi * epoch / epochs))
+            flat = flat * (1 - step * decay) - step * (m / (1 - 0.9**at)) / (np.sqrt(v / (1 - 0.999**at)) + 1e-8)
+        if valid is not None:
+            seen = _gradients(valid, flat, nets, gradient)[-2:]
+        losses.append(float(seen[0] / max(1.0, seen[1])))
+        if valid is None or losses[-1] == min(losses):
+            best = flat
+        if folder is not None:
+            save_weights(spark, {"flat": flat, "m": m, "v": v, "best": best, "losses": np.array(losses)}, f"{folder}/epoch-{epoch + 1}")
+    return _shaped(best, nets), losses
+
+
+def fit_towers(examples: DataFrame, size: int, epochs: int = 10, hidden: tuple[int, ...] = (512, 256, 256), seed: int = 42, rate: float = 0.01, valid: DataFrame | None = None, **more) -> tuple[list[Layers], list[float]]:
     """Towers of examples (user array, item array, others array of arrays)."""
 
     def gradient(nets, b: pa.RecordBatch):
@@ -147,10 +203,11 @@ def fit_towers(examples: DataFrame, size: int, epochs: int = 10, hidden: tuple[i
         return loss, total, len(rows)
 
     nets = [layers((size, *hidden), seed), layers((size, *hidden), seed + 1)]
-    return fit(examples.select("user", "item", "others"), nets, gradient, epochs, rate)
+    columns = ["user", "item", "others"]
+    return fit(examples.select(*columns), nets, gradient, epochs, rate, valid=None if valid is None else valid.select(*columns), **more)
 
 
-def fit_din(examples: DataFrame, size: int, epochs: int = 10, seed: int = 42, rate: float = 0.01) -> tuple[Din, list[float]]:
+def fit_din(examples: DataFrame, size: int, epochs: int = 10, seed: int = 42, rate: float = 0.01, valid: DataFrame | None = None, **more) -> tuple[Din, list[float]]:
     """A click-rate model of examples (candidate array, history array of arrays, label)."""
 
     def gradient(nets, b: pa.RecordBatch):
@@ -161,8 +218,8 @@ def fit_din(examples: DataFrame, size: int, epochs: int = 10, seed: int = 42, ra
                 total, loss, n = total + _flat(g), loss + part, n + 1
         return loss, _shaped(total, nets), n
 
-    model = Din(size, seed)
-    nets, losses = fit(examples.select("candidate", "history", "label"), [model.attention, model.click], gradient, epochs, rate)
+    model, columns = Din(size, seed), ["candidate", "history", "label"]
+    nets, losses = fit(examples.select(*columns), [model.attention, model.click], gradient, epochs, rate, valid=None if valid is None else valid.select(*columns), **more)
     model.attention, model.click = nets
     return model, losses
 

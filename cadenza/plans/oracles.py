@@ -109,6 +109,48 @@ def answer(name: str) -> str:
 NAMES = ("content_usefulness", "production_quality", "content_enjoyment", "production_complexity", "overall_recommendation_score")
 PROMPT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
+def prompt_pool(last: int = 16) -> str:
+    """poolp(user_id, song_id, normal, score, seeds): the prompt channel's candidates."""
+    return rf"""own AS (SELECT DISTINCT user_id, song_id FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= {last})),
+      songs AS (SELECT song_id, label AS creator, {PROMPT} AS normal FROM vec JOIN documents ON doc_id = song_id), sh AS (SELECT song_id, [x + 0.15 FOR x IN v] AS v FROM unit), su AS (SELECT song_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM sh),
+      nearp AS (SELECT a.song_id AS q, b.song_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM (SELECT * FROM su WHERE song_id IN (SELECT song_id FROM own)) a, su b QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, b.song_id) <= 21),
+      metp AS (SELECT o.user_id, q, n.song_id, round(1 - sqrt(greatest(0.0, 2 - 2 * sim)), 6) AS s FROM own o JOIN nearp n ON n.q = o.song_id AND n.song_id <> q),
+      artists AS (SELECT DISTINCT user_id, creator FROM own JOIN songs USING (song_id)),
+      okp AS (SELECT user_id, q, song_id, normal, s FROM metp JOIN songs USING (song_id) ANTI JOIN own USING (user_id, song_id) ANTI JOIN artists USING (user_id, creator) WHERE s > 0 AND normal <> '' QUALIFY row_number() OVER (PARTITION BY user_id, q, normal ORDER BY s DESC, song_id) = 1),
+      scoredp AS (SELECT user_id, song_id, normal, round(sum(s), 6) AS score, list(DISTINCT q ORDER BY q) AS seeds FROM okp GROUP BY 1, 2, 3),
+      poolp AS (SELECT * FROM scoredp QUALIFY row_number() OVER (PARTITION BY user_id, normal ORDER BY score DESC, song_id) = 1)"""
+
+
+def taste(seeds: str) -> str:
+    """The shares of genres and tags of seeds (user_id, song_id), over eng."""
+    return f"""liked AS (SELECT s.user_id, e.* FROM {seeds} s JOIN eng e USING (song_id)),
+      size AS (SELECT user_id, count(*) AS size, min(popularity_score) AS lo, max(popularity_score) AS hi, avg(popularity_score) AS mean FROM liked GROUP BY 1), genres AS (SELECT user_id, genre, count(*) AS g FROM liked GROUP BY 1, 2),
+      tags AS (SELECT user_id, tag, count(*) AS t FROM (SELECT user_id, unnest(tags) AS tag FROM liked) GROUP BY 1, 2), total AS (SELECT user_id, sum(t) AS total FROM tags GROUP BY 1)"""
+
+
+def content_knn(seeds: str, n: int = 10) -> str:
+    """knn(user_id, song_id, score, similarity, match, rank)."""
+    return f"""cown AS (SELECT DISTINCT user_id, song_id FROM {seeds}), cvec AS (SELECT song_id, v FROM unit SEMI JOIN cat USING (song_id)), cseeds AS (SELECT * FROM cown SEMI JOIN cvec USING (song_id)),
+      cmean AS (SELECT user_id, list(x ORDER BY i) AS m FROM (SELECT user_id, i, avg(x) AS x FROM (SELECT user_id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM cseeds JOIN cvec USING (song_id)) GROUP BY 1, 2) GROUP BY 1),
+      cnear AS (SELECT user_id, song_id, round(list_dot_product(m, v) / sqrt(list_dot_product(m, m)), 6) AS sim FROM cmean, cvec QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, song_id) <= {3 * n}),
+      cmet AS (SELECT user_id, song_id, round(1 - sqrt(greatest(0.0, 2 - 2 * sim)), 6) AS similarity FROM cnear ANTI JOIN cown USING (user_id, song_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, song_id) <= {n}),
+      {taste('cseeds')}, ctag AS (SELECT user_id, song_id, sum(t) AS t FROM (SELECT user_id, song_id, unnest(tags) AS tag FROM cmet JOIN eng USING (song_id)) JOIN tags USING (user_id, tag) GROUP BY 1, 2),
+      cmatch AS (SELECT c.user_id, c.song_id, similarity, round(0.2 * coalesce(g, 0) / size + 0.15 * coalesce(t / total, 0) + 0.05 * CASE WHEN popularity_score BETWEEN lo AND hi THEN 1.0 ELSE 1 / (1 + least(abs(popularity_score - lo), abs(popularity_score - hi)) / (mean + 1e-8)) END, 6) AS match
+        FROM cmet c JOIN eng e USING (song_id) JOIN size USING (user_id) LEFT JOIN total USING (user_id) LEFT JOIN genres x ON x.user_id = c.user_id AND x.genre = e.genre LEFT JOIN ctag y ON y.user_id = c.user_id AND y.song_id = c.song_id),
+      knn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) AS rank FROM (SELECT user_id, song_id, round(0.6 * similarity + 0.4 * match, 6) AS score, similarity, match FROM cmatch))"""
+
+
+TOWERS = """tower AS (SELECT user_id, song_id, score FROM (SELECT user_id, song_id, round(list_dot_product(m, v), 6) AS score FROM umeans, unit) ANTI JOIN hist USING (user_id, song_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) <= 30)"""
+FOUR = """chan4 AS (SELECT user_id, song_id, 'item_cf' AS channel, round(score * 0.25, 8) AS s FROM item_cf UNION ALL SELECT user_id, song_id, 'user_based', round(score * 0.25, 8) FROM user_cf UNION ALL SELECT user_id, song_id, 'two_tower', round(score * 0.35, 8) FROM tower
+    UNION ALL SELECT user_id, song_id, 'prompt_based', round(score * 0.15, 8) FROM (SELECT * FROM poolp QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) <= 30)),
+  blend4 AS (SELECT user_id, song_id, round(sum(s), 8) AS recall_score, (list(channel ORDER BY s DESC, channel))[1] AS primary_channel FROM chan4 GROUP BY 1, 2),
+  coarse AS (SELECT b.*, coalesce(quality_score, 0.3) AS quality_score FROM blend4 b LEFT JOIN quality USING (song_id) WHERE coalesce(quality_score, 0.3) >= 0.3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY recall_score DESC, song_id) <= 50),
+  clicks AS (SELECT c.user_id, c.song_id, round(1 / (1 + exp(-round(list_dot_product(m, v), 6))), 6) AS ctr FROM coarse c JOIN umeans USING (user_id) JOIN unit USING (song_id)),
+  fine AS (SELECT c.*, round(coalesce(ctr, recall_score), 8) AS fine_score FROM coarse c LEFT JOIN clicks USING (user_id, song_id)),
+  final AS (SELECT f.*, round(CASE WHEN p_size IS NULL THEN fine_score ELSE 0.8 * fine_score + 0.2 * (p_size / 50) END, 8) AS final_score FROM (SELECT * FROM fine QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY fine_score DESC, song_id) <= 50) f LEFT JOIN (SELECT * FROM part WHERE p_size % 2 = 0) ON p_partkey = song_id)"""
+SEEDS8 = "seeds8 AS (SELECT user_id, song_id FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 8)"
+
+
 ORACLES: dict[str, str] = {
     "ui_from_playlists": f"WITH {PLAYLISTS} SELECT id AS user_id, song_id, count(*)::DOUBLE AS weight FROM entries SEMI JOIN part ON p_partkey = song_id GROUP BY 1, 2",
     "ui_from_creators": "SELECT p_brand AS user_id, p_partkey AS song_id, count(*)::DOUBLE AS weight FROM part GROUP BY 1, 2",
@@ -116,7 +158,7 @@ ORACLES: dict[str, str] = {
     "multi_playlist_creators": f"WITH {PLAYLISTS} SELECT coalesce(nullif(handle, ''), nullif(display, ''), 'playlist_' || id) AS creator, count(DISTINCT id) AS playlists, count(DISTINCT song_id) AS songs FROM entries GROUP BY 1 HAVING playlists > 1 ORDER BY playlists DESC, creator LIMIT 10",
     "active_users": f"WITH {LIKES} SELECT user_id, count(*) AS songs FROM likes GROUP BY 1 HAVING count(*) >= 3",
     "ui_as_history": f"WITH {LIKES} SELECT user_id, song_id, TIMESTAMP '2024-01-24 10:00:00' - to_days((count(*) OVER (PARTITION BY user_id) - i + 1)::INT) AS ts, 1.0::DOUBLE AS weight, 'like' AS type, i AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY song_id) AS i FROM likes)",
-    "cold_songs": f"WITH {LIKES} SELECT p_partkey AS song_id FROM part ANTI JOIN likes ON song_id = p_partkey",
+    "cold_songs": "SELECT p_partkey AS song_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)",
     "item_item_cosine_topk": top_sims(ITEM_SIMS, 5),
     "item_item_weighted_cosine": top_sims(f"{UI}, {cosine('ui', 'song_id', 'user_id', 'weight')}", 5),
     "user_user_cosine_topk": top_sims(USER_SIMS, 5),
@@ -173,14 +215,35 @@ ORACLES: dict[str, str] = {
     "user_mean_vector": f"WITH {HISTORY}, {VECTORS}, {MEANS} SELECT user_id, i - 1 AS i, round(x, 6) AS x FROM mv",
     "two_tower_identity_topk": f"""WITH {HISTORY}, {VECTORS}, {MEANS} SELECT user_id, song_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) AS rank FROM (SELECT user_id, song_id, round(list_dot_product(m, v), 6) AS score FROM umeans, unit) ANTI JOIN hist USING (user_id, song_id) QUALIFY rank <= 10""",
     "dense_similar_items": f"WITH {VECTORS} SELECT q, song_id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, song_id) AS rank FROM (SELECT a.song_id AS q, b.song_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM unit a JOIN unit b ON a.song_id <> b.song_id) QUALIFY rank <= 10",
-    "prompt_channel_candidates": rf"""WITH {HISTORY}, {VECTORS}, own AS (SELECT DISTINCT user_id, song_id FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 16)),
-      songs AS (SELECT song_id, label AS creator, {PROMPT} AS normal FROM vec JOIN documents ON doc_id = song_id), sh AS (SELECT song_id, [x + 0.15 FOR x IN v] AS v FROM unit), su AS (SELECT song_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM sh),
-      near AS (SELECT a.song_id AS q, b.song_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM (SELECT * FROM su WHERE song_id IN (SELECT song_id FROM own)) a, su b QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, b.song_id) <= 21),
-      met AS (SELECT o.user_id, q, n.song_id, round(1 - sqrt(greatest(0.0, 2 - 2 * sim)), 6) AS s FROM own o JOIN near n ON n.q = o.song_id AND n.song_id <> q),
-      artists AS (SELECT DISTINCT user_id, creator FROM own JOIN songs USING (song_id)),
-      ok AS (SELECT user_id, q, song_id, normal, s FROM met JOIN songs USING (song_id) ANTI JOIN own USING (user_id, song_id) ANTI JOIN artists USING (user_id, creator) WHERE s > 0 AND normal <> '' QUALIFY row_number() OVER (PARTITION BY user_id, q, normal ORDER BY s DESC, song_id) = 1),
-      scored AS (SELECT user_id, song_id, normal, round(sum(s), 6) AS score, array_to_string(list(DISTINCT q ORDER BY q), ',') AS seeds FROM ok GROUP BY 1, 2, 3)
-      SELECT user_id, song_id, score, seeds FROM scored QUALIFY row_number() OVER (PARTITION BY user_id, normal ORDER BY score DESC, song_id) = 1""",
+    "prompt_channel_candidates": f"WITH {HISTORY}, {VECTORS}, {prompt_pool()} SELECT user_id, song_id, score, array_to_string(seeds, ',') AS seeds FROM poolp",
+    "prompt_channel_greedy": f"""WITH RECURSIVE {HISTORY}, {VECTORS}, {prompt_pool()}, c AS MATERIALIZED (SELECT user_id, song_id, score, seeds, md5(normal) AS p, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) AS pos FROM poolp),
+      g AS (SELECT DISTINCT user_id, 0::BIGINT AS pos, []::BIGINT[] AS used, []::VARCHAR[] AS prompts, 0::BIGINT AS n, NULL::BIGINT AS song_id, NULL::DOUBLE AS score, false AS take FROM c UNION ALL
+        SELECT user_id, pos, CASE WHEN take THEN list_concat(used, seeds) ELSE used END, CASE WHEN take THEN list_append(prompts, p) ELSE prompts END, n + take::INT, song_id, score, take FROM
+          (SELECT g.user_id, c.pos, used, prompts, n, c.song_id, c.score, c.seeds, c.p, n < 10 AND NOT list_has_all(used, c.seeds) AND NOT list_contains(prompts, c.p) AS take FROM g JOIN c ON c.user_id = g.user_id AND c.pos = g.pos + 1))
+      SELECT user_id, song_id, score, n AS rank FROM g WHERE take""",
+    "content_knn": f"WITH {ENGAGED}, {PLAYS}, {VECTORS}, {SEEDS8}, {content_knn('seeds8')} SELECT * FROM knn",
+    "content_similar_songs": f"WITH {VECTORS} SELECT a, b, round(1 - sqrt(greatest(0.0, 2 - 2 * sim)), 6) AS score, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM (SELECT x.song_id AS a, y.song_id AS b, round(list_dot_product(x.v, y.v), 6) AS sim FROM unit x JOIN unit y ON x.song_id <> y.song_id) QUALIFY rank <= 10",
+    "cold_seeds_fallback": f"""WITH {LIKES}, few AS (SELECT * FROM likes WHERE song_id % 3 > 0), ones AS (SELECT *, 1.0::DOUBLE AS w FROM few), {cosine('ones', 'song_id', 'user_id', 'w')}, {PLAYS}, {ENGAGED}, {VECTORS},
+      own2 AS (SELECT user_id, song_id FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 2), near AS (SELECT a AS seed, b AS song_id, sim FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5),
+      wseeds AS (SELECT * FROM own2 SEMI JOIN few USING (song_id)), scored AS (SELECT s.user_id, n.song_id, round(sum(sim), 6) AS score FROM wseeds s JOIN near n ON n.seed = s.song_id GROUP BY 1, 2),
+      warm AS (SELECT * FROM scored ANTI JOIN wseeds USING (user_id, song_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) <= 10), {content_knn('own2')}
+      SELECT user_id, song_id, score FROM warm ANTI JOIN own2 USING (user_id, song_id) UNION ALL SELECT user_id, song_id, score FROM knn WHERE user_id NOT IN (SELECT user_id FROM wseeds)""",
+    "hybrid_full": f"WITH {TWO}, {QUALITY}, {HISTORY}, {VECTORS}, {MEANS}, {TOWERS}, {prompt_pool()}, {FOUR} SELECT user_id, song_id, recall_score, quality_score, fine_score, final_score, primary_channel, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, song_id) AS rank FROM final QUALIFY rank <= 10",
+    "similar_songs_hybrid": f"""WITH {ITEM_SIMS}, {VECTORS}, parts AS (SELECT a, b, round(sim * 0.25, 8) AS s FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20)
+      UNION ALL SELECT a, b, round(sim * 0.35, 8) FROM (SELECT x.song_id AS a, y.song_id AS b, round(list_dot_product(x.v, y.v), 6) AS sim FROM unit x JOIN unit y ON x.song_id <> y.song_id QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20))
+      SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM (SELECT a, b, round(sum(s), 8) AS score FROM parts GROUP BY 1, 2) QUALIFY rank <= 10""",
+    "explained_channels": f"""WITH {TWO} SELECT user_id, 'item-based CF' AS channel, rank, song_id, score, primary_seed::VARCHAR AS because FROM item_cf WHERE rank <= 5 UNION ALL SELECT user_id, 'user-based CF', rank, song_id, score, source_user::VARCHAR FROM user_cf WHERE rank <= 5""",
+    "interactions_merged": f"WITH {UI} SELECT user_id, song_id, least(1.0, greatest(0.4, weight::DOUBLE / 50))::DOUBLE AS weight FROM ui",
+    "permutation_test": f"WITH {LIKES} SELECT count(DISTINCT user_id) AS users, count(DISTINCT song_id) AS items, count(*) AS pairs, count(*) > 0 AND count(DISTINCT user_id) = count(*) AND count(DISTINCT song_id) = count(*) AS is_permutation FROM likes",
+    "latest_items": f"""WITH {LIKES}, {HISTORY}, told AS (SELECT user_id, song_id, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS place, 'history' AS source FROM hist QUALIFY place <= 20),
+      made AS (SELECT p_partkey AS song_id, CASE WHEN p_size > 20 THEN p_size END AS age FROM part), rest AS (SELECT l.user_id, l.song_id, age, count(age) OVER (PARTITION BY l.user_id) > 0 AS dated FROM likes l LEFT JOIN made USING (song_id) WHERE l.user_id NOT IN (SELECT user_id FROM hist))
+      SELECT * FROM told UNION ALL SELECT user_id, song_id, row_number() OVER (PARTITION BY user_id ORDER BY age NULLS LAST, song_id) AS place, CASE WHEN dated THEN 'created' ELSE 'order' END AS source FROM rest QUALIFY place <= 20""",
+    "user_activity": f"WITH {LIKES} SELECT user_id, floor(3 + (list_sort([{', '.join(uniform(f'42/{i}', 'user_id') for i in range(6))}]))[2] * 47)::INT AS k FROM (SELECT DISTINCT user_id FROM likes)",
+    "single_user_items": f"""WITH {LIKES}, o AS (SELECT p_partkey AS song_id, row_number() OVER (ORDER BY {uniform('42', 'p_partkey')}, p_partkey) AS i, count(*) OVER () AS n FROM part), single AS (SELECT song_id FROM o WHERE i > floor(n * 0.05) AND i <= floor(n * 0.05) + floor(n * 0.15)),
+      u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM likes)) SELECT user_id, song_id, 1.0::DOUBLE AS weight FROM (SELECT song_id FROM single WHERE song_id NOT IN (SELECT song_id FROM likes WHERE song_id % 2 = 0)) JOIN u ON i = floor({uniform('42/single', 'song_id')} * n)""",
+    "din_training_set": f"""WITH {HISTORY}, {SHOWN}, {NEGATIVES}, ex AS (SELECT DISTINCT user_id, song_id, 1 AS label FROM hist UNION ALL SELECT user_id, song_id, 0 FROM neg), l AS (SELECT user_id, list(song_id ORDER BY seq) AS songs FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 13) GROUP BY 1),
+      m AS (SELECT ex.*, list_filter(coalesce(songs, []), lambda x: label = 0 OR x <> song_id) AS own FROM ex LEFT JOIN l USING (user_id)), h AS (SELECT *, own[greatest(1, len(own) - 11):len(own)] AS hist FROM m)
+      SELECT user_id, song_id, label, array_to_string(list_concat(hist::VARCHAR[], ['-' FOR i IN range(12 - len(hist))]), ',') AS hist, len(hist) AS size FROM h WHERE len(hist) > 0 OR label = 0""",
     "content_match": f"""WITH {ENGAGED}, {PLAYS}, seeds AS (SELECT user_id, song_id FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 8), liked AS (SELECT s.user_id, e.* FROM seeds s JOIN eng e USING (song_id)),
       size AS (SELECT user_id, count(*) AS size, min(popularity_score) AS lo, max(popularity_score) AS hi, avg(popularity_score) AS mean FROM liked GROUP BY 1), genres AS (SELECT user_id, genre, count(*) AS g FROM liked GROUP BY 1, 2),
       tags AS (SELECT user_id, tag, count(*) AS t FROM (SELECT user_id, unnest(tags) AS tag FROM liked) GROUP BY 1, 2), total AS (SELECT user_id, sum(t) AS total FROM tags GROUP BY 1),
@@ -193,7 +256,7 @@ ORACLES: dict[str, str] = {
     "hybrid_blend": f"WITH {TWO}, {BLEND} SELECT user_id, song_id, recall_score, primary_channel FROM blend",
     "hybrid_pipeline": f"WITH {TWO}, {BLEND}, {QUALITY}, {RECOMMENDED} SELECT * FROM recommended",
     "channel_attribution": f"WITH {TWO}, {BLEND}, {QUALITY}, {RECOMMENDED} SELECT primary_channel, count(*) AS n, min(fine_score) AS lowest, max(fine_score) AS highest, round(avg(fine_score), 6) AS mean FROM recommended GROUP BY 1",
-    "llm_rerank": f"""WITH {ITEM_SIMS}, {PLAYS}, {item_cf(50)}, f AS (SELECT user_id, i.song_id, score AS fine_score, round(CASE WHEN p_size > 10 THEN 0.8 * score + 0.2 * (p_size / 50) ELSE score END, 6) AS final_score FROM item_cf i JOIN part ON p_partkey = song_id)
+    "llm_rerank": f"""WITH {ITEM_SIMS}, {PLAYS}, {item_cf(50)}, f AS (SELECT user_id, i.song_id, score AS fine_score, round(CASE WHEN p_size > 10 THEN 0.8 * score + 0.2 * (p_size / 50) ELSE score END, 8) AS final_score FROM item_cf i JOIN part ON p_partkey = song_id)
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, song_id) AS rank FROM f QUALIFY rank <= 10""",
     "popularity_weights": f"""WITH {ENGAGED}, w AS (SELECT song_id, pow(popularity_score / (SELECT max(popularity_score) FROM eng) + 0.1, 2) * exp(0.3 * sqrt(-2 * ln(greatest({uniform('42/r', 'song_id')}, 1e-10))) * cos(2 * pi() * {uniform('42/a', 'song_id')})) AS w FROM eng)
       SELECT song_id, round(w / sum(w) OVER (), 9) AS p FROM w""",
@@ -205,15 +268,15 @@ ORACLES: dict[str, str] = {
       SELECT user_id, song_id, row_number() OVER (PARTITION BY user_id ORDER BY key, song_id) AS draw FROM k QUALIFY draw <= 10""",
     "item_classes": f"""WITH o AS (SELECT p_partkey AS song_id, row_number() OVER (ORDER BY {uniform('42', 'p_partkey')}, p_partkey) AS i, count(*) OVER () AS n FROM part)
       SELECT song_id, CASE WHEN i <= floor(n * 0.05) THEN 'cold' WHEN i <= floor(n * 0.05) + floor(n * 0.15) THEN 'single' ELSE 'multi' END AS class FROM o""",
-    "uniform_negatives": f"""WITH {LIKES}, songs AS (SELECT p_partkey AS song_id, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part), own AS (SELECT user_id, count(*) AS own FROM likes GROUP BY 1), size AS (SELECT count(*) AS n FROM part),
-      u AS (SELECT user_id, own + 80 >= n AS few, n FROM own, size), drawn AS (SELECT user_id, floor({uniform('42', 'user_id', 'd')} * n)::BIGINT AS i, min(d) AS d FROM u, range(0, 80) AS r(d) WHERE NOT few GROUP BY 1, 2),
-      o AS (SELECT user_id, song_id, d::DOUBLE AS o FROM drawn JOIN songs USING (i) UNION ALL SELECT user_id, song_id, {uniform('42', 'user_id', 'song_id')} FROM u, songs WHERE few)
+    "uniform_negatives": f"""WITH {LIKES}, songs AS (SELECT p_partkey AS song_id, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), u AS (SELECT DISTINCT user_id FROM likes),
+      drawn AS (SELECT user_id, floor({uniform('42', 'user_id', 'd')} * (SELECT count(*) FROM part))::BIGINT AS i, min(d) AS d FROM u, range(0, 80) AS r(d) GROUP BY 1, 2),
+      o AS (SELECT u.user_id, s.song_id, coalesce(d.d, 80 + {uniform('42', 'u.user_id', 's.song_id')}) AS o FROM u CROSS JOIN songs s LEFT JOIN drawn d ON d.user_id = u.user_id AND d.i = s.i)
       SELECT user_id, song_id, 0 AS label FROM o ANTI JOIN likes USING (user_id, song_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY o, song_id) <= 20""",
     "impression_negatives": f"WITH {HISTORY}, {SHOWN}, {NEGATIVES} SELECT user_id, song_id, 0 AS label FROM neg",
     "hard_negatives": f"""WITH {HISTORY}, {VECTORS}, {MEANS}, {SHOWN}, s AS (SELECT user_id, song_id, round(list_dot_product(m, v), 6) AS sim FROM shown JOIN umeans USING (user_id) JOIN unit USING (song_id)),
       near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, song_id) <= greatest(1, floor(count(*) OVER (PARTITION BY user_id) * 0.2)))
       SELECT user_id, song_id, sim FROM near QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {uniform('42/hard', 'user_id', 'song_id')}, song_id) <= 5""",
-    "train_val_split": f"SELECT event_id, user_id, CASE WHEN {uniform('42/split', 'event_id')} < 0.2 THEN 'valid' ELSE 'train' END AS part FROM events",
+    "train_val_split": f"SELECT event_id, user_id, CASE WHEN row_number() OVER (ORDER BY {uniform('42/split', 'event_id')}, event_id) <= floor(count(*) OVER () * 0.2) THEN 'valid' ELSE 'train' END AS part FROM events",
     "infonce_loss": f"WITH {EXAMPLES}, n AS (SELECT user_id, sum(exp(score / 0.1)) AS others FROM ex WHERE label = 0 GROUP BY 1) SELECT user_id, song_id, round(-ln(exp(score / 0.1) / (exp(score / 0.1) + others)), 6) AS loss FROM ex JOIN n USING (user_id) WHERE label = 1",
     "bpr_loss": f"WITH {EXAMPLES} SELECT p.user_id, p.song_id, round(avg(ln(1 + exp(n.score - p.score))), 6) AS loss FROM ex p JOIN ex n ON n.user_id = p.user_id AND n.label = 0 WHERE p.label = 1 GROUP BY 1, 2",
     "tower_training_set": f"""WITH {HISTORY}, {SHOWN}, {NEGATIVES}, r AS (SELECT user_id, array_to_string(list(song_id ORDER BY seq), ',') AS recent FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 8) GROUP BY 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -55,7 +56,20 @@ def ui_as_history(t: Tables) -> DataFrame:
 
 @query
 def cold_songs(t: Tables) -> DataFrame:
-    return interactions.cold(t.catalog(), t.likes()).select("song_id")
+    """Songs that nobody has returned in large orders."""
+    few = t.lines().where("l_returnflag = 'R' AND l_quantity > 40").select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("song_id")).withColumn("weight", F.lit(1.0))
+    return interactions.cold(t.catalog(), few).select("song_id")
+
+
+@query
+def interactions_merged(t: Tables) -> DataFrame:
+    real = t.likes().withColumn("weight", F.lit(0.4))
+    return interactions.merged(real, t.interactions().withColumn("weight", F.col("weight").cast("double") / 50))
+
+
+@query
+def permutation_test(t: Tables) -> DataFrame:
+    return diagnostics.permutation(t.likes())
 
 
 # Similarity and collaborative channels
@@ -171,6 +185,14 @@ def history_users(t: Tables) -> DataFrame:
     return history.users(t.history())
 
 
+@query
+def latest_items(t: Tables) -> DataFrame:
+    """History where a user has one, else songs by a date made of their size."""
+    day = F.lit("2024-01-01").cast("timestamp_ntz") - F.make_dt_interval(F.col("p_size"))
+    created = t["part"].select(F.col("p_partkey").alias("song_id"), F.when(F.col("p_size") > 20, day).alias("created_at"))
+    return history.latest_items(t.likes(), t.history(), created, 20).withColumn("place", F.col("place").cast("long"))
+
+
 # Features
 
 
@@ -345,6 +367,29 @@ def content_match(t: Tables) -> DataFrame:
     return channels.content(seeds(t, 8), songs)
 
 
+def content_scores(t: Tables, n: int = 10) -> DataFrame:
+    return channels.content_based(seeds(t, 8), t.vectors(), features.engagement_processed(t.catalog()), n)
+
+
+@query
+def content_knn(t: Tables) -> DataFrame:
+    return content_scores(t)
+
+
+@query
+def content_similar_songs(t: Tables) -> DataFrame:
+    return channels.content_similar(t.vectors())
+
+
+@query
+def cold_seeds_fallback(t: Tables) -> DataFrame:
+    """Item results; users whose seeds are all cold songs get content results."""
+    own, few = seeds(t, 2), t.likes().where("song_id % 3 > 0")
+    warm = channels.item_cf(own.join(few.select("song_id").distinct(), "song_id", "left_semi"), similarity.cosine(few, "song_id", "user_id"), per_seed=5)
+    cold = interactions.cold(t.catalog(), few)
+    return channels.with_cold_seeds(channels.without(warm, own), own, cold, channels.content_based(own, t.vectors(), features.engagement_processed(t.catalog())))
+
+
 @query
 def incremental_embedding_anti_join(t: Tables) -> DataFrame:
     return t.catalog().select("song_id").join(t.vectors().select("song_id"), "song_id", "left_anti")
@@ -371,6 +416,41 @@ def hybrid_pipeline(t: Tables) -> DataFrame:
     return recommended(t).select("user_id", "song_id", "recall_score", "quality_score", "fine_score", "primary_channel", "rank")
 
 
+def four_channels(t: Tables) -> dict[str, DataFrame]:
+    prompts = similarity.top(prompt_pool(t), 30, ["user_id"], "score", "song_id")
+    return two_channels(t) | {"two_tower": tower_scores(t, 30), "prompt_based": prompts}
+
+
+def stage_scores(t: Tables, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stand-ins for models: click rates from the cosine to a user's mean (none where the
+    cosine is not known), and a part's size as its model score, if a multiple of two."""
+    u = channels.mean_vectors(t.history(), t.vectors()).select("user_id", unit("vec").alias("uv"))
+    met = candidates.select("user_id", "song_id").join(u, "user_id").join(t.vectors().select("song_id", unit("vec").alias("iv")), "song_id")
+    ctr = met.select("user_id", "song_id", r6(1 / (1 + F.exp(-r6(dot("uv", "iv"))))).alias("ctr"))
+    return ctr, t["part"].where("p_size % 2 = 0").select(F.col("p_partkey").alias("song_id"), (F.col("p_size") / 50).alias("llm_score"))
+
+
+@query
+def hybrid_full(t: Tables) -> DataFrame:
+    """All four channels, quality gate, click rates, re-rank."""
+    found = four_channels(t)
+    ctr, llm = stage_scores(t, reduce(DataFrame.unionByName, [c.select("user_id", "song_id") for c in found.values()]).distinct())
+    best = hybrid.recommend(found, quality.heuristic(features.engagement_processed(t.catalog())), 10, ctr=ctr, llm=llm)
+    return best.select("user_id", "song_id", "recall_score", "quality_score", "fine_score", "final_score", "primary_channel", "rank")
+
+
+@query
+def similar_songs_hybrid(t: Tables) -> DataFrame:
+    items = similarity.top(item_sims(t), 20, ["a"], "sim", "b").select("a", "b", F.col("sim").alias("score"))
+    vectors = similarity.nearest(t.vectors(), t.vectors(), 20, query="song_id").select(F.col("q").alias("a"), F.col("song_id").alias("b"), F.col("sim").alias("score"))
+    return hybrid.similar({"item_cf": items, "two_tower": vectors}).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def explained_channels(t: Tables) -> DataFrame:
+    return hybrid.explained(two_channels(t))
+
+
 @query
 def channel_attribution(t: Tables) -> DataFrame:
     return hybrid.attribution(recommended(t))
@@ -418,6 +498,17 @@ def item_classes(t: Tables) -> DataFrame:
     return simulate.item_classes(t.catalog())
 
 
+@query
+def user_activity(t: Tables) -> DataFrame:
+    return simulate.user_activity(t.likes().select("user_id").distinct())
+
+
+@query
+def single_user_items(t: Tables) -> DataFrame:
+    users = simulate.numbered(t.likes().select("user_id").distinct(), "user_id")
+    return simulate.assign_singles(simulate.item_classes(t.catalog()), t.likes().where("song_id % 2 = 0").select("song_id").distinct(), users)
+
+
 @query
 def uniform_negatives(t: Tables) -> DataFrame:
     return simulate.uniform_negatives(t.likes(), t.catalog(), 20)
@@ -471,6 +562,14 @@ def tower_training_set(t: Tables) -> DataFrame:
     return ex.select("user_id", "song_id", F.array_join("recent", ",").alias("recent"), F.array_join("negatives", ",").alias("negatives"))
 
 
+@query
+def din_training_set(t: Tables) -> DataFrame:
+    pos = t.history().select("user_id", "song_id").distinct().withColumn("label", F.lit(1))
+    neg = simulate.impression_negatives(shown(t), t.history().select("user_id", "song_id"), 10)
+    ex = ranking.din_examples(pos.unionByName(neg), t.history(), last=12)
+    return ex.select("user_id", "song_id", "label", F.array_join("hist", ",", "-").alias("hist"), F.col("size").cast("long").alias("size"))
+
+
 # Evaluation
 
 

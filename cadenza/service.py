@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.operators import channels, hybrid
+from cadenza.operators.history import last_n
 from cadenza.operators.similarity import top
 
 
@@ -20,21 +22,35 @@ class Recommender:
     item_sims: DataFrame
     quality: DataFrame
     history: DataFrame
-    weights: dict[str, float] = field(default_factory=lambda: {"item_cf": 1.0})
-
-    def recommend(self, user_id=None, song_ids: list | None = None, n: int = 10) -> DataFrame:
-        """The n best songs of a user, or for given songs."""
+    weights: dict[str, float] = field(default_factory=lambda: {"item_cf": 1.0, "user_based": 1.0, "content": 1.0})
+    user_sims: DataFrame | None = None  # (a, b, sim) of users; with likes a channel
+    likes: DataFrame | None = None  # (user_id, song_id, weight)
+    vectors: DataFrame | None = None  # (song_id, vec); a content channel
+
+    def recommend(self, user_id=None, song_ids: list | None = None, n: int = 10, exclude_song_ids: list | None = None, last: int = 50) -> DataFrame:
+        """The n best songs for a user's last songs and those given, without these and
+        the excluded ones; popular songs if nothing is known of either."""
         if user_id is None and not song_ids:
             raise ValueError("a user or songs are needed")
         if not 1 <= n <= 100:
             raise ValueError("n is from 1 to 100")
-        own = self.history.where(F.col("user_id") == user_id).select("user_id", "song_id") if user_id is not None else None
-        if own is None:
-            seeds = self.catalog.select("song_id").where(F.col("song_id").isin(song_ids)).select(F.lit(-1).alias("user_id"), "song_id")
-        else:
-            seeds = own
-        found = {"item_cf": channels.item_cf(seeds, self.item_sims, n=3 * n, per_seed=5)}
-        return hybrid.decorated(hybrid.recommend(found, self.quality, n, weights=self.weights), self.catalog)
+        me = F.lit(-1 if user_id is None else user_id).alias("user_id")
+        listed = lambda ids: self.catalog.where(F.col("song_id").isin(ids or [])).select(me, "song_id")
+        own = last_n(self.history.where(F.col("user_id") == user_id), last).select("user_id", "song_id") if user_id is not None else None
+        seeds = listed(song_ids) if own is None else own.unionByName(listed(song_ids)).distinct()
+        excludes = listed(exclude_song_ids)
+        found = {"item_cf": channels.item_cf(seeds, self.item_sims, n=3 * n, per_seed=5, excludes=excludes)}
+        if user_id is not None and self.user_sims is not None and self.likes is not None:
+            near = top(self.user_sims.where(F.col("a") == user_id), 20, ["a"], "sim", "b").select(F.col("a").alias("user_id"), F.col("b").alias("other"), "sim")
+            recent = last_n(self.history, last).select("user_id", "song_id", (-F.col("seq")).alias("place"))
+            found["user_based"] = channels.without(channels.user_cf(near, self.likes, recent, n=3 * n), seeds, excludes)
+        if self.vectors is not None:
+            found["content"] = channels.content_based(seeds, self.vectors, self.catalog, 3 * n, excludes=excludes)
+        best = hybrid.recommend(found, self.quality, n, weights=self.weights)
+        place = F.row_number().over(W.orderBy(F.desc("score"), "song_id")).cast("long")  # n + 100 rows at most
+        spare = channels.without(channels.popular(self.catalog, n + len(exclude_song_ids or [])).select(me, "song_id", "score"), excludes).withColumn("rank", place).where(F.col("rank") <= n)
+        spare = spare.join(best.select("user_id").distinct(), "user_id", "left_anti").select("user_id", "song_id", F.col("score").alias("fine_score"), F.lit("popular").alias("primary_channel"), "rank")
+        return hybrid.decorated(best.unionByName(spare, allowMissingColumns=True), self.catalog)
 
     def similar(self, song_id, n: int = 10) -> DataFrame:
         return top(self.item_sims.where(F.col("a") == song_id), n, ["a"], "sim", "b")

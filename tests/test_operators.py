@@ -94,6 +94,14 @@ def test_negatives_of_users_who_have_most_songs(spark):
     assert [sum(u == i for u, _ in got) for i in (1, 2, 3, 4)] == [20] * 4
 
 
+def test_split_and_numbers(spark):
+    rows = spark.range(1003).select(F.when(F.col("id") == 7, 10**12).otherwise(F.col("id")).alias("k"))
+    parts = {r.part: r.n for r in simulate.split(rows, ["k"]).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert parts == {"valid": 200, "train": 803}
+    got = {r.k: r.i for r in simulate.numbered(rows, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(got))}
+
+
 def test_weighted_draws_follow_weights(spark):
     rows = spark.range(3000).crossJoin(spark.createDataFrame([(0, 1.0), (1, 4.0)], "song_id long, w double")).select(F.col("id").alias("user_id"), "song_id", "w")
     got = simulate.without_replacement(rows, 1).groupBy("song_id").count().collect()

@@ -130,12 +130,29 @@ def test_streamed_history(spark, tmp_path):
 
 
 def test_service(spark):
-    songs = spark.createDataFrame([(i, f"t{i}", ["x"], "g") for i in range(5)], "song_id long, title string, tags array<string>, genre string")
+    songs = spark.createDataFrame([(i, f"t{i}", ["x"], "g", 10.0 - i) for i in range(5)], "song_id long, title string, tags array<string>, genre string, popularity_score double")
     sims = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.5), (1, 2, 0.4)], "a long, b long, sim double")
-    hist = spark.createDataFrame([(9, 0)], "user_id long, song_id long")
+    hist = spark.createDataFrame([(9, 0, 1)], "user_id long, song_id long, seq long")
     r = Recommender(songs, sims, songs.select("song_id", F.lit(0.5).alias("quality_score")), hist)
     assert [x.song_id for x in r.recommend(9).orderBy("rank").collect()] == [1, 2]
     assert [x.song_id for x in r.recommend(song_ids=[1]).collect()] == [2]
     assert [x.b for x in r.similar(0, 1).collect()] == [1] and r.info()["songs"] == 5
+    # A user with songs of a session, exclusions, and someone of whom nothing is known.
+    assert [x.song_id for x in r.recommend(9, song_ids=[1]).collect()] == [2]
+    assert [x.song_id for x in r.recommend(9, exclude_song_ids=[1]).collect()] == [2]
+    assert [x.song_id for x in r.recommend(77, n=2, exclude_song_ids=[0]).orderBy("rank").collect()] == [1, 2]
+    likes = spark.createDataFrame([(9, 0, 1.0), (8, 0, 1.0), (8, 3, 1.0)], "user_id long, song_id long, weight double")
+    every = hist.unionByName(spark.createDataFrame([(8, 0, 1), (8, 3, 2)], "user_id long, song_id long, seq long"))
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (4, [1.0, 0.1])], "song_id long, vec array<double>")
+    r = Recommender(songs, sims, r.quality, every, user_sims=spark.createDataFrame([(9, 8, 0.7)], "a long, b long, sim double"), likes=likes, vectors=vectors)
+    assert {x.song_id: x.primary_channel for x in r.recommend(9).collect()} == {1: "item_cf", 2: "item_cf", 3: "user_based", 4: "content"}
     with pytest.raises(ValueError):
         r.recommend()
+
+
+def test_refresh_once_a_week(spark, tmp_path):
+    from cadenza.__main__ import due
+
+    assert due(spark, str(tmp_path), "2024-01-24 08:00:00")
+    spark.sql("SELECT timestamp_ntz '2024-01-22 08:00:00' AS at").write.parquet(f"{tmp_path}/refreshed")
+    assert not due(spark, str(tmp_path), "2024-01-24 08:00:00") and due(spark, str(tmp_path), "2024-01-29 08:00:00")

@@ -56,3 +56,20 @@ def test_click_model_learns(spark):
     df = spark.createDataFrame(rows, "candidate array<double>, history array<array<double>>, label int").cache()
     _, losses = tr.fit_din(df, 4, epochs=15, rate=0.03)
     assert losses[-1] < 0.5 * losses[0]
+
+
+def test_steps_validation_and_going_on(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(c.tolist(), [[1.0, 0.0]], int(c[0] > 0)) for c in rng.standard_normal((120, 2))]
+    df = spark.createDataFrame(rows, "candidate array<double>, history array<array<double>>, label int").cache()
+    train, valid = df.where("candidate[1] > -1"), df.where("candidate[1] <= -1")
+    whole, losses = tr.fit_din(train, 2, epochs=4, rate=0.05, steps=3, valid=valid)
+    assert len(losses) == 4 and losses[-1] < losses[0]
+    folder = f"{tmp_path}/state"
+    tr.fit_din(train, 2, epochs=4, rate=0.05, steps=3, valid=valid, folder=folder)
+    tr.save_weights(spark, tr.load_weights(spark, f"{folder}/epoch-2"), f"{tmp_path}/again/epoch-2")
+    more, again = tr.fit_din(train, 2, epochs=4, rate=0.05, steps=3, valid=valid, folder=f"{tmp_path}/again")
+    assert again == pytest.approx(losses)
+    tr.save_weights(spark, tr.named([more.attention, more.click]), f"{tmp_path}/model")
+    for net, want in zip(tr.unnamed(tr.load_weights(spark, f"{tmp_path}/model")), [whole.attention, whole.click], strict=True):
+        assert all(np.allclose(a, b) for x, y in zip(net, want, strict=True) for a, b in zip(x, y, strict=True))
