@@ -48,9 +48,9 @@ _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _SYMBOLS = [s * 3 for s in (b"#", b"$", b"%", b"&", b"*", b"!", b"@", b"~", b"=", b"_", b"?")]
 
 
-class _Slots(dict):
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = i = zlib.crc32(word) % HASHED
+        self[word] = i = zlib.crc32(word)
         return i
 
 
@@ -59,17 +59,24 @@ Lexicons = tuple[frozenset[int], frozenset[int]]
 
 class Features:
     def __init__(self, lexicons: Lexicons = (frozenset(), frozenset())) -> None:
-        self.slots, self.lexicons = _Slots(), [np.array(sorted(x), dtype=np.int64) for x in lexicons]
+        self.hashes, self.lexicons = _Hashes(), [np.array(sorted(x), dtype=np.int64) for x in lexicons]
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's words, each once."""
+        return self._once(words_of(text))
+
+    def _once(self, words: list[bytes]) -> np.ndarray:
+        if len(self.hashes) > CACHE:
+            self.hashes.clear()
+        return np.unique(np.fromiter(map(self.hashes.__getitem__, words), np.int64, len(words)))
 
     def of(self, text: str | None, fold: int = 0) -> tuple[np.ndarray, list[int], int]:
         """(slots, votes of all labellers but the annotation, words) of a text; its fold
         says which lexicon votes."""
-        if len(self.slots) > CACHE:
-            self.slots.clear()
         data = (text or "").encode("utf-8", "surrogatepass")
         words = words_of(text)
         n = max(1, len(words))
-        found = np.unique(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)))
+        found = self._once(words)
         upper, lower = len(data) - len(data.translate(None, _UPPER)), len(data) - len(data.translate(None, _LOWER))
         ratios = [
             sum(map(data.count, _SYMBOLS)) / n,
@@ -91,7 +98,7 @@ class Features:
             low(repeats > 0.85 and n > 50),
             CLEAN if 0.02 < sentences and capitals < 0.15 and symbols == bars == 0 else ABSTAIN,
         ]
-        return np.concatenate([found, shape]), votes, len(words)
+        return np.concatenate([np.unique(found % HASHED), shape]), votes, len(words)
 
 
 #: What the batches of a task share.
@@ -123,8 +130,15 @@ def leaning(rows: list[np.ndarray], inside: np.ndarray) -> np.ndarray:
 
 
 def lexicon(rows: list[np.ndarray], marks: np.ndarray, least: float = 6.0) -> frozenset[int]:
-    """Slots of words that stand in toxic documents far above their share."""
-    return frozenset(np.flatnonzero(leaning(rows, (marks == TOXIC).astype(float))[:HASHED] >= least).tolist())
+    """Hashes of words that stand in toxic documents far above their share (by so many
+    standard deviations), and in more of those than of others: a word that is merely more
+    common there, or a slot that other words share, would mark most texts."""
+    toxic = marks == TOXIC
+    share = float(toxic.mean()) if len(marks) else 0.0
+    every = np.concatenate([*rows, np.empty(0, np.int64)])
+    words, n = np.unique(every, return_counts=True)
+    hits = np.bincount(np.searchsorted(words, every), weights=np.repeat(toxic, [len(r) for r in rows]), minlength=len(words))
+    return frozenset(words[(hits - n * share >= least * np.sqrt(n * share * (1 - share) + 1e-9)) & (2 * hits > n)].tolist())
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, gain: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
@@ -211,16 +225,18 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
         f = _features((frozenset(), frozenset()))
         for b in batches:
             found = [f.of(t.as_py())[:2] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([_code(v) for _, v in found], pa.int32()), b.column(3), b.column(2)], names=["doc_id", "slots", "code", "mark", "fold"])
+            words = [f.words(t.as_py()).astype(np.uint32).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array([s[-SHAPES:].astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([_code(v) for _, v in found], pa.int32()), b.column(3), b.column(2)], names=["doc_id", "words", "shape", "code", "mark", "fold"])
         _done()
 
-    fitted = rows.join(F.broadcast(some), "doc_id").mapInArrow(features, "doc_id long, slots binary, code int, mark int, fold int")
-    found, codes, folds, room = [], [], [], sample_bytes
-    for r in fitted.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(sample).toLocalIterator():
-        room -= len(r.slots)
+    fitted = rows.join(F.broadcast(some), "doc_id").mapInArrow(features, "doc_id long, words binary, shape binary, code int, mark int, fold int")
+    found, shapes, codes, folds, room = [], [], [], [], sample_bytes
+    for r in fitted.orderBy(F.xxhash64("doc_id"), "doc_id", "words", "shape").limit(sample).toLocalIterator():
+        room -= len(r.words)
         if room < 0:
             break
-        found.append((np.frombuffer(r.slots, np.int32), r.mark))
+        found.append((np.frombuffer(r.words, np.uint32), r.mark))
+        shapes.append(np.frombuffer(r.shape, np.int32))
         codes.append(r.code)
         folds.append(r.fold)
     # Each fold is voted on by the lexicon of the other.
@@ -238,9 +254,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
     votes = np.array([[r.mark, *_decode(r.code)] for r in patterns], dtype=np.int64).reshape(-1, len(LABELLERS))
     prior, accuracy = estimate(votes, np.array([float(r.n) for r in patterns]))
     own = np.array([[y, TOXIC if not known[x].isdisjoint(s.tolist()) else ABSTAIN, *_decode(code)[1:]] for (s, y), code, x in zip(found, codes, folds, strict=True)], dtype=np.int64).reshape(-1, len(LABELLERS))
-    weights = fit_scorer([s for s, _ in found], posterior(own, prior, accuracy))
+    slots = [np.concatenate([np.unique(s % HASHED).astype(np.int32), x]) for (s, _), x in zip(found, shapes, strict=True)]
+    weights = fit_scorer(slots, posterior(own, prior, accuracy))
     model = context.broadcast((weights, known, prior, accuracy, bool(found)))
-    del found, codes, own, patterns, votes
+    del slots, found, shapes, codes, own, patterns, votes
     release()
 
     def scored(texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:

@@ -131,7 +131,8 @@ def test_classes_against_a_loop(spark):
     f, text = quality.Features(), dict(rows)
     fitted = sorted(mark, key=lambda i: hashed[i][0])
     slots = {i: f.of(text[i])[0] for i in fitted}
-    known = tuple(quality.lexicon([slots[i] for i in fitted if hashed[i][1] != x], np.array([mark[i] for i in fitted if hashed[i][1] != x])) for x in (0, 1))
+    words = {i: f.words(text[i]) for i in fitted}
+    known = tuple(quality.lexicon([words[i] for i in fitted if hashed[i][1] != x], np.array([mark[i] for i in fitted if hashed[i][1] != x])) for x in (0, 1))
     f = quality.Features(known)
     votes = Counter((mark.get(i, quality.ABSTAIN), *f.of(t, hashed[i][1])[1]) for i, t in rows)
     prior, accuracy = quality.estimate(np.array(list(votes)), np.array(list(votes.values()), float))
@@ -146,6 +147,15 @@ def test_classes_against_a_loop(spark):
     assert len(got ^ want) <= 2 and {(i, k) for i, *_, k in got} == {(i, k) for i, *_, k in want}  # but for last digits
 
 
+def test_a_lexicon_holds_no_common_words():
+    rng = np.random.default_rng(8)
+    marks = np.where(np.arange(2000) % 10 == 0, quality.TOXIC, quality.CLEAN)
+    # Word 1 marks toxic texts, 2 is twice as common there, the rest are alike.
+    rows = [np.unique([*rng.integers(10, 400, 50), *[1] * int(y == quality.TOXIC), *[2] * int(rng.random() < (0.8 if y == quality.TOXIC else 0.4))]) for y in marks]
+    assert quality.lexicon(rows, marks) == {1}
+    assert quality.lexicon([], np.array([])) == frozenset()
+
+
 def test_classifier_on_held_out_rows(spark):
     random.seed(7)
     bad = ["vile", "awful", "rotten"]
