@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -49,6 +50,14 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffles, broadcasts and plans that nothing refers to any more: the driver
+    keeps them until its memory is collected, which long chains of small jobs delay."""
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
 def removed(df: DataFrame) -> None:
     """Remove the stored table that df reads."""
     _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, stored
+from .common import join_counted, stored, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
         before = now
+        tidy(edges.sparkSession)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_counted(both.where("v > u"), stored(least, "least"), "u", "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_counted(both.where("v > u"), least, "u", "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -29,7 +29,6 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, removed, small_batches, stored, temporary_tables
+from .common import release, removed, small_batches, stored, temporary_tables, tidy
 
 STATES = 8
 TOLERANCE = 1e-3
@@ -396,8 +395,7 @@ def train(blocks: DataFrame, asked: DataFrame, states: int, tolerance: float) ->
         start, move = sums[False][:states] + 1, sums[False][states:-1].reshape(states, states) + 1
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), np.zeros((0, states)))
         gained.append(float(sums[False][-1]))
-        gc.collect()
-        spark._jvm.System.gc()  # else the files of each iteration's shuffles stay
+        tidy(spark)  # else the files of each iteration's shuffles stay
         if len(gained) > 1 and gained[-1] - gained[-2] < tolerance * -gained[-1]:
             break
     return model, table, sizes, gained

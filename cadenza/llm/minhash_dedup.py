@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, release, small_batches, stored, temporary_tables
+from .common import join_counted, release, small_batches, stored, temporary_tables, tidy
 from .components import components
 
 K = 64
@@ -287,6 +287,7 @@ def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "least_id", "copies", "x.*"), "classes")
     need = f"CASE WHEN n <= {3 * k // 4} THEN (3 * n + 3) div 4 ELSE {least_overlap(k)} END"
     sized = _sized(lists(classes.select("cid", F.explode("sketch").alias("v")), classes, f"least(n, {k})", need))
+    tidy(docs.sparkSession)
     pairs, many = _all_pairs(sized.where(f"f <= {long}")), sized.where(f"f > {long}").select("cid").distinct()
     hot = None
     if not many.isEmpty():
@@ -295,6 +296,7 @@ def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
         hot = again.where(f"f > {long}")
         hubs = hot.where(f"cid <> hub AND {_similar_size('n', 'hub_n')}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
         pairs = pairs.unionByName(_all_pairs(again.where(f"f <= {long}"))).unionByName(hubs)
+    tidy(docs.sparkSession)
     links = _linked(stored(_estimated(pairs.distinct(), classes, k), "pairs"), classes, docs)
     comp = stored(components(links), "components")
     if hot is not None:
@@ -309,7 +311,9 @@ def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
     labels = stored(join_counted(stored(of_class, "classes"), least, "comp", "f", classes.count()).select("key", "comp", "component_id", "copies"), "labels")
     linked = join_counted(rows.where("n > 0").drop("sketch"), labels, "key", "copies", rows.count()).select("doc_id", "text_hash", "n", "comp", "component_id")
     alone = rows.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("bigint").alias("comp"), F.col("doc_id").alias("component_id"))
-    return stored(linked.unionByName(alone), "labelled", keep=True)
+    out = stored(linked.unionByName(alone), "labelled", keep=True)
+    tidy(docs.sparkSession)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, tidy
 from .license_scan import words_of
 
 CLEAN, LOW, TOXIC = range(3)
@@ -135,7 +135,7 @@ def lexicon(rows: list[np.ndarray], marks: np.ndarray, least: float = 6.0) -> fr
     common there, or a slot that other words share, would mark most texts."""
     toxic = marks == TOXIC
     share = float(toxic.mean()) if len(marks) else 0.0
-    every = np.concatenate([*rows, np.empty(0, np.int64)])
+    every = np.concatenate([*rows, np.empty(0, np.uint32)])
     words, n = np.unique(every, return_counts=True)
     hits = np.bincount(np.searchsorted(words, every), weights=np.repeat(toxic, [len(r) for r in rows]), minlength=len(words))
     return frozenset(words[(hits - n * share >= least * np.sqrt(n * share * (1 - share) + 1e-9)) & (2 * hits > n)].tolist())
@@ -258,7 +258,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
     weights = fit_scorer(slots, posterior(own, prior, accuracy))
     model = context.broadcast((weights, known, prior, accuracy, bool(found)))
     del slots, found, shapes, codes, own, patterns, votes
-    release()
+    tidy(spark)
 
     def scored(texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
         w, lex, prior, accuracy, trained = model.value
