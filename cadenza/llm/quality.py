@@ -135,9 +135,11 @@ def lexicon(rows: list[np.ndarray], marks: np.ndarray, least: float = 6.0) -> fr
     common there, or a slot that other words share, would mark most texts."""
     toxic = marks == TOXIC
     share = float(toxic.mean()) if len(marks) else 0.0
-    every = np.concatenate([*rows, np.empty(0, np.uint32)])
-    words, n = np.unique(every, return_counts=True)
-    hits = np.bincount(np.searchsorted(words, every), weights=np.repeat(toxic, [len(r) for r in rows]), minlength=len(words))
+    words, hits = np.unique(np.concatenate([*(r for r, x in zip(rows, toxic, strict=True) if x), np.empty(0, np.uint32)]), return_counts=True)
+    n = np.zeros(len(words))
+    for r in rows if len(words) else ():  # one row at a time: only what toxic ones hold is counted
+        at = np.minimum(np.searchsorted(words, r), len(words) - 1)
+        n[at[words[at] == r]] += 1
     return frozenset(words[(hits - n * share >= least * np.sqrt(n * share * (1 - share) + 1e-9)) & (2 * hits > n)].tolist())
 
 
@@ -181,7 +183,7 @@ def fit_scorer(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 20, rat
     use[HASHED:] = True
     for k in range(3) if rows else ():
         use[:HASHED] |= leaning(rows, labels[:, k])[:HASHED] >= least
-    rows = [np.append(r[use[r]], WIDTH) for r in rows]
+    rows = [np.append(r[use[r]], np.int32(WIDTH)) for r in rows]
     w, g2 = np.zeros((WIDTH + 1, 3)), np.full((WIDTH + 1, 3), 1e-2)
     rng = np.random.default_rng(5)
     for _ in range(rounds if rows else 0):
@@ -254,9 +256,14 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, only_kept
     votes = np.array([[r.mark, *_decode(r.code)] for r in patterns], dtype=np.int64).reshape(-1, len(LABELLERS))
     prior, accuracy = estimate(votes, np.array([float(r.n) for r in patterns]))
     own = np.array([[y, TOXIC if not known[x].isdisjoint(s.tolist()) else ABSTAIN, *_decode(code)[1:]] for (s, y), code, x in zip(found, codes, folds, strict=True)], dtype=np.int64).reshape(-1, len(LABELLERS))
-    slots = [np.concatenate([np.unique(s % HASHED).astype(np.int32), x]) for (s, _), x in zip(found, shapes, strict=True)]
+    slots = []
+    while found:  # each row's words make place for its slots
+        s, _ = found.pop()
+        slots.append(np.concatenate([np.unique(s % HASHED).astype(np.int32), shapes[len(found)]]))
+    slots.reverse()
+    trained = bool(slots)
     weights = fit_scorer(slots, posterior(own, prior, accuracy))
-    model = context.broadcast((weights, known, prior, accuracy, bool(found)))
+    model = context.broadcast((weights, known, prior, accuracy, trained))
     del slots, found, shapes, codes, own, patterns, votes
     tidy(spark)
 
