@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, stored, tidy
+from .common import stored, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps (Kiveris et al., 2014): each node's neighbours
     are pointed at the least of them until all point at the component's least node.
     A step is a minimum for each node, which Spark combines before the shuffle, and
-    a join in which no task gets all neighbours of a node that has very many; each round
-    is written to the shared folder. No edges: no rows."""
+    a join, whose skew (a node with very many neighbours) is left to AQE; each round is
+    written to the shared folder. No edges: no rows."""
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         tidy(edges.sparkSession)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_counted(both.where("v > u"), least, "u", "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
