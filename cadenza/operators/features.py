@@ -101,12 +101,14 @@ def tag_stats(catalog: DataFrame) -> DataFrame:
 
 
 def scaled_metadata(catalog: DataFrame) -> DataFrame:
-    """Z-scores of duration, popularity and engagement, and the genre as one-hot."""
+    """Z-scores of duration, popularity and engagement, and the genre as one-hot (empty
+    without a genre). Genres are numbered as rows, so that no row holds all of them."""
     names = ["duration", "popularity_score", "engagement_rate"]
-    stats = catalog.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names), F.array_sort(F.collect_set("genre")).alias("genres"))
+    stats = catalog.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names), F.countDistinct("genre").cast("int").alias("size"))
     z = [r6((F.col(c) - F.col(f"m_{c}")) / (F.col(f"s_{c}") + 1e-8)).alias(f"z_{c}") for c in names]
-    hot = F.transform("genres", lambda g: (g == F.col("genre")).cast("int"))
-    return catalog.join(F.broadcast(stats)).select("song_id", *z, F.array_join(hot, "").alias("one_hot"))
+    places = catalog.where("genre IS NOT NULL").select("genre").distinct().withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("genre")))
+    hot = F.concat(F.repeat(F.lit("0"), F.col("place") - 1), F.lit("1"), F.repeat(F.lit("0"), F.col("size") - F.col("place")))
+    return catalog.join(places, "genre", "left").join(F.broadcast(stats)).select("song_id", *z, F.coalesce(hot, F.lit("")).alias("one_hot"))
 
 
 def item_features(vectors: DataFrame, base: int, target: int | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ def genre_preferences(own: DataFrame, genres: DataFrame) -> DataFrame:
     total = n.groupBy("user_id").agg(F.sum("n").alias("total"))
     g = genres.select("genre").distinct()
     users = own.select("user_id").distinct().join(total, "user_id", "left")
-    all_ = users.join(F.broadcast(g)).join(F.broadcast(g.agg(F.count("*").alias("G")))).join(n, ["user_id", "genre"], "left")
+    all_ = users.crossJoin(g).join(F.broadcast(g.agg(F.count("*").alias("G")))).join(n, ["user_id", "genre"], "left")
     p = F.when(F.col("total").isNull(), 1 / F.col("G")).otherwise(0.6 * F.coalesce(F.col("n"), F.lit(0)) / F.col("total") + 0.4 / F.col("G"))
     return all_.select("user_id", "genre", r6(p).alias("preference"))
 

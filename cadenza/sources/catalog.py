@@ -15,13 +15,20 @@ play_count bigint, upvote_count bigint, comment_count bigint, display_tags strin
 HISTORY = "user_id string, song_id string, ts timestamp_ntz, weight double, type string, seq bigint"
 
 
+LINES = (".jsonl", ".ndjson")
+
+
 def _json(spark: SparkSession, path: str) -> DataFrame:
-    """(doc): each whole JSON text of a path."""
+    """(doc): each whole JSON text of a path, in one row and so of 2 GB at most."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
 
 
 def raw_songs(spark: SparkSession, path: str) -> DataFrame:
-    """Song records of a JSON list or of {"songs": [...]}, with their place pos."""
+    """Song records of a JSON list or of {"songs": [...]}, with their place pos. Files of
+    any size have a record in each line (.jsonl, .ndjson) and are read in parts."""
+    if path.endswith(LINES):
+        rows = spark.read.schema(SONG).json(path).withColumn("line", F.monotonically_increasing_id())
+        return simulate.numbered(rows, "line").withColumnRenamed("i", "pos").select("pos", *rows.drop("line").columns)
     kind = T._parse_datatype_string(SONG).simpleString()
     doc = _json(spark, path).withColumn("doc", F.ltrim("doc"))
     listed = F.when(F.col("doc").startswith("["), F.from_json("doc", f"array<{kind}>"))

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cadenza.operators import channels, diagnostics, evaluation, history, hybrid, interactions, quality, ranking, similarity, simulate
+from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, quality, ranking, similarity, simulate
 
 UI = "user_id long, song_id long, weight double"
 few = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -167,3 +167,12 @@ def test_explanations(spark):
     assert got == {("item-based CF", 1): "7", ("prompt-based", 2): "3,4"}
     named = hybrid.labelled(hybrid.blend({"item_cf": a, "prompt_based": b}), ranked_by_clicks=True).collect()
     assert {(r.song_id, r.stage, r.channel) for r in named} == {(1, "fine rank", "item-based CF"), (2, "fine rank", "prompt-based")}
+
+
+def test_one_hot_of_genres(spark):
+    songs = spark.createDataFrame([(1, "b", 1.0), (2, None, 2.0), (3, "a", 3.0), (4, "c", 3.0)], "song_id long, genre string, duration double")
+    songs = songs.withColumns({"popularity_score": F.lit(1.0), "engagement_rate": F.lit(0.5)})
+    got = {r.song_id: r for r in features.scaled_metadata(songs).collect()}
+    assert {k: r.one_hot for k, r in got.items()} == {1: "010", 2: "", 3: "100", 4: "001"}
+    assert got[1].z_popularity_score == 0 and got[1].z_duration < 0 < got[3].z_duration
+    assert features.scaled_metadata(songs.where("false")).collect() == []

@@ -41,6 +41,16 @@ def test_aggregated_catalog(spark, songs):
         catalog.raw_songs(spark, f"{songs}/bad.json").collect()
 
 
+def test_catalog_of_lines(spark, songs):
+    with open(f"{songs}/list.json") as f, open(f"{songs}/list.jsonl", "w") as out:
+        out.writelines(json.dumps(x) + "\n" for x in json.load(f))
+    whole, lines = (catalog.raw_songs(spark, f"{songs}/list.{kind}") for kind in ("json", "jsonl"))
+    assert whole.columns == lines.columns
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(whole) == key(lines)
+    assert key(catalog.aggregated(whole, 3)) == key(catalog.aggregated(lines, 3))
+
+
 def test_processed_catalog(spark, songs):
     df = catalog.processed(catalog.raw_songs(spark, f"{songs}/list.json"), "2024-01-24 10:00:00")
     catalog.save_processed(df, f"{songs}/out")
