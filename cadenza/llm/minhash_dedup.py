@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, release, small_batches, stored, temporary_tables, tidy
+from .common import join_counted, release, small_batches, small_broadcasts, stored, temporary_tables, tidy
 from .components import components
 
 K = 64
@@ -204,7 +204,9 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("x"))
     best = stored(ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "best")
     links = stored(_verified(best, classes, docs), "links")
+    tidy(docs.sparkSession)
     comp = stored(components(links), "components")
+    tidy(docs.sparkSession)
     more = stored(_verified(_across(pairs.join(best, ["a", "b"], "left_anti"), comp), classes, docs), "links")
     return links.unionByName(more)
 
@@ -274,7 +276,7 @@ def _across_blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> D
 def near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the least
     doc_id reachable over links of similarity 3/4 or more) and kept."""
-    with small_batches(docs.sparkSession), temporary_tables(docs.sparkSession):
+    with small_batches(docs.sparkSession), small_broadcasts(docs.sparkSession), temporary_tables(docs.sparkSession):
         out = _labelled(docs, k, long).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -292,6 +294,7 @@ def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
     hot = None
     if not many.isEmpty():
         sets = _full_sets(many, classes, docs)
+        tidy(docs.sparkSession)
         again = _sized(lists(_values(sets), classes, "n", "(3 * n + 3) div 4"))
         hot = again.where(f"f > {long}")
         hubs = hot.where(f"cid <> hub AND {_similar_size('n', 'hub_n')}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
@@ -306,6 +309,7 @@ def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
         if not members.where("outside").isEmpty():
             more = stored(_across_blocks(members, sets), "links")
             comp = stored(components(links.unionByName(more)), "components")
+    tidy(docs.sparkSession)
     of_class = classes.select("cid", "key", "least_id", "copies").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("f"))
     labels = stored(join_counted(stored(of_class, "classes"), least, "comp", "f", classes.count()).select("key", "comp", "component_id", "copies"), "labels")
@@ -320,7 +324,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = K, long: int = LONG) -> DataF
     """The rows of docs, as they are, but one for each group of near-duplicates: that
     with the least doc_id (one that is not null before any that is), of these that with
     the least hash of its text; of rows equal in both, any one. Rows with an empty set stay."""
-    with small_batches(docs.sparkSession), temporary_tables(docs.sparkSession):
+    with small_batches(docs.sparkSession), small_broadcasts(docs.sparkSession), temporary_tables(docs.sparkSession):
         rows = _labelled(docs.select("doc_id", "text"), k, long).where("comp IS NOT NULL")
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
         chosen = rows.groupBy("comp").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_hash")

@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import embedding_dedup
+from cadenza.llm import common, embedding_dedup
 from cadenza.llm.chat_format import format_chats
 from cadenza.llm.components import components
 from cadenza.llm.embedding_dedup import near_duplicate_vectors
@@ -42,6 +43,15 @@ def test_components_against_a_loop(spark):
     assert got == {i: want[i] for i in {x for p in links for x in p if p[0] != p[1]}}
 
 
+def test_counted_joins_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    keys = [1] * 9 + [2] * 6 + [3] * 3 + [4, 5, None]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    facts = df.where("k IS NOT NULL AND k <> 5").groupBy("k").agg(F.count("*").alias("f"))
+    found = common.join_counted(df, facts, "k", "f", len(keys)).collect()
+    assert sorted(map(tuple, found)) == [(k, i, keys.count(k)) for i, k in enumerate(keys) if k in {1, 2, 3, 4}]
+
+
 def near_rows():
     random.seed(8)
     word = lambda: "".join(random.choice("abcdefghij") for _ in range(4))
