@@ -75,32 +75,17 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         _delete(spark, own)
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in values}
-    for name, value in values.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs that run inside hand texts to Python in batches of so many rows at most,
     which bounds what a task holds beside its state."""
-    with _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
-        yield
-
-
-@contextmanager
-def small_broadcasts(spark: SparkSession, size: str = "1m") -> Iterator[None]:
-    """Spark broadcasts tables of at most this size of its own accord in jobs that run
-    inside: a broadcast table is in the driver as rows, as a hash table and in blocks."""
-    with _settings(spark, {"spark.sql.autoBroadcastJoinThreshold": size, "spark.sql.adaptive.autoBroadcastJoinThreshold": size}):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
         yield
+    finally:
+        spark.conf.set(name, before)
 
 
 HOT_KEYS = 1 << 12
