@@ -58,4 +58,45 @@ SHARDS = f"""WITH {CRC32},
   placed AS (SELECT *, row_number() OVER (ORDER BY f, h) - 1 AS p, count(*) OVER () AS n FROM ranked)
   SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (p * 40 // n)::INT AS shard, p - ((p * 40 // n) * n + 39) // 40 AS slot, NULL::INT AS grown_shard FROM placed"""
 
-ORACLES = {"op7_sharding": SHARDS, "op1_license_scan": _licenses(), "op5_near_dedup": NEAR_DUPLICATES, "op9_embedding_dedup": NEAR_VECTORS}
+BLANK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+MIXTURE = f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s, len({BLANK_WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS m FROM documents),
+  copies AS (SELECT *, row_number() OVER (PARTITION BY s, doc_id, size, m) - 1 AS i FROM d),
+  hashed AS (SELECT *, md5('42|' || s || '|' || coalesce(doc_id::VARCHAR, '') || '|' || size || '|' || m || '|' || i) AS h FROM copies),
+  before AS (SELECT *, sum(size) OVER (PARTITION BY s ORDER BY h) - size AS b, sum(size) OVER (PARTITION BY s) AS source_size FROM hashed),
+  sources AS (SELECT s, sum(size)::BIGINT AS n, ((row_number() OVER (ORDER BY s = 'null', s) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY s),
+  limits AS (SELECT *, coalesce(sum(3 * n) OVER o, 0) AS n_before, coalesce(sum(w) OVER o, 0) AS w_before FROM sources WINDOW o AS (ORDER BY 3 * n / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  level AS (SELECT max(((SELECT sum(n) FROM sources)::DOUBLE - n_before::DOUBLE) / ((SELECT sum(w) FROM sources) - w_before)) AS level FROM limits),
+  targets AS (SELECT s, n, least((3 * n)::DOUBLE, w * level) AS target FROM sources, level),
+  cuts AS (SELECT *, floor(target + 0.5)::BIGINT // greatest(n, 1) AS whole, floor(target + 0.5)::BIGINT % greatest(n, 1) AS rest FROM targets)
+  SELECT doc_id, size, source_size::BIGINT AS source_size, target, (whole * size + greatest(0, least(size, rest - b)))::BIGINT AS taken FROM before JOIN cuts USING (s)"""
+
+# All pairs of equal words at distances of up to a fourth of the text; stretches of them are runs.
+RUNS = rf"""WITH bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+  d AS (SELECT row_number() OVER () AS k, doc_id, {BLANK_WORDS} AS w, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+  hashed AS (SELECT k, doc_id, w, len(w) AS n, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM d, bits),
+  cut AS (SELECT *, (h // 10) % nullif(n, 0) AS a, 1 + (n - (h // 10) % nullif(n, 0)) // (3 + (h // 10) % 8) AS p FROM hashed),
+  texts AS (SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1] FOR i IN range(n)] ELSE w END AS w FROM cut),
+  words AS (SELECT k, n, unnest(w) AS x, unnest(range(n)) AS i FROM texts),
+  equal AS (SELECT a.k, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.k = b.k AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+  stretches AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS g FROM equal) GROUP BY k, q, g),
+  runs AS (SELECT k, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY k, start, length),
+  best AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first({{'start': start, 'length': length, 'period': period}} ORDER BY length::DOUBLE / period DESC, start, period) AS r FROM runs GROUP BY k),
+  dropped AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs),
+  kept AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS body FROM words ANTI JOIN dropped USING (k, i) GROUP BY k)
+  SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r.start AS start, r.length AS length, r.period AS period, 1000 * r.length // r.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+  FROM texts LEFT JOIN best USING (k) LEFT JOIN kept USING (k)"""
+
+SEARCH_TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {SEARCH_TERMS} AS w FROM documents),
+  tokens AS (SELECT k, unnest(w) AS t FROM d), tf AS (SELECT k, t, count(*) AS tf FROM tokens GROUP BY 1, 2),
+  df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+  total AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+  lengths AS (SELECT k, doc_id, 10 + (90 * len(w) * n) // l AS m FROM d, total WHERE len(w) > 0),
+  asked AS (SELECT row_number() OVER () AS q, item_id, w FROM (SELECT DISTINCT item_id, list_sort(list_distinct({SEARCH_TERMS})) AS w FROM benchmark)),
+  weights AS (SELECT q, item_id, t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT q, item_id, unnest(w) AS t FROM asked) JOIN df USING (t), total),
+  scores AS (SELECT q, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM weights JOIN tf USING (t) JOIN lengths USING (k) GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+  SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLES = {"op11_mixing": MIXTURE, "op12_periodic_runs": RUNS, "op13_lexical_search": SEARCH, "op7_sharding": SHARDS, "op1_license_scan": _licenses(), "op5_near_dedup": NEAR_DUPLICATES, "op9_embedding_dedup": NEAR_VECTORS}

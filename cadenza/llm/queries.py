@@ -13,9 +13,12 @@ from .common import table
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
 from .hmm_lm import score_documents
+from .lexical_search import ranked_search
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
+from .mixing import plan
 from .oracles import ORACLES
+from .periodic_runs import digests, periodic_runs, with_repeats
 from .quality import classify
 from .secret_scan import scan_secrets
 from .sharding import shard
@@ -70,5 +73,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe, op9_embedding_dedup, op10_chat_format)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(table(spark, sf_dir, "documents")).drop("source", "text_md5")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_secret_scan, op4_quality, op5_near_dedup, op6_decontaminate, op7_sharding, op8_bpe, op9_embedding_dedup, op10_chat_format, op11_mixing, op12_periodic_runs, op13_lexical_search)}
 ORACLE_SQL: dict[str, str] = ORACLES
