@@ -11,6 +11,7 @@ from cadenza.functions import r6, unit
 
 from .features import normal_prompt
 from .similarity import nearest, products, top
+from .topk import top_similar
 
 
 def without(df: DataFrame, seeds: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
@@ -65,10 +66,9 @@ def virtual_users(seeds: DataFrame, ui: DataFrame, k: int = 20) -> DataFrame:
 
 def co_liked(ui: DataFrame, n: int = 10) -> DataFrame:
     """(a, b, score): songs of the users of song a, by their number over the highest."""
-    pairs = ui.select("user_id", F.col("song_id").alias("a")).join(ui.select("user_id", F.col("song_id").alias("b")), "user_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    best = F.max("n").over(W.partitionBy("a"))
-    return top(pairs.withColumn("score", r6(F.col("n") / best)), n, ["a"], "score", "b").select("a", "b", "score", "rank")
+    counts = top_similar(ui.withColumn("weight", F.lit(1.0)), "song_id", "user_id", n, cosine=False)
+    best = F.max("sim").over(W.partitionBy("a"))
+    return counts.select("a", "b", r6(F.col("sim") / best).alias("score"), "rank")
 
 
 def popular(catalog: DataFrame, n: int = 20, by: str = "popularity_score") -> DataFrame:

@@ -230,6 +230,7 @@ ORACLES: dict[str, str] = {
       SELECT user_id, song_id, score FROM warm ANTI JOIN own2 USING (user_id, song_id) UNION ALL SELECT user_id, song_id, score FROM knn WHERE user_id NOT IN (SELECT user_id FROM wseeds)""",
     "hybrid_full": f"WITH {TWO}, {QUALITY}, {HISTORY}, {VECTORS}, {MEANS}, {TOWERS}, {prompt_pool()}, {FOUR} SELECT user_id, song_id, recall_score, quality_score, fine_score, final_score, primary_channel, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, song_id) AS rank FROM final QUALIFY rank <= 10",
     "similar_songs_hybrid": f"""WITH {ITEM_SIMS}, {VECTORS}, parts AS (SELECT a, b, round(sim * 0.25, 8) AS s FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20)
+      UNION ALL SELECT a, b, round(round(n / max(n) OVER (PARTITION BY a), 6) * 0.25, 8) FROM (SELECT x.song_id AS a, y.song_id AS b, count(*) AS n FROM likes x JOIN likes y ON x.user_id = y.user_id AND x.song_id <> y.song_id GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 20
       UNION ALL SELECT a, b, round(sim * 0.35, 8) FROM (SELECT x.song_id AS a, y.song_id AS b, round(list_dot_product(x.v, y.v), 6) AS sim FROM unit x JOIN unit y ON x.song_id <> y.song_id QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20))
       SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM (SELECT a, b, round(sum(s), 8) AS score FROM parts GROUP BY 1, 2) QUALIFY rank <= 10""",
     "explained_channels": f"""WITH {TWO} SELECT user_id, 'item-based CF' AS channel, rank, song_id, score, primary_seed::VARCHAR AS because FROM item_cf WHERE rank <= 5 UNION ALL SELECT user_id, 'user-based CF', rank, song_id, score, source_user::VARCHAR FROM user_cf WHERE rank <= 5""",

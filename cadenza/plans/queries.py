@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import dot, norm, r6, unit
-from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, quality, ranking, similarity, simulate
+from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, quality, ranking, similarity, simulate, topk
 from cadenza.sources.bindings import AS_OF, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,27 +75,27 @@ def permutation_test(t: Tables) -> DataFrame:
 # Similarity and collaborative channels
 
 
-def item_sims(t: Tables) -> DataFrame:
-    return similarity.cosine(t.likes(), "song_id", "user_id")
+def item_sims(t: Tables, k: int) -> DataFrame:
+    return topk.top_similar(t.likes(), "song_id", "user_id", k)
 
 
-def user_sims(t: Tables) -> DataFrame:
-    return similarity.cosine(t.likes(), "user_id", "song_id")
+def user_sims(t: Tables, k: int) -> DataFrame:
+    return topk.top_similar(t.likes(), "user_id", "song_id", k)
 
 
 @query
 def item_item_cosine_topk(t: Tables) -> DataFrame:
-    return similarity.top(item_sims(t), 5, ["a"], "sim", "b")
+    return item_sims(t, 5)
 
 
 @query
 def item_item_weighted_cosine(t: Tables) -> DataFrame:
-    return similarity.top(similarity.cosine(t.interactions(), "song_id", "user_id"), 5, ["a"], "sim", "b")
+    return topk.top_similar(t.interactions(), "song_id", "user_id", 5)
 
 
 @query
 def user_user_cosine_topk(t: Tables) -> DataFrame:
-    return similarity.top(user_sims(t), 5, ["a"], "sim", "b")
+    return user_sims(t, 5)
 
 
 def seeds(t: Tables, n: int = 16) -> DataFrame:
@@ -103,7 +103,7 @@ def seeds(t: Tables, n: int = 16) -> DataFrame:
 
 
 def item_cf_scores(t: Tables, n: int = 10) -> DataFrame:
-    return channels.item_cf(seeds(t), item_sims(t), n=n, per_seed=5)
+    return channels.item_cf(seeds(t), item_sims(t, 5), n=n, per_seed=5)
 
 
 @query
@@ -112,7 +112,7 @@ def item_cf_recommend(t: Tables) -> DataFrame:
 
 
 def user_cf_scores(t: Tables, n: int = 10) -> DataFrame:
-    near = similarity.top(user_sims(t), 20, ["a"], "sim", "b").select(F.col("a").alias("user_id"), F.col("b").alias("other"), "sim")
+    near = user_sims(t, 20).select(F.col("a").alias("user_id"), F.col("b").alias("other"), "sim")
     recent = history.last_n(t.plays(), 50).select("user_id", "song_id", (-F.col("seq")).alias("place"))
     return channels.user_cf(near, t.likes(), recent, n=n)
 
@@ -139,7 +139,7 @@ def similar_songs_colike(t: Tables) -> DataFrame:
 
 @query
 def similar_songs_item_cf(t: Tables) -> DataFrame:
-    return similarity.top(item_sims(t), 10, ["a"], "sim", "b")
+    return item_sims(t, 10)
 
 
 @query
@@ -385,7 +385,7 @@ def content_similar_songs(t: Tables) -> DataFrame:
 def cold_seeds_fallback(t: Tables) -> DataFrame:
     """Item results; users whose seeds are all cold songs get content results."""
     own, few = seeds(t, 2), t.likes().where("song_id % 3 > 0")
-    warm = channels.item_cf(own.join(few.select("song_id").distinct(), "song_id", "left_semi"), similarity.cosine(few, "song_id", "user_id"), per_seed=5)
+    warm = channels.item_cf(own.join(few.select("song_id").distinct(), "song_id", "left_semi"), topk.top_similar(few, "song_id", "user_id", 5), per_seed=5)
     cold = interactions.cold(t.catalog(), few)
     return channels.with_cold_seeds(channels.without(warm, own), own, cold, channels.content_based(own, t.vectors(), features.engagement_processed(t.catalog())))
 
@@ -399,6 +399,7 @@ def incremental_embedding_anti_join(t: Tables) -> DataFrame:
 
 
 def two_channels(t: Tables) -> dict[str, DataFrame]:
+    t = t.shared()
     return {"item_cf": item_cf_scores(t, 30), "user_based": user_cf_scores(t, 30)}
 
 
@@ -417,33 +418,34 @@ def hybrid_pipeline(t: Tables) -> DataFrame:
 
 
 def four_channels(t: Tables) -> dict[str, DataFrame]:
+    t = t.shared()
     prompts = similarity.top(prompt_pool(t), 30, ["user_id"], "score", "song_id")
     return two_channels(t) | {"two_tower": tower_scores(t, 30), "prompt_based": prompts}
 
 
-def stage_scores(t: Tables, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stand-ins for models: click rates from the cosine to a user's mean (none where the
-    cosine is not known), and a part's size as its model score, if a multiple of two."""
+def click_rates(t: Tables, candidates: DataFrame) -> DataFrame:
+    """A stand-in for a model: click rates from the cosine to a user's mean (none where the cosine is
+    not known). The re-rank's stand-in for model scores is a part's size, if a multiple of two."""
     u = channels.mean_vectors(t.history(), t.vectors()).select("user_id", unit("vec").alias("uv"))
     met = candidates.select("user_id", "song_id").join(u, "user_id").join(t.vectors().select("song_id", unit("vec").alias("iv")), "song_id")
-    ctr = met.select("user_id", "song_id", r6(1 / (1 + F.exp(-r6(dot("uv", "iv"))))).alias("ctr"))
-    return ctr, t["part"].where("p_size % 2 = 0").select(F.col("p_partkey").alias("song_id"), (F.col("p_size") / 50).alias("llm_score"))
+    return met.select("user_id", "song_id", r6(1 / (1 + F.exp(-r6(dot("uv", "iv"))))).alias("ctr"))
 
 
 @query
 def hybrid_full(t: Tables) -> DataFrame:
     """All four channels, quality gate, click rates, re-rank."""
-    found = four_channels(t)
-    ctr, llm = stage_scores(t, reduce(DataFrame.unionByName, [c.select("user_id", "song_id") for c in found.values()]).distinct())
-    best = hybrid.recommend(found, quality.heuristic(features.engagement_processed(t.catalog())), 10, ctr=ctr, llm=llm)
+    llm = t["part"].where("p_size % 2 = 0").select(F.col("p_partkey").alias("song_id"), (F.col("p_size") / 50).alias("llm_score"))
+    best = hybrid.recommend(four_channels(t), quality.heuristic(features.engagement_processed(t.catalog())), 10, ctr=lambda rows: click_rates(t, rows), llm=llm)
     return best.select("user_id", "song_id", "recall_score", "quality_score", "fine_score", "final_score", "primary_channel", "rank")
 
 
 @query
 def similar_songs_hybrid(t: Tables) -> DataFrame:
-    items = similarity.top(item_sims(t), 20, ["a"], "sim", "b").select("a", "b", F.col("sim").alias("score"))
+    t = t.shared()
+    items = item_sims(t, 20).select("a", "b", F.col("sim").alias("score"))
     vectors = similarity.nearest(t.vectors(), t.vectors(), 20, query="song_id").select(F.col("q").alias("a"), F.col("song_id").alias("b"), F.col("sim").alias("score"))
-    return hybrid.similar({"item_cf": items, "two_tower": vectors}).withColumn("rank", F.col("rank").cast("long"))
+    users = channels.co_liked(t.likes(), 20).drop("rank")
+    return hybrid.similar({"item_cf": items, "user_based": users, "two_tower": vectors}).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import doubles
 
+from .scratch import stored
+
 AS_OF = "2024-01-24 10:00:00"
 
 
@@ -20,6 +22,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def shared(self) -> Tables:
+        """The same, with likes and plays written once for a query that reads them often."""
+        return self if isinstance(self, _Shared) else _Shared(self.spark, self.dir)
+
     def lines(self) -> DataFrame:
         """Each playlist entry with its user and time."""
         return self["lineitem"].join(self["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
@@ -70,3 +76,20 @@ class Tables:
 
     def prompts(self) -> DataFrame:
         return self["documents"].select(F.col("doc_id").alias("song_id"), F.col("text").alias("prompt"))
+
+
+class _Shared(Tables):
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__(spark, sf_dir)
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = stored(df, name)
+        return self._kept[name]
+
+    def likes(self) -> DataFrame:
+        return self._once("likes", super().likes())
+
+    def plays(self) -> DataFrame:
+        return self._once("plays", super().plays())
