@@ -51,9 +51,13 @@ def norm(a: str | Column) -> Column:
 
 
 def unit(v: str | Column) -> Column:
-    """v over its length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(col(v), lambda x: x / n)).otherwise(col(v))
+    """v over its length; a zero vector stays. v and its length are bound, so that neither is
+    worked out anew for each part."""
+
+    def over_length(y: Column) -> Column:
+        return F.transform(F.array(norm(y)), lambda n: F.when(n > 0, F.transform(y, lambda x: x / n)).otherwise(y))[0]
+
+    return F.transform(F.array(col(v)), over_length)[0]
 
 
 def fitted(v: str | Column, size: int) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cadenza.functions import r6, unit
 
 from .features import normal_prompt
-from .similarity import nearest, products, top
+from .neighbours import nearest
+from .similarity import top
 from .topk import top_similar
 
 
@@ -78,22 +79,35 @@ def popular(catalog: DataFrame, n: int = 20, by: str = "popularity_score") -> Da
     return first.select("song_id", r6(F.col(by) / most).alias("score"))
 
 
+CHUNK = 64  # vectors that are listed to be summed up
+
+
+def _summed(df: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of vec and n over groups of `by`, of which each has few rows, in order of `at`."""
+    listed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "vec"))).alias("l"), F.sum("n").alias("n"), F.min("at").alias("at")).withColumn("v", F.col("l.vec"))
+    total = F.aggregate(F.slice("v", 2, F.size("v")), F.col("v")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return listed.select(*by, "at", total.alias("vec"), "n")
+
+
 def mean_vectors(history: DataFrame, vectors: DataFrame, last: int = 8) -> DataFrame:
-    """(user_id, vec): the mean of the vectors of the last songs of each user."""
+    """(user_id, vec): the mean of the vectors of the last songs of each user. Vectors are summed up
+    whole, CHUNK at a time, so that no part of one is a row."""
     back = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("seq")))
-    kept = history.withColumn("back", back).where(F.col("back") <= last)
-    parts = kept.join(vectors.select("song_id", "vec"), "song_id").select("user_id", F.posexplode("vec").alias("i", "x"))
-    means = parts.groupBy("user_id", "i").agg(F.avg("x").alias("x"))
-    return means.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vec"))
+    kept = history.withColumn("at", back).where(F.col("at") <= last)
+    met = kept.join(vectors.select("song_id", "vec"), "song_id").select("user_id", "at", "vec", F.lit(1).alias("n"), F.floor((F.col("at") - 1) / CHUNK).alias("chunk"))
+    sums = _summed(met, ["user_id", "chunk"])
+    if last > CHUNK:
+        sums = _summed(sums, ["user_id"])
+    return sums.select("user_id", F.transform("vec", lambda x: x / F.col("n")).alias("vec"))
 
 
 def towers(user_vectors: DataFrame, items: DataFrame, seeds: DataFrame, n: int = 10, user_tower=unit, item_tower=unit) -> DataFrame:
     """Dot products of encoded users and encoded items, without the seeds. A tower is a
-    function from a column of vectors to encoded ones; unit is the identity tower."""
-    out = seeds.groupBy("user_id").agg(F.countDistinct("song_id").alias("out"))
-    u = user_vectors.join(out, "user_id", "left").select(F.col("user_id").alias("q"), (F.coalesce("out", F.lit(0)) + n).alias("need"), user_tower(F.col("vec")).alias("vec"))
-    scored = products(u, items.select("song_id", item_tower(F.col("vec")).alias("vec"))).select(F.col("q").alias("user_id"), "song_id", F.col("sim").alias("score"))
-    return top(without(scored, seeds), n, ["user_id"], "score", "song_id")
+    function from a column of vectors to encoded ones of length one; unit is the identity tower."""
+    users = user_vectors.select(F.col("user_id").alias("q"), user_tower(F.col("vec")).alias("vec"))
+    songs = items.select("song_id", item_tower(F.col("vec")).alias("vec"))
+    found = nearest(users, songs, n, keep_self=True, exclude=seeds.select(F.col("user_id").alias("q"), "song_id"))
+    return found.select(F.col("q").alias("user_id"), "song_id", F.col("sim").alias("score"), "rank")
 
 
 def prompt_candidates(seeds: DataFrame, near: DataFrame, songs: DataFrame, excludes: DataFrame | None = None, other_artists: bool = True) -> DataFrame:
@@ -105,7 +119,7 @@ def prompt_candidates(seeds: DataFrame, near: DataFrame, songs: DataFrame, exclu
     if other_artists:
         artists = seeds.select("user_id", "song_id").join(songs.select("song_id", "creator"), "song_id").select("user_id", "creator").distinct()
         met = met.join(artists, ["user_id", "creator"], "left_anti")
-    met = met.withColumn("s", r6(1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))))).where("s > 0")
+    met = met.withColumn("s", nearness("sim")).where("s > 0")
     first = F.row_number().over(W.partitionBy("user_id", "q", "normal").orderBy(F.desc("s"), "song_id"))
     met = met.withColumn("n", first).where("n = 1")
     scored = met.groupBy("user_id", "song_id", "normal").agg(r6(F.sum("s")).alias("score"), F.array_sort(F.collect_set("q")).alias("seeds"))
@@ -166,7 +180,7 @@ def content_based(seeds: DataFrame, vectors: DataFrame, catalog: DataFrame, n: i
     own = seeds.select("user_id", "song_id").distinct()
     known = vectors.select("song_id", "vec").join(catalog.select("song_id"), "song_id", "left_semi")
     means = mean_vectors(own.withColumn("seq", F.col("song_id")), known.withColumn("vec", unit("vec")), last=2**30)
-    near = nearest(means, known, 3 * n, query="user_id", keep_self=True).select(F.col("q").alias("user_id"), "song_id", r6(1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")))).alias("similarity"))
+    near = nearest(means, known, 3 * n, query="user_id", keep_self=True).select(F.col("q").alias("user_id"), "song_id", nearness("sim").alias("similarity"))
     met = top(without(near, own, excludes), n, ["user_id"], "similarity", "song_id").drop("rank")
     size, genres, tags = _tastes(own.join(known.select("song_id"), "song_id", "left_semi"), catalog)
     songs = catalog.select("song_id", "genre", "popularity_score", F.col("tags").alias("song_tags"))
@@ -177,10 +191,15 @@ def content_based(seeds: DataFrame, vectors: DataFrame, catalog: DataFrame, n: i
     return top(scored, n, ["user_id"], "score", "song_id").select("user_id", "song_id", "score", "similarity", "match", "rank")
 
 
+def nearness(cosine: str | Column) -> Column:
+    """1 - the angular distance of unit vectors with this cosine."""
+    return r6(1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col(cosine) if isinstance(cosine, str) else cosine))))
+
+
 def content_similar(vectors: DataFrame, n: int = 10) -> DataFrame:
     """(a, b, score, rank): each song's nearest by 1 - angular distance."""
     near = nearest(vectors, vectors, n, query="song_id")
-    return near.select(F.col("q").alias("a"), F.col("song_id").alias("b"), r6(1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")))).alias("score"), "rank")
+    return near.select(F.col("q").alias("a"), F.col("song_id").alias("b"), nearness("sim").alias("score"), "rank")
 
 
 def with_cold_seeds(warm: DataFrame, seeds: DataFrame, cold: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -1,16 +1,12 @@
-"""Cosine similarity of items or users over interactions, and of vectors."""
+"""Cosine similarity of items or users over interactions: all pairs (topk.py has the best only)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.functions import r6, unit
+from cadenza.functions import r6
 
 
 def cosine(ui: DataFrame, of: str, over: str) -> DataFrame:
@@ -31,56 +27,3 @@ def top(df: DataFrame, k: int, by: list[str], score: str, tie: str, rank: str =
     """The k rows of each group with the highest score, ties by the least id."""
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), tie))
     return df.withColumn(rank, place.cast("long")).where(F.col(rank) <= k)
-
-
-BLOCK = 512  # vectors in a block of a matrix product
-
-
-def _blocks(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of up to BLOCK vectors of one size, packed where they are read. df: a long,
-    an int and a vector."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array(b.column(2).value_lengths().fill_null(0))
-            for size in np.unique(sizes[sizes > 0]):
-                part = b.filter(pa.array(sizes == size))
-                keys, need = part.column(0).to_numpy(), part.column(1).to_numpy()
-                m = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                for i in range(0, len(keys), BLOCK):
-                    order = i + np.argsort(keys[i : i + BLOCK], kind="stable")
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[order]]), pa.array([need[order]]), pa.array([np.ascontiguousarray(m[order], np.float64).tobytes()], pa.binary()), pa.array([size], pa.int32())], names=names)
-
-    k, n, m, size = names
-    return df.mapInArrow(pack, f"{k} array<long>, {n} array<int>, {m} binary, {size} int")
-
-
-def products(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(q, song_id, sim): for each query (q, need, vec) at least the `need` items (song_id,
-    vec) with the largest products.
-
-    Blocks of queries meet blocks of items, and only the best of each block pair leave
-    it: no pair of vectors is ever a row."""
-    q = _blocks(queries.select(F.col("q").cast("long"), F.col("need").cast("int"), "vec"), ["q", "need", "qm", "qs"])
-    i = _blocks(items.select(F.col("song_id").cast("long"), F.lit(0).cast("int"), "vec"), ["i", "none", "im", "size"]).drop("none")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, need, qm, qs, songs, im, size in zip(*b.columns, strict=True):
-                if qs.as_py() != size.as_py():
-                    continue
-                keys, need, songs = keys.values.to_numpy(), need.values.to_numpy(), songs.values.to_numpy()
-                sim = np.frombuffer(qm.as_buffer()).reshape(len(keys), -1) @ np.frombuffer(im.as_buffer()).reshape(len(songs), -1).T
-                best = np.argsort(-np.round(sim, 6), axis=1, kind="stable")  # items are in order of their ids
-                row, at = np.nonzero(np.arange(len(songs))[None, :] < need[:, None])
-                col = best[row, at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(songs[col]), pa.array(sim[row, col])], names=["q", "song_id", "sim"])
-
-    return q.crossJoin(i).mapInArrow(multiply, "q long, song_id long, sim double").withColumn("sim", r6("sim"))
-
-
-def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "q", item: str = "song_id", keep_self: bool = False) -> DataFrame:
-    """(q, song_id, sim, rank): exact nearest items by cosine. Both sides have vec."""
-    q = queries.select(F.col(query).alias("q"), F.lit(k + 1).alias("need"), unit("vec").alias("vec"))
-    met = products(q, items.select(F.col(item).alias("song_id"), unit("vec").alias("vec")))
-    return top(met if keep_self else met.where("q <> song_id"), k, ["q"], "sim", "song_id")

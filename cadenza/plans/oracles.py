@@ -151,6 +151,17 @@ FOUR = """chan4 AS (SELECT user_id, song_id, 'item_cf' AS channel, round(score *
 SEEDS8 = "seeds8 AS (SELECT user_id, song_id FROM plays QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 8)"
 
 
+# The neighbour index: leaders by hash, and each vector's leaders from the nearest.
+INDEX = f"""{VECTORS}, leaders AS (SELECT v, row_number() OVER (ORDER BY song_id) AS cell FROM (SELECT * FROM unit ORDER BY md5('leaders|' || song_id), song_id LIMIT (SELECT ceil(sqrt(count(*)))::BIGINT FROM unit))),
+  lead AS (SELECT song_id, cell, row_number() OVER (PARTITION BY song_id ORDER BY round(list_dot_product(u.v, l.v), 6) DESC, cell) AS nth FROM unit u, leaders l),
+  dots AS (SELECT x.song_id AS q, y.song_id, round(list_dot_product(x.v, y.v), 6) AS sim FROM unit x JOIN unit y ON x.song_id <> y.song_id),
+  met AS (SELECT a.song_id AS q, b.song_id, min(a.nth) AS probes FROM lead a JOIN lead b ON a.cell = b.cell AND b.nth <= 2 AND a.song_id <> b.song_id GROUP BY 1, 2)"""
+
+
+def probed(cells: str) -> str:
+    return f"SELECT q, song_id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, song_id) AS rank FROM dots JOIN met USING (q, song_id) WHERE probes <= {cells} QUALIFY rank <= 10"
+
+
 ORACLES: dict[str, str] = {
     "ui_from_playlists": f"WITH {PLAYLISTS} SELECT id AS user_id, song_id, count(*)::DOUBLE AS weight FROM entries SEMI JOIN part ON p_partkey = song_id GROUP BY 1, 2",
     "ui_from_creators": "SELECT p_brand AS user_id, p_partkey AS song_id, count(*)::DOUBLE AS weight FROM part GROUP BY 1, 2",
@@ -229,6 +240,12 @@ ORACLES: dict[str, str] = {
       warm AS (SELECT * FROM scored ANTI JOIN wseeds USING (user_id, song_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) <= 10), {content_knn('own2')}
       SELECT user_id, song_id, score FROM warm ANTI JOIN own2 USING (user_id, song_id) UNION ALL SELECT user_id, song_id, score FROM knn WHERE user_id NOT IN (SELECT user_id FROM wseeds)""",
     "hybrid_full": f"WITH {TWO}, {QUALITY}, {HISTORY}, {VECTORS}, {MEANS}, {TOWERS}, {prompt_pool()}, {FOUR} SELECT user_id, song_id, recall_score, quality_score, fine_score, final_score, primary_channel, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC, song_id) AS rank FROM final QUALIFY rank <= 10",
+    "prompt_index_search": f"WITH {HISTORY}, {INDEX}, wanted AS (SELECT DISTINCT song_id AS q FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 16)) SELECT * FROM ({probed('8')}) SEMI JOIN wanted USING (q)",
+    "similar_prompts": f"WITH {INDEX} SELECT q AS a, song_id AS b, round(1 - sqrt(greatest(0.0, 2 - 2 * sim)), 6) AS score, rank FROM ({probed('16')})",
+    "index_recall": f"""WITH {INDEX}, sample AS (SELECT song_id AS q FROM unit ORDER BY md5('audit|' || song_id), song_id LIMIT 256), p(probes) AS (VALUES (4), (8), (16), (32), (64)),
+      best AS (SELECT * FROM dots SEMI JOIN sample USING (q) QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, song_id) <= 10),
+      got AS (SELECT p.probes, q, song_id, true AS got FROM p, dots JOIN met USING (q, song_id) SEMI JOIN sample USING (q) WHERE met.probes <= p.probes QUALIFY row_number() OVER (PARTITION BY p.probes, q ORDER BY sim DESC, song_id) <= 10)
+      SELECT p.probes, count(DISTINCT best.q) AS queries, count(*) AS wanted, count(got) AS found, round(count(got) / count(*), 6) AS recall FROM p CROSS JOIN best LEFT JOIN got ON got.probes = p.probes AND got.q = best.q AND got.song_id = best.song_id GROUP BY 1""",
     "similar_songs_hybrid": f"""WITH {ITEM_SIMS}, {VECTORS}, parts AS (SELECT a, b, round(sim * 0.25, 8) AS s FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20)
       UNION ALL SELECT a, b, round(round(n / max(n) OVER (PARTITION BY a), 6) * 0.25, 8) FROM (SELECT x.song_id AS a, y.song_id AS b, count(*) AS n FROM likes x JOIN likes y ON x.user_id = y.user_id AND x.song_id <> y.song_id GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 20
       UNION ALL SELECT a, b, round(sim * 0.35, 8) FROM (SELECT x.song_id AS a, y.song_id AS b, round(list_dot_product(x.v, y.v), 6) AS sim FROM unit x JOIN unit y ON x.song_id <> y.song_id QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 20))

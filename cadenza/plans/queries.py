@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import dot, norm, r6, unit
-from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, quality, ranking, similarity, simulate, topk
+from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, neighbours, quality, ranking, similarity, simulate, topk
 from cadenza.sources.bindings import AS_OF, Tables
+from cadenza.sources.scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -336,7 +337,34 @@ def two_tower_identity_topk(t: Tables) -> DataFrame:
 
 @query
 def dense_similar_items(t: Tables) -> DataFrame:
-    return similarity.nearest(t.vectors(), t.vectors(), 10, query="song_id")
+    return neighbours.nearest(t.vectors(), t.vectors(), 10, query="song_id")
+
+
+def prompt_index(t: Tables) -> neighbours.NeighbourIndex:
+    return neighbours.NeighbourIndex.build(t.vectors(), new_folder(t.spark, "index"))
+
+
+def own_vectors(t: Tables) -> DataFrame:
+    return t.vectors().select(F.col("song_id").alias("q"), "vec")
+
+
+@query
+def prompt_index_search(t: Tables) -> DataFrame:
+    """The ten nearest of each song that is among some user's last 16, from eight cells of the index."""
+    wanted = history.last_n(t.history(), 16).select(F.col("song_id").alias("q")).distinct()
+    return prompt_index(t).search(own_vectors(t).join(wanted, "q", "left_semi"), 10, 8, keep_self=False)
+
+
+@query
+def similar_prompts(t: Tables) -> DataFrame:
+    found = prompt_index(t).search(own_vectors(t), 10, 16, keep_self=False)
+    return found.select(F.col("q").alias("a"), F.col("song_id").alias("b"), channels.nearness("sim").alias("score"), "rank")
+
+
+@query
+def index_recall(t: Tables) -> DataFrame:
+    """What the index finds of the true ten nearest of 256 songs, by the number of cells asked."""
+    return prompt_index(t).audit(own_vectors(t), 10, (4, 8, 16, 32, 64))
 
 
 def prompt_pool(t: Tables) -> DataFrame:
@@ -347,7 +375,7 @@ def prompt_pool(t: Tables) -> DataFrame:
     # Vectors of a label lie apart; shifted by a common one, near and far differ less.
     shifted = mixed.select("song_id", F.transform("v", lambda x: x + 0.15).alias("vec"))
     wanted = shifted.join(own.select("song_id").distinct(), "song_id", "left_semi")
-    near = similarity.nearest(wanted, shifted, 21, query="song_id", keep_self=True)
+    near = neighbours.nearest(wanted, shifted, 21, query="song_id", keep_self=True)
     return channels.prompt_candidates(own, near, songs)
 
 
@@ -443,7 +471,7 @@ def hybrid_full(t: Tables) -> DataFrame:
 def similar_songs_hybrid(t: Tables) -> DataFrame:
     t = t.shared()
     items = item_sims(t, 20).select("a", "b", F.col("sim").alias("score"))
-    vectors = similarity.nearest(t.vectors(), t.vectors(), 20, query="song_id").select(F.col("q").alias("a"), F.col("song_id").alias("b"), F.col("sim").alias("score"))
+    vectors = neighbours.nearest(t.vectors(), t.vectors(), 20, query="song_id").select(F.col("q").alias("a"), F.col("song_id").alias("b"), F.col("sim").alias("score"))
     users = channels.co_liked(t.likes(), 20).drop("rank")
     return hybrid.similar({"item_cf": items, "user_based": users, "two_tower": vectors}).withColumn("rank", F.col("rank").cast("long"))
 

@@ -21,9 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/cadenza-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/cadenza-{name}-{uuid.uuid4().hex[:12]}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
