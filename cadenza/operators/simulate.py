@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import dot, r6, uniform, unit
 
+from .sampling import alias_table, draws
 from .similarity import top
 
 
@@ -132,14 +133,8 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
 
 def impressions(weights: DataFrame, users: DataFrame, m: int = 50, seed: str = "42") -> DataFrame:
     """(user_id, song_id): m draws with replacement by weight for each user, each song
-    once. Draws and songs meet in equal slices of the running sum of weights."""
-    slices = 1024
-    p = weights.select("song_id", F.greatest(F.col("p"), F.lit(0.0)).alias("p"))
-    cum = running(p, "song_id", F.col("p"), "hi").withColumn("lo", F.col("hi") - F.col("p"))
-    cum = cum.select("song_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * slices).cast("int"), F.floor(F.col("hi") * slices).cast("int"))).alias("slice"))
-    draws = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(m))).alias("d")).withColumn("u", uniform(f"{seed}/imp", "user_id", "d"))
-    draws = draws.withColumn("slice", F.floor(F.col("u") * slices).cast("int"))
-    return draws.join(cum, "slice").where("u >= lo AND u < hi").select("user_id", "song_id").distinct()
+    once."""
+    return draws(alias_table(weights), users, m, f"{seed}/imp").select("user_id", "song_id").distinct()
 
 
 def impression_negatives(shown: DataFrame, positives: DataFrame, k: int = 10, seed: str = "42") -> DataFrame:

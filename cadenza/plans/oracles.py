@@ -84,9 +84,13 @@ METRICS = SPLIT_DATE + """, size AS (SELECT user_id, count(DISTINCT song_id) AS
 COUNTS = f"{LIKES}, users AS (SELECT user_id, count(*) AS n FROM likes GROUP BY 1), items AS (SELECT p_partkey AS song_id, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT song_id, count(*) AS n FROM likes GROUP BY 1) ON song_id = p_partkey)"
 MEMBERS = "coalesce(nullif(handle, ''), nullif(uid, ''), nullif(display, ''), 'playlist_' || id)"
 SHOWN = f"""wts AS (SELECT vec_id AS song_id, 1.0::DOUBLE + vec_id % 4 AS w FROM embeddings), ps AS (SELECT song_id, w / sum(w) OVER () AS p FROM wts),
-  cum AS (SELECT song_id, sum(p) OVER (ORDER BY song_id) AS hi, sum(p) OVER (ORDER BY song_id) - p AS lo FROM ps),
-  draws AS (SELECT user_id, {uniform('42/imp', 'user_id', 'd')} AS u FROM (SELECT DISTINCT user_id FROM events), range(1, 51) AS r(d)),
-  shown AS (SELECT DISTINCT user_id, song_id FROM draws JOIN cum ON u >= lo AND u < hi)"""
+  slots AS (SELECT song_id, row_number() OVER (ORDER BY song_id) - 1 AS slot, round(p * 1099511627776)::HUGEINT AS w, count(*) OVER () AS n, sum(round(p * 1099511627776)::HUGEINT) OVER () AS total FROM ps),
+  sums AS (SELECT *, n * w AS own, n * w - total AS over, coalesce(sum(greatest(total - n * w, 0)) OVER b, 0) AS lack, coalesce(sum(greatest(n * w - total, 0)) OVER b, 0) AS spare FROM slots WINDOW b AS (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  line AS (SELECT spare + over AS pos, 0 AS kind, slot, song_id AS heavy, NULL AS fin FROM sums WHERE over > 0 UNION ALL SELECT lack, 1, slot, NULL, NULL FROM sums WHERE over < 0 UNION ALL SELECT lack - over, 2, slot, NULL, lack - over FROM sums WHERE over < 0),
+  nexts AS (SELECT *, first_value(heavy IGNORE NULLS) OVER f AS other, first_value(fin IGNORE NULLS) OVER f AS drawn FROM line WINDOW f AS (ORDER BY pos, kind, slot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  alias AS (SELECT s.slot, song_id, (CASE WHEN kind = 0 THEN total - (coalesce(drawn, pos) - pos) WHEN kind = 1 THEN own ELSE total END)::DOUBLE / total::DOUBLE AS keep, coalesce(other, song_id) AS other FROM sums s LEFT JOIN (SELECT * FROM nexts WHERE kind < 2) x ON x.slot = s.slot),
+  draws AS (SELECT floor({uniform('42/imp/slot', 'user_id', 'd')} * (SELECT count(*) FROM ps))::BIGINT AS slot, user_id, {uniform('42/imp/side', 'user_id', 'd')} AS u FROM (SELECT DISTINCT user_id FROM events), range(1, 51) AS r(d)),
+  shown AS (SELECT DISTINCT user_id, CASE WHEN u < keep THEN song_id ELSE other END AS song_id FROM draws JOIN alias USING (slot))"""
 NEGATIVES = f"""neg AS (SELECT user_id, song_id FROM shown ANTI JOIN hist USING (user_id, song_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {uniform('42/neg', 'user_id', 'song_id')}, song_id) <= 10)"""
 EXAMPLES = f"""{HISTORY}, {VECTORS}, {MEANS}, {SHOWN}, {NEGATIVES}, ex AS (SELECT user_id, song_id, label, round(list_dot_product(m, u.v), 6) AS score FROM (SELECT DISTINCT user_id, song_id, 1 AS label FROM hist UNION ALL SELECT user_id, song_id, 0 FROM neg) JOIN (SELECT song_id, v FROM unit) u USING (song_id) JOIN umeans USING (user_id))"""
 

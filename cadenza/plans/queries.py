@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import dot, norm, r6, unit
-from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, neighbours, quality, ranking, similarity, simulate, topk
+from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, neighbours, quality, ranking, sampling, similarity, simulate, topk
 from cadenza.sources.bindings import AS_OF, Tables
 from cadenza.sources.scratch import new_folder
 
@@ -523,6 +523,19 @@ def sample_without_replacement(t: Tables) -> DataFrame:
     return simulate.without_replacement(simulate.affinity(weights, prefs, songs), 10).select("user_id", "song_id", "draw")
 
 
+@query
+def draws_by_class(t: Tables) -> DataFrame:
+    """As many songs for each user as its activity says, by popularity and the genres of its likes, without a row for
+    each user and song. No SQL: draws come from streams of random numbers for each user."""
+    likes = t.likes().select("user_id", "song_id")
+    weights = simulate.popularity_weights(features.engagement_processed(t.catalog()))
+    songs = weights.join(t.catalog().select("song_id", "genre"), "song_id")
+    own = likes.join(t.catalog().select("song_id", "genre"), "song_id").groupBy("user_id", "genre").agg(F.count("*").alias("n"))
+    total = own.groupBy("user_id").agg(F.sum("n").alias("total"))
+    liking = own.join(total, "user_id").select("user_id", "genre", r6(1.2 * F.col("n") / F.col("total")).alias("liking"))
+    return sampling.draw_without_replacement(songs, simulate.user_activity(likes.select("user_id").distinct()), liking)
+
+
 @query
 def item_classes(t: Tables) -> DataFrame:
     return simulate.item_classes(t.catalog())

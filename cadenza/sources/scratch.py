@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,11 +32,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def placed(df: DataFrame, *order: str, out: str = "i") -> DataFrame:
-    """df with each row's place from 0 in an order without ties. Ranges of it go to partitions,
-    whose counts (a row for each partition) are added up, so no sort lands in one task."""
-    dealt = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "placed")
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df in ranges of an order without ties, of which _p is the number."""
+    return stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def sums_before(df: DataFrame, *order: str, **sums: Column) -> DataFrame:
+    """df with the sums over all rows before each row in an order without ties. Sums of ranges of it (a
+    row for each partition) are added up, so no sort lands in one task."""
+    dealt = _ranges(df.withColumns({f"_{n}": c for n, c in sums.items()}), *order)
+    kind = dict(dealt.dtypes)
     before = W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return dealt.join(F.broadcast(counts), "_p").withColumn(out, (F.col("_before") + inside - 1).cast("long")).drop("_p", "_before")
+    parts = dealt.groupBy("_p").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
+    parts = parts.select("_p", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums))
+    inside = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = {n: (F.col(f"_start_{n}") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0))).cast(kind[f"_{n}"] if not kind[f"_{n}"].startswith("int") else "long") for n in sums}
+    return dealt.join(F.broadcast(parts), "_p").withColumns(out).drop("_p", *(f"_{n}" for n in sums), *(f"_start_{n}" for n in sums))
+
+
+def placed(df: DataFrame, *order: str, out: str = "i") -> DataFrame:
+    """df with each row's place from 0 in an order without ties."""
+    return sums_before(df, *order, **{out: F.lit(1).cast("long")})
+
+
+def following(df: DataFrame, *order: str, **values: Column) -> DataFrame:
+    """df with the first value, if any, of the rows behind each row in an order without ties: nulls are skipped.
+    What a range lacks comes from the first of later ranges."""
+    dealt = _ranges(df.withColumns({f"_{n}": c for n, c in values.items()}), *order)
+    parts = dealt.groupBy("_p").agg(*(F.min_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))).alias(f"_{n}") for n in values))
+    later = W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(1, W.unboundedFollowing)
+    parts = parts.select("_p", *(F.first(f"_{n}", ignorenulls=True).over(later).alias(f"_next_{n}") for n in values))
+    inside = W.partitionBy("_p").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    out = {n: F.coalesce(F.first(f"_{n}", ignorenulls=True).over(inside), F.col(f"_next_{n}")) for n in values}
+    return dealt.join(F.broadcast(parts), "_p").withColumns(out).drop("_p", *(f"_{n}" for n in values), *(f"_next_{n}" for n in values))
