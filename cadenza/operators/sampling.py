@@ -133,7 +133,8 @@ def draw_without_replacement(songs: DataFrame, users: DataFrame, likes: DataFram
 
     done, left, times = None, asked, 0
     while True:
-        made = left.mapInArrow(generate(times), "user_id long, k int, until double, i long, at double, factor double, u double, late double")
+        dealt = left.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")  # small rows, much work
+        made = dealt.mapInArrow(generate(times), "user_id long, k int, until double, i long, at double, factor double, u double, late double")
         share = F.col("p") / F.pow(F.lit(2.0), F.col("class") + 1)
         key = F.when(F.col("u") < share, F.col("at")).otherwise(F.col("at") + F.col("late") / (F.col("p") * F.col("factor")))
         keyed = made.join(lined.select("i", "song_id", "p", "class"), "i").groupBy("user_id", "song_id").agg(F.min(key).alias("key"), F.first("until").alias("until"), F.first("k").alias("k"))
