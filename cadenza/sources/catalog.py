@@ -134,16 +134,26 @@ def missing_embeddings(catalog: DataFrame, known: DataFrame) -> DataFrame:
     return catalog.where(filled("song_id").isNotNull() & filled("audio_url").isNotNull()).join(known.select("song_id"), "song_id", "left_anti")
 
 
-def with_cache(df: DataFrame, folder: str, *parameters: object) -> DataFrame:
-    """df through a parquet table that is named by the hash of the parameters."""
-    import hashlib
+KEYS_PER_FILE = 10_000  # users or songs of a JSON object that is written
 
-    spark = df.sparkSession
-    path = f"{folder}/cache-{hashlib.md5('|'.join(map(str, parameters)).encode()).hexdigest()}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+
+def _save_objects(entries: DataFrame, path: str, wrap: str | None, keys_per_file: int) -> None:
+    """entries (key, value) as files that hold a JSON object each, of some keys_per_file keys."""
+    parts = max(1, -(-entries.count() // keys_per_file))
+    dealt = entries.where("key IS NOT NULL").groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("m"))
+    doc = F.to_json(F.struct(F.col("m").alias(wrap))) if wrap else F.to_json("m")
+    dealt.select(doc).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def save_history(rows: DataFrame, path: str, keys_per_file: int = KEYS_PER_FILE) -> None:
+    """Write history (user_id, song_id, ts, weight, type, seq) as the JSON that history() reads, in
+    several files in a new folder. Rows without a user are left out, as the format has no place for them."""
+    row = F.struct("seq", "song_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.col("weight").cast("double").alias("weight"), "type")
+    listed = rows.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    value = F.transform("rows", lambda r: F.struct(r["song_id"].cast("string").alias("song_id"), r["timestamp"].alias("timestamp"), r["weight"].alias("weight"), r["type"].alias("type")))
+    _save_objects(listed.select("key", value.alias("value")), path, "user_history", keys_per_file)
+
+
+def save_embeddings(rows: DataFrame, path: str, keys_per_file: int = KEYS_PER_FILE) -> None:
+    """Write (song_id, embedding), unique by song, as the JSON that embeddings() reads, in several files."""
+    _save_objects(rows.select(F.col("song_id").cast("string").alias("key"), F.col("embedding").cast("array<float>").alias("value")), path, None, keys_per_file)
