@@ -13,6 +13,8 @@ CATALOG = """cat AS (SELECT p_partkey AS song_id, p_name AS title, string_split(
 ENGAGED = CATALOG + """, eng AS (SELECT *, round((upvote_count + comment_count) / greatest(play_count, 1), 6) AS engagement_rate, round(ln(1 + play_count) + 2 * ln(1 + upvote_count), 6) AS popularity_score FROM cat)"""
 HISTORY = """hist AS (SELECT user_id, (props::JSON->>'$.k')::BIGINT AS song_id, ts, value AS weight, event_type AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"""
 LAST50 = HISTORY + ", l50 AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 50)"
+STREAM = """stream AS (SELECT user_id, (props::JSON->>'$.k')::BIGINT AS song_id, ts, event_id, value AS weight, event_type AS type,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, (props::JSON->>'$.k')::BIGINT NULLS FIRST, event_id) AS seq FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"""
 PLAYLISTS = """entries AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'h' || o_custkey ELSE '' END AS handle, CASE WHEN o_orderstatus <> 'F' THEN 'u' || o_custkey ELSE '' END AS uid,
   CASE WHEN o_totalprice < 100000 THEN 'd' || o_custkey ELSE '' END AS display, l_partkey AS song_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 VECTORS = "vec AS (SELECT vec_id AS song_id, embedding::DOUBLE[] AS v, label FROM embeddings), unit AS (SELECT song_id, label, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM vec)"
@@ -192,6 +194,12 @@ ORACLES: dict[str, str] = {
       both_parts AS (SELECT user_id, song_id, score, 0 AS part FROM item_cf UNION ALL SELECT user_id, song_id, round(score * 0.5, 7), 1 FROM (SELECT user_id, pop.song_id, pop.score FROM (SELECT DISTINCT user_id FROM item_cf), pop) ANTI JOIN item_cf USING (user_id, song_id))
       SELECT user_id, song_id, score, row_number() OVER (PARTITION BY user_id ORDER BY part, score DESC, song_id) AS rank FROM both_parts QUALIFY rank <= 10""",
     "last_n_history": f"WITH {LAST50} SELECT user_id, song_id, ts, weight, type, seq FROM l50",
+    "streamed_history": f"WITH {STREAM} SELECT * EXCLUDE (seq, back), row_number() OVER (PARTITION BY user_id ORDER BY seq) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS back FROM stream) WHERE back <= 50",
+    "streamed_weekly_lists": f"""WITH {STREAM}, ends AS (SELECT user_id, date_trunc('week', ts) + INTERVAL 7 DAY AS week_end FROM stream GROUP BY 1, 2 HAVING week_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM stream)),
+      last AS (SELECT s.*, week_end, ts >= week_end - INTERVAL 7 DAY AS new FROM ends JOIN stream s USING (user_id) WHERE ts < week_end QUALIFY row_number() OVER (PARTITION BY user_id, week_end ORDER BY seq DESC) <= 50),
+      halves AS (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY user_id, week_end, new ORDER BY seq DESC) <= 25),
+      latest AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY user_id, week_end, song_id ORDER BY seq DESC) = 1)
+      SELECT * EXCLUDE (seq, new), row_number() OVER (PARTITION BY user_id, week_end ORDER BY seq DESC) AS place FROM latest""",
     "weekly_mixing": mixing("user_id, song_id", "2024-01-22 00:00:00"),
     "weekly_mixing_weights": mixing("user_id, song_id, weight, seq", "2024-01-22 10:00:00"),
     "update_due": "SELECT user_id, max(ts) IS NULL OR date_trunc('week', max(ts)) < TIMESTAMP '2024-01-29' AS due, false AS due_midweek FROM events GROUP BY 1",

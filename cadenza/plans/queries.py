@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza import streaming
 from cadenza.functions import dot, norm, r6, unit
 from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, neighbours, quality, ranking, sampling, similarity, simulate, topk
 from cadenza.sources.bindings import AS_OF, Tables
@@ -165,6 +166,29 @@ def last_n_history(t: Tables) -> DataFrame:
     return history.last_n(t.history(), 50)
 
 
+def event_stream(t: Tables) -> DataFrame:
+    """The events as a stream of (user_id, song_id, ts, event_id, weight, type)."""
+    song = F.get_json_object("props", "$.k").cast("long")
+    rows = t.spark.readStream.schema(t["events"].schema).parquet(f"{t.dir}/events.parquet*")
+    return rows.select("user_id", song.alias("song_id"), "ts", "event_id", F.col("value").alias("weight"), F.col("event_type").alias("type"))
+
+
+@query
+def streamed_history(t: Tables) -> DataFrame:
+    """The last 50 rows of each user as a stream's state holds them."""
+    folder = new_folder(t.spark, "history")
+    streaming.keep_last(event_stream(t), folder, 50).awaitTermination()
+    return streaming.current(t.spark, folder)
+
+
+@query
+def streamed_weekly_lists(t: Tables) -> DataFrame:
+    """Each user's list of each week that is over a day before the last event."""
+    folder = new_folder(t.spark, "weeks")
+    streaming.weekly_lists(event_stream(t), folder, 50, "1 day").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/lists")
+
+
 @query
 def weekly_mixing(t: Tables) -> DataFrame:
     return history.weekly_mix(t.history(), AS_OF).select("user_id", "song_id", "place")

@@ -3,43 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cadenza.operators.history import append
+from .keyed import keep_last, last_rows, weekly_lists
+
+__all__ = ["EVENT", "current", "keep_last", "last_rows", "maintain", "weekly_counts", "weekly_lists"]
 
 EVENT = "user_id string, song_id string, ts timestamp_ntz, weight double, type string"
 
 
-def _table(spark: SparkSession, folder: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The last-n history that a stream keeps, with seq from 1 in the order of its rows."""
+    from pyspark.errors import PySparkException
 
     try:
-        latest = spark.read.parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
-    return None if latest is None else spark.read.parquet(f"{folder}/version={latest}")
-
-
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The last-n history that a stream has written."""
-    found = _table(spark, folder)
-    return found if found is not None else spark.createDataFrame([], EVENT + ", seq bigint")
+        rows = last_rows(spark, folder)
+    except PySparkException as e:
+        if e.getCondition() not in ("STDS_COMMITTED_BATCH_UNAVAILABLE", "STDS_OFFSET_LOG_UNAVAILABLE"):
+            raise
+        return spark.createDataFrame([], EVENT + ", seq bigint")  # no batch yet
+    user = W.partitionBy("user_id").orderBy("ts", *(c for c in rows.columns if c not in ("user_id", "ts")))
+    return rows.withColumn("seq", F.row_number().over(user).cast("long"))
 
 
 def maintain(events: DataFrame, folder: str, n: int = 50) -> StreamingQuery:
-    """Keep the last n rows of each user from a stream of events. A batch writes a new
-    version of the table and then its number, so a repeated batch changes nothing."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = _table(spark, folder)
-        if done is not None and spark.read.parquet(f"{folder}/versions").where(F.col("version") == number).count():
-            return
-        append(current(spark, folder), batch, n).write.mode("overwrite").parquet(f"{folder}/version={number}")
-        spark.range(number, number + 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{folder}/versions")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    """Keep the last n rows of each user from a stream of events; weight 1 and type play
+    where missing. A batch touches only the users it has rows of."""
+    return keep_last(events.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "type": F.coalesce("type", F.lit("play"))}), folder, n)
 
 
 def weekly_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
