@@ -6,7 +6,9 @@ costs as many as it has bytes. An item of m bytes may differ by a budget of
 e = error_rate * m edits; cut into e + 1 pieces, one of them stands unchanged in any match. All pieces
 of all items are searched at once; around each hit the whole item is verified by
 Myers' bit-parallel edit distance against the text near the hit, so results are
-exact for the budget.
+exact for the budget. An item stands between word borders: it and the text are taken with a
+space before and behind, so an item of less than 1 / error_rate bytes matches whole words only, and a border
+that is missing costs a longer one an edit.
 
 The benchmark is small beside the corpus and its size is checked: its pieces are
 broadcast in sets of at most `items_per_scan` items and some SCAN_BYTES of text, one pass
@@ -56,8 +58,8 @@ def edit_distance(pattern_bits: dict[str, int], m: int, text: str) -> int:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items = items
         self.budget = [int(len(t) * error_rate) for _, t in items]
+        self.items = items = [(i, f" {t} ") for i, t in items]
         self.bits = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(items):
@@ -76,9 +78,9 @@ class Matcher:
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """(item's place, edit distance) of the items that text holds."""
-        t = normalised(text)
+        t = f" {normalised(text)} "
         starts: dict[int, list[int]] = {}
-        for end, (n, at) in self.automaton.iter(t) if t else ():
+        for end, (n, at) in self.automaton.iter(t):
             for k, a in at:
                 starts.setdefault(k, []).append(end + 1 - n - a)
         out = []

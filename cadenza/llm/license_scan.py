@@ -8,8 +8,10 @@ documents, rarest first; a block that meets the threshold must hold one of the
 first size - needed + 1 words of a template (prefix filter), must have as many
 words as are needed (length filter), and where its first hit is the i-th word in
 that order, only size - i are left to be found (positional filter). What passes is
-counted word by word, and the words that name the licence must be among it, as the rest of
-a short notice stands in other texts too.
+counted word by word. Such a block gives the notice's label where the words that name the licence
+stand in it in the notice's order and as near to each other as there (one more word may stand in each
+gap), and no longer name that contains this one does (Attribution-ShareAlike is not Attribution). The
+labels of the other blocks that meet the threshold are in `unnamed`, so the join is complete.
 
 Phrase templates have threshold 1 and are then checked for words that stand
 consecutively; they give the base places. Templates of notices add labels.
@@ -19,12 +21,13 @@ they are read: no text is shuffled, and a licence line that a third of all rows
 hold makes no task larger.
 
 Results for special inputs: a null or empty text has no words and empty labels;
-nulls in other columns are carried; equal rows give equal rows; an empty table
-gives no rows.
+a null key is kept; other columns are not read; equal rows give equal rows; an empty table
+gives no rows; of a very long text only blocks around rare words are looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,13 +41,23 @@ from .common import as_long, map_rows
 # The phrases whose places count, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Notices of well-known licences: the label that a notice adds, its text and
-# the words of it that name the licence, which a block must hold whatever else it lacks.
+# the words of it that name the licence, in their order.
 NOTICES = [
     ("apache", "licensed under the apache license version 2.0", "apache"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0", "apache"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary"),
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license", "creative commons attribution"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "creative commons attribution noncommercial"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license", "creative commons attribution noncommercial noderivatives"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license", "creative commons attribution noncommercial sharealike"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4.0 international license", "creative commons attribution noderivatives"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "creative commons attribution sharealike"),
+    ("cc-by", "licensed under cc by 4.0", "cc by"),
     ("cc-by-nc", "licensed under cc by nc 4.0", "cc by nc"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4.0", "cc by nc nd"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4.0", "cc by nc sa"),
+    ("cc-by-nd", "licensed under cc by nd 4.0", "cc by nd"),
+    ("cc-by-sa", "licensed under cc by sa 4.0", "cc by sa"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived copyright"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public"),
@@ -71,13 +84,36 @@ class Template:
     phrase: list[bytes]
     consecutive: bool
     threshold: float
-    named: frozenset[bytes] = frozenset()
+    name: str = ""  # a pattern over words joined by spaces
+    longer: list[str] = field(default_factory=list)
     order: list[bytes] = field(default_factory=list)
     needed: int = 0
 
 
+def name_pattern(text: str, names: str) -> str:
+    """A pattern, for words joined by single spaces, of a notice's names in order, with as many
+    words between them as in the notice and one more at most. It uses nothing that RE2 lacks."""
+    words, at, out = text.split(), -1, "(?:^| )"
+    for k, n in enumerate(names.split()):
+        here = words.index(n, at + 1)
+        out += (f"(?: [^ ]+){{0,{here - at}}} " if k else "") + re.escape(n)
+        at = here
+    return out + "(?: |$)"
+
+
+def _contained(short: str, long: str) -> bool:
+    rest = iter(long.split())
+    return short != long and all(w in rest for w in short.split())
+
+
+def longer_names(names: str) -> list[str]:
+    """The patterns of notices whose names contain these in order, and more."""
+    return [name_pattern(v, n) for _, v, n in NOTICES if _contained(names, n)]
+
+
 def templates(threshold: float) -> list[Template]:
-    return [Template(v, words_of(k), True, 1.0) for k, v in PHRASES.items()] + [Template(k, words_of(v), False, threshold, frozenset(words_of(n))) for k, v, n in NOTICES]
+    notices = [Template(k, words_of(v), False, threshold, name_pattern(v, n), longer_names(n)) for k, v, n in NOTICES]
+    return [Template(v, words_of(k), True, 1.0) for k, v in PHRASES.items()] + notices
 
 
 def word_counts(docs: DataFrame, text: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -100,10 +136,12 @@ class Index:
 
     def __init__(self, temps: list[Template], counts: dict[bytes, int]) -> None:
         self.temps = temps
+        self.names: list[tuple[re.Pattern, list[re.Pattern]]] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, t in enumerate(temps):
             t.order = sorted(set(t.phrase), key=lambda w: (counts.get(w, 0), w))
             t.needed = -int(-t.threshold * len(t.order) // 1)
+            self.names.append((re.compile(t.name.encode()), [re.compile(n.encode()) for n in t.longer]))
             for i, w in enumerate(t.order[: len(t.order) - t.needed + 1]):
                 self.prefix.setdefault(w, []).append((k, i))
 
@@ -122,15 +160,21 @@ class Index:
                     tested.add((k, first))
                     have = set(words[first:end])
                     at = next(j for j, w in enumerate(t.order) if w in have)
-                    if len(t.order) - at >= t.needed and t.named <= have:  # positional filter
+                    if len(t.order) - at >= t.needed:  # positional filter
                         held = sum(w in have for w in t.order)
                         if held >= t.needed:
                             yield k, first, end, held / len(t.order)
 
-    def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
+    def named(self, k: int, block: list[bytes]) -> bool:
+        """Whether a block holds the template's names, and no longer ones that contain them."""
+        name, longer = self.names[k]
+        joined = b" ".join(block)
+        return bool(name.search(joined)) and not any(n.search(joined) for n in longer)
+
+    def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, str, float]:
         words = words_of(text)
         places: set[tuple[int, int]] = set()
-        base, more, best = set(), set(), 0.0
+        base, more, unnamed, best = set(), set(), set(), 0.0
         for k, first, end, held in self.blocks_with(words):
             t = self.temps[k]
             if t.consecutive:
@@ -145,15 +189,17 @@ class Index:
                         places.add((at, k))
                         base.add(t.label)
                     at += 1
-            else:
+            elif self.named(k, words[first:end]):
                 more.add(t.label)
                 best = max(best, held)
+            else:
+                unnamed.add(t.label)
         starts = [at for at, _ in places]
-        return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best)
+        return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), ",".join(sorted(unnamed)), 1.0 if base else best)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of docs: words, places of the phrases, labels, and the
+    """A row for each row of docs: words, places of the phrases, labels, those of blocks without the names, and the
     highest containment of a template that it holds (1 where a phrase stands)."""
     temps = templates(threshold)
     vocabulary = frozenset(w for t in temps for w in t.phrase)
@@ -164,8 +210,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
 
         def batch(cols):
             out = [(k, *index.scan(t)) for k, t in zip(*cols, strict=True)]
-            return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 8
+            return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 9
 
         return batch
 
-    return map_rows(as_long(docs, key, text), f"{key} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", start)
+    return map_rows(as_long(docs, key, text), f"{key} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, unnamed string, score double", start)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import BLOCK, NOTICES, PHRASES, THRESHOLD
+from .license_scan import BLOCK, NOTICES, PHRASES, THRESHOLD, longer_names, name_pattern
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -15,20 +15,22 @@ def _components(nodes: str, links: str) -> str:
 
 def _licenses() -> str:
     base = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in PHRASES.items())
-    notices = ", ".join(f"({i}, '{label}', '{text}', string_split('{named}', ' '))" for i, (label, text, named) in enumerate(NOTICES))
+    notices = ", ".join(f"({i}, '{label}', '{text}', '{name_pattern(text, names)}', '{'|'.join(longer_names(names)) or '(?:^$)'}')" for i, (label, text, names) in enumerate(NOTICES))
     split = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {split.format(LOWER)} AS w FROM documents),
-  phrases(label, p) AS (VALUES {base}), notices(t, label, body, named) AS (VALUES {notices}),
-  terms AS (SELECT t, label, named, list_distinct({split.format('body')}) AS need FROM notices),
+  phrases(label, p) AS (VALUES {base}), notices(t, label, body, name, longer) AS (VALUES {notices}),
+  terms AS (SELECT t, label, name, longer, list_distinct({split.format('body')}) AS need FROM notices),
   starts AS (SELECT k, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS pos FROM d, phrases),
   base AS (SELECT k, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM starts GROUP BY 1),
   blocks AS (SELECT k, w[first + 1 : first + {BLOCK}] AS b FROM (SELECT k, w, unnest(range(0, len(w), {BLOCK // 2})) AS first FROM d)),
-  held AS (SELECT k, label, len(list_filter(need, lambda x: list_contains(b, x))) / len(need) AS c, need FROM blocks, terms WHERE len(list_filter(need, lambda x: list_contains(b, x))) >= ceil({THRESHOLD} * len(need)) AND list_has_all(b, named)),
+  met AS (SELECT k, label, len(list_filter(need, lambda x: list_contains(b, x))) / len(need) AS c, regexp_matches(array_to_string(b, ' '), name) AND NOT regexp_matches(array_to_string(b, ' '), longer) AS named
+    FROM blocks, terms WHERE len(list_filter(need, lambda x: list_contains(b, x))) >= ceil({THRESHOLD} * len(need))),
+  held AS (SELECT k, label, c FROM met WHERE named), others AS (SELECT k, array_to_string(list_sort(list(DISTINCT label)), ',') AS unnamed FROM met WHERE NOT named GROUP BY 1),
   best AS (SELECT k, max(c) AS c FROM held GROUP BY 1),
   marks AS (SELECT k, label, true AS own FROM starts UNION ALL SELECT k, label, false FROM held),
   lists AS (SELECT k, array_to_string(list_sort(list(DISTINCT label) FILTER (own)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM marks GROUP BY 1)
-  SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
-  FROM d LEFT JOIN base USING (k) LEFT JOIN lists USING (k) LEFT JOIN best USING (k)"""
+  SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(unnamed, '') AS unnamed, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+  FROM d LEFT JOIN base USING (k) LEFT JOIN lists USING (k) LEFT JOIN best USING (k) LEFT JOIN others USING (k)"""
 
 
 NEAR_DUPLICATES = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
