@@ -40,7 +40,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact_secrets(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast("long"))
+    docs = redact_secrets(docs)
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast("long")) if "n_chars" in docs.columns else docs
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
