@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from cadenza.functions import filled
 from cadenza.operators import features, quality, simulate
 
+from .parts import records
+
 META = "struct<tags:string,prompt:string,duration:double,is_remix:boolean>"
 SONG = f"""id string, title string, user_id string, handle string, display_name string, created_at string, audio_url string,
 play_count bigint, upvote_count bigint, comment_count bigint, display_tags string, major_model_version string, is_public boolean, metadata {META}"""
@@ -23,12 +25,21 @@ def _json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
 
 
-def raw_songs(spark: SparkSession, path: str) -> DataFrame:
-    """Song records of a JSON list or of {"songs": [...]}, with their place pos. Files of
-    any size have a record in each line (.jsonl, .ndjson) and are read in parts."""
+WHOLE = 1 << 26  # bytes of a JSON text that is read by one task
+
+
+def raw_songs(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """Song records of a JSON list or of {"songs": [...]}, with their place pos. Texts of more than `whole`
+    bytes are read in parts, as are files with a record in each line (.jsonl, .ndjson)."""
     if path.endswith(LINES):
         rows = spark.read.schema(SONG).json(path).withColumn("line", F.monotonically_increasing_id())
         return simulate.numbered(rows, "line").withColumnRenamed("i", "pos").select("pos", *rows.drop("line").columns)
+    if spark.read.format("binaryFile").load(path).where(F.col("length") > whole).select("path").count():
+        depth = F.when(F.col("head").rlike(r"^\s*\["), 1).when(F.col("head").rlike(r"^\s*\{"), 2).otherwise(0)
+        found = records(spark, path, depth, "songs")
+        if not found.isEmpty():  # else the whole text tells a list of nothing from an error
+            rows = found.select("line", F.from_json("record", SONG).alias("s")).select("line", "s.*")
+            return simulate.numbered(rows, "line").withColumnRenamed("i", "pos").select("pos", *rows.drop("line").columns)
     kind = T._parse_datatype_string(SONG).simpleString()
     doc = _json(spark, path).withColumn("doc", F.ltrim("doc"))
     listed = F.when(F.col("doc").startswith("["), F.from_json("doc", f"array<{kind}>"))
