@@ -159,6 +159,34 @@ def test_lost_vectors_are_audited_and_found(spark, monkeypatch):
     assert all(got[100 + 2 * i].component_id == got[101 + 2 * i].component_id == 100 + 2 * i for i in range(40))
 
 
+def test_audit_is_bounded_and_keeps_what_it_finds(spark, monkeypatch):
+    """24,000 vectors of which none is linked, then some that are: two passes at most, and
+    no vector comes to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((24000, 12))
+    x[1::400] = x[::400] + 0.001  # 60 pairs, whose links all leave their components
+    frame = lambda m: spark.createDataFrame([(i, "l", 12, v.tobytes()) for i, v in enumerate(m)], "cid long, label string, size int, vec binary")
+    passes, real = [], embedding_dedup._asked
+    monkeypatch.setattr(embedding_dedup, "_asked", lambda *a: passes.append(1) or real(*a))
+    collect = Frame.collect
+
+    def counts_only(df):
+        assert "vec" not in df.columns
+        return collect(df)
+
+    monkeypatch.setattr(Frame, "collect", counts_only)
+    alone = frame(rng.standard_normal((24000, 12)))
+    whole, linked, lost = embedding_dedup.audit(alone, alone.select("cid", F.col("cid").alias("comp")), 0.999)
+    assert whole == linked == 0 == lost.count() and len(passes) == 2
+    classes = frame(x)
+    whole, linked, lost = embedding_dedup.audit(classes, classes.select("cid", F.col("cid").alias("comp")), 0.999)
+    assert whole == 0 < linked and len(passes) == 4
+    got = {frozenset(r) for r in lost.collect()}
+    assert got <= {frozenset((i, i + 1)) for i in range(0, 24000, 400)} and 30 < len(got) <= 60 and len(got) <= linked <= 2 * len(got)
+
+
 def test_shards(spark):
     random.seed(9)
     rows = [(i % 300 if i else None, random.choice([None, "", "text é " * random.randint(1, 40)]), random.choice(["hot"] * 8 + ["a", "b", None]), 1, 2) for i in range(1000)]
