@@ -1,8 +1,8 @@
 """Data-parallel training of the two-tower and click-rate networks.
 
 Each step broadcasts the weights (small arrays), every task adds up the gradients of
-its examples in Arrow batches, Spark sums them in a tree, and the driver takes one step of
-Adam. So the driver sees weights and gradients, never examples. An epoch has a step for
+its examples in Arrow batches, Spark sums them in a tree (as whole numbers, so in any order), and the
+driver takes one step of Adam. So the driver sees weights and gradients, never examples. An epoch has a step for
 each of its parts, which a hash deals; a validation set picks the best epoch's
 weights, and with a folder each epoch's state is stored, from which a run goes on."""
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -133,23 +134,42 @@ def unnamed(arrays: dict[str, np.ndarray]) -> list[Layers]:
     return [[(layer["w"], layer["b"]) for _, layer in sorted(net.items())] for _, net in sorted(nets.items())]
 
 
+CHUNK = 64  # examples that are multiplied together
+FIXED = float(1 << 24)  # sums of gradients are in these parts of one, so their order is of no account
+
+
+def packed(examples: DataFrame, columns: list[str], key: list[str], folder: str, size: int = CHUNK) -> DataFrame:
+    """Examples in lists of about `size` (column chunk), dealt by a hash of their key and in its order, as a table.
+    What a network learns from them doesn't depend on how they are spread over tasks."""
+    n = examples.count()
+    part = F.pmod(F.xxhash64(*key), F.lit(max(1, n // size))).alias("part")
+    listed = F.array_sort(F.collect_list(F.struct(*key, *columns)))
+    chunks = examples.groupBy(part).agg(F.transform(listed, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("chunk"))
+    chunks.select("chunk").write.mode("overwrite").parquet(folder)
+    return examples.sparkSession.read.parquet(folder)
+
+
 def _gradients(examples: DataFrame, flat: np.ndarray, nets: list[Layers], gradient: Callable) -> np.ndarray:
-    """The sums of gradients, and last of losses and examples."""
+    """The sums of gradients, and last of losses and examples, in whole parts of FIXED."""
     shared = examples.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, loss, n = _shaped(shared.value, nets), np.zeros_like(shared.value), 0.0, 0
+        now, total = _shaped(shared.value, nets), np.zeros(shared.value.size + 2, np.int64)
         for b in batches:
-            part, g, k = gradient(now, b)
-            total, loss, n = total + _flat(g), loss + part, n + k
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([np.append(total, [loss, n]).tobytes()], pa.binary())], names=["slot", "x"])
+            lists = [pa.RecordBatch.from_struct_array(x.values) for x in b.column(0)] if b.schema.names == ["chunk"] else [b]
+            for x in lists:
+                loss, part, n = gradient(now, x)
+                total += np.append(np.rint(np.append(_flat(part), loss) * FIXED).astype(np.int64), n)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "x"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer()) for x in t["x"])
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["x"])
         return pa.table({"slot": t["slot"].slice(0, 1), "x": pa.array([total.tobytes()], pa.binary())})
 
     found = examples.mapInArrow(run, "slot int, x binary").groupBy("slot").applyInArrow(add, "slot int, x binary").collect()  # 16 rows at most
-    return sum((np.frombuffer(r.x) for r in found), np.zeros(len(flat) + 2))
+    shared.unpersist()
+    total = sum((np.frombuffer(r.x, np.int64) for r in found), np.zeros(len(flat) + 2, np.int64))
+    return np.append(total[:-1] / FIXED, total[-1])
 
 
 def fit(examples: DataFrame, nets: list[Layers], gradient: Callable, epochs: int = 10, rate: float = 0.01, decay: float = 0.0, steps: int = 1, valid: DataFrame | None = None, folder: str | None = None) -> tuple[list[Layers], list[float]]:
@@ -189,6 +209,24 @@ def fit(examples: DataFrame, nets: list[Layers], gradient: Callable, epochs: int
     return _shaped(best, nets), losses
 
 
+TOWER, CLICK = ["user", "item", "others"], ["candidate", "history", "label"]  # what examples hold
+
+
+def _columns(examples: DataFrame, columns: list[str]) -> DataFrame:
+    return examples.select("chunk") if "chunk" in examples.columns else examples.select(*columns)
+
+
+def with_vectors(positives: DataFrame, negatives: DataFrame, users: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(user_id, song_id, user, item, others): what towers learn from. A user's negatives, the first k,
+    are looked up and listed once for each user, not for each positive."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("song_id"))
+    few = negatives.select("user_id", "song_id").withColumn("n", place).where(F.col("n") <= k)
+    vec = vectors.select("song_id", "vec")
+    others = few.join(vec, "song_id").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("song_id", "vec"))), lambda x: x["vec"]).alias("others"))
+    met = positives.select("user_id", "song_id").distinct().join(vec.withColumnRenamed("vec", "item"), "song_id")
+    return met.join(users.select("user_id", F.col("vec").alias("user")).join(others, "user_id"), "user_id").select("user_id", "song_id", *TOWER)
+
+
 def fit_towers(examples: DataFrame, size: int, epochs: int = 10, hidden: tuple[int, ...] = (512, 256, 256), seed: int = 42, rate: float = 0.01, valid: DataFrame | None = None, **more) -> tuple[list[Layers], list[float]]:
     """Towers of examples (user array, item array, others array of arrays)."""
 
@@ -203,8 +241,7 @@ def fit_towers(examples: DataFrame, size: int, epochs: int = 10, hidden: tuple[i
         return loss, total, len(rows)
 
     nets = [layers((size, *hidden), seed), layers((size, *hidden), seed + 1)]
-    columns = ["user", "item", "others"]
-    return fit(examples.select(*columns), nets, gradient, epochs, rate, valid=None if valid is None else valid.select(*columns), **more)
+    return fit(_columns(examples, TOWER), nets, gradient, epochs, rate, valid=None if valid is None else _columns(valid, TOWER), **more)
 
 
 def fit_din(examples: DataFrame, size: int, epochs: int = 10, seed: int = 42, rate: float = 0.01, valid: DataFrame | None = None, **more) -> tuple[Din, list[float]]:
@@ -218,8 +255,8 @@ def fit_din(examples: DataFrame, size: int, epochs: int = 10, seed: int = 42, ra
                 total, loss, n = total + _flat(g), loss + part, n + 1
         return loss, _shaped(total, nets), n
 
-    model, columns = Din(size, seed), ["candidate", "history", "label"]
-    nets, losses = fit(examples.select(*columns), [model.attention, model.click], gradient, epochs, rate, valid=None if valid is None else valid.select(*columns), **more)
+    model = Din(size, seed)
+    nets, losses = fit(_columns(examples, CLICK), [model.attention, model.click], gradient, epochs, rate, valid=None if valid is None else _columns(valid, CLICK), **more)
     model.attention, model.click = nets
     return model, losses
 

@@ -237,6 +237,7 @@ ORACLES: dict[str, str] = {
     "llm_overall": "SELECT event_id, round(" + " + ".join(f"{w} * {answer(n)}" for n, w in zip(NAMES, (0.15, 0.30, 0.25, 0.10, 0.20), strict=True)) + ", 6)::DOUBLE AS overall FROM events",
     "user_mean_vector": f"WITH {HISTORY}, {VECTORS}, {MEANS} SELECT user_id, i - 1 AS i, round(x, 6) AS x FROM mv",
     "two_tower_identity_topk": f"""WITH {HISTORY}, {VECTORS}, {MEANS} SELECT user_id, song_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) AS rank FROM (SELECT user_id, song_id, round(list_dot_product(m, v), 6) AS score FROM umeans, unit) ANTI JOIN hist USING (user_id, song_id) QUALIFY rank <= 10""",
+    "user_row": f"WITH {LIKES} SELECT user_id, song_id, 1.0::DOUBLE AS weight FROM likes WHERE user_id = (SELECT user_id FROM likes GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)",
     "dense_similar_items": f"WITH {VECTORS} SELECT q, song_id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, song_id) AS rank FROM (SELECT a.song_id AS q, b.song_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM unit a JOIN unit b ON a.song_id <> b.song_id) QUALIFY rank <= 10",
     "prompt_channel_candidates": f"WITH {HISTORY}, {VECTORS}, {prompt_pool()} SELECT user_id, song_id, score, array_to_string(seeds, ',') AS seeds FROM poolp",
     "prompt_channel_greedy": f"""WITH RECURSIVE {HISTORY}, {VECTORS}, {prompt_pool()}, c AS MATERIALIZED (SELECT user_id, song_id, score, seeds, md5(normal) AS p, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) AS pos FROM poolp),

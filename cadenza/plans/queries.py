@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from cadenza import streaming
 from cadenza.functions import dot, norm, r6, unit
-from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, neighbours, quality, ranking, sampling, similarity, simulate, topk
+from cadenza.operators import channels, diagnostics, evaluation, features, history, hybrid, interactions, neighbours, quality, ranking, sampling, similarity, simulate, topk, training
 from cadenza.sources.bindings import AS_OF, Tables
-from cadenza.sources.scratch import new_folder
+from cadenza.service import Recommender
+from cadenza.sources import registry
+from cadenza.sources.scratch import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -359,6 +361,51 @@ def two_tower_identity_topk(t: Tables) -> DataFrame:
     return tower_scores(t)
 
 
+def tower_nets(t: Tables) -> list[training.Layers]:
+    """Both towers, trained on plays against songs that were shown and not played."""
+    history, vectors = t.history(), t.vectors()
+    negatives = simulate.impression_negatives(shown(t), history.select("user_id", "song_id"), 10)
+    examples = training.with_vectors(history, negatives, channels.mean_vectors(history, vectors), vectors)
+    chunks = training.packed(examples, training.TOWER, ["user_id", "song_id"], new_folder(t.spark, "examples"))
+    return training.fit_towers(chunks, 64, epochs=3, hidden=(64, 32))[0]
+
+
+def encoded(t: Tables, nets: list[training.Layers]) -> tuple[DataFrame, DataFrame]:
+    """Users (user_id, vec) and songs (song_id, vec) behind their towers, written once."""
+    users = channels.mean_vectors(t.history(), t.vectors()).select("user_id", training.tower(nets[0])("vec").alias("vec"))
+    songs = t.vectors().select("song_id", training.tower(nets[1])("vec").alias("vec"))
+    return stored(users, "users"), stored(songs, "songs")
+
+
+@query
+def two_tower_trained_topk(t: Tables) -> DataFrame:
+    users, songs = encoded(t, tower_nets(t))
+    return channels.towers(users, songs, t.history(), 10)
+
+
+def served_tables(t: Tables) -> dict[str, tuple[DataFrame, str]]:
+    """All that requests are served from, the trained towers' lists among them."""
+    t = t.shared()
+    users, songs = encoded(t, tower_nets(t))
+    near = neighbours.nearest(songs, songs, 20, query="song_id").select(F.col("q").alias("a"), F.col("song_id").alias("b"), F.col("sim").alias("score"))
+    catalog = features.engagement_processed(t.catalog())
+    return Recommender.tables(
+        catalog=catalog, quality=quality.heuristic(catalog), history=t.plays(), likes=t.likes(), item_sims=item_sims(t, 20), user_sims=user_sims(t, 20),
+        co_liked=channels.co_liked(t.likes(), 20), tower_lists=channels.towers(users, songs, t.history(), 100), tower_sims=near,
+    )
+
+
+@query
+def user_row(t: Tables) -> DataFrame:
+    """The row of the user with the most songs, read from one bucket of published interactions."""
+    folder = new_folder(t.spark, "registry")
+    likes = t.shared().likes()
+    registry.publish(t.spark, folder, Recommender.tables(likes=likes))
+    most = likes.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").first()
+    tables, _ = registry.current(t.spark, folder)
+    return registry.rows_of(tables["likes"], "user_id", [most.user_id] if most else []).select("user_id", "song_id", "weight")
+
+
 @query
 def dense_similar_items(t: Tables) -> DataFrame:
     return neighbours.nearest(t.vectors(), t.vectors(), 10, query="song_id")
