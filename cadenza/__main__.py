@@ -1,4 +1,4 @@
-"""python -m cadenza list | run NAME FOLDER OUT | refresh FOLDER OUT [--as-of TIME]"""
+"""python -m cadenza list | run NAME FOLDER OUT | refresh FOLDER OUT [--as-of TIME] | ask OUT [--user ID] [--songs ID...] [-n N]"""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators.history import update_due
-from cadenza.plans.queries import QUERIES
+from cadenza.plans.queries import QUERIES, served_tables
+from cadenza.service import Recommender
+from cadenza.sources import registry
+from cadenza.sources.bindings import Tables
 
 
 def due(spark: SparkSession, out: str, as_of: str) -> bool:
@@ -34,6 +37,11 @@ def main(args: list[str] | None = None) -> None:
         s.add_argument("folder")
         s.add_argument("out")
     refresh.add_argument("--as-of", help="refresh only if the week's update is due at this time")
+    ask = sub.add_parser("ask", help="print what the tables last published recommend, as JSON lines")
+    ask.add_argument("out")
+    ask.add_argument("--user", type=int)
+    ask.add_argument("--songs", type=int, nargs="*", default=[])
+    ask.add_argument("-n", type=int, default=10)
     a = p.parse_args(args)
     if a.what == "list":
         print("\n".join(sorted(QUERIES)))
@@ -42,9 +50,15 @@ def main(args: list[str] | None = None) -> None:
     if a.what == "refresh" and a.as_of and not due(spark, a.out, a.as_of):
         print("not due")
         return
+    if a.what == "ask":
+        found = Recommender.load(spark, f"{a.out}/served").recommend(a.user, a.songs, a.n)
+        print("\n".join(r.x for r in found.orderBy("rank").select(F.to_json(F.struct("rank", "song_id", "title", "fine_score", "primary_channel")).alias("x")).collect()))
+        return
     names = [a.name] if a.what == "run" else ["item_item_cosine_topk", "user_user_cosine_topk", "quality_heuristic", "hybrid_pipeline"]
     for name in names:
         QUERIES[name](spark, a.folder).write.mode("overwrite").parquet(f"{a.out}/{name}")
+    if a.what == "refresh":
+        registry.publish(spark, f"{a.out}/served", served_tables(Tables(spark, a.folder)))
     if a.what == "refresh" and a.as_of:
         spark.range(1).select(F.lit(a.as_of).cast("timestamp_ntz").alias("at")).write.mode("overwrite").parquet(f"{a.out}/refreshed")
 

@@ -227,6 +227,15 @@ def with_vectors(positives: DataFrame, negatives: DataFrame, users: DataFrame, v
     return met.join(users.select("user_id", F.col("vec").alias("user")).join(others, "user_id"), "user_id").select("user_id", "song_id", *TOWER)
 
 
+def with_histories(examples: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, song_id, label, candidate, history): what a click-rate model learns from, of din_examples.
+    Songs without a vector are left out of histories; examples whose song has none go."""
+    vec = vectors.select("song_id", "vec")
+    places = examples.select("user_id", "song_id", "label", F.posexplode("hist").alias("at", "h")).where("h IS NOT NULL").join(vec.toDF("h", "v"), "h")
+    lists = places.groupBy("user_id", "song_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("history"))
+    return lists.join(vec.withColumnRenamed("vec", "candidate"), "song_id").select("user_id", "song_id", *CLICK)
+
+
 def fit_towers(examples: DataFrame, size: int, epochs: int = 10, hidden: tuple[int, ...] = (512, 256, 256), seed: int = 42, rate: float = 0.01, valid: DataFrame | None = None, **more) -> tuple[list[Layers], list[float]]:
     """Towers of examples (user array, item array, others array of arrays)."""
 

@@ -570,6 +570,18 @@ def din_attention_ctr(t: Tables) -> DataFrame:
     return ranking.click_rates(pool, t.history(), t.vectors(), ranking.Din(64))
 
 
+@query
+def din_trained_ctr(t: Tables) -> DataFrame:
+    """Click rates of a model trained on plays against songs that were shown and not played."""
+    history, vectors = t.history(), t.vectors()
+    plays = history.select("user_id", "song_id").distinct()
+    events = plays.withColumn("label", F.lit(1)).unionByName(simulate.impression_negatives(shown(t), plays, 10).select("user_id", "song_id", F.lit(0).alias("label")))
+    examples = training.with_histories(ranking.din_examples(events, history, last=12), vectors)
+    chunks = training.packed(examples, training.CLICK, ["user_id", "song_id"], new_folder(t.spark, "examples"))
+    model, _ = training.fit_din(chunks, 64, epochs=2)
+    return ranking.click_rates(tower_scores(t, 20), history, vectors, model)
+
+
 # Simulation and training sets
 
 

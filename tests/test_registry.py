@@ -1,5 +1,7 @@
 """Published versions, requests that read one bucket, and training that repeats itself."""
 
+import json
+import os
 import re
 
 import numpy as np
@@ -10,6 +12,7 @@ from cadenza.operators import channels, training
 from cadenza.service import Recommender
 from cadenza.sources import registry
 
+FOLDER = "/root/testdata/sf0.001"
 SIM = "a long, b long, sim double"
 
 
@@ -107,3 +110,34 @@ def test_training_repeats_itself(spark, tmp_path):
         score = np.round(items @ encode(got[0], np.array([u.vec]))[0], 6)
         want = sorted((-s, i) for i, s in enumerate(score) if i not in known[u.user_id])[:3]
         assert [best[u.user_id][k + 1][1] for k in range(3)] == pytest.approx([-s for s, _ in want], abs=2e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_refresh_and_ask(spark, tmp_path, capsys):
+    """The weekly refresh trains the towers and publishes what requests are served from."""
+    from cadenza.__main__ import main
+
+    main(["refresh", FOLDER, str(tmp_path)])
+    served = Recommender.load(spark, f"{tmp_path}/served")
+    user = served.tower_lists.agg(F.min("user_id")).first()[0]
+    main(["ask", str(tmp_path), "--user", str(user), "-n", "5"])
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["rank"] for x in lines] == [1, 2, 3, 4, 5] and len({x["song_id"] for x in lines}) == 5
+
+
+def test_click_examples_and_training(spark, tmp_path):
+    """Histories in their order without songs that have no vector; the model is the same bit for bit
+    however examples are spread."""
+    vec = {i: [float(i), 1.0] for i in range(6)}
+    vectors = spark.createDataFrame(list(vec.items()), "song_id long, vec array<double>")
+    rows = [(u, u % 6, u % 2, [3, 99, u % 5, None]) for u in range(40)] + [(50, 77, 1, [1]), (51, 1, 0, [99])]
+    examples = spark.createDataFrame(rows, "user_id long, song_id long, label int, hist array<long>")
+    found = training.with_histories(examples, vectors)
+    assert {(r.user_id, r.song_id, r.label, tuple(map(tuple, r.history)), tuple(r.candidate)) for r in found.collect()} == {
+        (u, s, y, tuple(tuple(vec[i]) for i in h[:3] if i in vec), tuple(vec[s])) for u, s, y, h in rows if u < 50}
+    models = []
+    for tasks in (1, 4):
+        chunks = training.packed(found, training.CLICK, ["user_id", "song_id"], f"{tmp_path}/{tasks}", 8).repartition(tasks)
+        model, losses = training.fit_din(chunks, 2, epochs=3)
+        models.append(training._flat([model.attention, model.click]))
+    assert (models[0] == models[1]).all() and losses[-1] < losses[0]
