@@ -125,3 +125,16 @@ def test_special_inputs(spark):
     with pytest.raises(Exception, match="a vector has not 2 parts"):
         nearest(frame(spark, [(9, [1.0])]), odd, 1, query="song_id").collect()
     assert nearest(none, odd, 3, query="song_id").collect() == []
+
+
+def test_vectors_are_sent_to_groups_not_to_pairs(spark, monkeypatch):
+    """Rings rule nothing out here, so all blocks meet; a batch is still sent 16 times at most."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    rows = vectors(8, 200, size=24)
+    df = frame(spark, rows)
+    index = NeighbourIndex.build(df, new_folder(spark, "test"), leaders=6, spill=1)
+    assert index.cells().count() > 40
+    sent, products = [], neighbours._products
+    monkeypatch.setattr(neighbours, "_products", lambda pairs, *a: (sent.append((pairs.count(), pairs.select("qs").distinct().count())), products(pairs, *a))[1])
+    same(listed(index.exact(asked(df), 3, keep_self=False)), true(rows, rows, 3))
+    assert all(n <= 16 * batches for n, batches in sent) and len(sent) == 2
