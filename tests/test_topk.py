@@ -101,3 +101,11 @@ def test_co_liked_shares(spark):
     want = all_pairs([(u, s, 1.0) for u, s, _ in rows], 4, cosine=False)
     best = {a: n for a, _, n, i in want if i == 1}
     assert got == {(a, b, round(n / best[a], 6), i) for a, b, n, i in want}
+
+
+def test_lists_go_to_few_blocks_where_neighbours_in_id_are_liked_together(spark, monkeypatch):
+    rows = [(g * 10 + u, g * 10 + s, 1.0 + (u + s) % 3) for g in range(40) for u in range(10) for s in range(10)]
+    made, parts = [], topk._parts_of
+    monkeypatch.setattr(topk, "_parts_of", lambda *a: (made.append(parts(*a).count()), parts(*a))[1])
+    assert found(topk.top_similar(spark.createDataFrame(rows, UI), "song_id", "user_id", 3, products=500)) == all_pairs(rows, 3)
+    assert made[0] <= 400 * 3  # of 400 lists, in 80 blocks
