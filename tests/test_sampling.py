@@ -120,3 +120,14 @@ def test_rows_are_in_proportion_to_draws(spark):
         rate, size = 2.0 ** -np.arange(10), np.full(10, n)
         until = sampling._time(rate, size, 52)
         assert len(sampling._keys(rate, size, until, [1, 2])[0]) < 110
+
+
+def test_following_values_take_one_pass(spark):
+    from cadenza.sources.scratch import following
+
+    values = [None if i % 7 else i for i in range(500)]
+    df = spark.createDataFrame([((i * 37) % 500, values[(i * 37) % 500]) for i in range(500)], "i long, x long")
+    got = following(df, "i", y=df["x"])
+    want = {i: next((x for x in values[i + 1 :] if x is not None), None) for i in range(500)}
+    assert {r.i: r.y for r in got.collect()} == want
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
