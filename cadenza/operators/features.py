@@ -33,11 +33,18 @@ def tag_set(tags: str | Column, display: str | Column) -> Column:
 def parsed_tags(text: str | Column) -> Column:
     """Tags cut at commas, else at full stops (pieces of over two characters), else at
     white space; the whole text if that gives nothing or one piece of over 50."""
-    t = F.coalesce(col(text), F.lit(""))
-    pieces = lambda sep, least: F.filter(F.transform(F.split(t, sep), strip), lambda x: F.length(x) > least)
-    parts = F.when(F.contains(t, F.lit(",")), pieces(",", 0)).when(F.contains(t, F.lit(".")), pieces(r"\.", 2)).otherwise(words(t))
-    bad = (F.size(parts) == 0) | ((F.size(parts) == 1) & (F.length(F.get(parts, F.lit(0))) > 50))
-    return F.when(strip(t) == "", F.array().cast("array<string>")).when(bad, F.array(strip(t))).otherwise(parts)
+    # The text and its parts are bound, so that neither is worked out anew for each use.
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+
+    def parts_of(t: Column) -> Column:
+        pieces = lambda sep, least: F.filter(F.transform(F.split(t, sep), strip), lambda x: F.length(x) > least)
+        return F.when(F.contains(t, F.lit(",")), pieces(",", 0)).when(F.contains(t, F.lit(".")), pieces(r"\.", 2)).otherwise(words(t))
+
+    def checked(t: Column, parts: Column) -> Column:
+        bad = (F.size(parts) == 0) | ((F.size(parts) == 1) & (F.length(F.get(parts, F.lit(0))) > 50))
+        return F.when(strip(t) == "", F.array().cast("array<string>")).when(bad, F.array(strip(t))).otherwise(parts)
+
+    return once(F.coalesce(col(text), F.lit("")), lambda t: once(parts_of(t), lambda parts: checked(t, parts)))
 
 
 def first_tag_genre(tags: str | Column) -> Column:

@@ -176,3 +176,17 @@ def test_one_hot_of_genres(spark):
     assert {k: r.one_hot for k, r in got.items()} == {1: "010", 2: "", 3: "100", 4: "001"}
     assert got[1].z_popularity_score == 0 and got[1].z_duration < 0 < got[3].z_duration
     assert features.scaled_metadata(songs.where("false")).collect() == []
+
+
+def test_tags_are_parsed_once(spark):
+    from cadenza.plans.queries import tag_parse_rules
+    from cadenza.sources.bindings import Tables
+
+    class Few(Tables):
+        def prompts(self):
+            return spark.createDataFrame([(1, "a. bcd. efg"), (2, "x  y"), (3, None)], "song_id long, prompt string")
+
+    got = tag_parse_rules(Few(spark, ""))
+    assert sorted((r.song_id, r.n, r.genre) for r in got.collect()) == [(1, 3, "a"), (2, 2, "x"), (3, 0, "unknown")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3  # at commas, full stops and white space
