@@ -138,3 +138,20 @@ def test_vectors_are_sent_to_groups_not_to_pairs(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_products", lambda pairs, *a: (sent.append((pairs.count(), pairs.select("qs").distinct().count())), products(pairs, *a))[1])
     same(listed(index.exact(asked(df), 3, keep_self=False)), true(rows, rows, 3))
     assert all(n <= 16 * batches for n, batches in sent) and len(sent) == 2
+
+
+def test_many_queries_are_sent_to_few_groups_of_few_vectors(spark, monkeypatch):
+    """Both sides were sent to 16 groups of the other, so many queries moved 16 times, however few vectors there were."""
+    x, y = neighbours._dealt(2000, 900_000, 20, 10_000, 64, 12)
+    assert y == 1 and x >= 48 and x * 10_000 + y * 900_000 < 2_000_000
+    x, y = neighbours._dealt(200, 100_000, 200, 100_000, 64, 12)
+    assert x * y >= 48 and x + y <= 16
+    x, y = neighbours._dealt(4000, 2_000_000, 20_000, 10_000_000, 64, 12)
+    assert 10_000_000 * 512 / y <= neighbours.GROUP_BYTES and 2_000_000 * 512 / x <= neighbours.GROUP_BYTES
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    few, many = vectors(9, 24, size=5), vectors(10, 400, size=5)
+    index = NeighbourIndex.build(frame(spark, few), new_folder(spark, "test"), leaders=6, spill=1)
+    sent, products = [], neighbours._products
+    monkeypatch.setattr(neighbours, "_products", lambda pairs, *a: (sent.append((pairs.count(), pairs.select("qs").distinct().count())), products(pairs, *a))[1])
+    same(listed(index.exact(asked(frame(spark, many)), 3)), true(many, few, 3, True))
+    assert all(n <= 2 * batches for n, batches in sent) and len(sent) == 2
