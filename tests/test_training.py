@@ -73,3 +73,54 @@ def test_steps_validation_and_going_on(spark, tmp_path):
     tr.save_weights(spark, tr.named([more.attention, more.click]), f"{tmp_path}/model")
     for net, want in zip(tr.unnamed(tr.load_weights(spark, f"{tmp_path}/model")), [whole.attention, whole.click], strict=True):
         assert all(np.allclose(a, b) for x, y in zip(net, want, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_ids_with_dictionaries_train_the_same_nets(spark, tmp_path, monkeypatch):
+    """Each example carried its vectors; with ids and dictionaries of several chunks the nets are the same bit for bit;
+    dealt in runs of a user they are the same but for the order of sums."""
+    monkeypatch.setattr(tr, "TOGETHER", 3)
+    monkeypatch.setattr(tr, "RUN", 8)
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(40)], "song_id long, vec array<double>")
+    users = spark.createDataFrame([(u, rng.standard_normal(4).tolist()) for u in range(30)], "user_id long, vec array<double>")
+    plays = spark.createDataFrame([(u, int(s)) for u in range(32) for s in rng.integers(0, 44, 12)], "user_id long, song_id long")
+    shown = spark.createDataFrame([(u, int(s)) for u in range(28) for s in set(rng.integers(0, 44, u % 5 + 1).tolist())], "user_id long, song_id long")
+    key, nets = ["user_id", "song_id"], []
+    whole = tr.with_vectors(plays, shown, users, vectors, 3)
+    ids = tr.with_ids(plays, shown, users, vectors, 3)
+    assert ids.count() == whole.count()
+    chunks = tr.packed_ids(ids, tr.TOWER, key, {"user": users, "item": vectors, "others": vectors}, f"{tmp_path}/a", 16)
+    assert chunks.selectExpr("sum(aggregate(counts, 0, (a, b) -> a + b))").first()[0] < 5 * whole.count() / 2  # vectors kept
+    runs = tr.packed_ids(ids, tr.TOWER, key, {"user": users, "item": vectors, "others": vectors}, f"{tmp_path}/e", 16, runs=True)
+    for x in (chunks, runs, runs.repartition(3), tr.packed(whole, tr.TOWER, key, f"{tmp_path}/b", 16)):
+        nets.append(tr._flat(tr.fit_towers(x, 4, epochs=2, hidden=(6, 3))[0]))
+    assert (nets[0] == nets[3]).all() and (nets[1] == nets[2]).all() and nets[0] == pytest.approx(nets[1], abs=1e-3)
+
+    rows = [(u, int(rng.integers(0, 44)), u % 2, [int(x) for x in rng.integers(0, 44, 5)] + [None]) for u in range(90)] + [(95, 1, 0, [41, 42]), (96, 2, 1, [])]
+    examples = spark.createDataFrame(rows, "user_id long, song_id long, label int, hist array<long>")
+    whole, ids, nets = tr.with_histories(examples, vectors), tr.with_history_ids(examples, vectors), []
+    assert ids.count() == whole.count()
+    for x in (tr.packed_ids(ids, tr.CLICK, key, {"candidate": vectors, "history": vectors}, f"{tmp_path}/c", 8), tr.packed(whole, tr.CLICK, key, f"{tmp_path}/d", 8)):
+        model, _ = tr.fit_din(x, 4, epochs=2)
+        nets.append(tr._flat([model.attention, model.click]))
+    assert (nets[0] == nets[1]).all()
+
+
+def test_click_rates_send_a_vector_once_to_a_bucket(spark, monkeypatch):
+    """Users who share their songs each had copies of the vectors in shuffles."""
+    from cadenza.operators import ranking
+
+    rng = np.random.default_rng(5)
+    vec = {i: rng.standard_normal(3) for i in range(6)}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in vec.items()], "song_id long, vec array<double>")
+    hist = spark.createDataFrame([(u, (u + i) % 6, i) for u in range(50) for i in range(4)], "user_id long, song_id long, seq long")
+    asked = spark.createDataFrame([(u, s) for u in range(50) for s in range(7)], "user_id long, song_id long")
+    model = ranking.Din(3)
+    df = ranking.click_rates(asked, hist, vectors, model)
+    got = {(r.user_id, r.song_id): r.ctr for r in df.collect()}
+    assert len(got) == 350 and all(got[u, 6] == 0.5 for u in range(50))
+    for u in (0, 17, 49):
+        h = np.stack([vec[(u + i) % 6] for i in range(4)])
+        assert [got[u, s] for s in range(6)] == pytest.approx(model.rate(np.stack(list(vec.values())), h).tolist(), abs=1e-6)
+    kept, = [f for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()} if "cadenza-asked" in f]
+    assert {t for _, t in spark.read.parquet(kept).dtypes} == {"bigint", "array<bigint>"}  # ids only
