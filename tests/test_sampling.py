@@ -131,3 +131,31 @@ def test_following_values_take_one_pass(spark):
     want = {i: next((x for x in values[i + 1 :] if x is not None), None) for i in range(500)}
     assert {r.i: r.y for r in got.collect()} == want
     assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_keys_end_once_enough_songs_are_sure():
+    """What is left out comes after the k songs that come first, however fates and shares fall."""
+    rng = np.random.default_rng(5)
+    for user in range(200):
+        start, size, k = np.array([0, 40, 90, 40, 90]), np.array([40, 50, 300, 7, 60]), int(rng.integers(1, 30))
+        factor = np.array([1, 1, 1, 0.7, 1.5])
+        rate = factor * 2.0 ** np.array([-3, -4, -5, -4, -5])
+        share = 0.5 + 0.5 * rng.random(390)
+        until = sampling._time(rate, size, 2 * k + 12)
+        first, made = [], []
+        for keys in (sampling._keys(rate, size, until, [3, user]), sampling._keys(rate, size, until, [3, user], k, start)):
+            which, places, at, u, late = keys
+            best = {}
+            for c, i, t, x, y in zip(which, start[which] + places, at, u, late, strict=True):
+                key = t if x < share[i] else t + y / (share[i] * rate[c])
+                best[i] = min(best.get(i, math.inf), key)
+            first.append(sorted((t, i) for i, t in best.items() if t <= until)[:k])
+            made.append(len(which))
+        assert first[0] == first[1] and made[1] <= made[0]
+    assert made[1] < made[0]
+
+
+def test_draws_do_not_depend_on_how_cells_travel(spark, monkeypatch):
+    few = sorted(map(tuple, drawn(spark, 40, 4).collect()))
+    monkeypatch.setattr(sampling, "MOST_CELLS", 0)
+    assert sorted(map(tuple, drawn(spark, 40, 4).collect())) == few
