@@ -91,15 +91,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 HOT_KEYS = 1 << 12
 
 
-def join_counted(df: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+BITS = 1 << 26  # at most, 8 MB
+
+
+def likely_in(df: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """df without most of the rows whose key is none of the `total` keys (or fewer) of facts; no other row goes. All
+    tasks are sent a bit for each hash of a key, in rows of 4 kB."""
+    bits = min(BITS, max(1 << 15, 1 << (8 * total).bit_length()))
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    held = facts.select(at.alias("_at")).groupBy(F.expr("_at div 32768").alias("_row")).agg(F.bitmap_construct_agg(F.col("_at") % 32768).alias("_bits"))
+    rows = df.withColumn("_at", at).withColumn("_row", F.expr("_at div 32768")).join(F.broadcast(held), "_row")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def join_counted(df: DataFrame, facts: DataFrame, key: str, count: str, total: int, rare: bool = False) -> DataFrame:
     """df joined with facts, which have one row for each key and in `count` how many of
     df's `total` rows (or more) hold it. Keys with more than total / HOT_KEYS rows, fewer than
     HOT_KEYS of them, are broadcast and their rows stay where they are, so no task
-    gets all rows of a frequent key."""
+    gets all rows of a frequent key. rare: few of df's rows have a key of facts, so that most others are left
+    out before any are dealt."""
     least = total // HOT_KEYS
     hot, cold = facts.where(F.col(count) > least), facts.where(F.col(count) <= least)
     frequent = df.join(F.broadcast(hot), key)
     rest = df.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = likely_in(rest, cold, key, total) if rare else rest
     return frequent.unionByName(rest.join(cold, key))
 
 

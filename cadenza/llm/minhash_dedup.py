@@ -127,7 +127,7 @@ def lists(values: DataFrame, classes: DataFrame, kept: str, need: str) -> DataFr
     kept: how many values the class has; need: how many a similar one has of them."""
     often = stored(values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "often")
     total = often.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    shared = join_counted(values, often, "v", "f", total).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("m"))
+    shared = join_counted(values, often, "v", "f", total, rare=True).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("m"))
     found = shared.join(classes.select("cid", "n"), "cid").withColumn("kept", F.expr(kept)).withColumn("first", F.expr(f"cast(size(m) - ({need}) + 1 AS int)"))
     central = F.expr("aggregate(m, 0D, (x, y) -> x + ln(y.f)) / kept")
     found = found.withColumn("central", central).where("first > 0").select("cid", "n", "central", F.explode(F.slice("m", F.lit(1), F.col("first"))).alias("x"))
@@ -139,7 +139,7 @@ def _sized(found: DataFrame) -> DataFrame:
     at = F.struct("central", "cid")
     found = stored(found, "lists")
     sizes = stored(found.groupBy("v").agg(F.count("*").alias("f"), F.max_by("cid", at).alias("hub"), F.max_by("n", at).alias("hub_n")).where("f > 1"), "sizes")
-    return stored(join_counted(found, sizes, "v", "f", sizes.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]), "sized")
+    return stored(join_counted(found, sizes, "v", "f", sizes.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0], rare=True), "sized")
 
 
 def _all_pairs(short: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         hashes.clear()
         release()
 
-    texts = join_counted(docs.select("text", F.xxhash64("text").alias("text_hash")), wanted, "text_hash", "copies", total)
+    texts = join_counted(docs.select("text", F.xxhash64("text").alias("text_hash")), wanted, "text_hash", "copies", total, rare=True)
     # One of the copies of a text; another text of that hash is told apart by its set.
     once = texts.select("cid", "key", "text", F.md5("text").alias("md5")).dropDuplicates(["cid", "md5"]).drop("md5")
     return stored(once.mapInArrow(sets, "cid long, hashes binary"), "sets")

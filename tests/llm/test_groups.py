@@ -52,6 +52,19 @@ def test_counted_joins_keep_all_rows(spark, monkeypatch):
     assert sorted(map(tuple, found)) == [(k, i, keys.count(k)) for i, k in enumerate(keys) if k in {1, 2, 3, 4}]
 
 
+def test_rare_keys_keep_all_their_rows(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 7919 - 10**6).alias("k"), F.lit("x").alias("_t"))
+    facts = df.where("pmod(k, 97) = 0 OR k < -990000").select("k", F.lit(1).alias("f")).unionByName(spark.createDataFrame([(1, 1), (None, 1)], "k long, f int"))
+    want = {r.k for r in df.join(facts, "k").collect()}
+    near = [r.k for r in common.likely_in(df, facts, "k", facts.count()).collect()]
+    assert len(near) == len(set(near)) and want <= set(near) and len(near) < len(want) + 1500
+    assert sorted(r.k for r in common.join_counted(df, facts, "k", "f", 5000, rare=True).collect()) == sorted(want)
+    monkeypatch.setattr(common, "BITS", 1 << 15)  # more keys than bits only let more through
+    assert want <= {r.k for r in common.likely_in(df, facts, "k", 10**6).collect()}
+    # So few rows are dealt: those that the join's shuffle reads are near those it keeps.
+    assert common.likely_in(df, facts.limit(0), "k", 0).count() == 0
+
+
 def near_rows():
     random.seed(8)
     word = lambda: "".join(random.choice("abcdefghij") for _ in range(4))
