@@ -190,3 +190,23 @@ def test_tags_are_parsed_once(spark):
     assert sorted((r.song_id, r.n, r.genre) for r in got.collect()) == [(1, 3, "a"), (2, 2, "x"), (3, 0, "unknown")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 3  # at commas, full stops and white space
+
+
+def test_playlist_entries_go_to_tasks_in_proportion(spark, tmp_path, monkeypatch):
+    from cadenza.operators import interactions
+    from cadenza.sources import bindings
+
+    monkeypatch.setattr(bindings, "ENTRIES", 50)
+    lines = [(i % 90, i * 7 % 40) for i in range(1000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(80)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    t = bindings.Tables(spark, str(tmp_path))
+    for songs in (30, 60):  # few, and more than a task takes
+        rows = t.entries(spark.range(songs).withColumnRenamed("id", "song_id"))
+        assert rows.rdd.getNumPartitions() >= 20
+        got = {(r.user_id, r.song_id): r.weight for r in interactions.from_playlists(rows).collect()}
+        want = {}
+        for o, s in lines:
+            if o < 80 and s < songs:
+                want[o, s] = want.get((o, s), 0.0) + 1.0
+        assert got == want
