@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links that join all components which pairs (a, b, est) join."""
+    """Links that join all components which verified ones of the pairs (a, b, est) join."""
     ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("x"))
     best = stored(ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "best")
     links = stored(_verified(best, classes, docs), "links")
@@ -208,7 +208,12 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     comp = stored(components(links), "components")
     tidy(docs.sparkSession)
     more = stored(_verified(_across(pairs.join(best, ["a", "b"], "left_anti"), comp), classes, docs), "links")
-    return links.unionByName(more)
+    return _joined(comp, more)
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes of components and what further links join."""
+    return comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links)
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -308,7 +313,7 @@ def _labelled(docs: DataFrame, k: int, long: int) -> DataFrame:
         members = stored(met.select("g", "cid", (F.col("c") != F.col("g")).alias("outside")), "members")
         if not members.where("outside").isEmpty():
             more = stored(_across_blocks(members, sets), "links")
-            comp = stored(components(links.unionByName(more)), "components")
+            comp = stored(components(_joined(comp, more)), "components")
     tidy(docs.sparkSession)
     of_class = classes.select("cid", "key", "least_id", "copies").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("f"))

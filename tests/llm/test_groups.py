@@ -382,3 +382,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[1] == ("near_duplicates", clean | {201, 202})
     assert seen[2][1] == seen[3][1] == seen[4][1] == clean | {202}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 121
+
+
+def test_components_of_a_chain_take_few_jobs(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(50)], "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup("chain", "")
+    try:
+        got = {r.node: r.comp for r in components(chain).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(range(301), 0) | dict.fromkeys(range(1000, 1050), 1000)
+    assert jobs < 30  # each step of large and small stars takes some ten
+
+
+def test_components_in_small_chunks(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500 + i, 501 + i) for i in range(60)]
+    want = components(spark.createDataFrame(links, "a long, b long")).collect()
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(5), chunk=8).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len({r.node for r in got})
