@@ -73,3 +73,13 @@ def test_streams_of_nothing(spark, tmp_path):
     assert streaming.current(spark, f"{tmp_path}/none").count() == 0
     fed(spark, tmp_path, [[(1, None, 1, START, 1.0), (2, 1, 1, None, 1.0)]], lambda s: streaming.keep_last(s, f"{tmp_path}/out", 5))
     assert streaming.current(spark, f"{tmp_path}/out").count() == 0
+
+
+def test_weeks_of_one_user_are_values_of_their_own(spark, tmp_path):
+    rows = [(i, 1, i % 7, START + timedelta(hours=12 * i), None if i % 2 else 1.0) for i in range(70)]  # five weeks
+    fed(spark, tmp_path, [rows], lambda s: streaming.keep_last(s, f"{tmp_path}/last", 70))
+    fed(spark, tmp_path, [rows], lambda s: streaming.weekly_lists(s, f"{tmp_path}/weeks", 70, "1 day"))
+    state = lambda f: spark.read.format("statestore").option("stateVarName", "rows").load(f"{tmp_path}/{f}/checkpoint")
+    assert [len(r.user_map_value["list"]) for r in state("last").collect()] == [70]  # one value, not one for each row
+    assert sorted(len(r.user_map_value["list"]) for r in state("weeks").collect()) == [14, 56]  # weeks that are over are one
+    assert streaming.last_rows(spark, f"{tmp_path}/weeks").count() == 70
