@@ -43,7 +43,7 @@ from .common import release, removed, small_batches, stored, temporary_tables, t
 STATES = 8
 TOLERANCE = 1e-3
 BLOCK_TOKENS = 1 << 22
-WINDOW = 1 << 19
+WINDOW = 1 << 20
 PARTS, PART_WORDS = 64, 1 << 22  # at least so many parts; words that blocks ask of one
 PRIOR = 100  # words that each state emits by their shares besides what it is expected to
 WHOLE = 65_535  # shares of a word's count are kept as 16-bit numbers
@@ -124,17 +124,20 @@ class Model:
         return Model(np.full(states, 1 / states), move, np.zeros((0, states)))
 
     def _forward(self, e: np.ndarray, alive: np.ndarray, now: np.ndarray | None, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Over a window of emissions [time, text, state], behind the vectors `now`:
+        """Over a window of emissions [state, time, text], behind the vectors `now`:
         (scale [time, text], last vectors). Vectors go to alpha."""
-        start, move = self.start.astype(e.dtype), self.move.astype(e.dtype)
-        scale = np.ones(e.shape[:2], e.dtype)
+        start, move = self.start.astype(e.dtype)[:, None], np.ascontiguousarray(self.move.T, e.dtype)
+        scale = np.ones(e.shape[1:], e.dtype)
         for t, n in enumerate(alive):
-            now = (start if now is None else now[:n] @ move) * e[t, :n]
-            c = now.sum(1)
-            now /= c[:, None]
-            scale[t, :n] = c
-            if alpha is not None:
-                alpha[t, :n] = now
+            x, c = (np.empty((len(e), n), e.dtype) if alpha is None else alpha[:, t, :n]), scale[t, :n]
+            if now is None:
+                x[:] = start
+            else:
+                np.matmul(move, now[:, :n], out=x)
+            x *= e[:, t, :n]
+            np.add.reduce(x, 0, out=c)
+            x /= c
+            now = x
         return scale, now
 
     def _windows(self, s: np.ndarray) -> list[tuple[int, int]]:
@@ -144,39 +147,43 @@ class Model:
     def score(self, s: np.ndarray, alive: np.ndarray) -> np.ndarray:
         """s: symbols [time, text], texts by falling length; alive[t]: texts with a token
         at t. Gives the log10 likelihood of each text."""
-        out, now = np.zeros(s.shape[1]), None
+        out, now, emit = np.zeros(s.shape[1]), None, np.ascontiguousarray(self.emit.T)
         for a, b in self._windows(s):
-            scale, now = self._forward(self.emit[s[a:b]], alive[a:b], now, None)
-            out += np.log10(scale).sum(0, dtype=np.float64)
-        return out
+            scale, now = self._forward(np.take(emit, s[a:b], axis=1), alive[a:b], now, None)
+            out += np.log(scale).sum(0, dtype=np.float64)
+        return out / np.log(10)
 
     def expected(self, s: np.ndarray, alive: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Add the texts' expected counts of starts, moves and emissions to out. Gives
         their log10 likelihood."""
-        emit, back = self.emit.astype(np.float32), self.move.T.astype(np.float32)
+        emit, move = np.ascontiguousarray(self.emit.T, np.float32), self.move.astype(np.float32)
         start, moves, emits = out
         windows, heads = self._windows(s), [None]
         for a, b in windows[:-1]:
-            heads.append(self._forward(emit[s[a:b]], alive[a:b], heads[-1], None)[1])
-        score, k, xi, ahead = 0.0, len(self.start), np.zeros((len(self.start),) * 2), None
+            heads.append(self._forward(np.take(emit, s[a:b], axis=1), alive[a:b], heads[-1], None)[1])
+        score, k, texts, ahead = 0.0, len(self.start), s.shape[1], None
+        xi = np.zeros((k, k))
         for (a, b), head in zip(reversed(windows), reversed(heads), strict=True):
-            e = emit[s[a:b]]
-            alpha, beta, after = np.zeros_like(e), np.ones_like(e), np.zeros_like(e)
+            e = np.take(emit, s[a:b], axis=1)
+            alpha, beta = np.zeros_like(e), np.ones_like(e)
             scale, _ = self._forward(e, alive[a:b], head, alpha)
-            score += float(np.log10(scale).sum(dtype=np.float64))
+            score += float(np.log(scale).sum(dtype=np.float64)) / np.log(10)
+            e *= np.where(np.arange(texts) < alive[a:b, None], 1 / scale, 0)  # zero where a text has no token
+            if ahead is not None:
+                xi += alpha[:, -1, : ahead.shape[1]] @ ahead.T
             for t in range(b - a - 1, -1, -1):
-                n = alive[a + t]
                 if ahead is not None:
-                    after[t, : len(ahead)] = ahead
-                    beta[t, : len(ahead)] = ahead @ back
-                ahead = e[t, :n] * beta[t, :n] / scale[t, :n, None]
-            xi += alpha.reshape(-1, k).T @ after.reshape(-1, k)
+                    np.matmul(move, ahead, out=beta[:, t, : ahead.shape[1]])
+                ahead = e[:, t, : alive[a + t]]
+                ahead *= beta[:, t, : alive[a + t]]
+            ahead = ahead.copy()
+            xi += alpha.reshape(k, -1)[:, : -texts] @ e.reshape(k, -1)[:, texts:].T
             beta *= alpha  # zero where a text has no token
             if a == 0:
-                start += beta[0].sum(0)
-            flat, share = s[a:b].ravel(), beta.reshape(-1, k)
+                start += beta[:, 0].sum(1)
+            flat = s[a:b].ravel().astype(np.intp)
             for j in range(k):
-                emits[:, j] += np.bincount(flat, weights=share[:, j], minlength=len(emits))
+                emits[:, j] += np.bincount(flat, weights=beta[j].ravel(), minlength=len(emits))
         moves += xi * self.move
         return score
 

@@ -53,6 +53,11 @@ def test_expected_counts_against_all_paths(monkeypatch, window):
         assert np.abs(a - b).max() < 1e-5
 
 
+def test_many_texts_go_through_together():
+    steps = sum(len(s) for _, s, _ in hmm_lm.groups([np.zeros(600, np.int32)] * 1700))
+    assert steps == 600  # each takes some ten calls, however few texts
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 700)  # so that words stand in several blocks
     monkeypatch.setattr(hmm_lm, "PARTS", 3)
