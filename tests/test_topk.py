@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,46 @@ def test_lists_go_to_few_blocks_where_neighbours_in_id_are_liked_together(spark,
     monkeypatch.setattr(topk, "_parts_of", lambda *a: (made.append(parts(*a).count()), parts(*a))[1])
     assert found(topk.top_similar(spark.createDataFrame(rows, UI), "song_id", "user_id", 3, products=500)) == all_pairs(rows, 3)
     assert made[0] <= 400 * 3  # of 400 lists, in 80 blocks
+
+
+@pytest.mark.parametrize(("light", "products"), [(1024, 300), (12, 100), (1024, 1 << 21)])
+def test_blocks_take_turns(spark, monkeypatch, light, products):
+    """All lists lay on disk at a time, however many there were."""
+    turns, take = [], topk.in_turns
+    monkeypatch.setattr(topk, "in_turns", lambda n, *a: (turns.append(n), take(n, *a))[1])
+    monkeypatch.setattr(topk, "TURN", 2000)
+    rows = rows_of(11, 60, 90, hot=(80, 60, 30))
+    for cosine in (True, False):
+        assert found(topk.top_similar(spark.createDataFrame(rows, UI), "song_id", "user_id", 4, cosine, light, products)) == all_pairs(rows, 4, cosine)
+    assert min(turns) > 1
+
+
+def test_lists_are_sent_in_few_bytes(spark, monkeypatch):
+    """An entry took 32 bytes in each block that its list was sent to."""
+    made, parts = [], topk._parts_of
+    monkeypatch.setattr(topk, "_parts_of", lambda *a: (made.append(parts(*a).agg(F.sum(F.length("data"))).first()[0]), parts(*a))[1])
+    random.seed(2)
+    rows = [(u, s, 1.0) for u in range(400) for s in random.sample(range(5000), 30)]
+    assert found(topk.top_similar(spark.createDataFrame(rows, UI), "song_id", "user_id", 3)) == all_pairs(rows, 3)
+    assert made[0] <= 400 * 30 * 4
+
+
+def test_packed_numbers_are_what_they_were():
+    for x in ([], [5], [2**62, -(2**63), 2**63 - 1, 0], [7, 7, 7], list(range(-300, 300))):
+        for kind in (np.int32, np.int64):
+            if kind is np.int64 or not x or max(map(abs, x)) < 2**31:
+                out = topk._unpacked(memoryview(topk._packed(np.array(x, kind), np.arange(3))), 2)
+                assert out[0].tolist() == x and out[1].tolist() == [0, 1, 2]
+    for x in ([0.5, 2.0], [1.0, 40.0], [1e300, 3.0], [2.0**53, 1.0], [3.0]):
+        assert topk._unpacked(memoryview(topk._packed(np.array(x))), 1)[0].tolist() == x
+
+
+def test_promising_scores_hold_the_best_of_each_group():
+    rng = np.random.default_rng(3)
+    for slack in (0.0, 1e-3):
+        for _ in range(40):
+            k, sizes = int(rng.integers(1, 4)), rng.choice([1, 2, 9, 30, 100], 12)
+            raw, starts = rng.integers(0, rng.choice([2, 5, 1000]), sizes.sum()).astype(float), np.cumsum(sizes) - sizes
+            ok = topk._promising(starts, sizes, raw, k, slack)
+            for i, n in zip(starts, sizes, strict=True):
+                assert ok[i + np.argsort(-raw[i : i + n], kind="stable")[:k]].all()
