@@ -210,3 +210,33 @@ def test_playlist_entries_go_to_tasks_in_proportion(spark, tmp_path, monkeypatch
             if o < 80 and s < songs:
                 want[o, s] = want.get((o, s), 0.0) + 1.0
         assert got == want
+
+
+def test_blended_rows_stay_where_their_user_is(spark):
+    """Blended rows, with their maps, were dealt by user and song, by song and by user."""
+    import re
+
+    from cadenza.operators import hybrid
+
+    rows = spark.createDataFrame([(u, s, 1.0 / (1 + u + s)) for u in range(6) for s in range(8)], "user_id long, song_id long, score double")
+    quality = spark.createDataFrame([(s, s / 7) for s in range(7)], "song_id long, quality_score double")
+    channels = {"item_cf": rows.where("song_id < 6"), "user_based": rows.where("song_id > 3")}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        best = hybrid.recommend(channels, quality, 3)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not re.search(r"hashpartitioning\(user_id#\w+, song_id#", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(user_id#", plan)) == 1
+    want = {}
+    for u in range(6):
+        found = []
+        for s in range(8):
+            q, parts = (s / 7 if s < 7 else 0.3), ([0.25] if s < 6 else []) + ([0.25] if s > 3 else [])
+            if q >= 0.3:
+                found.append((-round(sum(round(w / (1 + u + s), 8) for w in parts), 8), s))
+        want[u] = [s for _, s in sorted(found)[:3]]
+    got = {u: [r.song_id for r in sorted(best.where(f"user_id = {u}").collect(), key=lambda r: r["rank"])] for u in range(6)}
+    assert got == want
