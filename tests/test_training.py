@@ -124,3 +124,15 @@ def test_click_rates_send_a_vector_once_to_a_bucket(spark, monkeypatch):
         assert [got[u, s] for s in range(6)] == pytest.approx(model.rate(np.stack(list(vec.values())), h).tolist(), abs=1e-6)
     kept, = [f for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()} if "cadenza-asked" in f]
     assert {t for _, t in spark.read.parquet(kept).dtypes} == {"bigint", "array<bigint>"}  # ids only
+
+
+def test_click_losses_are_sums_over_examples():
+    """Each example was multiplied by itself, out of Python lists."""
+    rng = np.random.default_rng(5)
+    nets = [tr.layers((8, 5, 1), 1), tr.layers((8, 6, 1), 2)]
+    size, label = np.array([3, 1, 4, 2]), np.array([1.0, 0.0, 0.0, 1.0])
+    candidate, history = rng.standard_normal((4, 4)), rng.standard_normal((10, 4))
+    loss, got = tr.click_losses(nets, candidate, history, size, label)
+    ones = [tr.click_loss(nets, c, h, y) for c, h, y in zip(candidate, np.split(history, np.cumsum(size)[:-1]), label, strict=True)]
+    assert loss == pytest.approx(sum(x for x, _ in ones))
+    assert np.allclose(tr._flat(got), sum(tr._flat(g) for _, g in ones))
